@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbiome.llm import mixing, pieces, quality
+from fieldbiome.llm import linededup, mixing, neardup, pieces, quality
 from fieldbiome.llm.common import cut
 
 
@@ -20,6 +20,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that equal an earlier line, or nearly do, go; so do documents that consist of such lines alone."""
+    return linededup.drop_lines(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return neardup.keep_one(docs, width=5, percent=80)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stays as many times as the mix takes it."""
     return mixing.take(docs)
@@ -32,6 +42,8 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
+    ("line dedup", dedup_lines),
+    ("MinHash near-dedup", dedup_documents),
     ("mixing sources to target weights", mix_sources),
     ("SentencePiece encoding and decoding", encode_pieces),
 ]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbiome.llm import mixing, pages, pieces, pii, quality
+from fieldbiome.llm import linededup, mixing, neardup, pages, pieces, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.clean(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", F.col("__lines.n_lines").alias("n_lines"), F.col("__lines.n_exact").alias("n_exact"), F.col("__lines.n_near").alias("n_near"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -38,6 +43,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[s[n].alias(n) for n in quality.BASE], s["base_failed"].alias("base_failed"), s["kept"].alias("kept"), s["rule"].alias("rule"))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = neardup.link(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return linked.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -45,12 +55,54 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_pii": op3_pii,
+    "op4_linededup": op4_linededup,
     "op5_mix": op5_mix,
     "op8_quality": op8_quality,
+    "op9_neardup": op9_neardup,
     "op10_html": op10_html,
 }
 
 SQL: dict[str, str] = {
+    "op4_linededup": r"""
+WITH parts AS (
+  SELECT doc_id, unnest(range(0, len(l))) AS place, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+lines AS (
+  SELECT doc_id, place, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM parts),
+named AS (SELECT *, array_to_string(w, ' ') AS k FROM lines),
+firsts AS (SELECT k, any_value(w) AS w, min((doc_id, place)) AS spot FROM named WHERE len(w) > 0 GROUP BY k),
+longs AS (SELECT * FROM firsts WHERE len(w) >= 10),
+cutout AS (SELECT k, spot, p, array_to_string(w[1:p - 1] || w[p + 1:len(w)], ' ') AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM longs)),
+same AS (SELECT rest, p, min(spot) AS spot FROM cutout GROUP BY ALL),
+shorter AS (SELECT rest, min(spot) AS spot FROM cutout GROUP BY rest),
+near AS (
+  SELECT c.k FROM cutout c JOIN same s ON c.rest = s.rest AND c.p = s.p WHERE s.spot < c.spot
+  UNION SELECT c.k FROM cutout c JOIN longs x ON c.rest = x.k WHERE x.spot < c.spot
+  UNION SELECT x.k FROM shorter c JOIN longs x ON c.rest = x.k WHERE c.spot < x.spot),
+verdict AS (
+  SELECT n.doc_id, n.place, n.line, len(n.w) > 0 AS word,
+         len(n.w) > 0 AND (n.doc_id, n.place) > f.spot AS exact, len(n.w) > 0 AND (n.doc_id, n.place) = f.spot AND e.k IS NOT NULL AS near
+  FROM named n LEFT JOIN firsts f ON n.k = f.k LEFT JOIN near e ON n.k = e.k),
+byd AS (
+  SELECT doc_id, CAST(count(*) FILTER (word) AS BIGINT) AS n_lines, CAST(count(*) FILTER (exact) AS BIGINT) AS n_exact, CAST(count(*) FILTER (near) AS BIGINT) AS n_near,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT coalesce(exact, false) AND NOT coalesce(near, false)), '')) AS text_sha256
+  FROM verdict GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, text_sha256
+FROM documents d LEFT JOIN byd USING (doc_id)
+""",
+    "op9_neardup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM inter JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+ends AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN ends b ON r.y = b.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) m ON m.x = d.doc_id
+""",
     "op5_mix": r"""
 WITH base AS (
   SELECT doc_id, source,
