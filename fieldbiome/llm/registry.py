@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbiome.llm import linededup, mixing, neardup, pages, pieces, pii, quality
+from fieldbiome.llm import idfiles, linededup, mixing, neardup, pages, pieces, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False, with_spans=False)
 
 
+def op2_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_idfiles": op2_idfiles,
     "op3_pii": op3_pii,
     "op4_linededup": op4_linededup,
     "op5_mix": op5_mix,
