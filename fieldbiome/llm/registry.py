@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbiome.llm import idfiles, linededup, mixing, neardup, pages, pieces, pii, quality
+from fieldbiome.llm import idfiles, langid, linededup, mixing, neardup, neighbours, pages, pieces, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,14 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -62,6 +70,8 @@ QUERIES: dict[str, Query] = {
     "op3_pii": op3_pii,
     "op4_linededup": op4_linededup,
     "op5_mix": op5_mix,
+    "op6_neighbours": op6_neighbours,
+    "op7_langid": op7_langid,
     "op8_quality": op8_quality,
     "op9_neardup": op9_neardup,
     "op10_html": op10_html,
