@@ -1,4 +1,493 @@
-"""Queries over the test tables, by name, with the SQL that states the same results."""
+"""Queries over the test tables, by name, with the SQL that states the same results (none where SQL can't)."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldbiome.functions import coerce, text
+from fieldbiome.operators import abundance, augment, graph, learn, linear, metrics, panel, selection, sequence, similarity
+from fieldbiome.plans import tables as t
+from fieldbiome.plans.tables import BINS, table
+from fieldbiome.streaming import events as streaming
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(name: str, alias: str | None = None) -> F.Column:
+    return F.round(F.col(name), 6).alias(alias or name)
+
+
+_COUNTS = """c AS (
+  SELECT o_custkey AS sample_id, p_brand AS arg_id, count(*) AS n FROM lineitem
+  JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
+_META = """m AS (
+  SELECT c_custkey AS sample_id, r_name AS environment, n_name AS country, coalesce(q, 0) AS read_count
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  LEFT JOIN (SELECT o_custkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) d ON o_custkey = c_custkey
+  WHERE c_acctbal >= 0)"""
+_METRICS = f"""{_COUNTS}, {_META}, s AS (
+  SELECT sample_id, sum(n)::DOUBLE AS arg_total, count(*) FILTER (n > 0) AS arg_richness, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS arg_diversity FROM c GROUP BY 1),
+x AS (SELECT s.*, environment, country, read_count, CASE WHEN read_count > 0 THEN arg_total / read_count ELSE 0 END AS norm FROM s JOIN m USING (sample_id))"""
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abundance.sample_metrics(t.counts(spark, sf_dir), t.metadata(spark, sf_dir))
+
+
+@query(f"WITH {_COUNTS} SELECT sample_id, arg_id, CAST(n AS BIGINT) AS n FROM c")
+def arg_counts(spark, sf_dir):
+    return t.counts(spark, sf_dir)
+
+
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+@query(
+    """WITH c AS (SELECT o_custkey AS sample_id, p_type, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+SELECT sample_id, """
+    + ", ".join(f"CAST(coalesce(sum(CASE WHEN p_type = '{x}' THEN n END), 0) AS BIGINT) AS \"{x}\"" for x in _TYPES)
+    + " FROM c GROUP BY sample_id"
+)
+def abundance_matrix(spark, sf_dir):
+    return abundance.wide_matrix(t.counts(spark, sf_dir, "p_type"), _TYPES)
+
+
+@query(f"WITH {_METRICS} SELECT sample_id, environment, country, read_count, arg_total, CAST(arg_richness AS BIGINT) AS arg_richness, round(arg_diversity, 6) AS arg_diversity, round(norm, 9) AS arg_total_normalised FROM x")
+def sample_metrics(spark, sf_dir):
+    return _metrics(spark, sf_dir).select("sample_id", "environment", "country", "read_count", "arg_total", "arg_richness", r6("arg_diversity"), F.round("arg_total_normalised", 9).alias("arg_total_normalised"))
+
+
+@query(f"WITH {_COUNTS}, {_META} SELECT c.sample_id, arg_id, CAST(n AS BIGINT) AS n, round(CASE WHEN coalesce(read_count, 0) > 0 THEN n / read_count ELSE 0 END, 10) AS normalised FROM c LEFT JOIN m USING (sample_id)")
+def normalized_long(spark, sf_dir):
+    return abundance.normalised(t.counts(spark, sf_dir), t.metadata(spark, sf_dir)).withColumn("normalised", F.round("normalised", 10))
+
+
+@query(f"WITH {_COUNTS}, {_META} SELECT count(DISTINCT sample_id) AS n_missing FROM c WHERE sample_id NOT IN (SELECT sample_id FROM m)")
+def missing_metadata_count(spark, sf_dir):
+    return abundance.missing_metadata(t.counts(spark, sf_dir), t.metadata(spark, sf_dir))
+
+
+@query(f"""WITH {_META}, g(environment, target) AS (VALUES ('AFRICA', 40), ('AMERICA', 25), ('ASIA', 20), ('EUROPE', 15), ('NOWHERE', 5))
+SELECT g.environment, g.target, count(m.sample_id) AS n, greatest(g.target - count(m.sample_id), 0) AS shortfall FROM g LEFT JOIN m USING (environment) GROUP BY g.environment, g.target""")
+def env_composition(spark, sf_dir):
+    target = spark.createDataFrame([("AFRICA", 40), ("AMERICA", 25), ("ASIA", 20), ("EUROPE", 15), ("NOWHERE", 5)], "environment string, target int")
+    return abundance.category_counts(t.metadata(spark, sf_dir), "environment", target)
+
+
+@query(f"""WITH {_METRICS}, q AS (SELECT environment, quantile_cont(arg_diversity, 0.25) AS a, quantile_cont(arg_diversity, 0.5) AS b, quantile_cont(arg_diversity, 0.75) AS c FROM x GROUP BY 1)
+SELECT environment, count(*) AS n, round(min(arg_diversity) FILTER (arg_diversity BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a)), 6) AS low, round(any_value(a), 6) AS q1, round(any_value(b), 6) AS median, round(any_value(c), 6) AS q3,
+round(max(arg_diversity) FILTER (arg_diversity BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a)), 6) AS high FROM x JOIN q USING (environment) GROUP BY 1""")
+def env_boxplot(spark, sf_dir):
+    return abundance.box_stats(_metrics(spark, sf_dir), "environment", "arg_diversity").select("environment", "n", *[r6(c) for c in ("low", "q1", "median", "q3", "high")])
+
+
+@query(f"""WITH {_METRICS}, e AS (SELECT min(arg_richness)::DOUBLE AS lo, max(arg_richness)::DOUBLE AS hi FROM x),
+b AS (SELECT CASE WHEN hi > lo THEN least(CAST(floor((arg_richness - lo) / ((hi - lo) / 20)) AS INT), 19) ELSE 0 END AS bin, count(*) AS n FROM x, e GROUP BY 1)
+SELECT CAST(r.bin AS INT) AS bin, round(lo + r.bin * ((hi - lo) / 20), 6) AS lower, coalesce(n, 0) AS n FROM (SELECT unnest(range(20)) AS bin) r CROSS JOIN e LEFT JOIN b ON b.bin = r.bin""")
+def richness_histogram(spark, sf_dir):
+    return abundance.histogram(_metrics(spark, sf_dir), "arg_richness").select("bin", r6("lower"), "n")
+
+
+@query(f"""WITH {_COUNTS}, {_META}, v AS (SELECT (SELECT count(DISTINCT sample_id) FROM c) AS s, (SELECT count(*) FROM c WHERE n > 0) AS d, (SELECT count(DISTINCT environment) FROM m) AS e)
+SELECT 'samples' AS "check", s AS value, CASE WHEN s BETWEEN 60 AND 90 THEN 'PASS' ELSE 'FAIL' END AS result FROM v
+UNION ALL SELECT 'detections', d, CASE WHEN d >= 50 THEN 'PASS' ELSE 'FAIL' END FROM v UNION ALL SELECT 'environments', e, CASE WHEN e >= 2 THEN 'PASS' ELSE 'FAIL' END FROM v""")
+def dataset_qc(spark, sf_dir):
+    return abundance.dataset_checks(t.counts(spark, sf_dir), t.metadata(spark, sf_dir))
+
+
+def _case_contains(groups: dict[str, list[str]], col: str) -> str:
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({col}), '{w}')" for w in ws) + f" THEN '{g}'" for g, ws in groups.items()) + " END"
+
+
+_PROXY = {"wastewater": ["tion", "schp"], "soil": ["ung"], "river": ["ment"], "irrigation": ["ado"]}
+
+
+@query(f"SELECT coalesce({_case_contains(_PROXY, 'text')}, 'none') AS environment, count(*) AS n FROM documents GROUP BY 1")
+def keyword_environment(spark, sf_dir):
+    env = F.coalesce(text.first_keyword(F.col("text"), _PROXY), F.lit("none"))
+    return table(spark, sf_dir, "documents").groupBy(env.alias("environment")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p_partkey, coalesce({_case_contains({w: [w] for w in text.TREATMENT_WORDS}, 'p_name')}, 'NA') AS hint, coalesce({_case_contains(text.ENVIRONMENT_WORDS, 'p_name')}, 'none') AS environment FROM part")
+def treatment_hint(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.treatment_of(F.col("p_name")).alias("hint"), F.coalesce(text.environment_of(F.col("p_name")), F.lit("none")).alias("environment"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, CAST(floor(o_totalprice * 37) AS BIGINT) AS n FROM orders),
+b AS (SELECT *, CASE WHEN n >= 1000000 THEN CAST(CAST(round_even(n / 1e6, 0) AS BIGINT) AS VARCHAR) || 'M' WHEN n >= 1000 THEN CAST(CAST(round_even(n / 1e3, 0) AS BIGINT) AS VARCHAR) || 'K' ELSE CAST(n AS VARCHAR) END AS short FROM a)
+SELECT o_orderkey, short, CASE WHEN short LIKE '%M' THEN CAST(rtrim(short, 'M') AS BIGINT) * 1000000 WHEN short LIKE '%K' THEN CAST(rtrim(short, 'K') AS BIGINT) * 1000 ELSE CAST(short AS BIGINT) END AS back FROM b""")
+def abbrev_count_roundtrip(spark, sf_dir):
+    n = F.floor(F.col("o_totalprice") * 37).cast("long").cast("string")
+    short = table(spark, sf_dir, "orders").select("o_orderkey", coerce.short_count(n).alias("short"))
+    return short.withColumn("back", coerce.count_or_zero(F.col("short")))
+
+
+@query(r"""SELECT s_suppkey, CASE WHEN regexp_replace(regexp_replace(trim(s_name), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') = '' THEN 'UNKNOWN_PLANT'
+ELSE substr(regexp_replace(regexp_replace(trim(s_name), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) END AS slug, regexp_extract(s_name, '^([A-Za-z]+)', 1) AS prefix FROM supplier""")
+def slug_ids(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.slug(F.col("s_name")).alias("slug"), text.alias_prefix(F.col("s_name")).alias("prefix"))
+
+
+@query("SELECT d.doc_id, coalesce(CASE WHEN quality = 1 THEN 'good' END, nullif(trim(CASE WHEN toxic = 1 THEN ' ' END), ''), nullif(trim(source), ''), '') AS label FROM documents d LEFT JOIN labels l USING (doc_id)")
+def coalesce_chain(spark, sf_dir):
+    d, l = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels")
+    joined = d.join(l, "doc_id", "left")
+    return joined.select("doc_id", coerce.first_non_blank(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, " "), F.col("source")).alias("label"))
+
+
+_QUOTA = [("AUTOMOBILE", 40), ("BUILDING", 25), ("FURNITURE", 20), ("HOUSEHOLD", 15), ("MACHINERY", 100000)]
+_QSQL = "g(seg, target) AS (VALUES " + ", ".join(f"('{a}', {b})" for a, b in _QUOTA) + ")"
+_CLAIM = "f AS (SELECT o_custkey, min(o_orderkey) AS o FROM orders GROUP BY 1), r AS (SELECT c_custkey, c_mktsegment AS seg, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o, c_custkey) AS place FROM customer JOIN f ON o_custkey = c_custkey)"
+
+
+def _quota(spark, sf_dir):
+    o = selection.first_claim(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", [F.col("o_orderkey")])
+    rows = o.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", F.col("c_mktsegment").alias("seg"), "o_orderkey")
+    targets = spark.createDataFrame(_QUOTA, "seg string, target int")
+    return selection.fill_quota(rows, "seg", [F.col("o_orderkey"), F.col("c_custkey")], targets), targets
+
+
+@query(f"WITH {_QSQL}, {_CLAIM} SELECT c_custkey, r.seg, CAST(place AS INT) AS place FROM r JOIN g USING (seg) WHERE place <= target")
+def quota_fill(spark, sf_dir):
+    return _quota(spark, sf_dir)[0].select("c_custkey", "seg", "place")
+
+
+@query(f"WITH {_QSQL}, {_CLAIM} SELECT g.seg, g.target, CAST(least(count(r.seg), target) AS BIGINT) AS n, g.target - least(count(r.seg), target) AS missing FROM g LEFT JOIN r USING (seg) GROUP BY g.seg, g.target HAVING count(r.seg) < target")
+def quota_shortfall(spark, sf_dir):
+    taken, targets = _quota(spark, sf_dir)
+    return selection.quota_shortfall(taken, "seg", targets)
+
+
+@query("SELECT vec_id, label, CAST(place AS INT) AS place FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings) WHERE place <= greatest(1, (SELECT 100 // count(DISTINCT label) FROM embeddings))")
+def label_caps(spark, sf_dir):
+    return selection.cap_per_label(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", [F.col("vec_id")], 100)
+
+
+@query("""SELECT label, n_query, n_db FROM (SELECT label, count(*) FILTER (vec_id % 5 = 0) AS n_query, count(*) FILTER (vec_id % 5 <> 0) AS n_db FROM embeddings GROUP BY 1) WHERE n_query >= 5 AND n_db >= 40""")
+def shared_labels(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return selection.shared_labels(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0"), "label", 5, 40)
+
+
+@query("SELECT source, lang, doc_id, length(text) AS n FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY length(text) DESC, doc_id) = 1")
+def keep_longest(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", "text")
+    return selection.keep_longest(d, ["source", "lang"], "text", "doc_id").select("source", "lang", "doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query("""WITH d AS (SELECT vec_id, label, vec_id % 7 = 0 AS present FROM embeddings WHERE vec_id % 2 = 0), s AS (SELECT label, count(*) AS size FROM embeddings WHERE vec_id % 7 = 0 GROUP BY 1),
+r AS (SELECT d.vec_id, d.label, d.present AS overlap, coalesce(size, 0) AS size, row_number() OVER (PARTITION BY d.label, present ORDER BY vec_id) AS k, row_number() OVER (PARTITION BY d.label ORDER BY present, vec_id) AS place FROM d LEFT JOIN s ON d.label = s.label)
+SELECT vec_id, label, overlap, CAST(place AS INT) AS place FROM r WHERE place <= 22 AND (NOT overlap OR k <= greatest(size - 4, 0))""")
+def same_source_split(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    chosen, _ = selection.same_source_split(e.where("vec_id % 2 = 0"), e.where("vec_id % 7 = 0"), "label", "vec_id", "vec_id", 22, 4)
+    return chosen.select("vec_id", "label", "overlap", "place")
+
+
+@query("""SELECT l_orderkey AS qseqid, l_partkey AS sseqid, l_quantity * 2 AS pident FROM lineitem WHERE l_quantity * 2 >= 80 AND l_discount * 1000 >= 70
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey) = 1""")
+def top_hits(spark, sf_dir):
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qseqid"), F.col("l_partkey").alias("sseqid"), (F.col("l_quantity") * 2).alias("pident"), (F.col("l_discount") * 1000).alias("qcov"), F.col("l_extendedprice").alias("bitscore"))
+    return selection.filtered_hits(hits).select("qseqid", "sseqid", "pident")
+
+
+@query("SELECT l_suppkey, p_type, round(sum(m), 4) AS arg_total FROM (SELECT l_suppkey, p_type, p_brand, avg(l_quantity) AS m FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) GROUP BY ALL")
+def two_level_mean_sum(spark, sf_dir):
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return abundance.two_level_sum(j, ["l_suppkey", "p_type"], "p_brand", "l_quantity").withColumn("arg_total", F.round("arg_total", 4))
+
+
+_SIMS = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a, label AS true_label FROM embeddings WHERE vec_id % 5 = 0), d AS (SELECT vec_id AS db_id, embedding::DOUBLE[] AS b, label FROM embeddings WHERE vec_id % 5 <> 0),
+s AS (SELECT query_id, true_label, db_id, label, list_cosine_similarity(a, b) AS sim FROM q CROSS JOIN d)"""
+_NEAR = "near AS (SELECT query_id, true_label, arg_max(db_id, (sim, -db_id)) AS db_id, arg_max(label, (sim, -db_id)) AS pred_nearest, round(100 * max(sim), 6) AS pident FROM s GROUP BY ALL)"
+_TOPK = """rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY sim DESC, db_id) AS k FROM s),
+tk AS (SELECT query_id, true_label, label, avg(sim) FILTER (k <= 9) - 0.03 * ln(1 + count(*)) AS score FROM rk GROUP BY ALL), top AS (SELECT query_id, true_label, arg_max(label, (score, -label)) AS pred_topk FROM tk GROUP BY ALL)"""
+_PER = f"{_SIMS}, {_NEAR}, {_TOPK}, p AS (SELECT n.*, pred_topk, CAST(pred_nearest = n.true_label AS INT) AS nearest_ok, CAST(pred_topk = n.true_label AS INT) AS topk_ok FROM near n JOIN top USING (query_id))"
+
+
+@query(f"WITH {_SIMS}, {_NEAR} SELECT query_id, db_id, pred_nearest AS pred_label, true_label, CAST(pred_nearest = true_label AS INT) AS correct FROM near")
+def knn_nearest(spark, sf_dir):
+    q, _ = t.query_db(spark, sf_dir)
+    near = similarity.nearest(t.sims(spark, sf_dir))
+    return similarity.scored(near, q.select("query_id", "true_label")).select("query_id", "db_id", "pred_label", "true_label", "correct")
+
+
+@query(f"WITH {_SIMS} SELECT query_id, label, round(max(sim) - 0.03 * ln(1 + count(*)), 9) AS score FROM s GROUP BY ALL")
+def class_max(spark, sf_dir):
+    return similarity.class_scores(t.sims(spark, sf_dir), "class_max").withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {_SIMS}, {_TOPK} SELECT query_id, pred_topk AS pred_label FROM top")
+def class_topk(spark, sf_dir):
+    return similarity.predicted(similarity.class_scores(t.sims(spark, sf_dir), "class_topk"))
+
+
+@query("""WITH d AS (SELECT label, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id % 5 <> 0), u AS (SELECT label, unnest(b) / sqrt(list_dot_product(b, b)) AS x, unnest(range(len(b))) AS i FROM d),
+c AS (SELECT label, list(m ORDER BY i) AS c, any_value(size) AS size FROM (SELECT label, i, avg(x) AS m, count(*) AS size FROM u GROUP BY ALL) GROUP BY 1)
+SELECT vec_id AS query_id, c.label, round(list_cosine_similarity(embedding::DOUBLE[], c.c) - 0.03 * ln(1 + size), 9) AS score FROM embeddings e CROSS JOIN c WHERE vec_id % 5 = 0""")
+def class_centroid(spark, sf_dir):
+    q, d = t.query_db(spark, sf_dir)
+    return similarity.centroid_scores(q, d).withColumn("score", F.round("score", 9))
+
+
+_BINROWS = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, a, b, _ in BINS.rows)
+
+
+@query(f"""WITH {_PER}, b(identity_bin, lower, upper) AS (VALUES {_BINROWS})
+SELECT identity_bin, lower, count(p.query_id) AS n, round(avg(nearest_ok), 9) AS nearest_recall, round(avg(topk_ok), 9) AS topk_recall FROM b LEFT JOIN p ON pident >= lower AND pident < upper GROUP BY ALL""")
+def binned_recall(spark, sf_dir):
+    r = metrics.binned_recall(t.per_query(spark, sf_dir), BINS, "pident", {"nearest": "nearest_ok", "topk": "topk_ok"})
+    return r.select("identity_bin", "lower", "n", *[F.round(c, 9).alias(c) for c in ("nearest_recall", "topk_recall")])
+
+
+@query(f"""WITH {_PER}, l AS (SELECT 'nearest' AS method, pident, nearest_ok AS ok FROM p UNION ALL SELECT 'topk', pident, topk_ok FROM p)
+SELECT method, round(avg(ok), 9) AS overall_recall, round(avg(ok) FILTER (pident >= 25 AND pident < 35), 9) AS low_id_recall, round(avg(ok) FILTER (pident >= 40 AND pident < 50), 9) AS high_id_recall FROM l GROUP BY 1""")
+def regime_recall(spark, sf_dir):
+    r = metrics.regime_recall(t.per_query(spark, sf_dir), BINS, "pident", {"nearest": "nearest_ok", "topk": "topk_ok"}, 35, 40)
+    return r.select("method", *[F.round(c, 9).alias(c) for c in ("overall_recall", "low_id_recall", "high_id_recall")])
+
+
+@query(f"""WITH {_PER}, b(identity_bin, lower, upper) AS (VALUES {_BINROWS})
+SELECT identity_bin, round(avg(nearest_ok) - avg(topk_ok), 9) AS delta_recall FROM b JOIN p ON pident >= lower AND pident < upper GROUP BY 1""")
+def recall_gap(spark, sf_dir):
+    r = metrics.binned_recall(t.per_query(spark, sf_dir), BINS, "pident", {"nearest": "nearest_ok", "topk": "topk_ok"})
+    return metrics.recall_gap(r, "nearest_recall", "topk_recall").select("identity_bin", F.round("delta_recall", 9).alias("delta_recall"))
+
+
+@query(f"""WITH {_PER} SELECT CASE WHEN pident < 40 THEN 'lt_40' WHEN pident < 70 THEN '40_to_70' WHEN pident < 90 THEN '70_to_90' ELSE '90_to_100' END AS identity_bin, count(*) AS n, round(avg(nearest_ok), 9) AS recall FROM p GROUP BY 1""")
+def fixed_bin_recall(spark, sf_dir):
+    rows = t.per_query(spark, sf_dir)
+    return rows.groupBy(metrics.fixed_bin("pident").alias("identity_bin")).agg(F.count("*").alias("n"), F.round(F.avg("nearest_ok"), 9).alias("recall"))
+
+
+def _weighted_sql(rows: str) -> str:
+    return f"""k AS (SELECT scenario, method, t AS label FROM {rows} UNION SELECT scenario, method, p FROM {rows}),
+e AS (SELECT k.scenario, k.method, k.label, count(*) FILTER (r.t = k.label) AS s, count(*) FILTER (r.p = k.label) AS m, count(*) FILTER (r.t = k.label AND r.p = k.label) AS h FROM k JOIN {rows} r ON r.scenario = k.scenario AND r.method = k.method GROUP BY ALL)
+SELECT scenario, method, round(sum(s * CASE WHEN m > 0 THEN h / m ELSE 0 END) / sum(s), 9) AS precision, round(sum(s * CASE WHEN s > 0 THEN h / s ELSE 0 END) / sum(s), 9) AS recall,
+round(sum(s * CASE WHEN h > 0 THEN 2.0 * h / (m + s) ELSE 0 END) / sum(s), 9) AS f1, CAST(sum(s) AS BIGINT) AS n FROM e GROUP BY ALL"""
+
+
+@query(f"""WITH {_PER}, rows_ AS (SELECT sc.scenario, me.method, true_label AS t, CASE me.method WHEN 'nearest' THEN pred_nearest ELSE pred_topk END AS p
+FROM p CROSS JOIN (VALUES ('nearest'), ('topk')) me(method) JOIN (VALUES ('all'), ('low_identity')) sc(scenario) ON sc.scenario = 'all' OR pident < 40), """ + _weighted_sql("rows_"))
+def weighted_metrics(spark, sf_dir):
+    r = metrics.scenario_metrics(t.per_query(spark, sf_dir), "true_label", {"nearest": "pred_nearest", "topk": "pred_topk"}, "pident")
+    return r.select("scenario", "method", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "n")
+
+
+_CLEAN = "regexp_replace(upper(replace(text, 'ß', 'ss')), '[^A-Z]', '', 'g')"
+
+
+@query(f"""WITH c AS (SELECT item_id, {_CLEAN} AS s FROM benchmark), k AS (SELECT item_id, substr(s, unnest(range(1, length(s) - 1)), 3) AS token FROM c WHERE length(s) >= 3)
+SELECT item_id, token, count(*) AS n FROM k GROUP BY ALL""")
+def kmer_counts(spark, sf_dir):
+    return sequence.exploded_kmers(table(spark, sf_dir, "benchmark"), "item_id", "text", 3)
+
+
+@query(f"""WITH c AS (SELECT item_id, {_CLEAN} AS s FROM benchmark), k AS (SELECT item_id, substr(s, unnest(range(1, length(s) - 1)), 3) AS token FROM c WHERE length(s) >= 3),
+h AS (SELECT item_id, CAST(('0x' || substr(md5(token), 1, 16))::UBIGINT % 128 AS INT) AS idx FROM k)
+SELECT item_id, idx, round(count(*) / any_value(tot), 9) AS v FROM h JOIN (SELECT item_id, count(*) AS tot FROM h GROUP BY 1) USING (item_id) GROUP BY ALL""")
+def kmer_md5_embedding(spark, sf_dir):
+    return sequence.md5_features(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("v", F.round("v", 9))
+
+
+@query()
+def kmer_crc_embedding(spark, sf_dir):
+    return sequence.crc_features(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query(r"SELECT item_id, '>' || item_id || chr(10) || rtrim(regexp_replace(" + _CLEAN + r", '(.{80})', '\1' || chr(10), 'g'), chr(10)) AS record FROM benchmark")
+def fasta_records(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    return b.select("item_id", text.wrapped_fasta(F.col("item_id").cast("string"), text.clean_sequence(F.col("text"))).alias("record"))
+
+
+@query()
+def mutate_sequences(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("seq_id"), F.lit("benchmark").alias("label"), text.clean_sequence(F.col("text")).alias("seq"))
+    return sequence.mutated(b, [0.05, 0.2], 2)
+
+
+_EDGES = """e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e), r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x),
+cl AS (SELECT x AS id, min(y) AS cluster_id FROM r GROUP BY 1)"""
+_SPLIT = f"""{_EDGES}, z AS (SELECT cluster_id, count(*) AS size FROM cl GROUP BY 1), o AS (SELECT *, coalesce(sum(size) OVER (ORDER BY size DESC, cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z),
+sp AS (SELECT id, cluster_id, CASE WHEN before < round_even((SELECT count(*) FROM cl) * 0.2, 0) THEN 'test' ELSE 'train' END AS split FROM cl JOIN o USING (cluster_id))"""
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    s = similarity.pair_similarities(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("db_id"), F.col("embedding").alias("v"), "label"))
+    ids = e.select(F.col("vec_id").alias("id"))
+    pairs = s.where("query_id < db_id").select("query_id", F.col("db_id").alias("subject_id"), (100 * F.col("sim")).alias("pident"))
+    return graph.clusters(ids, graph.identity_edges(pairs, ids, 40.0))
+
+
+@query(f"WITH RECURSIVE {_EDGES} SELECT id, cluster_id FROM cl")
+def identity_clusters(spark, sf_dir):
+    return _clusters(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {_SPLIT} SELECT id, cluster_id, split FROM sp")
+def cluster_split(spark, sf_dir):
+    return selection.cluster_split(_clusters(spark, sf_dir), "cluster_id", 0.2).select("id", "cluster_id", "split")
+
+
+@query(f"""WITH RECURSIVE {_SPLIT}, a AS (SELECT count(*) AS n_total, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test, count(DISTINCT cluster_id) AS n_clusters FROM sp)
+UNPIVOT a ON n_total, n_train, n_test, n_clusters INTO NAME metric VALUE value""")
+def split_summary(spark, sf_dir):
+    return selection.split_summary(selection.cluster_split(_clusters(spark, sf_dir), "cluster_id", 0.2), "cluster_id")
+
+
+_PANEL = """pn AS (SELECT event_type AS study, CAST(day(ts) AS INT) AS "order", count(*)::DOUBLE AS m, sum(value) AS a, count(DISTINCT user_id)::DOUBLE AS e FROM events GROUP BY ALL),
+lg AS (SELECT *, lead(a, 1) OVER w AS a1, lead(a, 2) OVER w AS a2, lead(m, 1) OVER w AS m1, m - lag(m, 1) OVER w AS dm, lead(a, 1) OVER w - a AS da FROM pn WINDOW w AS (PARTITION BY study ORDER BY "order"))"""
+
+
+@query(f'WITH {_PANEL} SELECT study, "order", m AS mge_abundance, round(a, 6) AS arg_total, round(a1, 6) AS arg_t1, round(a2, 6) AS arg_t2, m1 AS mge_t1, dm AS d_mge_t, round(da, 6) AS d_arg_t1 FROM lg')
+def panel_lags(spark, sf_dir):
+    return panel.lagged(t.panel(spark, sf_dir)).select("study", "order", "mge_abundance", *[r6(c) for c in ("arg_total", "arg_t1", "arg_t2")], "mge_t1", "d_mge_t", r6("d_arg_t1"))
+
+
+@query(f"WITH {_PANEL} SELECT CAST(0 AS INT) AS lag, round(corr(m, a), 6) AS correlation, count(*) FILTER (a IS NOT NULL) AS n FROM lg UNION ALL SELECT 1, round(corr(m, a1), 6), count(a1) FROM lg UNION ALL SELECT 2, round(corr(m, a2), 6), count(a2) FROM lg")
+def lag_correlations(spark, sf_dir):
+    return panel.lag_correlations(t.panel(spark, sf_dir)).withColumn("correlation", F.round("correlation", 6))
+
+
+@query(f"""WITH {_PANEL}, b AS (SELECT study, arg_min(a, "order") AS f, arg_max(a, "order") AS l, count(*) AS n FROM pn GROUP BY 1)
+SELECT study, round(f, 6) AS first, round(l, 6) AS last, n, CASE WHEN n < 2 THEN 'unavailable' WHEN l > f THEN 'increasing' WHEN l < f THEN 'decreasing' ELSE 'stable' END AS trend, CASE WHEN n < 2 THEN 'NA' WHEN l > f THEN 'up' WHEN l < f THEN 'down' ELSE 'flat' END AS word FROM b""")
+def trend_labels(spark, sf_dir):
+    return panel.trends(t.panel(spark, sf_dir), "arg_total").select("study", r6("first"), r6("last"), "n", "trend", "word")
+
+
+@query(f"""WITH {_PANEL}, b AS (SELECT study, arg_min(a, "order") AS base FROM pn GROUP BY 1), k AS (SELECT study, base, row_number() OVER (ORDER BY base NULLS LAST, study) - 1 AS r, count(*) OVER () AS t FROM b)
+SELECT study, round(base, 6) AS base, CAST(r AS INT) AS rank, CASE WHEN r / (t - 1) <= 0.33 THEN 'lower' WHEN r / (t - 1) >= 0.67 THEN 'higher' ELSE 'middle' END || ' starting ARG burden' AS label FROM k""")
+def baseline_rank(spark, sf_dir):
+    return panel.baseline_ranks(t.panel(spark, sf_dir), "arg_total").select("study", r6("base"), "rank", "label")
+
+
+@query(f"WITH {_PANEL} SELECT count(*) AS n, round(regr_slope(da, dm), 6) AS slope, round(regr_intercept(da, dm), 6) AS intercept, round(regr_r2(da, dm), 6) AS r2 FROM lg WHERE da IS NOT NULL AND dm IS NOT NULL")
+def diff_model(spark, sf_dir):
+    return linear.simple_regression(panel.lagged(t.panel(spark, sf_dir)), "d_arg_t1", "d_mge_t").select("n", r6("slope"), r6("intercept"), r6("r2"))
+
+
+def _fwl(y: str, x: str, where: str) -> str:
+    return f"""WITH {_PANEL}, h AS (SELECT *, {y} - avg({y}) OVER s AS ry, {x} - avg({x}) OVER s AS rx FROM lg WHERE {where} WINDOW s AS (PARTITION BY study)),
+z AS (SELECT sum(rx * ry) / sum(rx * rx) AS b, sum(rx * rx) AS sxx, sum(ry * ry) AS syy, count(*) AS n, count(DISTINCT study) AS g, var_pop({y}) * count(*) AS tss FROM h)
+SELECT round(b, 6) AS coef, round(sqrt((syy - b * b * sxx) / (n - g - 1) / sxx), 6) AS std_err, n AS nobs, round(1 - (syy - b * b * sxx) / tss, 6) AS r2 FROM z"""
+
+
+def _fe(spark, sf_dir, x, y, where):
+    rows = panel.lagged(t.panel(spark, sf_dir)).where(where)
+    fit = linear.ols(*linear.design(rows, {x: F.col(x)}, ["study"], F.col(y)))
+    return linear.coefficients(rows, fit).where(F.col("term") == x).select(r6("coef"), r6("std_err"), "nobs", r6("r2"))
+
+
+@query(_fwl("a1", "m", "a1 IS NOT NULL"))
+def fe_ols_forward(spark, sf_dir):
+    return _fe(spark, sf_dir, "mge_abundance", "arg_t1", "arg_t1 is not null")
+
+
+@query(_fwl("m1", "a", "m1 IS NOT NULL"))
+def fe_ols_reverse(spark, sf_dir):
+    return _fe(spark, sf_dir, "arg_total", "mge_t1", "mge_t1 is not null")
+
+
+@query(f"""WITH {_PANEL}, h AS (SELECT a1 - avg(a1) OVER s AS y, a - avg(a) OVER s AS x, m - avg(m) OVER s AS z, study FROM lg WHERE a1 IS NOT NULL WINDOW s AS (PARTITION BY study)),
+w AS (SELECT *, y - x * (SELECT sum(x * y) / sum(x * x) FROM h) AS ry, z - x * (SELECT sum(x * z) / sum(x * x) FROM h) AS rz FROM h),
+k AS (SELECT sum(ry * ry) AS rss0, sum(ry * ry) - sum(ry * rz) * sum(ry * rz) / sum(rz * rz) AS rss1, count(*) AS n, count(DISTINCT study) AS g FROM w)
+SELECT round((rss0 - rss1) / (rss1 / (n - g - 2)), 6) AS f, n AS nobs FROM k""")
+def granger_f(spark, sf_dir):
+    out = linear.lag_models(t.panel(spark, sf_dir))["added_value"]
+    return spark.createDataFrame([(round(out["f"], 6), out["n"])], "f double, nobs long")
+
+
+@query()
+def lag_model_table(spark, sf_dir):
+    fits = linear.lag_models(t.panel(spark, sf_dir))
+    rows = [(k, float(f["r2"]), float(f["adj_r2"]), int(f["n"]), f["n"] < 30) for k, f in fits.items() if "r2" in f]
+    return spark.createDataFrame(rows, "model string, r_squared double, adjusted_r_squared double, n long, proof_of_concept boolean")
+
+
+_DID = """o AS (SELECT CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INT) AS g, CAST(o_orderdate >= TIMESTAMP '1998-07-01' AS INT) AS t, o_totalprice AS y FROM orders),
+c AS (SELECT g, t, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS ss FROM o GROUP BY ALL),
+w AS (SELECT max(m) FILTER (g = 0 AND t = 0) AS m00, max(m) FILTER (g = 0 AND t = 1) AS m01, max(m) FILTER (g = 1 AND t = 0) AS m10, max(m) FILTER (g = 1 AND t = 1) AS m11, {v}, CAST(sum(n) AS BIGINT) AS n FROM c)
+SELECT 'Intercept' AS term, round(m00, 4) AS coef, round(sqrt(v00), 4) AS std_err, n AS nobs FROM w UNION ALL SELECT 'treatment', round(m10 - m00, 4), round(sqrt(v10 + v00), 4), n FROM w
+UNION ALL SELECT 'time', round(m01 - m00, 4), round(sqrt(v01 + v00), 4), n FROM w UNION ALL SELECT 'treatment:time', round(m11 - m10 - m01 + m00, 4), round(sqrt(v00 + v01 + v10 + v11), 4), n FROM w"""
+_CELLS = [(g, u) for g in (0, 1) for u in (0, 1)]
+
+
+def _did(spark, sf_dir, robust):
+    return linear.did(t.did_rows(spark, sf_dir), robust=robust).select("term", F.round("coef", 4).alias("coef"), F.round("std_err", 4).alias("std_err"), "nobs")
+
+
+@query("WITH " + _DID.replace("{v}", ", ".join(f"sum(ss) / (sum(n) - 4) / max(n) FILTER (g = {g} AND t = {u}) AS v{g}{u}" for g, u in _CELLS)))
+def did_coefficients(spark, sf_dir):
+    return _did(spark, sf_dir, False)
+
+
+@query("WITH " + _DID.replace("{v}", ", ".join(f"max(ss / ((n - 1) * (n - 1))) FILTER (g = {g} AND t = {u}) AS v{g}{u}" for g, u in _CELLS)))
+def hc3_did(spark, sf_dir):
+    return _did(spark, sf_dir, True)
+
+
+@query("""WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n, avg(l_quantity) AS m, var_pop(l_quantity) * count(*) AS ss FROM lineitem GROUP BY ALL),
+full_ AS (SELECT sum(ss) AS r FROM c), ra AS (SELECT sum(q - s * s / n) + (SELECT r FROM full_) AS r FROM (SELECT a, sum(n) AS n, sum(n * m) AS s, sum(n * m * m) AS q FROM c GROUP BY 1)),
+rb AS (SELECT sum(q - s * s / n) + (SELECT r FROM full_) AS r FROM (SELECT b, sum(n) AS n, sum(n * m) AS s, sum(n * m * m) AS q FROM c GROUP BY 1)),
+d AS (SELECT c.*, CAST(b = 'O' AS DOUBLE) AS z, sum(n * m) OVER w / sum(n) OVER w AS ma, sum(n * CAST(b = 'O' AS DOUBLE)) OVER w / sum(n) OVER w AS mz FROM c WINDOW w AS (PARTITION BY a)),
+k AS (SELECT (SELECT r FROM ra) - CASE WHEN sum(n * (z - mz) * (z - mz)) > 0 THEN pow(sum(n * (z - mz) * (m - ma)), 2) / sum(n * (z - mz) * (z - mz)) ELSE 0 END AS r FROM d),
+p AS (SELECT 'C(l_returnflag)' AS factor, (SELECT r FROM rb) - (SELECT r FROM k) AS v UNION ALL SELECT 'C(l_linestatus)', (SELECT r FROM ra) - (SELECT r FROM k) UNION ALL SELECT 'C(l_returnflag):C(l_linestatus)', (SELECT r FROM k) - (SELECT r FROM full_) UNION ALL SELECT 'Residual', (SELECT r FROM full_))
+SELECT factor, round(v, 2) AS sum_sq, round(100 * v / sum(v) OVER (), 4) AS variance_percent FROM p""")
+def anova_type2(spark, sf_dir):
+    return linear.anova_type2(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity").select("factor", F.round("sum_sq", 2).alias("sum_sq"), F.round("variance_percent", 4).alias("variance_percent"))
+
+
+@query("""SELECT event_type AS method, CASE WHEN event_type IN ('view', 'click') THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS f1 FROM (SELECT DISTINCT event_type FROM events) UNION ALL SELECT 'new', 0.5::DOUBLE""")
+def upsert_metrics(spark, sf_dir):
+    old = table(spark, sf_dir, "events").select(F.col("event_type").alias("method")).distinct().withColumn("f1", F.lit(0.25))
+    return selection.upsert(old, spark.createDataFrame([("view", 0.5), ("click", 0.5), ("new", 0.5), (" ", 0.9)], "method string, f1 double"), "method")
+
+
+@query(f"""WITH {_PER}, b(identity_bin, lower, upper) AS (VALUES {_BINROWS}), n AS (SELECT identity_bin, upper, count(query_id) AS n FROM b LEFT JOIN p ON pident >= lower AND pident < upper GROUP BY ALL)
+SELECT identity_bin, CASE WHEN upper <= 45 THEN greatest(n, 40) ELSE n END AS n FROM n WHERE n > 0 OR upper <= 45""")
+def oversample_bins(spark, sf_dir):
+    rows = augment.oversampled(t.per_query(spark, sf_dir), BINS, "pident", "query_id", 40, 45)
+    return rows.groupBy(BINS.key(F.col("pident")).alias("identity_bin")).agg(F.count("*").alias("n")).where("identity_bin is not null")
+
+
+@query()
+def rf_metrics(spark, sf_dir):
+    return learn.forest_metrics(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", trees=60)
+
+
+@query()
+def pca_2d(spark, sf_dir):
+    return learn.pca_2d(table(spark, sf_dir, "embeddings").where("embedding is not null"), "vec_id", "embedding")
+
+
+@query("SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS links, contains(html, '<article>') AS has_article FROM pages")
+def html_attribute_extract(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.links_of(F.col("html")).alias("links"), F.col("html").contains("<article>").alias("has_article"))
+
+
+@query("""SELECT event_type, CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def event_windows(spark, sf_dir):
+    return streaming.windowed(table(spark, sf_dir, "events"), "1 day").select("event_type", F.unix_timestamp("start").alias("day"), "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT event_type, min(event_id) AS first_id, CAST(row_number() OVER (ORDER BY min(event_id)) AS INT) AS place FROM events GROUP BY 1")
+def first_seen_order(spark, sf_dir):
+    return abundance.ordered_by_first(table(spark, sf_dir, "events"), "event_type", "event_id").select("event_type", F.col("first_seen").alias("first_id"), "place")
