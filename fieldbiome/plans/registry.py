@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbiome.functions import coerce, text
-from fieldbiome.operators import abundance, augment, graph, learn, linear, metrics, panel, selection, sequence, similarity
+from fieldbiome.operators import abundance, augment, cohort, graph, learn, linear, metrics, panel, selection, sequence, similarity
 from fieldbiome.plans import tables as t
 from fieldbiome.plans.tables import BINS, table
 from fieldbiome.streaming import events as streaming
@@ -491,3 +491,57 @@ def event_windows(spark, sf_dir):
 @query("SELECT event_type, min(event_id) AS first_id, CAST(row_number() OVER (ORDER BY min(event_id)) AS INT) AS place FROM events GROUP BY 1")
 def first_seen_order(spark, sf_dir):
     return abundance.ordered_by_first(table(spark, sf_dir, "events"), "event_type", "event_id").select("event_type", F.col("first_seen").alias("first_id"), "place")
+
+
+@query("""WITH g AS (SELECT p_type, o_orderpriority, p_brand, avg(l_quantity) AS m FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE p_type IN ('ECONOMY', 'SMALL', 'PROMO') AND o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL)
+SELECT p_type || '_' || o_orderpriority AS sample_id, round(sum(m), 4) AS arg_total, CASE p_type WHEN 'ECONOMY' THEN 0 ELSE 1 END AS treatment, CASE o_orderpriority WHEN '5-LOW' THEN 0 ELSE 1 END AS time FROM g GROUP BY p_type, o_orderpriority""")
+def cohort_rows(spark, sf_dir):
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = j.select(F.col("p_type").alias("sample"), F.col("o_orderpriority").alias("campaign"), F.col("p_brand").alias("gene"), F.col("l_quantity").alias("concentration"))
+    coded = cohort.coded_rows(rows, {"ECONOMY": 0, "SMALL": 1, "PROMO": 1}, {"5-LOW": 0, "1-URGENT": 1})
+    return coded.select("sample_id", F.round("arg_total", 4).alias("arg_total"), "treatment", "time")
+
+
+@query(f"""WITH {_META} SELECT sample_id, read_count FROM m WHERE lower(environment) = 'asia' AND read_count >= 300""")
+def deep_samples(spark, sf_dir):
+    m = t.metadata(spark, sf_dir)
+    return cohort.deep_enough(cohort.rows_of_environment(m.where("read_count >= 0"), "asia"), 300).select("sample_id", "read_count")
+
+
+@query("""SELECT c_custkey AS run_id, CASE WHEN c_custkey % 3 = 0 THEN '2020-01-01' WHEN c_custkey % 2 = 0 THEN '2021' ELSE '' END AS collection_date, coalesce(n_name, '') AS location,
+CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE '' END AS sample_alias, CASE WHEN c_custkey % 5 = 0 THEN regexp_replace(c_name, '[^A-Za-z0-9]+', '_', 'g') WHEN n_name IS NULL THEN 'UNKNOWN_PLANT' ELSE regexp_replace(n_name, '[^A-Za-z0-9]+', '_', 'g') END AS plant_id
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0""")
+def pulled_metadata(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0")
+    runs = c.select(F.col("c_custkey").alias("run_id"))
+    at = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    archive = at.select(F.col("c_custkey").alias("run_id"), F.when(F.col("c_custkey") % 3 == 0, " 2020-01-01").otherwise(" ").alias("collection_date"), F.col("n_name").alias("country"), F.lit(None).cast("string").alias("location"), F.when(F.col("c_custkey") % 5 == 0, F.col("c_name")).alias("sample_alias"))
+    fields = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("run_id"), F.create_map(F.lit("ReleaseDate"), F.lit("2021")).alias("fields"))
+    samples = c.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("run_id"), F.create_map(F.lit("depth"), F.lit("1")).alias("attributes"))
+    return cohort.pulled_metadata(runs, archive, fields, samples)
+
+
+@query("SELECT count(*) AS n_sparse FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0 WHERE n_name IS NULL AND c_custkey % 3 <> 0 AND c_custkey % 2 <> 0 AND c_custkey % 5 <> 0")
+def sparse_metadata(spark, sf_dir):
+    return cohort.sparse_rows(pulled_metadata(spark, sf_dir))
+
+
+@query(f'WITH {_PANEL} SELECT study, "order", CASE WHEN "order" % 2 = 0 THEN m ELSE CASE WHEN "order" % 3 = 0 THEN 7.0::DOUBLE END END AS sequencing_depth FROM pn')
+def depth_fill(spark, sf_dir):
+    p = t.panel(spark, sf_dir).withColumn("sequencing_depth", F.when(F.col("order") % 2 == 0, F.col("mge_abundance")))
+    depth = p.where("`order` % 3 = 0").select("study", F.lit(7).alias("read_count")).distinct()
+    own = p.join(depth.select("study").withColumn("third", F.lit(0)), "study").withColumn("key", F.concat_ws("-", "study", F.when(F.col("order") % 3 == 0, "x").otherwise("y")))
+    lookup = depth.select(F.concat_ws("-", "study", F.lit("x")).alias("key"), "read_count")
+    return cohort.with_depth(own, lookup, "key").select("study", "order", "sequencing_depth")
+
+
+@query("SELECT p_partkey FROM part WHERE (contains(p_name, 'a') OR contains(p_brand, '3')) AND p_type = 'SMALL'")
+def wanted_rows(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    low = p.withColumn("b", F.when(F.col("p_brand").contains("3"), "a"))
+    return cohort.wanted_rows(low, ["p_name", "b"], ["a"], "p_type", "SMALL").select("p_partkey")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, count(*) >= 20 AS enough FROM benchmark")
+def sequence_guard(spark, sf_dir):
+    return cohort.enough_sequences(fasta_records(spark, sf_dir).select(F.explode(F.split("record", "\n")).alias("value")))
