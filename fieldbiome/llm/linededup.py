@@ -4,10 +4,10 @@ A line with a word is dropped if an earlier line (by doc_id, then place in the t
 MIN_WORDS words, turns into it by inserting, deleting or replacing one word. The earlier line may itself be dropped. Lines
 compare by their words, so white space doesn't count; blank lines stay.
 
-How: equal lines meet by hash, and the earliest of each stands for all. Two lines one edit apart share their first or their
-last PIECE words (LONG_PIECE if they are long), so only lines that share such an end with another line go on: this drops no
-pair. The others emit the hashed keys of all variants within the bound: the line itself and the line without its k-th word. A
-replacement shares a deletion variant of the same place; an insertion makes one line the other's deletion variant. In both
+How: equal lines meet by hash, and the earliest of each stands for all. Two lines one edit apart agree in all words before and
+after some gap, so lines go on only if they share what lies around one of a few gaps that cover the line (two halves first, then
+eighths) with another line: this drops no pair. Those left emit the hashed keys of the variants within the bound: the line itself
+and the line without its k-th word, for each k in a shared gap. A replacement shares a deletion variant of the same place; an insertion makes one line the other's deletion variant. In both
 cases all lines of a key are one edit from its earliest (or from the line itself), so joining each variant with the earliest of
 its key finds an earlier partner if there is any, without pairs of a group. Found partners are verified on their words.
 
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from fieldbiome.llm.common import SPACE_CHARS, cut, let, words_of
 
-#: Lines of fewer words only match exactly; words that two lines one edit apart share at one end; lines over LONG share more.
-MIN_WORDS, PIECE, LONG, LONG_PIECE = 10, 4, 32, 15
+#: Lines of fewer words only match exactly; gaps of the first and the second look; growth of the size classes of lines.
+MIN_WORDS, HALVES, EIGHTHS, CLASS_GROWTH = 10, 2, 8, 1.125
+#: Slots of the broadcast filter of lines: a fixed bound (a few ten MB), whatever the input.
+FILTER_SLOTS = 1 << 20
 #: Bits of a word's hash: prefix sums over 2^22 words stay within 63 bits.
 _WORD_BITS = 40
 
@@ -42,16 +44,33 @@ def _lines(docs: DataFrame) -> DataFrame:
     return base.where(_has_word(F.col("line")))
 
 
-def _ends(words: Column) -> Column:
-    """Hashes of the ends that a line shares with any line one edit away."""
+def _least_of_class(n: Column) -> Column:
+    """The least number of words of n's size class."""
+    grown = F.floor(F.log(n / float(MIN_WORDS)) / F.log(F.lit(CLASS_GROWTH)) + 1e-9)
+    return F.floor(MIN_WORDS * F.pow(F.lit(CLASS_GROWTH), grown)).cast("int")
+
+
+def _around(words: Column, gaps: int) -> Column:
+    """For each gap: (h: hash of the words around it, lo, hi: its places). Lines that open a size class look in the one below too.
+
+    In a class from L words on, gap j leaves j * (L // gaps) words before it and the other (gaps - 1 - j) * (L // gaps) after
+    it, so the gaps cover every place of a line of the class, and lines one edit apart see equal surroundings of some gap.
+    """
     n = F.size(words)
 
-    def sides(k: int) -> Column:
-        return F.array(F.xxhash64(F.lit(k), F.slice(words, 1, k)), F.xxhash64(F.lit(-k), F.slice(words, -k, k)))
+    def of(least: Column) -> Column:
+        step = F.floor(least / gaps).cast("int")
+
+        def side(j: Column) -> Column:
+            lo, tail = j * step, (gaps - 1 - j) * step
+            after = F.when(tail > 0, F.slice(words, F.greatest(n - tail + 1, F.lit(1)), tail)).otherwise(F.array().cast("array<string>"))
+            return F.struct(F.xxhash64(least, j, F.lit(gaps), F.slice(words, F.lit(1), lo), after).alias("h"), lo.alias("lo"), (n - tail).alias("hi"))
 
-    none = F.array().cast("array<bigint>")
-    short = F.when((n >= MIN_WORDS) & (n <= LONG), sides(PIECE)).otherwise(none)
-    return F.concat(short, F.when(n >= LONG, sides(LONG_PIECE)).otherwise(none))
+        return F.transform(F.sequence(F.lit(0), F.lit(gaps - 1)), side)
+
+    none = F.array().cast("array<struct<h:bigint,lo:int,hi:int>>")
+    own, below = _least_of_class(n), _least_of_class(n - 1)
+    return F.when(n < MIN_WORDS, none).otherwise(F.concat(of(own), F.when((n > MIN_WORDS) & (below < own), of(below)).otherwise(none)))
 
 
 def _key(words: Column) -> tuple[Column, Column]:
@@ -62,7 +81,7 @@ def found(docs: DataFrame) -> DataFrame:
     """One row for each line to drop: doc_id, row, place, exact (an equal line is earlier; else one within one edit)."""
     facts = _lines(docs).select(
         "doc_id", "row", "place",
-        let(words_of(F.col("line")), lambda w: F.struct(_key(w)[0].alias("k1"), _key(w)[1].alias("k2"), F.size(w).alias("n"), _ends(w).alias("ends"))).alias("f"),
+        let(words_of(F.col("line")), lambda w: F.struct(_key(w)[0].alias("k1"), _key(w)[1].alias("k2"), F.size(w).alias("n"), F.transform(_around(w, HALVES), lambda s: s["h"]).alias("ends"))).alias("f"),
     )
     facts = cut(facts.select(F.struct("doc_id", "place", "row").alias("at"), "f.k1", "f.k2", "f.n", "f.ends"), "lines")
     first = facts.groupBy("k1", "k2").agg(F.min(F.struct("at", "n", "ends")).alias("x"), F.count("*").alias("copies"))
@@ -70,14 +89,22 @@ def found(docs: DataFrame) -> DataFrame:
     own = first.where("copies > 1").select("f1", "f2", F.col("at").alias("first_at"))
     exact = facts.select("at", "k1", "k2").join(own, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).where("at > first_at").select("at")
 
-    # Lines that share an end with another line; the join that follows sees each end's count, not its members.
-    long_ = first.where(F.col("n") >= MIN_WORDS).select("at", "n", "f1", "f2", F.explode("ends").alias("end"))
-    shared = cut(long_.groupBy("end").agg(F.count("*").alias("c")).where("c > 1").select(F.col("end").alias("e")), "ends")
-    alike = long_.join(shared, F.col("end") == F.col("e")).select("at", "n", "f1", "f2").distinct()
+    # First look: lines that share the half around one of two gaps.
+    long_ = first.where(F.col("n") >= MIN_WORDS)
+    alike = _sharing(long_.select("at", "f1", "f2", F.explode("ends").alias("h")), "h").select("at", "f1", "f2").distinct()
     alike = cut(alike, "alike")
-    texts = _lines(docs).select(F.struct("doc_id", "place", "row").alias("of"), "line")
+    # Their words, from the documents. A filter of FILTER_SLOTS bits keeps most other lines out of the shuffle.
+    slot = lambda at: F.pmod(F.xxhash64(at), F.lit(FILTER_SLOTS)).cast("int")
+    slots = alike.select(slot(F.col("at")).alias("slot")).distinct()
+    texts = _lines(docs).select(F.struct("doc_id", "place", "row").alias("of"), "line").withColumn("s", slot(F.col("of")))
+    texts = texts.join(F.broadcast(slots), F.col("s") == F.col("slot"), "left_semi")
     # Rows with one doc_id and one text make equal (of, line) pairs: one of each goes on.
-    alike = cut(alike.join(texts, F.col("at") == F.col("of")).select("at", "n", "f1", "f2", words_of(F.col("line")).alias("words")).dropDuplicates(["f1", "f2"]), "alike")
+    alike = alike.join(texts, F.col("at") == F.col("of")).select("at", "f1", "f2", words_of(F.col("line")).alias("words")).dropDuplicates(["f1", "f2"])
+    alike = cut(alike.select("*", F.size("words").alias("n")), "alike")
+    # Second look: by eighths; it also says where the edit may be.
+    gaps = alike.select("f1", "f2", F.explode(_around(F.col("words"), EIGHTHS)).alias("g")).select("f1", "f2", "g.h", "g.lo", "g.hi")
+    gaps = _sharing(gaps, "h").groupBy("f1", "f2").agg(F.collect_set(F.struct("lo", "hi")).alias("gaps"))
+    alike = cut(alike.join(gaps, ["f1", "f2"]), "alike")
 
     near = _one_edit(alike)
     dropped = near.join(first.select("f1", "f2", "at", "copies"), ["f1", "f2"]).select("at", "f1", "f2", "copies")
@@ -87,17 +114,24 @@ def found(docs: DataFrame) -> DataFrame:
     return out.select("at.doc_id", "at.row", "at.place", "exact")
 
 
+def _sharing(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key another row has too; the join sees each key's count, not its rows."""
+    shared = cut(rows.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").select(F.col(key).alias("__key")), "shared")
+    return rows.join(shared, F.col(key) == F.col("__key"), "left_semi")
+
+
 def _one_edit(lines: DataFrame) -> DataFrame:
-    """Of distinct lines (at, n, f1, f2, words), those (f1, f2) with an earlier line one word edit away."""
+    """Of distinct lines (at, n, f1, f2, words, gaps), those (f1, f2) with an earlier line one word edit away."""
     f = lambda word, place: F.shiftrightunsigned(F.xxhash64(word, place), 64 - _WORD_BITS)
-    word = lines.select("at", "n", "f1", "f2", F.posexplode("words").alias("p", "w"))
-    word = word.select("at", "n", "f1", "f2", "p", f(F.col("w"), F.col("p")).alias("here"), f(F.col("w"), F.col("p") - 1).alias("left"))
+    word = lines.select("at", "n", "f1", "f2", "gaps", F.posexplode("words").alias("p", "w"))
+    open_ = F.exists("gaps", lambda g: (F.col("p") >= g["lo"]) & (F.col("p") < g["hi"]))
+    word = word.select("at", "n", "f1", "f2", "p", open_.alias("open"), f(F.col("w"), F.col("p")).alias("here"), f(F.col("w"), F.col("p") - 1).alias("left"))
     line = Window.partitionBy("f1", "f2")
     upto = line.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     word = word.withColumn("a", F.sum("here").over(upto) - F.col("here")).withColumn("b", F.sum("left").over(upto))
     # The last word's row knows the sums of the whole line.
     tail = word.withColumn("all", F.sum("left").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    variants = tail.select("f1", "f2", "at", "p", (F.col("n") - 1).alias("n"), (F.col("a") + F.col("all") - F.col("b")).alias("h"))
+    variants = tail.where("open").select("f1", "f2", "at", "p", (F.col("n") - 1).alias("n"), (F.col("a") + F.col("all") - F.col("b")).alias("h"))
     whole = word.where(F.col("p") == F.col("n") - 1).select("f1", "f2", "at", F.lit(-1).alias("p"), "n", (F.col("a") + F.col("here")).alias("h"))
     emitted = cut(variants.union(whole), "variants")
 
