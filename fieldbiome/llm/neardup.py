@@ -5,8 +5,8 @@ pairs; pairs of documents that agree in at least T of the K coordinates are cand
 similarity 0.8 with a chance of about 1e-5), and every link is confirmed on the full sets. How it stays linear:
 
 * Equal sets collapse to their least document first, so exact copies are never paired.
-* Prefix: two documents that agree in T coordinates agree in at least T - (K - P) of any P, so only P are posted.
-* Skip: values posted once can't collide; a document with fewer than T - (K - P) shared values has no partner and goes.
+* Skip: values posted once can't collide; a document with fewer than T shared values has no partner and goes, and what it
+  leaves behind is counted anew.
 * Each posting list names a leader (by a hash that differs by list), and its members are compared with leaders only: a group of
   near copies becomes one component through its leaders without its square of pairs.
 * What leaders leave is exact too: lists that still hold more than one component are posted again, rarest first, up to the
@@ -15,6 +15,7 @@ similarity 0.8 with a chance of about 1e-5), and every link is confirmed on the
 
 Defined results: null, blank and empty texts have the empty set and link with nothing; a text with fewer words than a shingle is
 one shingle. Rows of one doc_id count as one document with the texts' first set. An empty table gives an empty result.
+Rows without a doc_id link with nothing and have no component; keep_one drops them.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from pyspark.sql import types as T
 
 from fieldbiome.llm.common import components, cut
 
-K, POSTED, LEAST = 64, 40, 36
-#: Agreements within the posted coordinates that any candidate pair has.
-SHARED = LEAST - (K - POSTED)
+K, LEAST = 64, 36
+#: Bins of the second sketch (the least hash of each bin, a byte of it), and the share of the bins held by either set in which
+#: a pair must agree: 0.8 less five standard errors of 256 bins.
+BINS, AGREE = 256, 0.66
 #: Documents of a posting list that one task compares with as many others.
 CHUNK = 256
 
@@ -92,46 +94,63 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def sketch(sets: np.ndarray) -> np.ndarray:
+    """BINS bytes: of each bin of the hash's top bits, a byte (not 0) of its least hash; 0 for an empty bin. sets is sorted."""
+    bins = (sets >> np.uint64(56)).astype(np.int64)
+    first = np.r_[True, bins[1:] != bins[:-1]] if len(bins) else np.zeros(0, bool)
+    out = np.zeros(BINS, np.uint8)
+    out[bins[first]] = 1 + (_mixed(sets[first]) % np.uint64(255)).astype(np.uint8)
+    return out
+
+
+def _agrees(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of two arrays of sketches agree enough to be similar. With few bins held, chance is too large: they all do."""
+    held = ((x > 0) | (y > 0)).sum(-1)
+    return (((x == y) & (x > 0)).sum(-1) >= AGREE * held) | (held < 64)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and its set, as bytes of sorted hashes."""
+    """doc_id, its set, as bytes of sorted hashes, and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "set"])
+                sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([sketch(h).tobytes() for h in sets], pa.binary())], ["doc_id", "set", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set binary, sketch binary")
 
 
 def _postings(signed: DataFrame) -> DataFrame:
-    """(key, doc): one row for each posted coordinate; key holds the coordinate above 32 bits of value."""
+    """(key, doc): one row for each coordinate; key holds the coordinate above 32 bits of value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 2048):
                 batch = whole.slice(first, 2048)
-                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, K)[:, :POSTED]
-                keys = (np.arange(POSTED, dtype=np.int64) << 32)[None] | sig.astype(np.int64)
-                docs = np.repeat(batch.column("doc_id").to_numpy(), POSTED)
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, K)
+                keys = (np.arange(K, dtype=np.int64) << 32)[None] | sig.astype(np.int64)
+                docs = np.repeat(batch.column("doc_id").to_numpy(), K)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(docs)], ["key", "doc"])
 
     return signed.select("doc_id", "sig").mapInArrow(run, "key long, doc long")
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, sig_a, sig_b) that agree in LEAST coordinates at least, as (a, b, hits)."""
+    """The pairs (a, b, sig_a, sig_b, sketch_a, sketch_b) that agree in LEAST coordinates and in their sketches, as (a, b, hits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, K) for c in ("sig_a", "sig_b"))
+            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
             hits = (x == y).sum(1)
-            keep = pa.array(hits >= LEAST)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(hits[hits >= LEAST].astype(np.int64))], ["a", "b", "hits"])
+            ok = (hits >= LEAST) & _agrees(u, v)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok)), pa.array(hits[ok].astype(np.int64))], ["a", "b", "hits"])
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, hits long")
+    return pairs.select("a", "b", "sig_a", "sig_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, hits long")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -156,18 +175,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _rest(lists: DataFrame, label: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between documents of different components, from lists (key, doc) that leaders left mixed."""
+def _rest(lists: DataFrame, label: DataFrame, marks: DataFrame) -> DataFrame:
+    """Candidates (a, b) of different components, from lists (key, doc) that leaders left mixed; marks: (doc_id, sig, sketch)."""
     held = lists.join(label, lists.doc == label.node).select("key", "doc", "component")
     mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select(F.col("key").alias("k"), "n")
     open_ = cut(held.join(cut(mixed, "mixed"), F.col("key") == F.col("k")).select("key", "doc", "component", "n"), "open")
-    able = open_.groupBy("doc").agg(F.count("*").alias("m"), F.sort_array(F.collect_list(F.struct("n", "key"))).alias("rarest")).where(F.col("m") >= SHARED)
-    # At most POSTED keys a document: its rarest m - SHARED + 1 hold one of the SHARED that any partner shares.
-    able = able.select("doc", F.slice("rarest", 1, F.col("m") - SHARED + 1).alias("prefix"))
+    able = open_.groupBy("doc").agg(F.count("*").alias("m"), F.sort_array(F.collect_list(F.struct("n", "key"))).alias("rarest")).where(F.col("m") >= LEAST)
+    # At most K keys a document: its rarest m - LEAST + 1 hold one of the LEAST that any partner shares.
+    able = able.select("doc", F.slice("rarest", 1, F.col("m") - LEAST + 1).alias("prefix"))
     able = able.withColumn("mask", F.aggregate("prefix", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x["key"], 32).cast("int")))))
     able = able.join(label, able.doc == label.node).drop("node")
     able = cut(able, "able")
-    full = able.select("doc", "component", "mask").join(signed.select(F.col("doc_id").alias("doc"), "sig"), "doc").join(sets.select(F.col("doc_id").alias("doc"), "set"), "doc")
+    full = able.select("doc", "component", "mask").join(marks.withColumnRenamed("doc_id", "doc"), "doc")
     posted = able.select("doc", F.explode("prefix").alias("p")).select("doc", F.col("p.key").alias("key"))
     sizes = cut(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes").withColumnRenamed("key", "k")
     posted = posted.join(sizes, F.col("key") == F.col("k")).select("doc", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
@@ -178,22 +197,25 @@ def _rest(lists: DataFrame, label: DataFrame, signed: DataFrame, sets: DataFrame
     def run(p: pd.DataFrame) -> pd.DataFrame:
         i, j, coordinate = int(p["i"].iloc[0]), int(p["j"].iloc[0]), int(p["key"].iloc[0]) >> 32
         sig = np.frombuffer(b"".join(p["sig"]), "<u4").reshape(-1, K)
+        marks = np.frombuffer(b"".join(p["sketch"]), np.uint8).reshape(-1, BINS)
         c, doc, comp, mask = (p[x].to_numpy() for x in ("c", "doc", "component", "mask"))
         left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
         found = []
-        low = np.int64((1 << coordinate) - 1)
-        bits = np.int64(1) << np.arange(POSTED, dtype=np.int64)
+        bits = np.uint64(1) << np.arange(K, dtype=np.uint64)
+        low = np.uint64((1 << coordinate) - 1)
+        mask = mask.astype(np.uint64)
         for x in left:
             y = right[(comp[right] != comp[x])] if i != j else right[(comp[right] != comp[x]) & (right > x)]
             if not len(y):
                 continue
             same = sig[y] == sig[x]
-            y, same = y[same.sum(1) >= LEAST], same[same.sum(1) >= LEAST]
+            near = same.sum(1) >= LEAST
+            y, same = y[near], same[near]
             # A pair is counted in the first of the prefix lists that it shares.
-            before = (same[:, :POSTED] * bits[None]).sum(1) & mask[x] & mask[y] & low
-            for z in y[before == 0]:
-                if similar(np.frombuffer(p["set"].iloc[x], np.uint64), np.frombuffer(p["set"].iloc[z], np.uint64), percent):
-                    found.append((doc[x], doc[z]))
+            before = (same * bits[None]).sum(1, dtype=np.uint64) & mask[x] & mask[y] & low
+            y = y[before == 0]
+            y = y[_agrees(marks[y], marks[x])] if len(y) else y
+            found += [(doc[x], doc[z]) for z in y]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
@@ -208,7 +230,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     if percent < 80:
         raise ValueError("the match threshold of 36 of 64 coordinates is set for similarities of 0.8 and more")
     signed = cut(_signed(docs, width), "signed")
-    some = signed.where("n > 0")
+    some = signed.where("n > 0 and doc_id is not null")
     least = cut(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
     member = cut(some.select("doc_id", "s1", "s2").join(least, ["s1", "s2"]).select("doc_id", "rep"), "members")
     reps = cut(some.join(least.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig"), "sigs")
@@ -216,40 +238,54 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     lists = postings.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "doc").alias("h"), "doc")).alias("first"))
     lists = cut(lists.where("n > 1").select(F.col("key").alias("k"), F.col("first.doc").alias("leader")), "lists")
     shared = cut(postings.join(lists, F.col("key") == F.col("k")).select("key", "doc", "leader"), "shared")
-    able = cut(shared.groupBy("doc").agg(F.count("*").alias("m")).where(F.col("m") >= SHARED).select(F.col("doc").alias("d")), "able")
-    shared = cut(shared.join(able, F.col("doc") == F.col("d"), "left_semi"), "shared")
+    shared, able = _skip(shared)
+    again = cut(shared.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "doc").alias("h"), "doc")).alias("first")).where("n > 1").select(F.col("key").alias("k"), F.col("first.doc").alias("leader")), "lists")
+    shared, able = _skip(shared.select("key", "doc").join(again, F.col("key") == F.col("k")).select("key", "doc", "leader"))
     sets = cut(_sets(docs.join(able.withColumnRenamed("d", "__d"), F.col("doc_id") == F.col("__d"), "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
+    marks = cut(reps.join(sets.select("doc_id", "sketch"), "doc_id"), "marks")
 
-    sig = lambda c: reps.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"))
+    mark = lambda c: marks.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     pairs = shared.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
-    pairs = pairs.join(able, F.col("b") == F.col("d"), "left_semi")
-    pairs = cut(_agreeing(pairs.join(sig("a"), "a").join(sig("b"), "b")), "pairs")
+    pairs = cut(_agreeing(pairs.join(mark("a"), "a").join(mark("b"), "b")), "pairs")
     own = able.select(F.col("d").alias("node"), F.col("d").alias("component"))
-    edges, label = None, own
-    while True:
-        # Each document tries its best leader that is still in another component; one try a round bounds what travels.
-        la = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        lb = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        pairs = cut(pairs.join(la, "a").join(lb, "b").where("ca <> cb").select("a", "b", "hits"), "pairs")
-        best = pairs.groupBy("a").agg(F.max(F.struct("hits", (-F.col("b")).alias("nb"))).alias("x")).select("a", (-F.col("x.nb")).alias("b"))
-        best = cut(best, "best")
-        if best.limit(1).count() == 0:
-            break
-        new = cut(_confirmed(best, sets, percent), "links")
-        pairs = pairs.join(best, ["a", "b"], "left_anti")
-        edges = new if edges is None else edges.union(new)
-        label = _labelled(own, edges)
-    rest = cut(_rest(shared.select("key", "doc"), label, reps, sets, percent), "links")
-    if rest.limit(1).count():
-        edges = rest if edges is None else edges.union(rest)
-        label = _labelled(own, edges)
+    links: list[DataFrame] = []
+    label = own
+    for one_each in (True, True, False):
+        # First each document tries its best leader that is still in another component, which leaves little for the last round.
+        pairs = cut(_apart(pairs, label), "pairs")
+        tried = pairs
+        if one_each:
+            best = pairs.groupBy("a").agg(F.max(F.struct("hits", (-F.col("b")).alias("nb"))).alias("x"))
+            tried = cut(best.select("a", (-F.col("x.nb")).alias("b")), "best")
+        links.append(cut(_confirmed(tried, sets, percent), "links"))
+        label = _labelled(own, links)
+        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    left = cut(_rest(shared.select("key", "doc"), label, marks), "candidates")
+    links.append(cut(_confirmed(left, sets, percent), "links"))
+    label = _labelled(own, links)
     of_rep = member.join(label.where("node <> component").select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     of_rep = cut(of_rep, "classes").groupBy("doc_id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("doc_id", "__d")
     out = signed.select("doc_id", "n").join(of_rep, F.col("doc_id") == F.col("__d"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _skip(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shared, able): the postings of documents with LEAST shared values at least, and these documents (d)."""
+    able = cut(shared.groupBy("doc").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST).select(F.col("doc").alias("d")), "able")
+    return cut(shared.join(able, F.col("doc") == F.col("d"), "left_semi"), "shared"), able
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a, b, hits) whose ends are in different components."""
+    a = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    b = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    return pairs.join(a, "a").join(b, "b").where("ca <> cb").select("a", "b", "hits")
+
+
+def _labelled(nodes: DataFrame, links: list[DataFrame]) -> DataFrame:
+    edges = links[0]
+    for x in links[1:]:
+        edges = edges.union(x)
     found = components(edges).withColumnRenamed("node", "x").withColumnRenamed("component", "c")
     return cut(nodes.join(found, nodes.node == F.col("x"), "left").select("node", F.coalesce("c", "component").alias("component")), "labels")
 
