@@ -11,7 +11,7 @@ similarity 0.8 with a chance of about 1e-5), and every link is confirmed on the
   near copies becomes one component through its leaders without its square of pairs.
 * What leaders leave is exact too: lists that still hold more than one component are posted again, rarest first, up to the
   prefix that any pair of T agreements must share, cut into chunks of bounded size, and only pairs of different components
-  are counted and confirmed there.
+  are counted and confirmed there; the largest component of a list is never compared within itself.
 
 Defined results: null, blank and empty texts have the empty set and link with nothing; a text with fewer words than a shingle is
 one shingle. Rows of one doc_id count as one document with the texts' first set. An empty table gives an empty result.
@@ -187,11 +187,22 @@ def _rest(lists: DataFrame, label: DataFrame, marks: DataFrame) -> DataFrame:
     able = able.join(label, able.doc == label.node).drop("node")
     able = cut(able, "able")
     full = able.select("doc", "component", "mask").join(marks.withColumnRenamed("doc_id", "doc"), "doc")
-    posted = able.select("doc", F.explode("prefix").alias("p")).select("doc", F.col("p.key").alias("key"))
-    sizes = cut(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes").withColumnRenamed("key", "k")
-    posted = posted.join(sizes, F.col("key") == F.col("k")).select("doc", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    posted = posted.withColumn("c", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    posted = posted.select("doc", "key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "c")
+    posted = able.select("doc", "component", F.explode("prefix").alias("p")).select("doc", "component", F.col("p.key").alias("key"))
+    # A list's largest component needs no comparison within itself: its rows meet the others' chunks only, usually one.
+    by_part = posted.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = by_part.groupBy("key").agg(F.max(F.struct("n", "component")).alias("x"), F.sum("n").alias("n")).where(F.col("n") > F.col("x.n"))
+    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    sizes = cut(sizes.select(F.col("key").alias("k"), F.col("x.component").alias("main"), chunks(F.col("x.n")).alias("mains"), chunks(F.col("n") - F.col("x.n")).alias("others")), "sizes")
+    posted = posted.join(sizes, F.col("key") == F.col("k"))
+    chunk = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    block = lambda inner, i, j, c: F.struct(F.lit(inner).alias("inner"), i.alias("i"), j.alias("j"), c.alias("c"))
+    main = F.transform(every("others"), lambda d: block(False, chunk("mains"), d, F.lit(0)))
+    other = F.concat(
+        F.transform(every("mains"), lambda d: block(False, d, chunk("others"), F.lit(1))),
+        F.transform(every("others"), lambda d: block(True, F.least(chunk("others"), d), F.greatest(chunk("others"), d), chunk("others"))),
+    )
+    posted = posted.select("doc", "key", F.explode(F.when(F.col("component") == F.col("main"), main).otherwise(other)).alias("g")).select("doc", "key", "g.*")
     rows = posted.join(full, "doc")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -199,13 +210,14 @@ def _rest(lists: DataFrame, label: DataFrame, marks: DataFrame) -> DataFrame:
         sig = np.frombuffer(b"".join(p["sig"]), "<u4").reshape(-1, K)
         marks = np.frombuffer(b"".join(p["sketch"]), np.uint8).reshape(-1, BINS)
         c, doc, comp, mask = (p[x].to_numpy() for x in ("c", "doc", "component", "mask"))
-        left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
+        inner = bool(p["inner"].iloc[0])  # chunks of the others among themselves; else a chunk of the main component (c = 0) and one of them
+        left, right = (np.flatnonzero(c == i), np.flatnonzero(c == j)) if inner else (np.flatnonzero(c == 0), np.flatnonzero(c == 1))
         found = []
         bits = np.uint64(1) << np.arange(K, dtype=np.uint64)
         low = np.uint64((1 << coordinate) - 1)
         mask = mask.astype(np.uint64)
         for x in left:
-            y = right[(comp[right] != comp[x])] if i != j else right[(comp[right] != comp[x]) & (right > x)]
+            y = right[(comp[right] != comp[x])] if not inner or i != j else right[(comp[right] != comp[x]) & (right > x)]
             if not len(y):
                 continue
             same = sig[y] == sig[x]
@@ -218,7 +230,7 @@ def _rest(lists: DataFrame, label: DataFrame, marks: DataFrame) -> DataFrame:
             found += [(doc[x], doc[z]) for z in y]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    return rows.groupBy("key", "inner", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
