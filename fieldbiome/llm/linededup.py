@@ -16,7 +16,7 @@ line's variants costs one addition, however long the line.
 
 Defined results: a null text has no lines and stays null; an empty text stays empty. Rows with equal doc_id and text count as one
 document and get the same verdicts; rows of one doc_id with other texts follow each other in the order of a text hash. An empty
-table gives an empty result.
+table gives an empty result. Rows without a doc_id stay as they are and make no other line a duplicate.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from fieldbiome.llm.common import SPACE_CHARS, cut, let, words_of
 
 #: Lines of fewer words only match exactly; gaps of the first and the second look; growth of the size classes of lines.
 MIN_WORDS, HALVES, EIGHTHS, CLASS_GROWTH = 10, 2, 8, 1.125
-#: Slots of the broadcast filter of lines: a fixed bound (a few ten MB), whatever the input.
-FILTER_SLOTS = 1 << 20
+#: Slots of the broadcast filter of lines, 64 to a row: 2^18 rows (a few MB) at most, whatever the input.
+FILTER_SLOTS = 1 << 24
 #: Bits of a word's hash: prefix sums over 2^22 words stay within 63 bits.
 _WORD_BITS = 40
 
@@ -40,7 +40,7 @@ def _has_word(line: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """One row for each line with a word: doc_id, row (a hash that tells rows of one doc_id apart), place, line."""
-    base = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    base = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
     return base.where(_has_word(F.col("line")))
 
 
@@ -93,11 +93,12 @@ def found(docs: DataFrame) -> DataFrame:
     long_ = first.where(F.col("n") >= MIN_WORDS)
     alike = _sharing(long_.select("at", "f1", "f2", F.explode("ends").alias("h")), "h").select("at", "f1", "f2").distinct()
     alike = cut(alike, "alike")
-    # Their words, from the documents. A filter of FILTER_SLOTS bits keeps most other lines out of the shuffle.
+    # Their words, from the documents. A filter of FILTER_SLOTS bits keeps other lines out of the shuffle.
     slot = lambda at: F.pmod(F.xxhash64(at), F.lit(FILTER_SLOTS)).cast("int")
-    slots = alike.select(slot(F.col("at")).alias("slot")).distinct()
-    texts = _lines(docs).select(F.struct("doc_id", "place", "row").alias("of"), "line").withColumn("s", slot(F.col("of")))
-    texts = texts.join(F.broadcast(slots), F.col("s") == F.col("slot"), "left_semi")
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), slot(at).bitwiseAND(63))
+    filter_ = alike.groupBy(F.shiftright(slot(F.col("at")), 6).alias("word")).agg(F.bit_or(bit(F.col("at"))).alias("bits"))
+    texts = _lines(docs).select(F.struct("doc_id", "place", "row").alias("of"), "line").withColumn("w", F.shiftright(slot(F.col("of")), 6))
+    texts = texts.join(F.broadcast(filter_), F.col("w") == F.col("word")).where(F.col("bits").bitwiseAND(bit(F.col("of"))) != 0).select("of", "line")
     # Rows with one doc_id and one text make equal (of, line) pairs: one of each goes on.
     alike = alike.join(texts, F.col("at") == F.col("of")).select("at", "f1", "f2", words_of(F.col("line")).alias("words")).dropDuplicates(["f1", "f2"])
     alike = cut(alike.select("*", F.size("words").alias("n")), "alike")
