@@ -33,10 +33,12 @@ from fieldbiome.llm.common import new_path
 
 #: Ids of a shard, about: bounds the memory of compressing and of reading one.
 SHARD_IDS = 1 << 20
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 10, 2048, 8
+ROUNDS, RULES_A_ROUND, LEAST_COUNT = 5, 4096, 8
 STRIDE = 1024
-_BINS = 1 << 20
-REMEMBERED = 300_000
+#: Bits of the bins that pairs are counted in.
+_BITS = 19
+#: Words that each of a worker's two memories holds.
+REMEMBERED = 700_000
 
 
 # ---- Re-Pair
@@ -48,40 +50,43 @@ def compress(ids: np.ndarray, bound: int, rounds: int = ROUNDS) -> tuple[np.ndar
     A round takes the pairs of the most counts (at most RULES_A_ROUND, each found LEAST_COUNT times or more) and replaces
     them left to right; where pairs overlap, the first stands. Pairs are counted exactly over the whole shard.
     """
-    seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
+    narrow = bound + RULES_A_ROUND < 1 << 16  # then all symbols stay under 2^16, and a pair fits 32 bits
+    kind, half, factor = (np.uint32, 16, 0x9E3779B1) if narrow else (np.uint64, 32, 0x9E3779B97F4A7C15)
+    seq, rules = ids.astype(kind), np.zeros((0, 2), np.uint32)
     for _ in range(rounds):
-        if len(seq) < 2 * LEAST_COUNT:
+        most = min(RULES_A_ROUND, (1 << 16) - bound - len(rules)) if narrow else RULES_A_ROUND
+        if len(seq) < 2 * LEAST_COUNT or most <= 0:
             break
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)  # a bin of 2^20
-        counts = np.bincount(slot, minlength=_BINS)
-        floor = max(LEAST_COUNT, int(np.partition(counts, -RULES_A_ROUND)[-RULES_A_ROUND]))
-        frequent = counts[slot] >= floor
-        pairs, n = np.unique(key[frequent], return_counts=True)  # bins may hold several pairs: count them apart
-        keep = n >= max(LEAST_COUNT, floor // 2)
-        pairs, n = pairs[keep], n[keep]
-        if not len(pairs):
+        key = seq[:-1] << kind(half) | seq[1:]
+        slot = (key * kind(factor)) >> kind(2 * half - _BITS)
+        # Each bin stands for one of its pairs, which is counted exactly; the others of a bin wait for another round.
+        held = np.zeros(1 << _BITS, kind)
+        held[slot] = key
+        own = np.flatnonzero(held[slot] == key)
+        counts = np.bincount(slot[own], minlength=1 << _BITS)
+        floor = max(LEAST_COUNT, int(np.partition(counts, -most)[-most]))
+        chosen = np.flatnonzero(counts >= floor)
+        if not len(chosen):
             break
-        if len(pairs) > RULES_A_ROUND:
-            top = np.sort(np.argsort(-n, kind="stable")[:RULES_A_ROUND])
-            pairs = pairs[top]
-        places = np.flatnonzero(frequent)
-        rule = np.searchsorted(pairs, key[places])
-        rule[rule == len(pairs)] = 0
-        hit = pairs[rule] == key[places]
-        places, rule = places[hit], rule[hit]
+        if len(chosen) > most:
+            chosen = np.sort(chosen[np.argsort(-counts[chosen], kind="stable")[:most]])
+        rule_of = np.full(1 << _BITS, -1, np.int32)
+        rule_of[chosen] = np.arange(len(chosen))
+        pairs = held[chosen]
+        rule = rule_of[slot[own]]
+        places, rule = own[rule >= 0], rule[rule >= 0]
         # Left to right: within a run of overlapping places, every second one stands.
         starts = np.r_[True, np.diff(places) > 1]
         run = np.maximum.accumulate(np.where(starts, np.arange(len(places)), 0))
         take = (np.arange(len(places)) - run) % 2 == 0
         places, rule = places[take], rule[take]
         first = bound + len(rules)
-        seq[places] = (first + rule).astype(np.uint32)
+        seq[places] = (first + rule).astype(kind)
         gone = np.zeros(len(seq), bool)
         gone[places + 1] = True
         seq = seq[~gone]
-        rules = np.concatenate([rules, np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
-    return rules, seq
+        rules = np.concatenate([rules, np.stack([pairs >> kind(half), pairs & kind((1 << half) - 1)], 1).astype(np.uint32)])
+    return rules, seq.astype(np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, bound: int) -> np.ndarray:
@@ -168,7 +173,7 @@ class Shard:
 
 
 #: A word of Latin letters, with a space before or signs after it: two pre-tokens of the byte-level pattern.
-_SIMPLE = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|*#$%&]*)")
+_SIMPLE = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|*#$%&]{0,8})")
 
 
 class _Words:
@@ -182,6 +187,7 @@ class _Words:
         self.bpe = self.lib.model
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.signs: dict[str, list[int]] = {}
         self.bound = self.lib.get_vocab_size()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         # The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for characters from 256 on.
@@ -212,7 +218,12 @@ class _Words:
         if got is None:
             m = _SIMPLE.fullmatch(part)
             if m:  # the library's merges, without its set-up for each call
-                ids = [t.id for g in m.groups() if g for t in self.bpe.tokenize(g.encode().decode("latin-1").translate(self.alphabet))]
+                word, signs = m.groups()
+                ids = [t.id for t in self.bpe.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+                if signs:
+                    if signs not in self.signs:
+                        self.signs[signs] = [t.id for t in self.bpe.tokenize(signs)]
+                    ids += self.signs[signs]
             else:
                 ids = self.lib.encode(part, add_special_tokens=False).ids
             got = struct.pack(f"<{len(ids)}I", *ids)
