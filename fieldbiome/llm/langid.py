@@ -43,10 +43,22 @@ def family_of(lang: str) -> str:
     return _FAMILY_OF.get(lang.lower().split("-")[0], f"={lang}")
 
 
-def grams(word: str) -> np.ndarray:
-    """Places of a word's n-grams, with marks at its ends."""
-    raw = f"<{word}>"
-    return np.array([zlib.crc32(raw[i : i + n].encode("utf-8", "replace")) % DIM for n in (1, 2, 3) for i in range(len(raw) - n + 1)], np.int64)
+def grams(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, owners): the place of each n-gram of each word, with marks at the word's ends, and the word's number."""
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = np.frombuffer("".join([f"<{w}>" for w in found]).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(found)), [len(w) + 2 for w in found])
+    places, owners = [], []
+    key = np.zeros(len(code), np.uint64)
+    for n in (1, 2, 3):
+        k = len(code) - n + 1
+        key = key[:k] * np.uint64(0x100000001B3) + code[n - 1 :]
+        inside = owner[:k] == owner[n - 1 :]
+        mixed = (key[inside] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        places.append((mixed >> np.uint64(40)).astype(np.int64) % DIM)
+        owners.append(owner[:k][inside])
+    return np.concatenate(places), np.concatenate(owners)
 
 
 def words(text: str | None) -> Counter[str]:
@@ -55,9 +67,9 @@ def words(text: str | None) -> Counter[str]:
 
 
 def vector(text: str | None) -> np.ndarray:
-    out = np.zeros(DIM, np.float32)
-    for w, n in words(text).items():
-        np.add.at(out, grams(w), n)
+    found = words(text)
+    places, owners = grams(list(found))
+    out = np.bincount(places, np.fromiter(found.values(), np.float64, len(found))[owners], DIM).astype(np.float32)
     return out / max(out.sum(), 1.0)
 
 
@@ -110,25 +122,21 @@ class Discriminator:
 
     def _sums(self, found: Counter[str]) -> np.ndarray:
         """Sum of the words' rows (decisions, and the number of n-grams last)."""
-        if len(self.place) + len(found) > REMEMBERED:
+        missing = [w for w in found if w not in self.place]
+        if len(self.place) + len(missing) > REMEMBERED:
             self.place.clear()
-        at = np.empty(len(found), np.int64)
-        for k, w in enumerate(found):
-            i = self.place.get(w)
-            if i is None:
-                if len(w) > 64:  # not worth remembering
-                    g = grams(w)
-                    extra = np.append(self.weights[:, g].sum(1), len(g)) * found[w]
-                    rest = Counter({v: n for v, n in found.items() if v != w})
-                    return extra + (self._sums(rest) if rest else 0.0)
-                i = len(self.place)
-                if i >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                g = grams(w)
-                self.table[i, :-1] = self.weights[:, g].sum(1)
-                self.table[i, -1] = len(g)
-                self.place[w] = i
-            at[k] = i
+            missing = list(found)
+        if missing:
+            first = len(self.place)
+            while first + len(missing) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            places, owners = grams(missing)
+            rows = self.table[first : first + len(missing)]
+            for k, weights in enumerate(self.weights):
+                rows[:, k] = np.bincount(owners, weights[places], len(missing))
+            rows[:, -1] = np.bincount(owners, minlength=len(missing))
+            self.place.update(zip(missing, range(first, first + len(missing)), strict=True))
+        at = np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
         return np.fromiter(found.values(), np.float64, len(found)) @ self.table[at]
 
     def predict(self, text: str | None) -> tuple[str, float]:
