@@ -86,7 +86,7 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     Files are read whole, as their order matters to last-wins and caps; see fasta_records for files too large for that.
     """
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.concat(F.lit("\n"), F.regexp_replace("value", "\r", "")).alias("v"))
-    parts = whole.select("file", F.posexplode(F.slice(F.split("v", "\n>"), 2, 2**31 - 1)).alias("ord", "r"))
+    parts = whole.select("file", F.posexplode(F.slice(F.split("v", "\n>"), 2, 1 << 30)).alias("ord", "r"))
     return _records(parts, ["file", "ord"])
 
 
@@ -191,7 +191,7 @@ def sample_attributes(df: DataFrame, xml: str) -> DataFrame:
     """df with attributes: a map of lower-cased attribute names to their first value that isn't blank."""
     names = F.call_function("xpath", F.col(xml), F.lit("//Attribute[normalize-space(.)!='']/@attribute_name"))
     values = F.call_function("xpath", F.col(xml), F.lit("//Attribute[normalize-space(.)!='']/text()"))
-    pairs = F.arrays_zip(F.transform(names, F.lower).alias("k"), F.transform(values, F.trim).alias("v"))
+    pairs = F.arrays_zip(F.transform(names, F.lower).alias("k"), F.transform(values, lambda v: F.trim(v)).alias("v"))
     first = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.when(F.map_contains_key(m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))))
     return df.withColumn("attributes", first)
 
@@ -199,6 +199,6 @@ def sample_attributes(df: DataFrame, xml: str) -> DataFrame:
 def runinfo(df: DataFrame, text: str) -> DataFrame:
     """Rows of run tables held as CSV text in a column: (Run, fields as a map). Blank lines go."""
     lines = F.filter(F.split(F.regexp_replace(text, "\r", ""), "\n"), lambda x: F.trim(x) != "")
-    rows = df.select(F.get(lines, F.lit(0)).alias("head"), F.explode(F.slice(lines, 2, 2**31 - 1)).alias("line"))
+    rows = df.select(F.get(lines, F.lit(0)).alias("head"), F.explode(F.slice(lines, 2, 1 << 30)).alias("line"))
     fields = rows.select(F.map_from_arrays(F.split("head", ","), F.transform(F.sequence(F.lit(0), F.size(F.split("head", ",")) - 1), lambda i: F.coalesce(F.get(F.split("line", ","), i), F.lit("")))).alias("fields"))
     return fields.select(F.col("fields")["Run"].alias("run"), "fields").where("trim(run) <> ''")
