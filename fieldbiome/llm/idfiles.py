@@ -199,11 +199,13 @@ class _Words:
         """The ids of a text, as little-endian uint32.
 
         A text whose white space is single spaces and single line ends between words splits before each space and around
-        each line end: the byte-level pattern never joins across these places. Other texts go to the library whole.
+        each line end: the byte-level pattern never joins across these places. Other texts go to the library whole. The
+        words between spaces and line ends equal the words between any white space only if there is no other white space
+        (none is part of a word) and none of these stands beside another or at an end (no word is empty).
         """
         if not text:
             return b""
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text or any(s in text for s in self.special):
+        if text.split() != text.replace("\n", " ").split(" ") or "\0" in text or any(s in text for s in self.special):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         known = self.new

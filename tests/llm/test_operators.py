@@ -90,6 +90,15 @@ def test_id_files_round_trip(spark):
     assert idfiles.round_trip(docs(spark, []), BYTES).count() == 0
 
 
+def test_ids_of_any_white_space_equal_the_library():
+    words = idfiles._Words(BYTES)
+    texts = ["line one\n\xa0\xa0line two", "x\xa0y\n\n\xa0b", "a\tb\tc\n\n\nd", "a b\nc", "a\u3000b\n\nc", "\x1ca b  c", " a\xa0b", "a\x85b \nc"]
+    rng = random.Random(13)
+    texts += ["".join(rng.choice(["a", "river", "7", ".", "'s", " ", " ", "\n", "\t", "\r", "\xa0", "\u3000", "\u2028", "\x1d", "\u180e", "\u200b"]) for _ in range(12)) for _ in range(3000)]
+    for t in texts:
+        assert np.frombuffer(words.encode(t), "<u4").tolist() == words.lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 @pytest.mark.parametrize("bound", [300, 70_000])
 def test_grammar_is_lossless_and_random_access(bound):
     rng = np.random.default_rng(2)
