@@ -122,6 +122,8 @@ we sampled soil, water and sludge
 no data here at all
 """
 
+#: Tokens, and sets of features, that a worker's memories hold.
+REMEMBERED = 300_000
 _TOKEN = re.compile(r"\S+")
 #: Windows to decode stand around these: digits, @ and a spelled-out dot. Tokens elsewhere are of plain shapes.
 _ANCHOR = re.compile("[0-9@]")
@@ -181,7 +183,7 @@ class Field:
             w += 0.5 * dw / np.sqrt(gw + 1e-9)
             t += 0.5 * dt / np.sqrt(gt + 1e-9)
         self.w, self.t = w, t
-        self.seen: dict[tuple[str, str, str], np.ndarray] = {}
+        self._forget()
 
     @staticmethod
     def _example(line: str, rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
@@ -223,16 +225,40 @@ class Field:
             pairs += np.exp(a[k][:, None] + t + (e[k + 1] + b[k + 1])[None] - z)
         return np.exp(a + b - z), pairs
 
-    def emission(self, before: str, token: str, after: str) -> np.ndarray:
-        key = (shape(before), token if any(c.isdigit() for c in token) is False and len(token) < 8 else "\0" + token, shape(after))
-        got = self.seen.get(key)
-        if got is None:
-            tokens, k = ([before] if before else []) + [token] + ([after] if after else []), int(bool(before))
-            got = self.w[self._ids(tokens, k)].sum(0)
-            if len(self.seen) >= 50_000:
-                self.seen.clear()
-            self.seen[key] = got
-        return got
+    def _worth(self, names: list[str]) -> np.ndarray:
+        return self.w[[self.index[f] for f in names if f in self.index]].sum(0)
+
+    def _place(self, token: str) -> int:
+        """The row of parts for a token's features, kept by the token and by all of its features."""
+        names = token_features(token)
+        place = self.rows.get(key := tuple(names))
+        if place is None:
+            near = [f for f in names if f[0] in "zwdpm"]
+            place = self.rows[key] = len(self.rows) + 1
+            if place >= len(self.parts):
+                self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+            self.parts[place] = self._worth(names), self._worth([f"<{f}" for f in near]), self._worth([f">{f}" for f in near])
+        self.seen[token] = place
+        return place
+
+    def emissions(self, tokens: list[str]) -> np.ndarray:
+        """Emissions of the tokens of a text: a sum of what each token adds for itself, for the next one and for the one before."""
+        if len(self.seen) >= REMEMBERED or len(self.rows) >= REMEMBERED:
+            self._forget()
+        seen = self.seen
+        try:
+            at = [seen[t] for t in tokens]
+        except KeyError:
+            at = [seen.get(t) or self._place(t) for t in tokens]
+        rows = np.array([0, *at, 0])
+        return self.parts[rows[1:-1], 0] + self.parts[rows[:-2], 1] + self.parts[rows[2:], 2]
+
+    def _forget(self) -> None:
+        #: By place: what a token adds to the emissions of itself, the next token, and the token before; place 0 is no token.
+        self.parts = np.zeros((1024, 3, len(LABELS)))
+        self.parts[0, 1], self.parts[0, 2] = self._worth(["<none"]), self._worth([">none"])
+        self.seen: dict[str, int] = {}
+        self.rows: dict[tuple[str, ...], int] = {}
 
     def viterbi(self, chains: list[np.ndarray]) -> list[np.ndarray]:
         """Best labels of each chain of emissions, all chains at once; before and after a chain stands a plain O."""
@@ -270,8 +296,8 @@ class Field:
             for run in _runs(text):
                 before = _last_token(text, run[0].start())
                 after = _first_token(text, run[-1].end())
-                tokens = [before, *[m[0] for m in run], after]
-                windows.append(np.array([self.emission(tokens[k - 1], tokens[k], tokens[k + 1]) for k in range(1, len(tokens) - 1)]))
+                tokens = [*[before][: len(before)], *[m[0] for m in run], *[after][: len(after)]]
+                windows.append(self.emissions(tokens)[bool(before) :][: len(run)])
                 where.append((i, run))
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for (i, run), tags in zip(where, self.viterbi(windows), strict=True):

@@ -140,6 +140,14 @@ def test_viterbi_finds_the_best_path():
         assert abs(worth(tags.tolist()) - max(worth(p) for p in product(range(5), repeat=len(e)))) < 1e-9
 
 
+def test_emissions_depend_on_the_tokens_alone():
+    field = pii.Field()
+    lines = ["x the org", "x dot org", "x of org", "x at org", "call 1234 now", "call 1234567 now", "call 99 now", "(at) lab.example.net 5"]
+    for line in lines + lines[::-1]:
+        tokens = line.split()
+        assert np.allclose(field.emissions(tokens), [field.w[field._ids(tokens, k)].sum(0) for k in range(len(tokens))], rtol=0, atol=1e-9)
+
+
 # ---- 4
 
 
