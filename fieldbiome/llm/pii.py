@@ -1,10 +1,10 @@
 """Personal data: exact patterns, plus spans that a linear-chain conditional random field adds.
 
 The field labels tokens (runs without white space) as inside an email, ip, card or phone, or outside, by features of their
-word shapes. It is trained on the driver from a small labelled table (TRAINING: some 60 lines in markup, made for this), by
-gradient ascent on the exact log-likelihood. Decoding is Viterbi over numpy batches of windows: tokens of plain shapes, for
-which outside outweighs every label by more than all transitions can give back, are outside on any best path. So a chain
-falls into independent windows around the other tokens, and the windows decode exactly.
+word shapes. It is trained on the driver from a small labelled table (TRAINING: some 70 lines in markup, made for this), by
+gradient ascent on the exact log-likelihood. Each token of a text gets its emissions. A token for which outside outweighs
+every label by more than all transitions can give back is outside on any best path; this is checked by the emissions of each
+token. So a chain falls into independent windows of the other tokens, and Viterbi over numpy batches of windows is exact.
 
 Defined results: null and empty texts have no spans. Repeated rows give the same rows. Base spans stay as they are; a span
 of the field is added only where it overlaps no base span. Extra columns aren't carried.
@@ -89,6 +89,11 @@ ring {phone|+33 1 42 68 53 00} after six
 fax {phone|0049 30 765432}, phone {phone|030 / 1234567}
 her mobile is {phone|+34 612 345 678} as before
 number {phone|+1 (456) 555-2186} is listed
+ask {email|name AT host DOT org} again
+or {email|p_ray (AT) field (DOT) example (DOT) net} at night
+so {email|name (at) host.org} wrote to us
+the {email|desk-two [AT] lab.example.com} answers
+all to {email|kit at example dot net} by May
 version 3.0 of the tool was released in 2019
 section 4.2.1 and table 12 show 1,234 samples
 on 2021-03-04 at 12:30 the pump stopped
@@ -120,14 +125,19 @@ cost is $1,200.50 or 1.100,20 euros
 the rivers of the north carry silt
 we sampled soil, water and sludge
 no data here at all
+river&&& soil### of%%% the*** sludge$$$ and&&& in%%% depth,### end.*** Of&&& sand,%%% a$$$
+Ende*** Wasser,### nicht&&& zu%%% Kies$$$ über### für%%% das*** süd,&&& nord.$$$ Ein***
+el### la%%% eau*** être&&& niño$$$ lit,### sable.*** Que&&& y$$$
+go to www.example.org or http://example.com/a/b?x=1 for more, see read_me.txt
+"quoted" words (in brackets) and [sic], e.g. U.S. rivers; i.e. both/either - at last!
+he met Dr. May AT NOON, THE DOT WAS RED
 """
 
 #: Tokens, and sets of features, that a worker's memories hold.
 REMEMBERED = 300_000
 _TOKEN = re.compile(r"\S+")
-#: Windows to decode stand around these: digits, @ and a spelled-out dot. Tokens elsewhere are of plain shapes.
-_ANCHOR = re.compile("[0-9@]")
-_DOT = re.compile(r"(?<=[\s\[(])dot(?=[\s\])])")
+#: Tokens of the windows that are decoded together, padding counted.
+CELLS = 200_000
 
 
 def shape(token: str) -> str:
@@ -183,6 +193,9 @@ class Field:
             w += 0.5 * dw / np.sqrt(gw + 1e-9)
             t += 0.5 * dt / np.sqrt(gt + 1e-9)
         self.w, self.t = w, t
+        # The most by which a label's transitions from and to any labels are better than those of an O in its place.
+        turn = t[:, :, None] + t[None]
+        self.slack = float((turn - turn[:, :1]).max()) + 1e-6
         self._forget()
 
     @staticmethod
@@ -293,15 +306,20 @@ class Field:
         """(kind, start, end) that the field finds in each text."""
         windows, where = [], []
         for i, text in enumerate(texts):
-            for run in _runs(text):
-                before = _last_token(text, run[0].start())
-                after = _first_token(text, run[-1].end())
-                tokens = [*[before][: len(before)], *[m[0] for m in run], *[after][: len(after)]]
-                windows.append(self.emissions(tokens)[bool(before) :][: len(run)])
-                where.append((i, run))
+            if tokens := text.split():
+                e = self.emissions(tokens)
+                odd = np.flatnonzero(e[:, 0] - e[:, 1:].max(1) <= self.slack)
+                for run in np.split(odd, np.flatnonzero(np.diff(odd) > 1) + 1) if len(odd) else ():
+                    windows.append(e[run[0] : run[-1] + 1])
+                    where.append((i, int(run[0])))
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for (i, run), tags in zip(where, self.viterbi(windows), strict=True):
-            k = 0
+        places: dict[int, list[re.Match]] = {}
+        for (i, first), tags in zip(where, self._decoded(windows), strict=True):
+            if not tags.any():
+                continue
+            if i not in places:
+                places = {i: list(_TOKEN.finditer(texts[i]))}
+            run, k = places[i][first : first + len(tags)], 0
             while k < len(run):
                 j = k
                 while j + 1 < len(run) and tags[j + 1] == tags[k]:
@@ -316,67 +334,16 @@ class Field:
                 k = j + 1
         return out
 
-
-def _runs(text: str) -> list[list[re.Match]]:
-    """Windows to decode: odd tokens with a plain token (three before a spelled-out dot) on either side, merged if they touch."""
-    marks = [(m.start(), 1) for m in _ANCHOR.finditer(text)]
-    if "dot" in text:
-        marks = sorted(marks + [(m.start(), 3) for m in _DOT.finditer(text)])
-    runs: list[list[re.Match]] = []
-    reach = -1  # where the last window ends
-    for at, before in marks:
-        if runs and at < runs[-1][-1].start():
-            continue
-        if runs and at < reach:  # its token closes the last window: it goes on
-            tail = _TOKEN.search(text, reach)
-            if tail:
-                runs[-1].append(tail)
-                reach = tail.end()
-            continue
-        run, end = [], at
-        own = _around(text, at)
-        end = own.start()
-        for _ in range(before):
-            m = _last_match(text, end)
-            if m is None or m.start() < reach:
-                break
-            run.insert(0, m)
-            end = m.start()
-        tail = _TOKEN.search(text, own.end())
-        run += [own, tail] if tail else [own]
-        if runs and not text[reach : run[0].start()].strip():
-            runs[-1] += run
-        else:
-            runs.append(run)
-        reach = run[-1].end()
-    return runs
-
-
-def _around(text: str, at: int) -> re.Match:
-    start = at
-    while start > 0 and not text[start - 1].isspace():
-        start -= 1
-    return _TOKEN.match(text, start)
-
-
-def _last_match(text: str, at: int) -> re.Match | None:
-    end = at
-    while end > 0 and text[end - 1].isspace():
-        end -= 1
-    start = end
-    while start > 0 and not text[start - 1].isspace():
-        start -= 1
-    return _TOKEN.match(text, start, end) if end > start else None
-
-
-def _last_token(text: str, at: int) -> str:
-    m = _last_match(text, at)
-    return m[0] if m else ""
-
-
-def _first_token(text: str, at: int) -> str:
-    m = _TOKEN.search(text, at, at + 80)
-    return m[0] if m else ""
+    def _decoded(self, windows: list[np.ndarray]) -> list[np.ndarray]:
+        """Best labels of each window; windows of like lengths go together, which bounds what their table takes."""
+        tags: list[np.ndarray] = [np.zeros(0, np.int64)] * len(windows)
+        left = sorted(range(len(windows)), key=lambda i: len(windows[i]))
+        while left:
+            few = max(1, CELLS // len(windows[left[-1]]))
+            some, left = left[-few:], left[:-few]
+            for i, x in zip(some, self.viterbi([windows[i] for i in some]), strict=True):
+                tags[i] = x
+        return tags
 
 
 _fields: dict[int, Field] = {}

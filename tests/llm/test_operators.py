@@ -148,6 +148,22 @@ def test_emissions_depend_on_the_tokens_alone():
         assert np.allclose(field.emissions(tokens), [field.w[field._ids(tokens, k)].sum(0) for k in range(len(tokens))], rtol=0, atol=1e-9)
 
 
+def test_windows_decode_as_whole_texts():
+    field = pii.trained()
+    rng = random.Random(14)
+    odd = ["lee [at] lab.example.net", "name (at) host.org", "name AT host DOT org", "kim at example dot org", "10.0.0.1", "+49 30 1234567", "a@b", "dot", "(at)", "3.0", "12:30"]
+    texts = ["contact lee [at] lab.example.net for the raw reads", "so name (at) host.org wrote", "ask name AT host DOT org again", ""]
+    texts += [" ".join(rng.choice(odd) if rng.random() < 0.2 else rng.choice(WORDS) for _ in range(40)) for _ in range(100)]
+    got = field.spans(texts)
+    slack, field.slack = field.slack, np.inf  # one window a text
+    assert got == field.spans(texts)
+    field.slack = slack
+    assert (0, 8, 32) in got[0] and got[1] and got[2]
+    tokens = [t.split() for t in texts]
+    whole = field.viterbi([np.array([field.w[field._ids(t, k)].sum(0) for k in range(len(t))]) for t in tokens if t])
+    assert [bool(t.any()) for t in whole] == [bool(g) for g, t in zip(got, tokens, strict=True) if t]
+
+
 # ---- 4
 
 
