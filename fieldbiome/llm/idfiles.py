@@ -2,7 +2,7 @@
 
 Documents are put in ascending doc_id order by a range partitioning; each partition's ids (with an end id after each document) are
 cut into shards of whole documents. A shard's ids are compressed by Re-Pair: the most frequent pairs of neighbours are replaced
-by new nonterminals, round after round, until no pair pays. A shard is one row of a Parquet table: so files live wherever Spark
+by new nonterminals, round after round, until no pair is found LEAST_COUNT times. A shard is one row of a Parquet table: so files live wherever Spark
 writes, a commit is atomic, and a lost task is just written again. Its payload:
 
     magic "RP01", then little-endian uint32: first nonterminal, rules, symbols, documents, id bound
@@ -33,10 +33,8 @@ from fieldbiome.llm.common import new_path
 
 #: Ids of a shard, about: bounds the memory of compressing and of reading one.
 SHARD_IDS = 1 << 20
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 5, 4096, 8
+RULES_A_ROUND, LEAST_COUNT = 4096, 8
 STRIDE = 1024
-#: Bits of the bins that pairs are counted in.
-_BITS = 19
 #: Words that each of a worker's two memories holds.
 REMEMBERED = 700_000
 
@@ -44,49 +42,59 @@ REMEMBERED = 700_000
 # ---- Re-Pair
 
 
-def compress(ids: np.ndarray, bound: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols): rules[k] is the pair that symbol bound + k stands for.
 
     A round takes the pairs of the most counts (at most RULES_A_ROUND, each found LEAST_COUNT times or more) and replaces
-    them left to right; where pairs overlap, the first stands. Pairs are counted exactly over the whole shard.
+    them left to right; where pairs overlap, the first stands. Pairs are counted exactly over the whole shard, and rounds
+    go on until none is found LEAST_COUNT times.
     """
-    narrow = bound + RULES_A_ROUND < 1 << 16  # then all symbols stay under 2^16, and a pair fits 32 bits
-    kind, half, factor = (np.uint32, 16, 0x9E3779B1) if narrow else (np.uint64, 32, 0x9E3779B97F4A7C15)
-    seq, rules = ids.astype(kind), np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        most = min(RULES_A_ROUND, (1 << 16) - bound - len(rules)) if narrow else RULES_A_ROUND
-        if len(seq) < 2 * LEAST_COUNT or most <= 0:
+    seq, rules = ids.astype(np.uint64), []
+    first, half, low = bound, np.uint64(32), np.uint64((1 << 32) - 1)
+    while len(seq) >= 2 * LEAST_COUNT:
+        key = seq[:-1] << half | seq[1:]
+        at = np.flatnonzero(seq[:-1] == seq[1:])  # of a run of one symbol, every second pair counts
+        if len(at):
+            apart = np.ones(len(key), bool)
+            apart[at[~_every_second(at)]] = False
+            spots = np.flatnonzero(apart)
+        else:
+            spots = np.arange(len(key))
+        key = key[spots]
+        ordered = np.sort(key)
+        edges = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])
+        counts = np.diff(edges)
+        often = np.flatnonzero(counts >= LEAST_COUNT)
+        if not len(often):
             break
-        key = seq[:-1] << kind(half) | seq[1:]
-        slot = (key * kind(factor)) >> kind(2 * half - _BITS)
-        # Each bin stands for one of its pairs, which is counted exactly; the others of a bin wait for another round.
-        held = np.zeros(1 << _BITS, kind)
-        held[slot] = key
-        own = np.flatnonzero(held[slot] == key)
-        counts = np.bincount(slot[own], minlength=1 << _BITS)
-        floor = max(LEAST_COUNT, int(np.partition(counts, -most)[-most]))
-        chosen = np.flatnonzero(counts >= floor)
-        if not len(chosen):
-            break
-        if len(chosen) > most:
-            chosen = np.sort(chosen[np.argsort(-counts[chosen], kind="stable")[:most]])
-        rule_of = np.full(1 << _BITS, -1, np.int32)
-        rule_of[chosen] = np.arange(len(chosen))
-        pairs = held[chosen]
-        rule = rule_of[slot[own]]
-        places, rule = own[rule >= 0], rule[rule >= 0]
-        # Left to right: within a run of overlapping places, every second one stands.
-        starts = np.r_[True, np.diff(places) > 1]
-        run = np.maximum.accumulate(np.where(starts, np.arange(len(places)), 0))
-        take = (np.arange(len(places)) - run) % 2 == 0
+        if len(often) > RULES_A_ROUND:
+            often = np.sort(often[np.argsort(-counts[often], kind="stable")[:RULES_A_ROUND]])
+        pairs = ordered[edges[often]]
+        # Only symbols that start and end a chosen pair need the search.
+        starts, ends = np.zeros(first, bool), np.zeros(first, bool)
+        starts[pairs >> half], ends[pairs & low] = True, True
+        maybe = np.flatnonzero(starts[key >> half] & ends[key & low])
+        rule = np.minimum(np.searchsorted(pairs, key[maybe]), len(pairs) - 1)
+        own = pairs[rule] == key[maybe]
+        places, rule = spots[maybe[own]], rule[own]
+        take = _every_second(places)
         places, rule = places[take], rule[take]
-        first = bound + len(rules)
-        seq[places] = (first + rule).astype(kind)
+        used, rule = np.unique(rule, return_inverse=True)  # a pair that gave way everywhere needs no rule
+        pairs = pairs[used]
+        seq[places] = (first + rule).astype(np.uint64)
         gone = np.zeros(len(seq), bool)
         gone[places + 1] = True
         seq = seq[~gone]
-        rules = np.concatenate([rules, np.stack([pairs >> kind(half), pairs & kind((1 << half) - 1)], 1).astype(np.uint32)])
-    return rules, seq.astype(np.uint32)
+        rules.append(np.stack([pairs >> half, pairs & low], 1).astype(np.uint32))
+        first += len(pairs)
+    return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq.astype(np.uint32)
+
+
+def _every_second(places: np.ndarray) -> np.ndarray:
+    """Which of ascending places stand if each rules out the next place: the first of a run of neighbours, the third and so on."""
+    starts = np.r_[True, np.diff(places) > 1][: len(places)]
+    run = np.maximum.accumulate(np.where(starts, np.arange(len(places)), 0))
+    return (np.arange(len(places)) - run) % 2 == 0
 
 
 def expansion_lengths(rules: np.ndarray, bound: int) -> np.ndarray:

@@ -113,6 +113,18 @@ def test_grammar_is_lossless_and_random_access(bound):
         assert (idfiles.Shard(idfiles.pack(x, np.array([len(x)]), bound)).ids() == x).all()
 
 
+def test_grammar_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(3)
+    copies = np.tile(rng.integers(0, 50_000, 2048), 100).astype(np.uint32)
+    many = rng.integers(0, 230, 1_200_000).astype(np.uint32)  # some 50,000 pairs that pay: more symbols than 16 bits hold
+    for ids, bound in ((copies, 50_000), (many, 50_000), (np.zeros(5000, np.uint32), 300)):
+        rules, symbols = idfiles.compress(ids, bound)
+        assert (idfiles.Shard(idfiles.pack(ids, np.array([len(ids)]), bound)).ids() == ids).all()
+        left = Counter(zip(symbols.tolist(), symbols[1:].tolist(), strict=False))
+        assert all(n < idfiles.LEAST_COUNT for (a, b), n in left.items() if a != b)
+        assert len(symbols) < (200 if ids is copies else len(ids)) and (ids is not many or bound + len(rules) > 1 << 16)
+
+
 # ---- 3
 
 
