@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldbiome.operators.graph import connected
+
 #: The ASCII white space that separates words.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -74,22 +76,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) for each node of an edge; component: its least node.
 
-    Each round takes the least label among neighbours and then the label's own label (pointer jumping); the labels are cut
-    to the shared folder every round. An empty edge table gives an empty result. Null ends are dropped, self-loops and
-    repeated edges change nothing. Raises if the labels still change after max_rounds rounds.
+    Labels and edges are cut to the shared folder every round. An empty edge table gives an empty result. Null ends are
+    dropped, self-loops and repeated edges change nothing.
     """
-    both = edges.where("a is not null and b is not null").select("a", "b")
-    both = cut(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        hop = labels.join(near, labels.node == near.a).select("node", F.col("l").alias("was"), F.least("l", "m").alias("l"))
-        jump = labels.select(F.col("node").alias("l"), F.col("l").alias("ll"))
-        new = cut(hop.join(jump, "l", "left").select("node", "was", F.least("l", F.coalesce("ll", "l")).alias("l")), "labels")
-        labels = new.select("node", "l")
-        if not new.where("l <> was").limit(1).count():
-            return labels.withColumnRenamed("l", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    found = connected(edges.where("a is not null and b is not null"), lambda df: cut(df, "labels"))
+    return found.withColumnRenamed("root", "component")

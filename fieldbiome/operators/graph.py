@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,19 +23,40 @@ def identity_edges(pairs: DataFrame, members: DataFrame, threshold: float, a: st
     return kept.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
 
 
-def clusters(members: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the ends of edges (a, b) without nulls; root: the least node of the connected component.
+
+    Each round every node with edges points to its least neighbour. This closes only circles of two, whose lesser node
+    becomes a root; pointer jumping leads all others to their roots, and edges between roots go on. Every tree has two nodes
+    or more, so n nodes take log2(n) rounds at most, of at most log2(n) jumps. keep ends the lineage of what it gets.
+    """
+    both = keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = keep(both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    both = both.where("a <> b")
+    while both.limit(1).count():
+        up = keep(both.groupBy("a").agg(F.min("b").alias("up")))
+        next_up = up.select(F.col("a").alias("n"), F.col("up").alias("u"))
+        circle = (F.col("u") == F.col("a")) & (F.col("a") < F.col("up"))
+        up = keep(up.join(next_up, F.col("up") == F.col("n")).select("a", F.when(circle, F.col("a")).otherwise(F.col("up")).alias("up")))
+        while True:
+            next_up = up.select(F.col("a").alias("n"), F.col("up").alias("u"))
+            jumped = keep(up.join(next_up, F.col("up") == F.col("n")).select("a", F.col("up").alias("was"), F.col("u").alias("up")))
+            up = jumped.select("a", "up")
+            if not jumped.where("up <> was").limit(1).count():
+                break
+        x, y = up.select(F.col("a").alias("xa"), F.col("up").alias("x")), up.select(F.col("a").alias("ya"), F.col("up").alias("y"))
+        both = keep(both.join(x, F.col("a") == F.col("xa")).join(y, F.col("b") == F.col("ya")).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        label = keep(label.join(x, F.col("root") == F.col("xa"), "left").select("node", F.coalesce("x", "root").alias("root")))
+    least = label.groupBy(F.col("root").alias("r")).agg(F.min("node").alias("least"))
+    return keep(label.join(least, F.col("root") == F.col("r")).select("node", F.col("least").alias("root")))
+
+
+def clusters(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cluster_id): the least id that edges (a, b) reach; members without edges are their own cluster.
 
-    Rounds of least neighbouring label and pointer jumping; each is checkpointed, so that a lost executor costs one round.
+    Edges with an end that is no member count for nothing. Each round is checkpointed, so that a lost executor costs one.
     """
-    both = _ready(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    label = _ready(members.select("id", F.col("id").alias("l")).distinct())
-    for _ in range(max_rounds):
-        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        hop = label.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("l").alias("was"), F.least("l", F.coalesce("m", "l")).alias("l"))
-        jump = label.select(F.col("id").alias("l"), F.col("l").alias("ll"))
-        new = _ready(hop.join(jump, "l").select("id", "was", F.least("l", "ll").alias("l")))
-        label = new.select("id", "l")
-        if not new.where("l <> was").limit(1).count():
-            return label.select("id", F.col("l").alias("cluster_id"))
-    raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
+    ids = _ready(members.select("id").distinct())
+    inside = edges.where("a <> b").join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    found = connected(inside, _ready)
+    return ids.join(found, ids.id == found.node, "left").select("id", F.coalesce("root", "id").alias("cluster_id"))

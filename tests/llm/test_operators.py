@@ -395,6 +395,15 @@ def test_components(spark):
     assert all(got[k] == 0 for k in range(31)) and got[52] == 50 and got[60] == 60
 
 
+def test_components_of_a_long_shuffled_chain(spark):
+    ids = list(range(200))
+    random.Random(15).shuffle(ids)
+    pairs = list(zip(ids, ids[1:], strict=False)) + [(1000, k) for k in range(500, 520)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {k: 0 for k in ids} | {k: 500 for k in [1000, *range(500, 520)]}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # ---- 10
 
 
