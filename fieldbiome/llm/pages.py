@@ -222,9 +222,9 @@ def select(root: Node) -> tuple[Node, float]:
     while up is not None:
         threshold = min(threshold, up.density) if up.chars else threshold
         up = up.parent
-    # Climb while the parent's own path density holds the threshold and it is an article's own frame.
+    # Climb while the parent's own path density holds the threshold; a wrapper adds no text but may stand beside more of it.
     node = best
-    while node.parent is not None and node.tag not in ("article", "main") and node.parent.density >= threshold and (node.parent.chars - node.parent.link_chars) > (node.chars - node.link_chars):
+    while node.parent is not None and node.tag not in ("article", "main") and node.parent.density >= threshold and (node.parent.chars - node.parent.link_chars) >= (node.chars - node.link_chars):
         node = node.parent
     return node, threshold
 

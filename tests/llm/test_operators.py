@@ -418,3 +418,11 @@ def test_pages(spark):
     assert got[1]["text"] == "Head & line\nFirst bold text.\nSecond é A same block\none\ntwo"
     assert [got[k]["text"] for k in range(2, 9)] == ["", "", "plain words", "a\nb", "deep", "", "a < b <"]
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+def test_articles_in_nested_wrappers():
+    inner = "<div class=body><div class=inner><p>A long first paragraph.</p><p>B long second paragraph.</p></div></div>"
+    want = "Title\nA long first paragraph.\nB long second paragraph.\nend"
+    assert pages.extract(f"<article><h1>Title</h1>{inner}<p>end</p></article>") == want
+    assert pages.extract(f"<body><div><p>Title</p>{inner}<p>end</p></div></body>") == want
+    assert pages.extract(f"<main><div><h1>Title</h1>{inner}</div><p>end</p></main><p>outside") == want
