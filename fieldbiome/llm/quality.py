@@ -5,7 +5,7 @@ rows (sample_rows) and is emitted as one ordered CASE expression, so scoring is
 
 Defined results: a null or blank text has no words (all statistics 0, base_failed, not kept). Repeated rows are judged
 alike. Documents without labels are judged by the same list; an empty label table gives an empty list (only the base rules
-act). Extra columns of the input pass through and clash with nothing: statistics live in one struct column until the end.
+act). Extra columns of the input pass through, whatever their names: keep_good adds none, judged one of a name that is free.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from fieldbiome.llm.common import SPACE_CHARS, let, words_of
 
 STAT = "__stats"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+STATISTICS = (*BASE, "n_distinct_words", "n_exclaims", "n_capital_words", "n_lines")
 
 
 def _repeat_words(words: Column, width: int = 5) -> Column:
@@ -200,17 +201,29 @@ def verdict(rules: list[Rule], stats: Column) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """docs with a struct column __stats and its fields base_failed, rule and kept."""
-    with_stats = docs.withColumn(STAT, text_stats(F.col("text")))
-    s = F.col(STAT)
-    failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
-    with_rule = with_stats.withColumn(STAT, s.withField("base_failed", failed).withField("rule", verdict(rules, s)))
-    s = F.col(STAT)
-    return with_rule.withColumn(STAT, s.withField("kept", ~s["base_failed"] & (s["rule"] == 0)))
+def _verdicts(stats: Column, rules: list[Rule]) -> tuple[Column, Column, Column]:
+    """base_failed, rule and kept, from statistics."""
+    failed = (stats["n_words"] < 10) | (100 * stats["n_repeat_words"] > 20 * stats["n_words"])
+    rule = verdict(rules, stats)
+    return failed, rule, ~failed & (rule == 0)
+
+
+def judged(docs: DataFrame, rules: list[Rule], name: str = STAT) -> DataFrame:
+    """docs with a struct column `name` of the statistics, base_failed, rule and kept. docs must not have such a column."""
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {name}: give another name")
+
+    def facts(s: Column) -> Column:
+        failed, rule, kept = _verdicts(s, rules)
+        return F.struct(*[s[n].alias(n) for n in STATISTICS], failed.alias("base_failed"), rule.alias("rule"), kept.alias("kept"))
+
+    return docs.withColumn(name, let(text_stats(F.col("text")), facts))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
-    """The documents that the base rules and the learned list keep, with the columns of docs."""
+    """The documents that the base rules and the learned list keep, with the columns of docs.
+
+    The filter binds the statistics once; a filter on a column of them would have the optimizer put them in for each use.
+    """
     rules = fit(docs, labels, sample_rows)
-    return judged(docs, rules).where(F.col(STAT)["kept"]).drop(STAT)
+    return docs.where(let(text_stats(F.col("text")), lambda s: _verdicts(s, rules)[2]))
