@@ -1,10 +1,14 @@
 """Personal data: exact patterns, plus spans that a linear-chain conditional random field adds.
 
 The field labels tokens (runs without white space) as inside an email, ip, card or phone, or outside, by features of their
-word shapes. It is trained on the driver from a small labelled table (TRAINING: some 70 lines in markup, made for this), by
+word shapes. It is trained on the driver from a small labelled table (TRAINING: some 110 lines in markup, made for this), by
 gradient ascent on the exact log-likelihood. Each token of a text gets its emissions. A token for which outside outweighs
 every label by more than all transitions can give back is outside on any best path; this is checked by the emissions of each
 token. So a chain falls into independent windows of the other tokens, and Viterbi over numpy batches of windows is exact.
+What the field labels must then hold what its kind is made of (plausible): it adds what the exact patterns can't see, such as
+spelled-out addresses, cards of 13 to 15 digits or odd spacing, and addresses of the longer kind.
+
+The exact patterns take time linear in the text: each looks only at places where a match can begin.
 
 Defined results: null and empty texts have no spans. Repeated rows give the same rows. Base spans stay as they are; a span
 of the field is added only where it overlaps no base span. Extra columns aren't carried.
@@ -24,9 +28,11 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: The patterns of the contract, written so that no place is scanned twice: an email's domain, and wholes of the others.
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
@@ -42,14 +48,33 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping emails: before each @ the run of a local part, after it a domain."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            yield start, m.end()
+            end = m.end()
+        else:
+            end = at + 1  # no local part reaches over an @
+        at = text.find("@", at + 1)
+
+
+def _part(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the exact patterns: leftmost non-overlapping per kind, failing matches dropped."""
-    out = []
-    if "@" in text:
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+    out = [(0, a, b) for a, b in emails(text)]
     if _NUMERAL.search(text):
-        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
-        out += [(2, m.start(), m.end()) for m in CARD.finditer(text) if 16 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
+        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(map(_part, m[0].split(".")))]
+        # 16 to 19 digits with a sign between any two are 37 characters at most.
+        out += [(2, m.start(), m.end()) for m in CARD.finditer(text) if 16 <= m.end() - m.start() <= 37 and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             out += [(3, m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
     return out
@@ -131,63 +156,134 @@ el### la%%% eau*** être&&& niño$$$ lit,### sable.*** Que&&& y$$$
 go to www.example.org or http://example.com/a/b?x=1 for more, see read_me.txt
 "quoted" words (in brackets) and [sic], e.g. U.S. rivers; i.e. both/either - at last!
 he met Dr. May AT NOON, THE DOT WAS RED
+at at at at at at at at at at at at at at
+At At At At At At. At at. At
+dot dot dot dot dot dot dot
+the the the the the the at the the the the the dot the the the
+Reading. Reading. Reading. At. At. River river river
+a | b | the | soil | at | river, | And | sludge | in | depth. | dot
+Sand. At noon. At the river, at the end. Clay at it. Dot it.
+she is at home. At last it rained; the dot was at noon, not at one.
+It was at. Of the. At that time nobody read the field notes
+of the canal and the river of the plant in the field of the region as the water of the peat is the sand
+Sie war am Fluss und las die Proben aus dem Schlamm, der Sand war rot.
+La muestra fue en el campo y el agua del canal es de la planta por la tarde, y la sal.
+Elle est au champ et la terre est en eau, le sel de la rive est dans le sable.
+Copyright 2019 by the field station, all rights reserved, version 2.
+the id {badcard} is in the list
+numbers {badcard} and {badcard} were drawn
+| {badcard} | the next row
+order {badcard}, row 7
+Soil. {badcard} Soil.
+the card {badcard} is not real
+add {card|4111 1111 1111 1111} to it
+{card|6011000990139424} and then
+pay by {card|30569309025904} or {card|378734493671000} now
+the card {card|5105105105105100} has run out
+with {card|3714 496353 98431} at the gate
+Sand {card|4222222222222}, then
+mail {email|olga at water dot example dot net} again, please
+it is {email|r.may [at] canal [dot] example [dot] com}, she said
+{email|salt (at) plant dot org} has it
+the office: {phone|(030) 555-0132}, {phone|+44 20 7946 0958}
+dial {phone|(212) 555-0188} now
+call {phone|030/5550132} after noon
+by {phone|+1.415.555.0132} or {phone|00 33 1 42 68 53 00}
+from {ip|fe80::a:b:c:d} to {ip|2001:db8:1:2::ff}
+at {ip|10.1.2.3:443} and {ip|192.0.2.44/24} too
 """
 
-#: Tokens, and sets of features, that a worker's memories hold.
-REMEMBERED = 300_000
+#: Tokens, classes and sets of features that a worker's memories hold; longer tokens aren't remembered.
+REMEMBERED, LONGEST = 300_000, 64
 _TOKEN = re.compile(r"\S+")
 #: Tokens of the windows that are decoded together, padding counted.
 CELLS = 200_000
 
 
-def shape(token: str) -> str:
-    """Letters as a or A, digits as 9, runs of over four cut to four, the rest kept."""
-    s = re.sub("[A-Z]", "A", re.sub("[0-9]", "9", re.sub(r"[^\W\d_A-Z]", "a", token)))
-    return re.sub(r"(.)\1{4,}", r"\1\1\1\1", s)[:40]
+class _Classes(dict):
+    """For str.translate: letters as a or A, digits as 9, all else itself."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        out = 65 if "A" <= c <= "Z" else 57 if "0" <= c <= "9" else 97 if c.isalnum() and not c.isdecimal() else code
+        self[code] = out
+        return out
+
+
+_CLASSES = _Classes()
+
+
+def classes(token: str) -> str:
+    """Each character's class: a letter, a capital (of A to Z), a digit, or itself."""
+    return token.translate(_CLASSES)
+
+
+def is_plain(token: str, key: str) -> bool:
+    """Whether a token's features follow from its classes alone: no digits, no at or dot, no colons of an address."""
+    return "9" not in key and key.count(":") < 2 and token.lower().strip(".,;:!?\"'()[]") not in ("at", "dot")
 
 
 def token_features(token: str) -> list[str]:
-    s = shape(token)
+    key = classes(token)
+    s = re.sub(r"(.)\1{4,}", r"\1\1\1\1", key)
     short = re.sub(r"(.)\1+", r"\1", s)
-    digits = sum(c == "9" for c in re.sub("[0-9]", "9", token))
-    core = token.strip(".,;:!?\"'")
-    out = [f"s={s}", f"z={short}", f"p={s[:3]}", f"e={s[-3:]}", f"d={min(digits, 20)}", f"n={min(len(core), 24)}", f"c={''.join(sorted({c for c in token if not c.isalnum()}))[:8]}"]
-    if core.lower().strip("()[]") in ("at", "dot"):
-        out.append(f"w={core.lower()}")
-    if not digits and "@" not in token and core.isalpha():
-        out.append("plain" if core.lower() not in ("at", "dot") else "maybe")
+    digits = key.count("9")
+    core, core_key = token.strip(".,;:!?\"'"), key.strip(".,;:!?\"'")
+    letters = bool(core_key) and not core_key.strip("aA")
+    out = [f"s={s}", f"z={short}", f"p={s[:3]}", f"e={s[-3:]}", f"d={min(digits, 20)}", f"n={min(len(core), 24)}", f"c={''.join(sorted(set(key) - set('aA9')))[:8]}"]
+    bare = core.lower().strip("()[]")
+    if bare in ("at", "dot"):
+        out.append(f"w={bare}{'' if letters else '*'}")
+    if letters:
+        out.append("plain" if bare not in ("at", "dot") else "maybe")
+    if not digits and re.search(r"[aA]\.[aA]", core_key):
+        out.append("w=inner")
     if core.replace(".", "").isdigit() and core.count(".") == 3:
         out.append("quad")
     if core.count(":") >= 2 and re.fullmatch("[0-9A-Fa-f:]+", core):
         out.append("hex")
         out.append("hex6" if re.fullmatch("([0-9a-f]{2}:){5}[0-9a-f]{2}", core, re.I) or re.fullmatch("[0-9:]{4,8}", core) else "hexn")
     d = _digits(core)
-    if 15 <= len(d) <= 19 and len(d) + core.count("-") == len(core):
+    if 13 <= len(d) <= 19 and len(d) + core.count("-") == len(core):
         out.append("luhn" if luhn(d) else "badluhn")
     return out
 
 
+#: Offsets of the tokens that a token's emissions look at, and the first letters of the features that they give.
+AROUND = {0: None, -1: "zwdpm", 1: "zwdpm", -2: "w", 2: "w"}
+
+
+def _seen_from(offset: int, names: list[str]) -> list[str]:
+    """The features that a token with these features gives the token from which it stands at an offset."""
+    return [f"{offset:+d}{f}" if offset else f for f in names if AROUND[offset] is None or f[0] in AROUND[offset]]
+
+
 class Field:
     """The conditional random field: emission weights by feature of a token and its neighbours, and transition weights."""
 
-    def __init__(self, epochs: int = 120, seed: int = 7, decay: float = 2e-3):
+    def __init__(self, epochs: int = 60, seed: int = 7, decay: float = 3e-5, stiff: float = 0.2):
         self.index: dict[str, int] = {}
         rng = np.random.default_rng(seed)
         chains = [self._example(line, rng) for _ in range(6) for line in TRAINING.strip().split("\n")]
-        rows = [[self._ids(tokens, k, True) for k in range(len(tokens))] for tokens, _ in chains]
+        rows = [[self._ids(tokens, k) for k in range(len(tokens))] for tokens, _ in chains]
         n, m = len(LABELS), len(self.index)
         w, t = np.zeros((m, n)), np.zeros((n, n))
         gw, gt = np.zeros_like(w), np.zeros_like(t)  # squared gradients (Adagrad)
-        for _ in range(epochs // 4):
-            dw, dt = -decay * len(chains) * w, -decay * len(chains) * t
-            for ids, (_, tags) in zip(rows, chains, strict=True):
-                e = np.array([w[i].sum(0) for i in ids])
-                p, pairs = self._marginals(e, t)
-                p[np.arange(len(tags)), tags] -= 1
-                for i, g in zip(ids, p, strict=True):
-                    dw[i] -= g
-                dt -= pairs
-                np.add.at(dt, (tags[:-1], tags[1:]), 1)
+        # All features of all chains end to end, so that emissions and gradients are one sum each.
+        flat = np.concatenate([np.array(i) for row in rows for i in row])
+        owner = np.repeat(np.arange(sum(map(len, rows))), [len(i) for row in rows for i in row])
+        ends = np.cumsum([len(row) for row in rows])
+        tags = np.concatenate([c[1] for c in chains])
+        for _ in range(epochs):
+            e = np.stack([np.bincount(owner, w[flat, k], ends[-1]) for k in range(n)], 1)
+            p, pairs = np.zeros_like(e), np.zeros_like(t)
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                p[a:b], more = self._marginals(e[a:b], t)
+                pairs -= more
+                np.add.at(pairs, (tags[a : b - 1], tags[a + 1 : b]), 1)
+            p[np.arange(len(tags)), tags] -= 1
+            dw = np.stack([np.bincount(flat, -p[owner, k], m) for k in range(n)], 1) - decay * len(chains) * w
+            dt = pairs - stiff * len(chains) * t
             gw += dw**2
             gt += dt**2
             w += 0.5 * dw / np.sqrt(gw + 1e-9)
@@ -201,8 +297,13 @@ class Field:
     @staticmethod
     def _example(line: str, rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
         text, spans = "", []
-        for part in re.split(r"(\{\w+\|[^}]*\})", line):
-            if m := re.fullmatch(r"\{(\w+)\|([^}]*)\}", part):
+        for part in re.split(r"(\{\w+(?:\|[^}]*)?\})", line):
+            if part == "{badcard}":
+                digits = [str(x) for x in rng.integers(10, size=int(rng.integers(13, 20)))]
+                if luhn("".join(digits)):
+                    digits[-1] = str((int(digits[-1]) + 1) % 10)
+                text += "".join(digits)
+            elif m := re.fullmatch(r"\{(\w+)\|([^}]*)\}", part):
                 inner = m[2]
                 if m[1] != "card":  # cards keep their check digit
                     inner = re.sub("[0-9]", lambda _: str(rng.integers(10)), inner)
@@ -214,13 +315,15 @@ class Field:
         tags = [next((k for k, a, b in spans if m.start() < b and m.end() > a), 0) for m in tokens]
         return [m[0] for m in tokens], np.array(tags)
 
-    def _ids(self, tokens: list[str], k: int, learn: bool = False) -> list[int]:
-        names = token_features(tokens[k])
-        for side, j in (("<", k - 1), (">", k + 1)):
-            names += [f"{side}{f}" for f in token_features(tokens[j]) if f[0] in "zwdpm"] if 0 <= j < len(tokens) else [f"{side}none"]
-        if learn:
-            return [self.index.setdefault(f, len(self.index)) for f in names]
-        return [self.index[f] for f in names if f in self.index]
+    def _ids(self, tokens: list[str], k: int) -> list[int]:
+        """The features of a token of a training line; new ones get a number."""
+        names = []
+        for offset in AROUND:
+            if 0 <= k + offset < len(tokens):
+                names += _seen_from(offset, token_features(tokens[k + offset]))
+            elif abs(offset) == 1:
+                names.append(f"{offset:+d}none")
+        return [self.index.setdefault(f, len(self.index)) for f in names]
 
     @staticmethod
     def _marginals(e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,110 +331,149 @@ class Field:
         a, b = np.zeros_like(e), np.zeros_like(e)
         a[0] = e[0]
         for k in range(1, n):
-            s = a[k - 1][:, None] + t
-            a[k] = e[k] + np.logaddexp.reduce(s, 0)
+            a[k] = e[k] + np.logaddexp.reduce(a[k - 1][:, None] + t, 0)
         for k in range(n - 2, -1, -1):
             b[k] = np.logaddexp.reduce(t + (e[k + 1] + b[k + 1])[None], 1)
         z = np.logaddexp.reduce(a[-1])
-        pairs = np.zeros_like(t)
-        for k in range(n - 1):
-            pairs += np.exp(a[k][:, None] + t + (e[k + 1] + b[k + 1])[None] - z)
+        pairs = np.exp(a[:-1, :, None] + t[None] + (e[1:] + b[1:])[:, None] - z).sum(0)
         return np.exp(a + b - z), pairs
 
     def _worth(self, names: list[str]) -> np.ndarray:
         return self.w[[self.index[f] for f in names if f in self.index]].sum(0)
 
     def _place(self, token: str) -> int:
-        """The row of parts for a token's features, kept by the token and by all of its features."""
-        names = token_features(token)
-        place = self.rows.get(key := tuple(names))
+        """The row of parts for a token's features, kept by the token, by its classes if they tell all, and by the features."""
+        key = classes(token)
+        plain = is_plain(token, key)
+        place = self.of_classes.get(key) if plain else None
         if place is None:
-            near = [f for f in names if f[0] in "zwdpm"]
-            place = self.rows[key] = len(self.rows) + 1
-            if place >= len(self.parts):
-                self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
-            self.parts[place] = self._worth(names), self._worth([f"<{f}" for f in near]), self._worth([f">{f}" for f in near])
-        self.seen[token] = place
+            names = token_features(token)
+            given = [[f for f in _seen_from(offset, names) if f in self.index] for offset in AROUND]
+            place = self.rows.get(known := tuple(f for some in given for f in some))
+            if place is None:
+                place = self.rows[known] = len(self.rows) + 1
+                if place >= len(self.parts):
+                    self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+                for k, some in enumerate(given):
+                    self.parts[place, k] = self._worth(some)
+                self.most = None
+            if plain and len(key) <= LONGEST:
+                self.of_classes[key] = place
+        if len(token) <= LONGEST:
+            self.seen[token] = place
         return place
 
-    def emissions(self, tokens: list[str]) -> np.ndarray:
-        """Emissions of the tokens of a text: a sum of what each token adds for itself, for the next one and for the one before."""
-        if len(self.seen) >= REMEMBERED or len(self.rows) >= REMEMBERED:
-            self._forget()
-        seen = self.seen
+    def _places(self, tokens: list[str]) -> list[int]:
         try:
-            at = [seen[t] for t in tokens]
+            return [self.seen[t] for t in tokens]
         except KeyError:
-            at = [seen.get(t) or self._place(t) for t in tokens]
-        rows = np.array([0, *at, 0])
-        return self.parts[rows[1:-1], 0] + self.parts[rows[:-2], 1] + self.parts[rows[2:], 2]
+            return [self.seen.get(t) or self._place(t) for t in tokens]
 
     def _forget(self) -> None:
-        #: By place: what a token adds to the emissions of itself, the next token, and the token before; place 0 is no token.
-        self.parts = np.zeros((1024, 3, len(LABELS)))
-        self.parts[0, 1], self.parts[0, 2] = self._worth(["<none"]), self._worth([">none"])
+        #: By place, and by offset in the order of AROUND: what a token adds to emissions; place 0 is no token.
+        self.parts = np.zeros((1024, len(AROUND), len(LABELS)))
+        for k, offset in enumerate(AROUND):
+            if abs(offset) == 1:
+                self.parts[0, k] = self._worth([f"{offset:+d}none"])
+        #: The most that each part adds to any label over what it adds to O.
+        self.most: np.ndarray | None = None
         self.seen: dict[str, int] = {}
+        self.of_classes: dict[str, int] = {}
         self.rows: dict[tuple[str, ...], int] = {}
 
+    def _sum(self, table: np.ndarray, at: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """The sum of a table's rows over the tokens around each of where."""
+        out = table[at[where], 0]
+        for k, offset in enumerate(AROUND):
+            if offset:
+                out = out + table[at[where + offset], k]
+        return out
+
+    def emissions(self, tokens: list[str]) -> np.ndarray:
+        """Emissions of the tokens of a text: a sum of what each token adds for itself and for its neighbours."""
+        at = np.array([0, 0, *self._places(tokens), 0, 0])
+        return self._sum(self.parts, at, np.arange(2, len(at) - 2))
+
     def viterbi(self, chains: list[np.ndarray]) -> list[np.ndarray]:
         """Best labels of each chain of emissions, all chains at once; before and after a chain stands a plain O."""
         if not chains:
             return []
         n = np.array([len(c) for c in chains])
         order = np.argsort(-n, kind="stable")
-        e = np.full((n.max(), len(chains), len(LABELS)), 0.0)
-        for k, i in enumerate(order):
-            e[: n[i], k] = chains[i]
+        lengths = n[order]
+        e = np.zeros((n.max(), len(chains), len(LABELS)))
+        e[np.concatenate([np.arange(x) for x in lengths]), np.repeat(np.arange(len(chains)), lengths)] = np.concatenate([chains[i] for i in order])
         back = np.zeros(e.shape, np.int8)
         score = e[0] + self.t[0][None]
-        final = np.zeros((len(chains), len(LABELS)))
-        lengths = n[order]
+        last = np.zeros(len(chains), np.int64)
         for k in range(1, len(e) + 1):
-            m = int((lengths > k).sum())  # chains go on in order of length, the longest first
-            final[m : len(score)] = score[m:] + self.t[:, 0][None]
+            m = int(np.searchsorted(-lengths, -k))  # chains go on in order of length, the longest first
+            last[m : len(score)] = (score[m:] + self.t[:, 0][None]).argmax(1)
             if not m:
                 break
             s = score[:m, :, None] + self.t[None]
             back[k, :m] = s.argmax(1)
             score = s.max(1) + e[k, :m]
-        tags = [np.zeros(x, np.int64) for x in n]
+        tags = np.zeros((len(e), len(chains)), np.int64)
+        at = last
+        for j in range(len(e) - 1, -1, -1):
+            m = int(np.searchsorted(-lengths, -j))  # chains of over j tokens
+            tags[j, :m] = at[:m]
+            at[:m] = back[j, np.arange(m), at[:m]] if j else at[:m]
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
         for k, i in enumerate(order):
-            at = int(final[k].argmax())
-            for j in range(n[i] - 1, -1, -1):
-                tags[i][j] = at
-                at = int(back[j, k, at])
-        return tags
+            out[i] = tags[: n[i], k]
+        return out
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """(kind, start, end) that the field finds in each text."""
-        windows, where = [], []
-        for i, text in enumerate(texts):
-            if tokens := text.split():
-                e = self.emissions(tokens)
-                odd = np.flatnonzero(e[:, 0] - e[:, 1:].max(1) <= self.slack)
-                for run in np.split(odd, np.flatnonzero(np.diff(odd) > 1) + 1) if len(odd) else ():
-                    windows.append(e[run[0] : run[-1] + 1])
-                    where.append((i, int(run[0])))
+        if max(len(self.seen), len(self.of_classes), len(self.rows)) >= REMEMBERED:
+            self._forget()
+        split = [t.split() for t in texts]
+        at = np.zeros(2 + sum(len(x) + 2 for x in split), np.int64)
+        first = np.cumsum([2, *[len(x) + 2 for x in split]])[:-1]  # two places of no token stand between texts
+        for f, tokens in zip(first.tolist(), split, strict=True):
+            if tokens:
+                at[f : f + len(tokens)] = self._places(tokens)
+        if self.most is None or len(self.most) != len(self.parts):
+            self.most = (self.parts[:, :, 1:] - self.parts[:, :, :1]).max(2)
+        held = np.flatnonzero(at)
+        odd = held[self._sum(self.most, at, held) >= -self.slack]
+        e = self._sum(self.parts, at, odd)
+        sure = e[:, 0] - e[:, 1:].max(1) > self.slack if len(odd) else np.zeros(0, bool)
+        odd, e = odd[~sure], e[~sure]
+        cuts = np.flatnonzero(np.diff(odd) > 1) + 1
+        windows = np.split(e, cuts) if len(odd) else []
+        starts = odd[np.r_[0, cuts]].tolist() if len(odd) else []
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        owner = (np.searchsorted(first, starts, "right") - 1).tolist()
         places: dict[int, list[re.Match]] = {}
-        for (i, first), tags in zip(where, self._decoded(windows), strict=True):
+        for i, begin, tags in zip(owner, starts, self._decoded(windows), strict=True):
             if not tags.any():
                 continue
             if i not in places:
                 places = {i: list(_TOKEN.finditer(texts[i]))}
-            run, k = places[i][first : first + len(tags)], 0
-            while k < len(run):
-                j = k
-                while j + 1 < len(run) and tags[j + 1] == tags[k]:
-                    j += 1
-                if tags[k]:
-                    start, end = run[k].start(), run[j].end()
-                    piece = texts[i][start:end]
-                    start += len(piece) - len(piece.lstrip("\"'<([{,;")) if not re.match(r"\(\d", piece) else 0
-                    end -= len(piece) - len(piece.rstrip(".,;:!?\"'>"))
-                    if end > start:
-                        out[i].append((int(tags[k]) - 1, start, end))
-                k = j + 1
+            here = begin - int(first[i])
+            out[i] += self._marked(texts[i], places[i][here : here + len(tags)], tags)
+        return out
+
+    @staticmethod
+    def _marked(text: str, run: list[re.Match], tags: np.ndarray) -> list[tuple[int, int, int]]:
+        """The spans of a window's labels, without the signs around them; what isn't plausible goes."""
+        out, k = [], 0
+        while k < len(run):
+            j = k
+            while j + 1 < len(run) and tags[j + 1] == tags[k]:
+                j += 1
+            if kind := int(tags[k]):
+                whole = [run[k : j + 1]]
+                if j > k and all(plausible(kind - 1, _bare(m[0])[0]) for m in whole[0]):
+                    whole = [[m] for m in run[k : j + 1]]  # each token is one of its kind
+                for part in whole:
+                    piece, before = _bare(text[part[0].start() : part[-1].end()])
+                    if plausible(kind - 1, piece):
+                        out.append((kind - 1, part[0].start() + before, part[0].start() + before + len(piece)))
+            k = j + 1
         return out
 
     def _decoded(self, windows: list[np.ndarray]) -> list[np.ndarray]:
@@ -346,6 +488,32 @@ class Field:
         return tags
 
 
+def _bare(piece: str) -> tuple[str, int]:
+    """A piece without the signs around it, and how many of them stood before."""
+    left = piece if re.match(r"\(\d", piece) else piece.lstrip("\"'<([{,;")
+    return left.rstrip(".,;:!?\"'>"), len(piece) - len(left)
+
+
+_SPELLED = re.compile(r"[\w.%+-]+\s*+(?:@|[\[(]?\s*\bat\b\s*[\])]?)\s*+[\w-]+(?:(?:\s*[\[(]?\s*\bdot\b\s*[\])]?\s*|\.)[\w-]+)+", re.I)
+_SIX = re.compile(r"(?=.*[0-9])(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}(?:/[0-9]{1,3})?", re.I)
+_FOUR = re.compile(r"((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?::[0-9]{1,5}|/[0-9]{1,2})?")
+
+
+def plausible(kind: int, piece: str) -> bool:
+    """Whether a piece that the field marks holds what its kind is made of; the check is exact, the field decides before it."""
+    if len(piece) > 400:
+        return False
+    if kind == 0:
+        return _SPELLED.fullmatch(piece) is not None
+    if kind == 1:
+        four = _FOUR.fullmatch(piece)
+        return four is not None and all(map(_part, four[1].split("."))) or _SIX.fullmatch(piece) is not None and piece.count("::") <= 1 and ("::" in piece or piece.count(":") == 7)
+    d = _digits(piece)
+    if kind == 2:
+        return 13 <= len(d) <= 19 and luhn(d) and not set(piece) - set("0123456789 -.\t") and len(set(d)) > 1
+    return 7 <= len(d) <= 15 and not set(piece) - set("0123456789 ()+-./\t") and (piece[0] in "+(0" or re.fullmatch(r"[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}", piece) is not None)
+
+
 _fields: dict[int, Field] = {}
 
 
@@ -354,9 +522,9 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone of the base spans, base_sha256, spans (all), n_added."""
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
-    kinds = [T.LongType()] * 5 + [T.StringType(), T.StringType(), T.LongType()]
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone of the base spans, base_sha256, spans (all), n_added, n_spans."""
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"]
+    kinds = [T.LongType()] * 5 + [T.StringType(), T.StringType(), T.LongType(), T.LongType()]
     weights = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,10 +537,10 @@ def find(docs: DataFrame) -> DataFrame:
                 for text, extra in zip(texts, field.spans(texts), strict=True):
                     base = base_spans(text)
                     added = [s for s in extra if not any(s[1] < b and s[2] > a for _, a, b in base)]
-                    row = [*(sum(k == j for k, _, _ in base) for j in range(4)), hashlib.sha256(written(base).encode()).hexdigest(), written(base + added), len(added)]
+                    row = [*(sum(k == j for k, _, _ in base) for j in range(4)), hashlib.sha256(written(base).encode()).hexdigest(), written(base + added), len(added), len(base) + len(added)]
                     for c, v in zip(columns, row, strict=True):
                         c.append(v)
-                arrow = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
+                arrow = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, arrow, strict=True)]], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField(a, b) for a, b in zip(names, kinds, strict=True)]))
