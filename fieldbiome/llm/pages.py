@@ -3,12 +3,19 @@
 A tolerant parser builds the page's tree. For each node, C is its characters, T its tags, LC and LT the characters and tags of
 its links, and NLC = C - LC; lc and c are those of the body. Its density is C/T * log_b(C/LC * T/LT) with the base
 b = ln(C/NLC * LC + lc/c * C + e); zero denominators count as 1. A node's density sum adds its children's densities (its own
-text counts as a child). The subtree of the largest sum is the article; the threshold is the least density on the path to it
-from the body, and blocks of the subtree under it that are mostly links go. Parts that are no article by tag, role or naming
-never enter the tree.
+text counts as a child). The subtree of the largest sum is the core; the threshold is the least density on the path to it
+from the body. An article element around the core (else a main) is taken whole. Without one, what stands beside the path is
+taken if its density holds the threshold, if it is a heading, or if it is a paragraph, list or table beside the core.
+
+What never counts: elements that are no article by tag or role, and hidden ones. Names of classes and ids only weigh: a name
+that speaks of something else within a longer one (has-sidebar, share-enabled) halves a density and drops nothing. An element
+whose whole name says it is something else (sidebar, reader-comments), or a form, goes, unless it is the frame of the page: it
+has a top heading, a main or an article within, and FRAME times the free text of all that stands outside such elements.
+
+Time is linear in the page: open tags are found by their own stacks, whatever their nesting.
 
 Defined results: null, empty and text-free pages give ''. Repeated rows give the same rows; rows are independent. Unclosed and
-mis-nested tags close as browsers close them. Extra columns aren't carried.
+mis-nested tags close as browsers close them, about. Extra columns aren't carried.
 """
 
 from __future__ import annotations
@@ -27,212 +34,315 @@ VOID = frozenset("area base br col embed frame hr img input link meta param sour
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCK - frozenset("body caption html legend optgroup option tbody td tfoot th thead tr".split())
-#: An opening tag of the first kind closes an open one of the second, up to one of the third.
-IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-
-# No article by tag, by role, or by a word of class or id.
-NO_TAG = frozenset("nav aside form script style noscript template iframe object svg canvas button select textarea input dialog menu head title math audio video applet noframes noembed map".split())
-NO_ROLE = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
-NO_NAME = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored sponsors promo promotion promoted "
-    "sidebar side rail aside nav navbar navigation menu menus topbar toolbar breadcrumb breadcrumbs crumbs pagination pager footer foot header masthead "
-    "comment comments commentlist disqus respond replies discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
-    "subscription signup login related recommended recommendations widget widgets share sharing social copyright legal disclaimer skip toc".split()
+#: An opening tag closes open ones of the first kind, up to one of the second.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"}),
+    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("p blockquote pre ul ol dl table figure hgroup".split()) | HEADINGS
+
+# No article by tag or by role.
+NO_TAG = frozenset("nav aside noscript template object svg canvas button select input dialog menu audio video applet footer".split())
+NO_ROLE = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar".split())
+#: Words of names that speak of something else: as the last word of a name, and only as the whole name.
+OTHER_LAST = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense banner sponsor sponsors sidebar navbar nav navigation menu breadcrumb breadcrumbs "
+    "pagination footer masthead comment comments commentlist disqus replies cookie cookies consent popup modal newsletter subscribe signup related "
+    "recommended recommendations widget widgets share sharing social promo toolbar".split()
 )
-#: Names under which an article may stand; a matching name on them doesn't drop them.
-ARTICLE = frozenset("html body main article".split())
+OTHER_WHOLE = OTHER_LAST | frozenset("header notice notices alert legal disclaimer copyright login respond discussion overlay sponsored promotion subscription topbar pager toc gdpr advertising".split())
+#: Words that say nothing about what an element is, and words before a name that turn its sense.
+FILLER = frozenset("box block area section container wrapper wrap inner outer list item items left right top bottom primary secondary site page the bar links buttons form col column row panel".split())
+TURNS = frozenset("has no not with without is show hide hidden enable enabled disable disabled".split())
+#: A name of an article's own parts.
+OWN = frozenset("article content story post entry main text body".split())
+FRAME = 20
 
-_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?][^>]*)>?|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAME_PART = re.compile(r"[a-z]+", re.I)
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*+>?|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z))", re.S)
+_LOOSE = re.compile(r"<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>?")
+_ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: What an element is by its attributes: nothing odd, a name that only weighs, a name that says it is something else, never an article.
+FINE, WEIGHED, OTHER, NEVER = range(4)
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "block", "open_inline", "kind", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None"):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: "Node | None", kind: int = FINE):
+        self.tag, self.parent, self.kind = tag, parent, kind
+        #: The nearest node that breaks lines, itself included, and how many inline nodes of each tag are open right under it.
+        self.block: Node = self if parent is None or tag in BLOCK else parent.block
+        self.open_inline: dict[str, int] = {}
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attrs: str, inside_article: bool) -> bool:
-    if tag in NO_TAG:
-        return True
-    if tag in ("header", "footer") and not inside_article:
-        return True
-    if tag == "footer":
-        return True
-    if not attrs or tag in ARTICLE:
-        return False
+def name_kind(value: str) -> int:
+    """What a class or id attribute says."""
+    kind = FINE
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if not words:
+            continue
+        if name.lower() in OWN or len(words) > 1 and words[-1] in OWN and not OTHER_WHOLE & set(words):
+            return FINE
+        if not OTHER_WHOLE & set(words):
+            continue
+        told = [w for w in words if w not in FILLER]
+        if words[0] not in TURNS and (words[-1] in OTHER_LAST or told and all(w in OTHER_WHOLE for w in told)):
+            kind = OTHER
+        kind = max(kind, WEIGHED)
+    return kind
+
+
+def _kind(tag: str, attrs: str, inside_article: bool) -> int:
+    if tag in NO_TAG or tag == "header" and not inside_article:
+        return NEVER
+    kind = OTHER if tag == "form" else FINE
+    if not attrs or tag in ("html", "body"):
+        return kind
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
         value = html.unescape(m[2] or m[3] or m[4] or "")
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value.lower() in NO_ROLE:
-            return True
-        if name in ("class", "id") and any(p.lower() in NO_NAME for p in _NAME_PART.findall(_CAMEL.sub(" ", value))):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+        if name == "hidden" or name == "role" and value.strip().lower() in NO_ROLE or name == "style" and _UNSEEN.search(value):
+            return NEVER
+        if name == "aria-hidden" and value == "true":
+            kind = max(kind, OTHER)
+        if name in ("class", "id") and tag not in ("main", "h1"):
+            kind = max(kind, name_kind(value))
+    return kind
 
 
-def parse(page: str) -> Node:
-    """The tree of a page without the parts that are no article; texts are decoded."""
-    root = node = Node("html", None)
-    dropped: list[str] = []  # open tags of the part being dropped
-    at, n = 0, len(page)
-    inside = 0  # open articles and mains
-    while at < n:
-        lt = page.find("<", at)
-        if lt < 0:
-            lt = n
-        if lt > at and not dropped:
-            node.kids.append(html.unescape(page[at:lt]))
-        if lt >= n:
-            break
-        m = _TAG.match(page, lt)
-        if m is None:  # a bare <
-            if not dropped:
-                node.kids.append("<")
-            at = lt + 1
-            continue
-        at = m.end()
-        if m["name"] is None:
-            continue
-        tag = m["name"].lower()
-        if m["close"]:
-            if dropped:
-                if tag in dropped:
-                    del dropped[len(dropped) - 1 - dropped[::-1].index(tag) :]
-                elif tag in ("body", "html"):
-                    dropped.clear()
-                continue
-            up = node
-            while up is not None and up.tag != tag:
-                if tag not in BLOCK and up.tag in BLOCK:  # an inline end tag doesn't close blocks
-                    up = None
-                    break
-                up = up.parent
-            if up is not None and up.parent is not None:
-                walk = node
-                while walk is not up.parent:
-                    inside -= walk.tag in ("article", "main")
-                    walk = walk.parent
-                node = up.parent
-            elif tag == "p" and up is None:
-                node.kids.append(Node("p", node))
-            continue
-        attrs = m["attrs"] or ""
-        if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
-            stop = end.start() if end else n
-            at = stop
-            if end:
-                gt = page.find(">", stop)
-                at = gt + 1 if gt >= 0 else n
-            continue
-        if dropped:
-            if tag not in VOID and not attrs.rstrip().endswith("/"):
-                if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and dropped[-1] == tag:
-                    continue
-                dropped.append(tag)
-            continue
-        if tag in ENDS_P:
-            up = node
-            while up is not None and up.tag not in BLOCK:
+class Parser:
+    """Builds the tree; texts are decoded."""
+
+    def __init__(self) -> None:
+        self.root = self.node = Node("html", None)
+        self.open_blocks: dict[str, list[Node]] = {}
+        #: For each tag that implies ends: the open nodes of its two kinds, in order.
+        self.scopes: dict[str, list[Node]] = {}
+        self.articles = 0
+
+    def _push(self, tag: str, kind: int) -> None:
+        node = Node(tag, self.node, kind)
+        self.node.kids.append(node)
+        self.node = node
+        if tag in BLOCK:
+            self.open_blocks.setdefault(tag, []).append(node)
+        else:
+            mine = node.block.open_inline
+            mine[tag] = mine.get(tag, 0) + 1
+        for s in _SCOPES_OF.get(tag, ()):
+            self.scopes.setdefault(s, []).append(node)
+        self.articles += tag in ("article", "main")
+
+    def _pop(self, last: Node) -> None:
+        """Closes open nodes, up to and with last."""
+        done = False
+        while not done and self.node.parent is not None:
+            node = self.node
+            done = node is last
+            if node.tag in BLOCK:
+                self.open_blocks[node.tag].pop()
+            else:
+                node.block.open_inline[node.tag] -= 1
+            for s in _SCOPES_OF.get(node.tag, ()):
+                self.scopes[s].pop()
+            self.articles -= node.tag in ("article", "main")
+            self.node = node.parent
+
+    def end(self, tag: str) -> None:
+        if tag in BLOCK:
+            if found := self.open_blocks.get(tag):
+                self._pop(found[-1])
+            elif tag == "p":
+                self.node.kids.append(Node("p", self.node))
+        elif self.node.block.open_inline.get(tag):  # an inline end tag doesn't close blocks
+            up = self.node
+            while up.tag != tag:
                 up = up.parent
-            if up is not None and up.tag == "p":
-                node = up.parent
+            self._pop(up)
+
+    def start(self, tag: str, attrs: str) -> None:
+        if tag in ("html", "body", "head"):
+            return
+        if tag in ENDS_P and self.node.block.tag == "p":
+            self._pop(self.node.block)
         if tag in IMPLIED:
-            close, scope = IMPLIED[tag]
-            up, hit = node, None
-            while up is not None and up.tag not in scope:
-                if up.tag in close:
-                    hit = up
-                up = up.parent
-            if hit is not None and hit.parent is not None:
-                node = hit.parent
-        if tag in ("html", "body"):
-            continue
-        if _unwanted(tag, attrs, inside > 0):
-            if tag not in VOID and not attrs.rstrip().endswith("/"):
-                dropped.append(tag)
+            held, last = self.scopes.get(_GROUP[tag], []), None
+            for up in reversed(held):
+                if up.tag not in IMPLIED[tag][0]:
+                    break
+                last = up
+            if last is not None:
+                self._pop(last)
+        empty = tag in VOID or tag not in BLOCK and attrs.rstrip().endswith("/")
+        if empty:
+            self.node.kids.append(Node(tag, self.node, _kind(tag, "", True)))
+        else:
+            self._push(tag, _kind(tag, attrs, self.articles > 0))
+
+    def feed(self, page: str) -> Node:
+        at, n = 0, len(page)
+        while at < n:
+            lt = page.find("<", at)
+            lt = n if lt < 0 else lt
+            if lt > at:
+                self.node.kids.append(html.unescape(page[at:lt]))
+            if lt >= n:
+                break
+            m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
+            if m is None:  # a bare <
+                self.node.kids.append("<")
+                at = lt + 1
+                continue
+            at = m.end()
+            if m["name"] is None:
+                continue
+            tag = m["name"].lower()
+            if m["close"]:
+                self.end(tag)
+            elif tag in RAW:
+                end = _RAW_END[tag].search(page, at)
+                gt = page.find(">", end.start()) if end else -1
+                at = gt + 1 if gt >= 0 else n
             else:
-                node.kids.append(" ")
-            continue
-        new = Node(tag, node)
-        node.kids.append(new)
-        if tag not in VOID and not (attrs.rstrip().endswith("/") and tag not in BLOCK):
-            node = new
-            inside += tag in ("article", "main")
-    return root
+                self.start(tag, m["attrs"] or "")
+        return self.root
+
+
+_RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I) for tag in RAW}
+#: Tags that share the stack of open nodes which ends are implied on.
+_GROUP = {"li": "li", "dd": "dl", "dt": "dl", "option": "option", "tr": "table", "td": "table", "th": "table"}
+_SCOPES_OF: dict[str, set[str]] = {}
+for _tag, _kinds in IMPLIED.items():
+    for _name in _kinds[0] | _kinds[1]:
+        _SCOPES_OF.setdefault(_name, set()).add(_GROUP[_tag])
+
+
+def parse(page: str) -> Node:
+    return Parser().feed(page)
 
 
 def _postorder(root: Node) -> list[Node]:
+    """Nodes that may count, children before parents; the reverse is document order, but for the order of siblings."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         out.append(node)
-        stack.extend(k for k in node.kids if isinstance(k, Node))
+        stack.extend(k for k in node.kids if isinstance(k, Node) and k.kind != NEVER)
     return out[::-1]
 
 
-def measure(root: Node) -> None:
-    """Sets the counts, densities and density sums of all nodes."""
-    order = _postorder(root)
+def _count(order: list[Node]) -> None:
+    """Sets characters and tags; nodes that never count are left out."""
     for node in order:
-        link = node.tag == "a"
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for k in node.kids:
-            if isinstance(k, Node):
+            if isinstance(k, str):
+                node.chars += len(k.strip())
+            elif k.kind != NEVER:
                 node.chars += k.chars
                 node.tags += k.tags + 1
                 node.link_chars += k.link_chars
                 node.link_tags += k.link_tags + (k.tag == "a")
-            else:
-                node.chars += len(k.strip())
-        if link:
+        if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.tags
-    body = root
-    ratio = body.link_chars / body.chars if body.chars else 0.0
-    for node in order:
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, max(node.link_tags, 1)
-        if not c:
-            continue
-        free = max(c - lc, 1)
-        base = math.log(c / free * lc + ratio * c + math.e)
-        value = c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0 + 1e-9)) / max(math.log(base), 1e-9) if base > 1 else c / t
-        node.density = value
+
+
+def settle(root: Node) -> None:
+    """Marks the elements that are something else as never counting, but for frames of the page, which count as others do."""
+    order = _postorder(root)
+    _count(order)
+    signed: set[int] = set()  # nodes with a sign of an article within
     for node in order:
-        node.total = sum(k.density if isinstance(k, Node) else float(len(k.strip())) for k in node.kids)
+        if node.tag in ("h1", "main") or node.tag == "article" and node.kind < OTHER or any(id(k) in signed for k in node.kids):
+            signed.add(id(node))
+    free = lambda node: node.chars - node.link_chars
 
+    def outermost(node: Node) -> list[Node]:
+        out, stack = [], [k for k in node.kids if isinstance(k, Node)]
+        while stack:
+            k = stack.pop()
+            if k.kind == OTHER:
+                out.append(k)
+            elif k.kind != NEVER:
+                stack.extend(x for x in k.kids if isinstance(x, Node))
+        return out
+
+    others = outermost(root)
+    outside = free(root) - sum(map(free, others))
+    while others:
+        largest = max(others, key=free)
+        if id(largest) not in signed or free(largest) <= FRAME * outside:
+            break
+        largest.kind = WEIGHED
+        inner = outermost(largest)
+        others = [x for x in others if x is not largest] + inner
+        outside += free(largest) - sum(map(free, inner))
+    for x in others:
+        x.kind = NEVER
 
-def select(root: Node) -> tuple[Node, float]:
-    """The node of the largest density sum, and the least density on the path to it from the body.
 
-    An article or main holding most of the page's free text is taken before its own parts.
-    """
+def measure(root: Node) -> None:
+    """Sets the counts, densities and density sums of all nodes that count."""
     order = _postorder(root)
-    best = max(reversed(order), key=lambda x: x.total)  # the reverse is document order: the first of ties wins
-    threshold, up = best.density, best
-    while up is not None:
-        threshold = min(threshold, up.density) if up.chars else threshold
-        up = up.parent
-    # Climb while the parent's own path density holds the threshold; a wrapper adds no text but may stand beside more of it.
-    node = best
-    while node.parent is not None and node.tag not in ("article", "main") and node.parent.density >= threshold and (node.parent.chars - node.parent.link_chars) >= (node.chars - node.link_chars):
-        node = node.parent
-    return node, threshold
-
-
-def blocks(node: Node, threshold: float) -> list[str]:
-    """The text blocks of a subtree in page order; children that are mostly links and under the threshold go."""
+    _count(order)
+    ratio = root.link_chars / root.chars if root.chars else 0.0
+    for node in order:
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, ratio) / (2 if node.kind == WEIGHED else 1)
+    for node in order:
+        node.total = sum(len(k.strip()) if isinstance(k, str) else k.density for k in node.kids if isinstance(k, str) or k.kind != NEVER)
+
+
+def density(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio: float) -> float:
+    """Composite text density; body_ratio: the share of the body's characters that are in links."""
+    if not chars:
+        return 0.0
+    tags = max(tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + body_ratio * chars + math.e)
+    return chars / tags * math.log(max(chars / max(link_chars, 1) * tags / max(link_tags, 1), 1.0 + 1e-9)) / max(math.log(base), 1e-9) if base > 1 else chars / tags
+
+
+def select(root: Node) -> tuple[Node, list[Node], float]:
+    """(core, path, threshold): the node of the largest density sum, the nodes from it up to the root, and the least density on them."""
+    best, stack = root, [root]
+    while stack:  # document order: the first of ties wins
+        node = stack.pop()
+        if node.total > best.total:
+            best = node
+        stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and k.kind != NEVER)
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    return best, path, min(x.density for x in path)
+
+
+def _wanted(core: Node, path: list[Node], threshold: float) -> tuple[Node, set[int]]:
+    """(frame, dropped): the subtree to write, and nodes of it (by id) that are left out."""
+    for tag in ("article", "main"):
+        if around := [x for x in path if x.tag == tag]:
+            return around[-1], set()
+    k = 0
+    while k + 1 < len(path) - 1 and path[k + 1].chars == path[k].chars:  # wrappers of the same text
+        k += 1
+    dropped: set[int] = set()
+    for at in range(k, len(path) - 1):
+        for x in path[at + 1].kids:
+            if isinstance(x, Node) and x is not path[at] and x.tag in BLOCK:
+                if not (x.density >= threshold or x.tag in HEADINGS or at == k and x.tag in PROSE):
+                    dropped.add(id(x))
+    return path[-1], dropped
+
+
+def blocks(frame: Node, dropped: set[int], threshold: float) -> list[str]:
+    """The text blocks of a subtree in page order; blocks under the threshold of which nine tenths or more are links go."""
     out: list[list[str]] = [[]]
-    stack: list[tuple[Node | str, bool]] = [(node, False)]
+    stack: list[tuple[Node | str, bool]] = [(frame, False)]
     while stack:
         item, closing = stack.pop()
         if isinstance(item, str):
@@ -242,10 +352,14 @@ def blocks(node: Node, threshold: float) -> list[str]:
             out.append([])
         if closing:
             continue
-        if item.tag in ("br", "wbr", "img"):
+        if item.kind == NEVER or id(item) in dropped:
+            if item.tag not in BLOCK:
+                out[-1].append(" ")
+            continue
+        if item.tag in VOID:
             out[-1].append(" " if item.tag == "br" else "")
             continue
-        if item is not node and item.tag in BLOCK and item.link_chars * 2 > item.chars and item.density < threshold and item.link_tags > 1:
+        if item is not frame and item.tag in BLOCK and item.link_chars * 10 >= item.chars * 9 and item.density < threshold and item.link_tags > 1:
             continue
         stack.append((item, True))
         stack.extend((k, False) for k in reversed(item.kids))
@@ -257,10 +371,12 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    settle(root)
     measure(root)
     if not root.chars:
         return ""
-    return "\n".join(blocks(*select(root)))
+    core, path, threshold = select(root)
+    return "\n".join(blocks(*_wanted(core, path, threshold), threshold))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
