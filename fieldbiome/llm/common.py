@@ -1,23 +1,21 @@
-"""What the operators share: word patterns, let-bindings, shared scratch folders and small key helpers."""
+"""What the operators share: word patterns, let-bindings, free column names, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldbiome.functions.scratch import cut, new_path, release
 from fieldbiome.operators.graph import connected
 
+__all__ = ["SPACE_CHARS", "SPACE_RUN", "components", "cut", "free_name", "let", "new_path", "release", "words_of"]
+
 #: The ASCII white space that separates words.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, however often body (or a lambda in it) refers to it.
@@ -34,46 +32,12 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or (in tests) a temporary one set here."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldbiome-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; removed when the driver ends."""
-    if not _written:
-        atexit.register(_remove_written)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            return
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again: lineage ends here and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, such that df has no column of it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def components(edges: DataFrame) -> DataFrame:
