@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbiome.functions.settings import Bins
+from fieldbiome.operators.ranking import placed
 
 
 def deficits(rows: DataFrame, bins: Bins, value: str, min_count: int, enforce_upper: float) -> DataFrame:
@@ -31,11 +32,11 @@ def oversampled(rows: DataFrame, bins: Bins, value: str, key: str, min_count: in
     need = deficits(rows, bins, value, min_count, enforce_upper).where("deficit > 0")
     draws = need.select("bin", "lower", "upper", "n", "donor", F.explode(F.sequence(F.lit(1), F.col("deficit").cast("int"))).alias("i"))
     by_bin = rows.withColumn("__bin", bins.key(F.col(value)))
-    numbered = by_bin.withColumn("__k", F.row_number().over(Window.partitionBy("__bin").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)) - 1)
+    numbered = placed(by_bin, [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], ["__bin"], "__k").withColumn("__k", F.col("__k") - 1)
     sizes = by_bin.groupBy("__bin").agg(F.count("*").alias("__n"))
     aimed = draws.join(sizes, F.col("donor") == F.col("__bin")).drop("__bin").withColumn("__pick", F.pmod(F.xxhash64(F.lit(seed), "bin", "i"), F.col("__n")))
     drawn = aimed.join(numbered, (F.col("donor") == F.col("__bin")) & (F.col("__pick") == F.col("__k")))
     u = F.pmod(F.xxhash64(F.lit(seed + 1), "bin", "i"), F.lit(1_000_000)) / 1_000_000
-    placed = F.when(F.col("n") > 0, F.col(value)).otherwise(F.col("lower") + (F.col("upper") - F.col("lower")) * u)
-    new = drawn.select(*[placed.alias(c) if c == value else F.col(c) for c in rows.columns], F.lit(True).alias("synthetic"))
+    own = F.when(F.col("n") > 0, F.col(value)).otherwise(F.col("lower") + (F.col("upper") - F.col("lower")) * u)
+    new = drawn.select(*[own.alias(c) if c == value else F.col(c) for c in rows.columns], F.lit(True).alias("synthetic"))
     return rows.withColumn("synthetic", F.lit(False)).unionByName(new)

@@ -19,11 +19,12 @@ def rows_of_environment(metadata: DataFrame, environment: str = "wastewater") ->
 
 
 def deep_enough(metadata: DataFrame, least: int = 200_000) -> DataFrame:
-    """Rows of at least `least` reads, read_count as a number; rows whose count can't be read go. Raises if none is left."""
+    """Rows of at least `least` reads, read_count as a number; rows whose count can't be read go. If none is left, the query that
+    reads the result raises: a second branch of the plan, without rows, counts them."""
     kept = metadata.withColumn("read_count", coerce.count_or_null(F.col("read_count").cast("string"))).where(F.col("read_count") >= least)
-    if not kept.limit(1).count():
-        raise ValueError(f"no sample has {least} reads")
-    return kept
+    none = F.when(F.col("__n") == 0, F.raise_error(F.lit(f"no sample has {least} reads")).cast("boolean")).otherwise(F.lit(False))
+    guard = kept.agg(F.count("*").alias("__n")).where(none)
+    return kept.unionByName(guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kept.schema.fields]))
 
 
 def coded_rows(rows: DataFrame, treatments: dict[str, int] | None = None, campaigns: dict[str, int] | None = None) -> DataFrame:

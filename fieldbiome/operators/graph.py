@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldbiome.functions.scratch import cut
+
 
 def _ready(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldbiome-"))
-    return df.checkpoint()
+    return cut(df, "graph")
 
 
 def identity_edges(pairs: DataFrame, members: DataFrame, threshold: float, a: str = "query_id", b: str = "subject_id", value: str = "pident") -> DataFrame:
@@ -54,7 +52,7 @@ def connected(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataF
 def clusters(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cluster_id): the least id that edges (a, b) reach; members without edges are their own cluster.
 
-    Edges with an end that is no member count for nothing. Each round is checkpointed, so that a lost executor costs one.
+    Edges with an end that is no member count for nothing. Each round is written down, so that a lost executor costs one.
     """
     ids = _ready(members.select("id").distinct())
     inside = edges.where("a <> b").join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")

@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldbiome.functions.scratch import cut
 from fieldbiome.operators.metrics import weighted_metrics
 from fieldbiome.operators.selection import stratified_split
 
@@ -22,11 +23,13 @@ def labelled(rows: DataFrame, labels: DataFrame, least: int = 10) -> DataFrame:
 
 def forest_metrics(rows: DataFrame, key: str, vector: str, label: str, trees: int = 300, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Weighted precision, recall and F1 of a random forest on a stratified held-out part."""
-    split = stratified_split(rows.select(key, F.col(label).cast("string").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")), "label", key, test, seed).persist()
+    split = stratified_split(rows.select(key, F.col(label).cast("string").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")), "label", key, test, seed)
+    split = split.persist()
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(split)
     known = index.transform(split)
     model = RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=trees, seed=seed).fit(known.where("not in_test"))
-    out = model.transform(known.where("in_test")).select("y", F.col("prediction").alias("p"))
+    out = cut(model.transform(known.where("in_test")).select("y", F.col("prediction").alias("p")), "predicted")
+    split.unpersist()
     return weighted_metrics(out, "y", "p")
 
 

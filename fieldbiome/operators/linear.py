@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldbiome.operators.ranking import placed
 
 # ---- distributions
 
@@ -57,10 +58,10 @@ def t_quantile(p: float, df: float) -> float:
 # ---- fits
 
 
-def design(df: DataFrame, terms: dict[str, Column], categorical: list[str], y: Column) -> tuple[DataFrame, list[str]]:
+def design(df: DataFrame, terms: dict[str, Column], categorical: list[str], y: Column, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """(rows with columns y, x0, x1, ..., term names): an intercept, the terms, and dummies of all but the first level.
 
-    Rows with a null anywhere are left out. The levels of a categorical column are the only thing listed on the driver.
+    Rows with a null anywhere are left out. The levels of a categorical column are the only thing listed on the driver. keep: columns that stay.
     """
     names, columns = ["Intercept"], [F.lit(1.0)]
     kept = df
@@ -78,7 +79,7 @@ def design(df: DataFrame, terms: dict[str, Column], categorical: list[str], y: C
         for v in levels[1:]:
             names.append(f"C({c})[T.{v}]")
             columns.append((F.col(c).cast("string") == v).cast("double"))
-    return kept.select(y.cast("double").alias("y"), *[x.alias(f"x{k}") for k, x in enumerate(columns)]), names
+    return kept.select(y.cast("double").alias("y"), *[x.alias(f"x{k}") for k, x in enumerate(columns)], *(keep or [])), names
 
 
 def ols(rows: DataFrame, names: list[str], robust: str | None = None) -> dict[str, object]:
@@ -179,19 +180,42 @@ def cell_stats(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
 
 
 def did(df: DataFrame, treatment: str = "treatment", time: str = "time", y: str = "y", robust: bool = False) -> DataFrame:
-    """Difference in differences of a saturated 2 x 2 design, from its four cells: term, coef, std_err, nobs.
+    """Difference in differences of a saturated 2 x 2 design, from its four cells: term, coef, std_err, nobs, and rss, tss.
 
     A cell mean has variance s2/n, with s2 pooled; with robust (HC3), sum of u2 / (1 - 1/n)2 / n2 of the cell.
     """
     cells = cell_stats(df, treatment, time, y)
     pick = lambda g, t, c: F.max(F.when((F.col(treatment) == g) & (F.col(time) == t), F.col(c)))
     wide = cells.agg(*[pick(g, t, c).alias(f"{c}{g}{t}") for g in (0, 1) for t in (0, 1) for c in ("n", "m", "ss")])
-    n = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")
-    s2 = (F.col("ss00") + F.col("ss01") + F.col("ss10") + F.col("ss11")) / (n - 4)
-    v = {gt: (F.col(f"ss{gt}") / F.pow(F.col(f"n{gt}") - 1, 2) if robust else s2 / F.col(f"n{gt}")) for gt in ("00", "01", "10", "11")}
+    names = ("00", "01", "10", "11")
+    total = lambda f: f(names[0]) + f(names[1]) + f(names[2]) + f(names[3])
+    n, rss = total(lambda k: F.col(f"n{k}")), total(lambda k: F.col(f"ss{k}"))
+    mean = total(lambda k: F.col(f"n{k}") * F.col(f"m{k}")) / n
+    tss = rss + total(lambda k: F.col(f"n{k}") * F.pow(F.col(f"m{k}") - mean, 2))
+    s2 = rss / (n - 4)
+    v = {gt: (F.col(f"ss{gt}") / F.pow(F.col(f"n{gt}") - 1, 2) if robust else s2 / F.col(f"n{gt}")) for gt in names}
     m = {gt: F.col(f"m{gt}") for gt in v}
     terms = [("Intercept", m["00"], v["00"]), ("treatment", m["10"] - m["00"], v["10"] + v["00"]), ("time", m["01"] - m["00"], v["01"] + v["00"]), ("treatment:time", m["11"] - m["10"] - m["01"] + m["00"], v["00"] + v["01"] + v["10"] + v["11"])]
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), c.alias("coef"), F.sqrt(e).alias("std_err"), n.alias("nobs")) for t, c, e in terms])))
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), c.alias("coef"), F.sqrt(e).alias("std_err"), n.alias("nobs"), rss.alias("rss"), tss.alias("tss")) for t, c, e in terms])))
+
+
+def did_table(df: DataFrame, treatment: str = "treatment", time: str = "time", y: str = "y", robust: bool = False, log_outcome: bool = False) -> DataFrame:
+    """term, coef, std_err, t, p_value, ci_low, ci_high, nobs, r2, adj_r2 of a difference in differences.
+
+    log_outcome takes log1p of the outcome; a negative one raises. The four rows of cells come to the driver for the tails of
+    Student's t.
+    """
+    from fieldbiome.functions.coerce import not_negative
+
+    if log_outcome:
+        df = df.withColumn(y, F.log1p(not_negative(F.col(y).cast("double"), y)))
+    out = []
+    for r in did(df, treatment, time, y, robust).collect():
+        left = r["nobs"] - 4
+        t = r["coef"] / r["std_err"] if r["std_err"] else float("nan")
+        q, r2 = t_quantile(0.975, left), 1 - r["rss"] / r["tss"] if r["tss"] else float("nan")
+        out.append((r["term"], r["coef"], r["std_err"], t, t_two_sided(t, left), r["coef"] - q * r["std_err"], r["coef"] + q * r["std_err"], int(r["nobs"]), r2, 1 - (1 - r2) * (r["nobs"] - 1) / left))
+    return df.sparkSession.createDataFrame(out, "term string, coef double, std_err double, t double, p_value double, ci_low double, ci_high double, nobs long, r2 double, adj_r2 double")
 
 
 def anova_type2(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
@@ -218,9 +242,45 @@ def anova_type2(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
 
 
 def residual_shape(rows: DataFrame, residual: str, order: str) -> DataFrame:
-    """skew, kurtosis, Jarque-Bera and Durbin-Watson of residuals."""
-    from pyspark.sql import Window
-
-    step = F.col(residual) - F.lag(residual).over(Window.orderBy(order))
-    s = rows.withColumn("__d", step).agg(F.count("*").alias("n"), F.skewness(residual).alias("skew"), (F.kurtosis(residual) + 3).alias("kurtosis"), (F.sum(F.pow("__d", 2)) / F.sum(F.pow(residual, 2))).alias("durbin_watson"))
+    """One row: n, skew, kurtosis, Jarque-Bera and Durbin-Watson of residuals. Neighbours meet by their place, not in one window."""
+    ranked = placed(rows.select(F.col(residual).alias("u"), F.col(order).alias("o")), [F.col("o")])
+    next_ = ranked.select((F.col("place") - 1).alias("__at"), F.col("u").alias("__u"))
+    steps = ranked.join(next_, F.col("place") == F.col("__at"), "left")
+    s = steps.agg(F.count("*").alias("n"), F.skewness("u").alias("skew"), (F.kurtosis("u") + 3).alias("kurtosis"), (F.sum(F.pow(F.col("__u") - F.col("u"), 2)) / F.sum(F.pow("u", 2))).alias("durbin_watson"))
     return s.withColumn("jarque_bera", F.col("n") / 6 * (F.pow("skew", 2) + F.pow(F.col("kurtosis") - 3, 2) / 4))
+
+
+def omnibus(skew: float, kurtosis: float, n: int) -> tuple[float, float]:
+    """D'Agostino and Pearson's test of normality: (statistic, p), from skewness and kurtosis (3 for a normal law); n from 8."""
+    y = skew * math.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
+    b = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
+    w2 = -1 + math.sqrt(2 * (b - 1))
+    z1 = math.asinh(y / math.sqrt(2.0 / (w2 - 1))) / math.sqrt(0.5 * math.log(w2))
+    mean, var = 3.0 * (n - 1) / (n + 1), 24.0 * n * (n - 2) * (n - 3) / ((n + 1.0) ** 2 * (n + 3) * (n + 5))
+    x = (kurtosis - mean) / math.sqrt(var)
+    root = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6.0 + 8.0 / root * (2.0 / root + math.sqrt(1 + 4.0 / root**2))
+    ratio = (1 - 2.0 / a) / (1 + x * math.sqrt(2.0 / (a - 4.0)))
+    z2 = (1 - 2.0 / (9 * a) - math.copysign(abs(ratio) ** (1 / 3), ratio)) / math.sqrt(2.0 / (9 * a))
+    k2 = z1 * z1 + z2 * z2
+    return k2, math.exp(-k2 / 2)
+
+
+def summary_extras(rows: DataFrame, fit: dict[str, object], order: str) -> dict[str, float]:
+    """F and its p, log-likelihood, AIC, BIC, Omnibus, skew, kurtosis, Durbin-Watson, Jarque-Bera and condition number of a fit.
+
+    rows: what ols() took (y, x0, x1, ...), with a column to order residuals by. One row of sums comes to the driver.
+    """
+    k = len(fit["names"])
+    fitted = F.lit(0.0)
+    for i, b in enumerate(fit["coef"]):
+        fitted = fitted + F.lit(float(b)) * F.col(f"x{i}")
+    shape = residual_shape(rows.withColumn("u", F.col("y") - fitted), "u", order).first()
+    sums = rows.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    values = np.linalg.eigvalsh(np.array([[sums[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]))
+    out = {c: float(shape[c]) for c in ("skew", "kurtosis", "durbin_watson", "jarque_bera")}
+    out["jb_p"] = math.exp(-out["jarque_bera"] / 2)
+    out["omnibus"], out["omnibus_p"] = omnibus(out["skew"], out["kurtosis"], int(fit["n"])) if fit["n"] >= 8 else (float("nan"), float("nan"))
+    out["condition"] = float(math.sqrt(values[-1] / values[0])) if values[0] > 0 else float("inf")
+    out["f"], out["f_p"] = float(fit["f"]), f_upper(float(fit["f"]), k - 1, float(fit["df"])) if k > 1 else float("nan")
+    return out | {c: float(fit[c]) for c in ("loglik", "aic", "bic")}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldbiome.operators.ranking import placed
+
 
 def lagged(panel: DataFrame) -> DataFrame:
     """panel (study, order, mge_abundance, arg_total, ...) with arg_t1, arg_t2, mge_t1, d_mge_t and d_arg_t1.
@@ -44,10 +46,10 @@ def trends(panel: DataFrame, value: str) -> DataFrame:
 
 
 def baseline_ranks(panel: DataFrame, value: str) -> DataFrame:
-    """(study, base, rank from 0, label): cohorts by their first value, missing last. The window is over cohorts, not rows."""
+    """(study, base, rank from 0, label): cohorts by their first value, missing last."""
     base = panel.where("study is not null").groupBy("study").agg(F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.col("order"))).alias("base"))
-    total = F.count("*").over(Window.partitionBy())
-    ranked = base.withColumn("rank", F.row_number().over(Window.orderBy(F.col("base").asc_nulls_last(), "study")) - 1).withColumn("total", total)
+    total = base.agg(F.count("*").alias("total"))  # one row
+    ranked = placed(base, [F.col("base").asc_nulls_last(), F.col("study")], name="rank").withColumn("rank", (F.col("rank") - 1).cast("int")).join(F.broadcast(total))
     share = F.col("rank") / (F.col("total") - 1)
     low, high = F.lit("lower starting ARG burden"), F.lit("higher starting ARG burden")
     label = (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldbiome.operators.ranking import placed, running_before, top_of
+
 
 def first_claim(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row for each key: the first in the given order (earlier lists claim a key)."""
@@ -12,10 +14,13 @@ def first_claim(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def fill_quota(df: DataFrame, group: str, order: list[Column], targets: DataFrame) -> DataFrame:
-    """The first rows of each group up to its target (group, target)."""
-    w = Window.partitionBy(group).orderBy(*order)
-    ranked = df.join(targets, group).withColumn("place", F.row_number().over(w))
+def fill_quota(df: DataFrame, group: str, order: list[Column], targets: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """The first rows of each group up to its target (group, target). key: columns that tell rows apart (default: all).
+
+    The largest target is read first (one number): it bounds what any task has to sort.
+    """
+    most = targets.agg(F.max("target")).first()[0] or 0
+    ranked = top_of(df.join(targets, group), order, [group], int(most), key or df.columns)
     return ranked.where(F.col("place") <= F.col("target")).drop("target")
 
 
@@ -27,11 +32,10 @@ def quota_shortfall(taken: DataFrame, group: str, targets: DataFrame) -> DataFra
 
 def cap_per_label(df: DataFrame, label: str, order: list[Column], most: int, n_labels: int | None = None) -> DataFrame:
     """The first max(1, most // labels) rows of each label; without n_labels, the labels of df are counted in the plan."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(*order))
     if n_labels is not None:
-        return df.withColumn("place", place).where(F.col("place") <= max(1, most // n_labels))
+        return top_of(df, order, [label], max(1, most // n_labels), df.columns)
     n = df.agg(F.countDistinct(label).alias("__n"))
-    ranked = df.withColumn("place", place).join(F.broadcast(n))  # n: one row
+    ranked = top_of(df, order, [label], max(1, most), df.columns).join(F.broadcast(n))  # n: one row
     return ranked.where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("__n")))).drop("__n")
 
 
@@ -61,11 +65,12 @@ def same_source_split(queries: DataFrame, db: DataFrame, label: str, key: str, o
     present = db.select(F.col(label).alias("__l"), F.col(key).alias("__k")).distinct()
     marked = queries.join(present, (F.col(label) == F.col("__l")) & (F.col(key) == F.col("__k")), "left").withColumn("overlap", F.col("__k").isNotNull()).drop("__l", "__k")
     sizes = db.groupBy(label).agg(F.count("*").alias("__size")).withColumnRenamed(label, "__l")
-    w = Window.partitionBy(label, "overlap").orderBy(order)
-    all_w = Window.partitionBy(label).orderBy("overlap", order)
-    ranked = marked.join(sizes, F.col(label) == F.col("__l"), "left").withColumn("__in", F.row_number().over(w)).withColumn("place", F.row_number().over(all_w))
+    absent = marked.groupBy(label).agg(F.count_if(~F.col("overlap")).alias("__absent")).withColumnRenamed(label, "__m")
+    # Absent rows come first, so a present row's place among the present ones is its place less their number.
+    ranked = top_of(marked, [F.col("overlap"), F.col(order)], [label], most, [key])
+    ranked = ranked.join(sizes, F.col(label) == F.col("__l"), "left").join(absent, F.col(label) == F.col("__m"))
     allowed = F.greatest(F.coalesce("__size", F.lit(0)) - min_db, F.lit(0))
-    chosen = ranked.where((F.col("place") <= most) & (~F.col("overlap") | (F.col("__in") <= allowed))).drop("__l", "__size", "__in")
+    chosen = ranked.where(~F.col("overlap") | (F.col("place") - F.col("__absent") <= allowed)).drop("__l", "__size", "__m", "__absent")
     return chosen, db.join(chosen.select(key).distinct(), key, "left_anti")
 
 
@@ -81,14 +86,11 @@ def filtered_hits(hits: DataFrame, identity: float = 80, cover: float = 70) -> D
 
 
 def cluster_split(members: DataFrame, cluster: str, fraction: float) -> DataFrame:
-    """members with split: whole clusters, the largest first, go to test until it holds round(n * fraction) members.
-
-    The running sum is over one row for each cluster.
-    """
+    """members with split: whole clusters, the largest first, go to test until it holds round(n * fraction) members."""
     sizes = members.groupBy(cluster).agg(F.count("*").alias("__size"))
-    before = Window.orderBy(F.desc("__size"), F.col(cluster)).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).withColumn("__goal", F.bround(F.sum("__size").over(Window.partitionBy()) * F.lit(fraction)))
-    split = placed.select(cluster, F.when(F.col("__before") < F.col("__goal"), "test").otherwise("train").alias("split"))
+    goal = sizes.agg(F.bround(F.sum("__size") * F.lit(fraction)).alias("__goal"))  # one row
+    ordered = running_before(sizes, [F.desc("__size"), F.col(cluster)], "__size", "__sum").join(F.broadcast(goal))
+    split = ordered.select(cluster, F.when(F.col("__sum") < F.col("__goal"), "test").otherwise("train").alias("split"))
     return members.join(split, cluster)
 
 
@@ -100,12 +102,50 @@ def split_summary(assigned: DataFrame, cluster: str) -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """df with in_test for round(fraction * n) rows of each class, taken by a seeded hash of the key."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("in_test", F.row_number().over(order) <= F.bround(n * F.lit(fraction)))
+    ranked = placed(df, [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], [label], "__place")
+    n = df.groupBy(F.col(label).alias("__l")).agg(F.bround(F.count("*") * F.lit(fraction)).alias("__n"))
+    return ranked.join(n, F.col(label).eqNullSafe(F.col("__l"))).withColumn("in_test", F.col("__place") <= F.col("__n")).drop("__l", "__n", "__place")
 
 
-def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """table with rows put in place of those of the same key, or after them; blank keys go."""
+def upsert(table: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """table with rows put in place of those of the same key, or after them; blank keys go.
+
+    With a numeric column `order` on both sides, replaced rows take the place of the row they replace, and new ones follow in
+    their own order, so that sorting by it gives the table as a file would have it.
+    """
     named = lambda df: df.where(F.trim(F.coalesce(F.col(key), F.lit(""))) != "")
-    return named(table).join(rows.select(key), key, "left_anti").unionByName(named(rows))
+    kept = named(table).join(rows.select(key), key, "left_anti")
+    if order is None:
+        return kept.unionByName(named(rows))
+    old = named(table).groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__old"))
+    last = table.agg(F.coalesce(F.max(order), F.lit(0)).alias("__last"))  # one row
+    first = rows.agg(F.min(order).alias("__first"))  # one row
+    put = named(rows).join(old, F.col(key) == F.col("__key"), "left").join(F.broadcast(last)).join(F.broadcast(first))
+    place = F.coalesce("__old", F.col("__last") + 1 + F.col(order) - F.col("__first"))
+    return kept.unionByName(put.withColumn(order, place.cast(table.schema[order].dataType)).select(*rows.columns))
+
+
+def merged_longest(first: DataFrame, second: DataFrame, key: list[str], text: str) -> DataFrame:
+    """Two record sets put one after the other, then the longest text of each key; of ties the first record of the first set."""
+    both = first.withColumn("__set", F.lit(0)).unionByName(second.withColumn("__set", F.lit(1)))
+    order = [c for c in first.columns if c == "ord"]
+    numbered = both.withColumn("__ord", F.struct("__set", *order))
+    others = [c for c in first.columns if c not in key]
+    best = numbered.groupBy(*key).agg(F.max(F.length(text)).alias("__n")).withColumnsRenamed({k: f"__{k}" for k in key})
+    same = F.length(numbered[text]) == F.col("__n")
+    for k in key:
+        same = same & numbered[k].eqNullSafe(best[f"__{k}"])
+    longest = numbered.join(best, same).groupBy(*key).agg(F.min_by(F.struct(*others), "__ord").alias("x"))
+    return longest.select(*key, *[F.col(f"x.{c}").alias(c) for c in others])
+
+
+def mapped_labels(records: DataFrame, aro_labels: DataFrame, header: Column) -> DataFrame:
+    """records with aro and label, by the ARO id of their header; rows without an id, or whose id has no label, go.
+
+    aro_labels (aro, label, ord): the last row of an id counts.
+    """
+    from fieldbiome.functions.text import aro_id
+
+    known = aro_labels.where("aro is not null and trim(label) <> ''").groupBy(F.col("aro").alias("__aro")).agg(F.max_by("label", "ord").alias("label"))
+    found = records.drop("label").withColumn("aro", aro_id(header)).where("aro is not null")
+    return found.join(known, F.col("aro") == F.col("__aro")).drop("__aro")

@@ -1,66 +1,147 @@
-"""Cosine similarity and the predictors that label queries by their nearest database rows."""
+"""Cosine similarity and the predictors that label queries by their nearest database rows.
+
+All pairs are compared, but only what a question needs leaves a pair of blocks: the best row, the k best of each label and their
+number, or the pairs over a threshold. Blocks have a set number of rows, so a task's memory doesn't grow with the tables.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a block: a pair of blocks is a matrix of BLOCK_ROWS x BLOCK_ROWS similarities (32 MB).
+BLOCK_ROWS = 2048
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 where either vector is zero."""
+def cosine(a: Column, b: Column, of_zero: float = 0.0) -> Column:
+    """of_zero where either vector is zero: 0 as the matrix form has it, or -1 to rank such pairs last."""
     n = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(of_zero))
+
+
+def _unit(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    flat = column.combine_chunks()
+    flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(size == 0, 1, size)
+
+
+Kernel = Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray], pa.Table]
+
 
+def _in_blocks(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, block_rows: int, upper: bool = False) -> DataFrame:
+    """kernel's rows for each pair of a block of left (id, v, ...) and a block of right; upper: left is right, each pair of blocks once.
+
+    The numbers of blocks come from counts within the plan (one row each).
+    """
+    sized = lambda df, name: df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias(name))
+    blocks = F.broadcast(sized(left, "nl").join(sized(right, "nr")))  # one row
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    to_last = lambda n, first: F.explode(F.sequence(first, F.col(n) - 1))
+    a = left.join(blocks).withColumn("i", place("id", "nl"))
+    b = right.join(blocks).withColumn("j", place("id", "nr"))
+    a = a.withColumn("j", to_last("nr", F.col("i") if upper else F.lit(0))).drop("nl", "nr")
+    if upper:
+        b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).drop("nl", "nr")
+    else:
+        b = b.withColumn("i", to_last("nl", F.lit(0))).drop("nl", "nr")
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return kernel(x.slice(0, 0), y.slice(0, 0), np.zeros((0, 1)), np.zeros((0, 1)))
+        return kernel(x, y, _unit(x.column("v"), x.num_rows), _unit(y.column("v"), y.num_rows))
+
+    b = b.withColumnsRenamed({"i": "bi", "j": "bj"})
+    return a.groupBy("i", "j").cogroup(b.groupBy("bi", "bj")).applyInArrow(run, schema)
 
-def _scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    unit = lambda m: m / np.where((n := np.sqrt((m * m).sum(1, keepdims=True))) == 0, 1, n)
-    return np.einsum("ij,kj->ik", unit(x), unit(y))
 
+def _sides(queries: DataFrame, db: DataFrame) -> tuple[DataFrame, DataFrame]:
+    q = queries.select(F.col("query_id").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    return q, db.select(F.col("db_id").alias("id"), "label", F.col("v").cast("array<double>").alias("v"))
 
-def pair_similarities(queries: DataFrame, db: DataFrame, blocks: int = 16) -> DataFrame:
+
+def pair_similarities(queries: DataFrame, db: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, db_id, label, sim) of all query and database rows; queries (query_id, v), db (db_id, label, v).
 
-    All pairs are this operator's result. Both sides are dealt into blocks, and pairs of blocks are multiplied in tasks, so
-    no side has to fit anywhere as a whole.
+    All pairs are this operator's result; see class_parts and pairs_over for less.
     """
-    q = queries.select("query_id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"))
-    d = db.select("db_id", "label", F.col("v").cast("array<double>").alias("dv"), F.pmod(F.xxhash64("db_id"), F.lit(blocks)).cast("int").alias("db"))
-    q = q.withColumn("db_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    d = d.withColumn("qb_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))  # all keys are ints: cogroups hash by type
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "db_id": [], "label": [], "sim": []})
-        s = _scores(np.array(a["v"].tolist()), np.array(b["dv"].tolist()))
-        n, m = s.shape
-        return pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), m), "db_id": np.tile(b["db_id"].to_numpy(), n), "label": np.tile(b["label"].to_numpy(), n), "sim": s.ravel()})
+    q, d = _sides(queries, db)
+
+    def kernel(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
+        n, m = a.num_rows, b.num_rows
+        at, to = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+        sim = np.einsum("ij,kj->ik", x, y).ravel() if n and m else np.zeros(0)
+        return pa.table({"query_id": a.column("id").take(pa.array(at)), "db_id": b.column("id").take(pa.array(to)), "label": b.column("label").take(pa.array(to)), "sim": sim})
 
     label = dict(db.dtypes)["label"]
-    return q.groupBy("qb", "db_").cogroup(d.groupBy("qb_", "db")).applyInPandas(run, f"query_id long, db_id long, label {label}, sim double")
-
-
-def class_scores(sims: DataFrame, method: str = "class_topk", k: int = 9, penalty: float = 0.03) -> DataFrame:
-    """(query_id, label, score) by nearest_db, class_max or class_topk; class predictors lose penalty * ln(1 + class size)."""
-    group = sims.groupBy("query_id", "label")
-    if method == "nearest_db":
-        return group.agg(F.max("sim").alias("score"))
-    if method == "class_max":
-        scored = group.agg(F.max("sim").alias("score"), F.count("*").alias("size"))
-    elif method == "class_topk":
-        by_sim = Window.partitionBy("query_id", "label").orderBy(F.desc("sim"), "db_id")
-        sized = sims.withColumn("place", F.row_number().over(by_sim)).groupBy("query_id", "label")
-        scored = sized.agg(F.avg(F.when(F.col("place") <= k, F.col("sim"))).alias("score"), F.count("*").alias("size"))
-    else:
+    return _in_blocks(q, d, kernel, f"query_id long, db_id long, label {label}, sim double", block_rows)
+
+
+def class_parts(queries: DataFrame, db: DataFrame, k: int = 9, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row for each query and label: query_id, label, size, best (similarity), best_id (the smallest of ties), top (the k largest).
+
+    Each pair of blocks gives k numbers a query and label at most; merging them gives those of the whole table.
+    """
+    q, d = _sides(queries, db)
+    label = dict(db.dtypes)["label"]
+
+    def kernel(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
+        ids, labels = (a.column("id").to_numpy(), b.column("label").to_pandas()) if a.num_rows else (np.zeros(0, np.int64), pd.Series([], dtype=object))
+        names, code = np.unique(labels.to_numpy(), return_inverse=True) if len(labels) else (np.zeros(0), np.zeros(0, np.int64))
+        sims = np.einsum("ij,kj->ik", x, y) if a.num_rows else np.zeros((0, 0))
+        row_id = b.column("id").to_numpy()
+        out: list[pa.Table] = []
+        for c, name in enumerate(names):
+            at = np.flatnonzero(code == c)
+            at = at[np.argsort(row_id[at], kind="stable")]
+            s = sims[:, at]
+            first = s.argmax(1)  # the first of equal ones: the smallest id
+            top = -np.sort(-s, 1)[:, :k]
+            out.append(pa.table({
+                "query_id": ids, "label": pa.array([name] * len(ids), b.schema.field("label").type), "size": np.full(len(ids), len(at), np.int64),
+                "best": s[np.arange(len(ids)), first], "best_id": row_id[at][first], "top": pa.array(list(top), pa.list_(pa.float64())),
+            }))
+        schema = pa.schema([("query_id", pa.int64()), ("label", b.schema.field("label").type if b.num_columns else pa.int32()), ("size", pa.int64()), ("best", pa.float64()), ("best_id", pa.int64()), ("top", pa.list_(pa.float64()))])
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    found = _in_blocks(q, d, kernel, f"query_id long, label {label}, size long, best double, best_id long, top array<double>", block_rows)
+    best = F.max(F.struct("best", (-F.col("best_id")).alias("n")))
+    merged = found.groupBy("query_id", "label").agg(F.sum("size").alias("size"), best.alias("x"), F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k).alias("top"))
+    return merged.select("query_id", "label", "size", F.col("x.best").alias("best"), (-F.col("x.n")).alias("best_id"), "top")
+
+
+def pairs_over(rows: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, sim) with a < b of the rows (id, v) whose cosine is threshold or more; each pair is compared once."""
+    side = rows.select("id", F.col("v").cast("array<double>").alias("v"))
+    other = side.select(F.col("id").alias("other"), F.col("v").alias("w")).toDF("id", "v")  # columns of their own: the table meets itself
+
+    def kernel(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
+        left, right = a.column("id").to_numpy(), b.column("id").to_numpy()
+        sims = np.einsum("ij,kj->ik", x, y) if a.num_rows else np.zeros((0, 0))
+        at, to = np.nonzero(sims >= threshold)
+        own = a.num_rows and a.column("i")[0].as_py() == a.column("j")[0].as_py()
+        keep = left[at] < right[to] if own else left[at] != right[to]
+        at, to = at[keep], to[keep]
+        return pa.table({"a": np.minimum(left[at], right[to]), "b": np.maximum(left[at], right[to]), "sim": sims[at, to]})
+
+    return _in_blocks(side, other, kernel, "a long, b long, sim double", block_rows, upper=True)
+
+
+def class_scores(parts: DataFrame, method: str = "class_topk", k: int = 9, penalty: float = 0.03) -> DataFrame:
+    """(query_id, label, score) of class_parts by nearest_db, class_max or class_topk; class predictors lose penalty * ln(1 + class size)."""
+    score = {"nearest_db": F.col("best"), "class_max": F.col("best") - penalty * F.log1p("size"), "class_topk": class_score_of_top(k, penalty)}
+    if method not in score:
         raise ValueError(f"no predictor {method}")
-    return scored.select("query_id", "label", (F.col("score") - penalty * F.log1p("size")).alias("score"))
+    return parts.select("query_id", "label", score[method].alias("score"))
 
 
 def centroid_scores(queries: DataFrame, db: DataFrame, penalty: float = 0.03) -> DataFrame:
@@ -74,14 +155,28 @@ def centroid_scores(queries: DataFrame, db: DataFrame, penalty: float = 0.03) ->
 
 def predicted(scores: DataFrame) -> DataFrame:
     """(query_id, pred_label): the label of the largest score, the smallest label of ties."""
-    best = scores.groupBy("query_id").agg(F.max("score").alias("best"))
-    return scores.join(best, "query_id").where("score >= best").groupBy("query_id").agg(F.min("label").alias("pred_label"))
+    return scores.groupBy("query_id").agg(F.min_by("label", F.struct(-F.col("score"), "label")).alias("pred_label"))
+
 
+def nearest(parts: DataFrame) -> DataFrame:
+    """(query_id, db_id, pred_label, sim): the nearest database row of class_parts, the smallest id of ties."""
+    best = parts.groupBy("query_id").agg(F.max(F.struct("best", (-F.col("best_id")).alias("n"), "label")).alias("x"))
+    return best.select("query_id", (-F.col("x.n")).alias("db_id"), F.col("x.label").alias("pred_label"), F.col("x.best").alias("sim"))
 
-def nearest(sims: DataFrame) -> DataFrame:
-    """(query_id, db_id, pred_label, sim): the nearest database row, the smallest id of ties."""
-    best = sims.groupBy("query_id").agg(F.max(F.struct("sim", (-F.col("db_id")).alias("n"), "label")).alias("x"))
-    return best.select("query_id", (-F.col("x.n")).alias("db_id"), F.col("x.label").alias("pred_label"), F.col("x.sim").alias("sim"))
+
+def both_predicted(parts: DataFrame, k: int = 9, penalty: float = 0.03) -> DataFrame:
+    """(query_id, sim, pred_nearest, pred_topk): what nearest and class_topk predict, from one pass over class_parts."""
+    scored_ = parts.withColumn("score", class_score_of_top(k, penalty))
+    best = scored_.groupBy("query_id").agg(
+        F.max(F.struct("best", (-F.col("best_id")).alias("n"), "label")).alias("x"),
+        F.min_by("label", F.struct(-F.col("score"), "label")).alias("pred_topk"),
+    )
+    return best.select("query_id", F.col("x.best").alias("sim"), F.col("x.label").alias("pred_nearest"), "pred_topk")
+
+
+def class_score_of_top(k: int, penalty: float) -> Column:
+    top = F.slice("top", 1, k)
+    return F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / F.size(top) - penalty * F.log1p("size")
 
 
 def scored(predictions: DataFrame, truth: DataFrame, extra: DataFrame | None = None) -> DataFrame:
@@ -105,3 +200,14 @@ def embed_with(df: DataFrame, key: str, seq: str, provider: object, max_length:
                 yield pd.DataFrame({key: part[key].to_numpy(), "embedding": list(np.asarray(out, np.float32))})
 
     return df.select(key, seq).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, embedding array<float>")
+
+
+def hit_labels(hits: DataFrame, query_labels: DataFrame, db_labels: DataFrame) -> DataFrame:
+    """hits (qseqid, sseqid, ...) with true_label and pred_label, where both ids have a label; hits of unknown ids go.
+
+    query_labels (query_id, label) and db_labels (db_id, label) have one row an id (see abundance.last_wins). Which side is
+    broadcast is left to the optimizer, by size.
+    """
+    q = query_labels.select(F.col("query_id").alias("__q"), F.col("label").alias("true_label"))
+    d = db_labels.select(F.col("db_id").alias("__d"), F.col("label").alias("pred_label"))
+    return hits.join(q, F.col("qseqid") == F.col("__q")).join(d, F.col("sseqid") == F.col("__d")).drop("__q", "__d")

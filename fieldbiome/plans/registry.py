@@ -190,12 +190,12 @@ def keep_longest(spark, sf_dir):
     return selection.keep_longest(d, ["source", "lang"], "text", "doc_id").select("source", "lang", "doc_id", F.length("text").cast("long").alias("n"))
 
 
-@query("""WITH d AS (SELECT vec_id, label, vec_id % 7 = 0 AS present FROM embeddings WHERE vec_id % 2 = 0), s AS (SELECT label, count(*) AS size FROM embeddings WHERE vec_id % 7 = 0 GROUP BY 1),
+@query("""WITH d AS (SELECT vec_id, label, vec_id % 7 = 0 AS present FROM embeddings), s AS (SELECT label, count(*) AS size FROM embeddings WHERE vec_id % 7 = 0 GROUP BY 1),
 r AS (SELECT d.vec_id, d.label, d.present AS overlap, coalesce(size, 0) AS size, row_number() OVER (PARTITION BY d.label, present ORDER BY vec_id) AS k, row_number() OVER (PARTITION BY d.label ORDER BY present, vec_id) AS place FROM d LEFT JOIN s ON d.label = s.label)
 SELECT vec_id, label, overlap, CAST(place AS INT) AS place FROM r WHERE place <= 22 AND (NOT overlap OR k <= greatest(size - 4, 0))""")
 def same_source_split(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    chosen, _ = selection.same_source_split(e.where("vec_id % 2 = 0"), e.where("vec_id % 7 = 0"), "label", "vec_id", "vec_id", 22, 4)
+    chosen, _ = selection.same_source_split(e, e.where("vec_id % 7 = 0"), "label", "vec_id", "vec_id", 22, 4)
     return chosen.select("vec_id", "label", "overlap", "place")
 
 
@@ -223,18 +223,18 @@ _PER = f"{_SIMS}, {_NEAR}, {_TOPK}, p AS (SELECT n.*, pred_topk, CAST(pred_neare
 @query(f"WITH {_SIMS}, {_NEAR} SELECT query_id, db_id, pred_nearest AS pred_label, true_label, CAST(pred_nearest = true_label AS INT) AS correct FROM near")
 def knn_nearest(spark, sf_dir):
     q, _ = t.query_db(spark, sf_dir)
-    near = similarity.nearest(t.sims(spark, sf_dir))
+    near = similarity.nearest(t.parts(spark, sf_dir))
     return similarity.scored(near, q.select("query_id", "true_label")).select("query_id", "db_id", "pred_label", "true_label", "correct")
 
 
 @query(f"WITH {_SIMS} SELECT query_id, label, round(max(sim) - 0.03 * ln(1 + count(*)), 9) AS score FROM s GROUP BY ALL")
 def class_max(spark, sf_dir):
-    return similarity.class_scores(t.sims(spark, sf_dir), "class_max").withColumn("score", F.round("score", 9))
+    return similarity.class_scores(t.parts(spark, sf_dir), "class_max").withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {_SIMS}, {_TOPK} SELECT query_id, pred_topk AS pred_label FROM top")
 def class_topk(spark, sf_dir):
-    return similarity.predicted(similarity.class_scores(t.sims(spark, sf_dir), "class_topk"))
+    return similarity.predicted(similarity.class_scores(t.parts(spark, sf_dir), "class_topk"))
 
 
 @query("""WITH d AS (SELECT label, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id % 5 <> 0), u AS (SELECT label, unnest(b) / sqrt(list_dot_product(b, b)) AS x, unnest(range(len(b))) AS i FROM d),
@@ -305,11 +305,6 @@ def kmer_md5_embedding(spark, sf_dir):
     return sequence.md5_features(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("v", F.round("v", 9))
 
 
-@query()
-def kmer_crc_embedding(spark, sf_dir):
-    return sequence.crc_features(table(spark, sf_dir, "benchmark"), "item_id", "text")
-
-
 @query(r"SELECT item_id, '>' || item_id || chr(10) || rtrim(regexp_replace(" + _CLEAN + r", '(.{80})', '\1' || chr(10), 'g'), chr(10)) AS record FROM benchmark")
 def fasta_records(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
@@ -331,9 +326,9 @@ sp AS (SELECT id, cluster_id, CASE WHEN before < round_even((SELECT count(*) FRO
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where("embedding is not null")
-    s = similarity.pair_similarities(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("db_id"), F.col("embedding").alias("v"), "label"))
     ids = e.select(F.col("vec_id").alias("id"))
-    pairs = s.where("query_id < db_id").select("query_id", F.col("db_id").alias("subject_id"), (100 * F.col("sim")).alias("pident"))
+    over = similarity.pairs_over(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.4)
+    pairs = over.select(F.col("a").alias("query_id"), F.col("b").alias("subject_id"), (100 * F.col("sim")).alias("pident"))
     return graph.clusters(ids, graph.identity_edges(pairs, ids, 40.0))
 
 
@@ -415,13 +410,6 @@ def granger_f(spark, sf_dir):
     return spark.createDataFrame([(round(out["f"], 6), out["n"])], "f double, nobs long")
 
 
-@query()
-def lag_model_table(spark, sf_dir):
-    fits = linear.lag_models(t.panel(spark, sf_dir))
-    rows = [(k, float(f["r2"]), float(f["adj_r2"]), int(f["n"]), f["n"] < 30) for k, f in fits.items() if "r2" in f]
-    return spark.createDataFrame(rows, "model string, r_squared double, adjusted_r_squared double, n long, proof_of_concept boolean")
-
-
 _DID = """o AS (SELECT CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INT) AS g, CAST(o_orderdate >= TIMESTAMP '1998-07-01' AS INT) AS t, o_totalprice AS y FROM orders),
 c AS (SELECT g, t, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS ss FROM o GROUP BY ALL),
 w AS (SELECT max(m) FILTER (g = 0 AND t = 0) AS m00, max(m) FILTER (g = 0 AND t = 1) AS m01, max(m) FILTER (g = 1 AND t = 0) AS m10, max(m) FILTER (g = 1 AND t = 1) AS m11, {v}, CAST(sum(n) AS BIGINT) AS n FROM c)
@@ -470,7 +458,7 @@ def oversample_bins(spark, sf_dir):
 
 @query()
 def rf_metrics(spark, sf_dir):
-    return learn.forest_metrics(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", trees=60)
+    return learn.forest_metrics(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
 
 
 @query()

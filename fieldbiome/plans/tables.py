@@ -55,17 +55,15 @@ def query_db(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return q, e.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("db_id"), F.col("embedding").alias("v"), "label")
 
 
-def sims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, d = query_db(spark, sf_dir)
-    return similarity.pair_similarities(q.select("query_id", "v"), d)
+    return similarity.class_parts(q.select("query_id", "v"), d)
 
 
 def per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, pident, true_label, nearest and class_max predictions, and whether they are right)."""
+    """(query_id, pident, true_label, nearest and class_topk predictions, and whether they are right), from one pass over the pairs."""
     q, _ = query_db(spark, sf_dir)
-    s = sims(spark, sf_dir)
-    near = similarity.nearest(s).select("query_id", F.round(100 * F.col("sim"), 6).alias("pident"), F.col("pred_label").alias("pred_nearest"))
-    top = similarity.predicted(similarity.class_scores(s, "class_topk")).withColumnRenamed("pred_label", "pred_topk")
-    out = near.join(top, "query_id").join(q.select("query_id", "true_label"), "query_id")
+    both = similarity.both_predicted(parts(spark, sf_dir)).withColumn("pident", F.round(100 * F.col("sim"), 6))
+    out = both.join(q.select("query_id", "true_label"), "query_id")
     right = lambda c: (F.col(c) == F.col("true_label")).cast("int")
-    return out.withColumn("nearest_ok", right("pred_nearest")).withColumn("topk_ok", right("pred_topk"))
+    return out.select("query_id", "pident", "true_label", "pred_nearest", "pred_topk", right("pred_nearest").alias("nearest_ok"), right("pred_topk").alias("topk_ok"))
