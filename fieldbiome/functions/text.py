@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldbiome.functions.coerce import blank_to_null, first_non_blank
+from fieldbiome.functions.coerce import blank_to_null, first_non_blank, fixed
 
 # Keywords of the environments and treatment hints, in the order in which they are tried.
 ENVIRONMENT_WORDS = {
@@ -109,10 +109,22 @@ def any_contains(columns: list[Column], token: str) -> Column:
     return out
 
 
-def panel_title(study: Column) -> Column:
-    """'Study X' for names such as studyX; other names stay."""
-    x = F.regexp_extract(study, "(?i)study([A-Za-z0-9]+)", 1)
-    return F.when(x != "", F.concat(F.lit("Study "), x)).otherwise(study)
+def panel_title(study: Column, label: Column | None = None) -> Column:
+    """'Study X' for names that are study and an id, other names as they are; with a label, ': label' after it."""
+    x = F.regexp_extract(F.trim(study), "^(?i:study)([A-Za-z0-9]+)$", 1)
+    title = F.when(x != "", F.concat(F.lit("Study "), F.upper(x))).otherwise(study)
+    return title if label is None else F.concat(title, F.lit(": "), label)
+
+
+def panel_note(n: Column, mge_start: Column, arg_start: Column, mge_word: Column, arg_word: Column) -> Column:
+    """A panel's note: start values (two and one decimals, NA for null), directions, and the number of points."""
+    start = lambda x, places: fixed(x, places)
+    parts = [
+        F.concat(F.lit("Start values: MGE="), start(mge_start, 2), F.lit(", ARG="), start(arg_start, 1)),
+        F.concat(F.lit("Direction over time: MGE="), mge_word, F.lit(", ARG="), arg_word),
+        F.concat(F.lit("n="), n.cast("string")),
+    ]
+    return F.concat_ws(" | ", *parts)
 
 
 def collection_date(*sources: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import posixpath
 import tarfile
@@ -29,7 +30,7 @@ def csv_strings(spark: SparkSession, path: str, columns: list[str] | None = None
 
 def csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     """A file with a header and inferred types; NA, nan and blanks are null."""
-    df = spark.read.option("header", True).option("inferSchema", True).option("nullValue", "NA").csv(path)
+    df = spark.read.option("header", True).option("inferSchema", True).option("nullValue", "NA").option("nanValue", "nan").csv(path)
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
@@ -72,11 +73,17 @@ def sample_files(spark: SparkSession, paths: str) -> DataFrame:
     return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("sample_id")).agg(F.max("path").alias("path"))
 
 
-def blast_hits(spark: SparkSession, path: str, columns: tuple[str, ...] = ("qseqid", "sseqid", "pident")) -> DataFrame:
-    """Positional hit columns; further ones are ignored. Numbers where a name is one of the numeric ones."""
+def blast_hits(spark: SparkSession, path: str, columns: tuple[str, ...] = ("qseqid", "sseqid", "pident"), strict: bool = False) -> DataFrame:
+    """Positional hit columns, as numbers where a name is one of the numeric ones. Further fields are ignored; strict: a line with
+    another number of fields raises when it is read. Without strict, lines with fewer fields are skipped."""
     fields = F.split(F.regexp_replace("value", "\r$", ""), "\t")
     numeric = {"pident", "bitscore", "evalue", "length", "qcov"}
-    rows = spark.read.text(path).where(F.trim("value") != "").select(fields.alias("f")).where(F.size("f") >= len(columns))
+    rows = spark.read.text(path).where(F.trim("value") != "").select(fields.alias("f"))
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit(f"a hit line has not {len(columns)} fields: "), F.array_join("f", " ")))
+        rows = rows.select(F.when(F.size("f") == len(columns), F.col("f")).otherwise(F.split(wrong.cast("string"), "\t")).alias("f"))
+    else:
+        rows = rows.where(F.size("f") >= len(columns))
     return rows.select(*[F.col("f")[k].try_cast("double").alias(c) if c in numeric else F.col("f")[k].alias(c) for k, c in enumerate(columns)])
 
 
@@ -197,8 +204,24 @@ def sample_attributes(df: DataFrame, xml: str) -> DataFrame:
 
 
 def runinfo(df: DataFrame, text: str) -> DataFrame:
-    """Rows of run tables held as CSV text in a column: (Run, fields as a map). Blank lines go."""
-    lines = F.filter(F.split(F.regexp_replace(text, "\r", ""), "\n"), lambda x: F.trim(x) != "")
-    rows = df.select(F.get(lines, F.lit(0)).alias("head"), F.explode(F.slice(lines, 2, 1 << 30)).alias("line"))
-    fields = rows.select(F.map_from_arrays(F.split("head", ","), F.transform(F.sequence(F.lit(0), F.size(F.split("head", ",")) - 1), lambda i: F.coalesce(F.get(F.split("line", ","), i), F.lit("")))).alias("fields"))
-    return fields.select(F.col("fields")["Run"].alias("run"), "fields").where("trim(run) <> ''")
+    """Rows of run tables held as CSV text in a column: (run, fields as a map). Quoted fields may hold commas, quotes and line ends;
+    blank lines go; fields that a line lacks are empty, further ones are dropped."""
+    schema = "run string, fields map<string,string>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for content in batch["text"].dropna():
+                lines = (r for r in csv.reader(io.StringIO(content.replace("\r\n", "\n"))) if any(x.strip() for x in r))
+                head = next(lines, [])
+                rows += [dict(zip(head, r + [""] * len(head), strict=False)) for r in lines]
+            rows = [r for r in rows if r.get("Run", "").strip()]
+            yield pd.DataFrame({"run": [r["Run"].strip() for r in rows], "fields": rows}, columns=["run", "fields"], dtype=object)
+
+    return df.select(F.col(text).alias("text")).mapInPandas(run, schema)
+
+
+def later_wins(rows: DataFrame, key: str, batch: str) -> DataFrame:
+    """One row for each key of batched results: the one of the last batch that has it."""
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(batch)).alias("x")).select(key, *[F.col(f"x.{c}").alias(c) for c in others])

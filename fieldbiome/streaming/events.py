@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fieldbiome.operators.selection import upsert
+from fieldbiome.functions.scratch import folders, remove
 
 
 def windowed(events: DataFrame, width: str, late: str = "1 day") -> DataFrame:
@@ -30,17 +30,38 @@ def first_seen(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return events.dropDuplicates([key])
 
 
-def upserted(stream: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a Parquet table of the latest row for each key: each micro-batch is upserted into the version before it."""
+def upserted(stream: DataFrame, path: str, key: str, checkpoint: str, order: str | None = None, keep: int = 2) -> StreamingQuery:
+    """Keeps a Parquet table of the latest row for each key: each micro-batch is put into the newest version before it.
+
+    Latest is by the column `order` (the largest value; of ties, and without order, the largest row). Version k is the folder
+    v=k; a batch that runs again writes its own version anew. Versions but the newest `keep` are removed.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
-        where = f"{path}/v={number}"
-        old = f"{path}/v={number - 1}"
-        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
-        exists = number > 0 and jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
-        merged = upsert(spark.read.parquet(old), rows, key) if exists else rows
-        merged.write.mode("overwrite").parquet(where)
+        others = [c for c in batch.columns if c != key]
+        by = F.struct(*([order] if order else []), *others)
+        rows = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(by.alias("by"), F.struct(*others).alias("row"))).alias("x"))
+        rows = rows.select(*[F.col(key) if c == key else F.col(f"x.row.{c}").alias(c) for c in batch.columns])
+        versions = sorted(int(f[2:]) for f in folders(spark, path) if f.startswith("v=") and f[2:].isdigit())
+        before = [v for v in versions if v < number]
+        if before:
+            old = spark.read.parquet(f"{path}/v={before[-1]}")
+            if order:  # a late event doesn't put a later one back
+                both = old.unionByName(rows).groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("x"))
+                rows = both.select(*[F.col(key) if c == key else F.col(f"x.{c}").alias(c) for c in batch.columns])
+            else:
+                rows = old.join(rows.select(key), key, "left_anti").select(*batch.columns).unionByName(rows)
+        rows.write.mode("overwrite").parquet(f"{path}/v={number}")
+        for v in [*before, number][:-keep]:
+            remove(spark, f"{path}/v={v}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table that upserted() keeps."""
+    versions = [int(f[2:]) for f in folders(spark, path) if f.startswith("v=") and f[2:].isdigit()]
+    if not versions:
+        raise ValueError(f"no version in {path}")
+    return spark.read.parquet(f"{path}/v={max(versions)}")
