@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldbiome.functions import coerce, text
 from fieldbiome.functions.settings import Bins, edges_of, lengths_of, rates_of
-from fieldbiome.operators import abundance, augment, graph, linear, metrics, panel, selection, sequence, similarity
+from fieldbiome.operators import abundance, augment, cohort, graph, learn, linear, metrics, panel, ranking, selection, sequence, similarity
 from fieldbiome.sources import readers, web, writers
 from fieldbiome.streaming import events
 
@@ -138,17 +138,74 @@ def test_mutation_is_seeded(spark):
 def test_predictors_and_ties(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "query_id long, v array<double>")
     d = spark.createDataFrame([(5, [2.0, 0.0], 1), (4, [3.0, 0.0], 2), (6, [0.0, 1.0], 1)], "db_id long, v array<double>, label int")
-    s = similarity.pair_similarities(q, d, blocks=3)
-    assert s.count() == 6
+    assert similarity.pair_similarities(q, d, block_rows=1).count() == 6
+    s = similarity.class_parts(q, d, k=1, block_rows=1)
     near = {r["query_id"]: (r["db_id"], r["sim"]) for r in similarity.nearest(s).collect()}
     assert near == {1: (4, 1.0), 2: (4, 0.0)}
     top = {(r["query_id"], r["label"]): r["score"] for r in similarity.class_scores(s, "class_topk", k=1, penalty=0.0).collect()}
     assert top[(1, 1)] == 1.0 and top[(1, 2)] == 1.0
     assert {r["query_id"]: r["pred_label"] for r in similarity.predicted(similarity.class_scores(s, "class_topk", 1, 0.0)).collect()} == {1: 1, 2: 1}
+    both = {r["query_id"]: (r["pred_nearest"], r["pred_topk"]) for r in similarity.both_predicted(s, 1, 0.0).collect()}
+    assert both == {1: (2, 1), 2: (2, 1)}
     c = {(r["query_id"], r["label"]): r["score"] for r in similarity.centroid_scores(q, d, 0.0).collect()}
     assert abs(c[(1, 1)] - math.sqrt(0.5)) < 1e-9
 
 
+def test_blocks_give_what_all_pairs_give(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 6))
+    x[7] = x[3]
+    x[9] = 0
+    rows = [(k, v.tolist(), int(k % 4)) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    q, d = df.where("id < 15").select(F.col("id").alias("query_id"), "v"), df.select(F.col("id").alias("db_id"), "v", "label")
+    unit = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)
+    sims = unit @ unit.T
+    for block_rows in (7, 1000):
+        parts = {(r["query_id"], r["label"]): r for r in similarity.class_parts(q, d, 5, block_rows).collect()}
+        assert len(parts) == 60
+        for (i, label), r in parts.items():
+            at = np.arange(label, 60, 4)
+            assert r["size"] == 15 and np.allclose(r["top"], np.sort(sims[i, at])[::-1][:5]) and r["best_id"] == at[np.argmax(np.round(sims[i, at], 12))]
+        got = {(r["a"], r["b"]) for r in similarity.pairs_over(df.select("id", "v"), 0.5, block_rows).collect()}
+        assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if sims[i, j] >= 0.5}
+    one = df.where("id in (3, 9)").select("v").collect()
+    assert {r[0] for r in df.where("id = 9").select(similarity.cosine(F.col("v"), F.col("v")), similarity.cosine(F.col("v"), F.col("v"), -1.0)).collect()} == {0.0} and len(one) == 2
+    assert similarity.class_parts(q.limit(0), d).count() == 0 and similarity.pairs_over(df.limit(0).select("id", "v"), 0.5).count() == 0
+
+
+def test_vectors_from_a_provider(spark):
+    df = spark.createDataFrame([("a", "MKV"), ("b", "AC")], "id string, seq string")
+    got = {r["id"]: r["embedding"] for r in similarity.embed_with(df, "id", "seq", lambda: lambda texts: np.array([[len(t), t.count(" ")] for t in texts]), max_length=2).collect()}
+    assert got == {"a": [3.0, 1.0], "b": [3.0, 1.0]}
+
+
+def test_places_over_ranges(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(1000), k) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, v int, k int").repartition(5)
+    got = {r["k"]: r["place"] for r in ranking.placed(df, [F.desc("v"), F.col("k")], ["g"]).collect()}
+    for g in ("a", "b", None):
+        mine = sorted(((-v, k) for x, v, k in rows if x == g))
+        assert [got[k] for _, k in mine] == list(range(1, len(mine) + 1))
+    total, before = 0, {r["k"]: r["s"] for r in ranking.running_before(df, [F.col("k")], "v", "s").collect()}
+    for _, v, k in rows:
+        assert before[k] == total
+        total += v
+    top = {r["k"]: r["place"] for r in ranking.top_of(df, [F.col("v"), F.col("k")], ["g"], 3, ["k"], shares=4).collect()}
+    assert top == {k: p for g in ("a", "b", None) for p, (_, k) in enumerate(sorted((v, k) for x, v, k in rows if x == g)[:3], 1)}
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", float(v)) for v in rng.normal(size=3000)] + [("b", 1.0)] * 10 + [("c", 2.0), ("c", 5.0), (None, 3.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["q"] for r in abundance.exact_quantiles(df, "g", "v", [0.25, 0.5, 0.75], accuracy=50).collect()}
+    for g in ("a", "b", "c", None):
+        assert np.allclose(got[g], np.quantile([v for x, v in rows if x == g], [0.25, 0.5, 0.75]))
+    assert "d" not in got
+
+
 def test_clusters_of_chains_and_cycles(spark):
     ids = [f"n{k:02d}" for k in range(20)]
     pairs = [(ids[k], ids[k + 1], 80.0) for k in range(9)] + [("n12", "n13", 90.0), ("n13", "n14", 70.0), ("n14", "n12", 70.0), ("n01", "zz", 99.0), ("n15", "n16", 69.9)]
@@ -189,6 +246,53 @@ def test_published_did(spark):
     assert np.allclose(robust["se"], [r["std_err"] for r in sorted(linear.did(df, robust=True).collect(), key=lambda r: fit["names"].index(r["term"]))])
 
 
+def test_did_table_and_summary_of_the_published_model(spark):
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(COHORT)], "treatment int, time int, y double, k int")
+    got = {r["term"]: r for r in linear.did_table(df).collect()}
+    x = got["treatment:time"]
+    assert (round(x["t"], 3), round(x["p_value"], 5), round(x["r2"], 3), round(x["adj_r2"], 3), x["nobs"]) == (1.835, 0.09145, 0.432, 0.290, 16)
+    assert np.allclose([x["ci_low"], x["ci_high"]], [-3.06e11, 3.57e12], rtol=5e-3)
+    logged = {r["term"]: r["coef"] for r in linear.did_table(df, log_outcome=True).collect()}
+    assert abs(logged["Intercept"] - np.mean([math.log1p(y) for g, t, y in COHORT if g == t == 0])) < 1e-9
+    with pytest.raises(Exception, match="negative"):
+        linear.did_table(df.withColumn("y", -F.col("y")), log_outcome=True)
+    t, g = F.col("treatment"), F.col("time")
+    rows, names = linear.design(df, {"treatment": t, "time": g, "treatment:time": t * g}, [], F.col("y"), ["k"])
+    fit = linear.ols(rows, names)
+    # The published summary of this model (its rows are in another order there, which only moves Durbin-Watson).
+    extras = linear.summary_extras(rows, fit, "k")
+    want = {"omnibus": 2.906, "omnibus_p": 0.234, "skew": 0.423, "kurtosis": 3.856, "durbin_watson": 1.742, "jarque_bera": 0.967, "jb_p": 0.617, "condition": 9.89, "f": 3.047, "f_p": 0.0701, "loglik": -458.33, "aic": 924.7, "bic": 927.7}
+    assert all(abs(extras[c] - v) <= 0.51 * 10 ** -len(str(v).partition(".")[2]) for c, v in want.items()), extras
+    assert "Durbin-Watson: 1.742" in writers.model_summary(fit, "DiD", extras)
+
+
+def test_demeaned_equals_dummies(spark, study):
+    rows = linear.demeaned(panel.lagged(study).where("arg_t1 is not null"), "study", ["mge_abundance", "arg_t1"])
+    slope = linear.simple_regression(rows, "arg_t1", "mge_abundance").first()["slope"]
+    fit = linear.ols(*linear.design(panel.lagged(study), {"m": F.col("mge_abundance")}, ["study"], F.col("arg_t1")))
+    assert abs(slope - fit["coef"][1]) < 1e-9
+
+
+def test_components_of_variance_equal_numpy(spark):
+    x = np.random.default_rng(3).normal(size=(40, 5)) * [5, 3, 1, 1, 1]
+    got = learn.pca_2d(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>"), "id", "v").orderBy("id").collect()
+    c = x - x.mean(0)
+    u, s, v = np.linalg.svd(c, full_matrices=False)
+    sign = np.sign(v[np.arange(2), np.abs(v[:2]).argmax(1)])
+    assert np.allclose([[r["pc1"], r["pc2"]] for r in got], (u * s)[:, :2] * sign, atol=1e-9)
+
+
+def test_forest_learns_and_needs_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, (rng.normal(size=4) + 3 * (k % 2)).tolist()) for k in range(60)]
+    v = spark.createDataFrame(rows, "row_index long, embedding array<double>")
+    labels = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(60)] + [(99, "a"), (3, " ")], "row_index long, label string")
+    known = learn.labelled(v, labels)
+    assert known.count() == 60 and learn.forest_metrics(known, "row_index", "embedding", "label", trees=20).first()["f1"] > 0.9
+    with pytest.raises(ValueError):
+        learn.labelled(v.limit(5), labels)
+
+
 def test_anova_balanced_sums(spark):
     rng = np.random.default_rng(0)
     rows = [(a, b, float(rng.normal() + (a == "x") * 2 + (b == "u"))) for a in "xyz" for b in "uv" for _ in range(5)]
@@ -203,6 +307,13 @@ def test_distributions():
     assert abs(linear.f_upper(4.0, 1, 12) - linear.t_two_sided(2.0, 12)) < 1e-12
 
 
+def test_depth_filter_raises_if_nothing_is_left(spark):
+    m = spark.createDataFrame([("a", "564K"), ("b", "10"), ("c", "x")], "sample_id string, read_count string")
+    assert rows_of(cohort.deep_enough(m, 1000)) == [("a", 564000)]
+    with pytest.raises(Exception, match="no sample has 1000000 reads"):
+        cohort.deep_enough(m, 1_000_000).select("sample_id").collect()
+
+
 def test_trends_and_ranks(spark, study):
     assert {r["word"] for r in panel.trends(study, "arg_total").collect()} == {"up"}
     assert [(r["study"], r["label"].split()[0]) for r in panel.baseline_ranks(study, "arg_total").orderBy("rank").collect()] == [("studyB", "lowest"), ("studyA", "middle"), ("studyC", "highest")]
@@ -218,6 +329,13 @@ def test_selection(spark):
     assert rows_of(selection.quota_shortfall(taken, "env", targets)) == [("soil", 3, 1, 2)]
     old = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "method string, f1 double")
     assert sorted(rows_of(selection.upsert(old, spark.createDataFrame([("b", 3.0), (" ", 4.0), ("c", 5.0)], "method string, f1 double"), "method"))) == [("a", 1.0), ("b", 3.0), ("c", 5.0)]
+    table = spark.createDataFrame([("a", 1.0, 0), ("b", 2.0, 1), ("c", 3.0, 2)], "method string, f1 double, o int")
+    put = spark.createDataFrame([("z", 9.0, 0), ("b", 5.0, 1), ("y", 8.0, 2)], "method string, f1 double, o int")
+    assert [(r["method"], r["f1"]) for r in selection.upsert(table, put, "method", "o").orderBy("o").collect()] == [("a", 1.0), ("b", 5.0), ("c", 3.0), ("z", 9.0), ("y", 8.0)]
+    one = spark.createDataFrame([("i", "AC", 0), ("j", "G", 1)], "id string, seq string, ord int")
+    two = spark.createDataFrame([("i", "GT", 0), ("j", "GGG", 1), ("k", "", 2)], "id string, seq string, ord int")
+    assert {(r["id"], r["seq"]) for r in selection.merged_longest(one, two, ["id"], "seq").collect()} == {("i", "AC"), ("j", "GGG"), ("k", "")}
+    assert [r["run"] for r in selection.head_by(df, [F.desc("o")], 2).collect()] == ["r3", "r2"]
     split = selection.stratified_split(spark.range(50).withColumn("label", F.col("id") % 5), "label", "id", 0.2)
     assert {r["n"] for r in split.where("in_test").groupBy("label").agg(F.count("*").alias("n")).collect()} == {2}
 
@@ -265,8 +383,43 @@ def test_sources_and_sinks(spark, tmp_path):
     assert web.batches(list("abcde"), 2) == [["a", "b"], ["c", "d"], ["e"]]
     xml = spark.createDataFrame([('<B><Attribute attribute_name="Geo">  x </Attribute><Attribute attribute_name="geo">y</Attribute></B>',)], "x string")
     assert readers.sample_attributes(xml, "x").first()["attributes"] == {"geo": "x"}
-    run = spark.createDataFrame([("Run,Size\nR1,5\n\nR2,6\n",)], "t string")
-    assert {r["run"] for r in readers.runinfo(run, "t").collect()} == {"R1", "R2"}
+    run = spark.createDataFrame([("Run,Size\nR1,5\n\nR2,6\n",), ('Run,Title,Size\r\nR3,"a, ""b""\r\nc",7\r\n ,x,8\r\nR4,y\r\n',), (None,)], "t string")
+    got = {r["run"]: r["fields"] for r in readers.runinfo(run, "t").collect()}
+    assert set(got) == {"R1", "R2", "R3", "R4"} and got["R3"]["Title"] == 'a, "b"\nc' and got["R3"]["Size"] == "7" and got["R4"]["Size"] == ""
+    (tmp_path / "b.tsv").write_text("q\ts\t99.5\nq2\ts\t1\textra\n\n")
+    assert rows_of(readers.blast_hits(spark, f"{tmp_path}/b.tsv")) == [("q", "s", 99.5), ("q2", "s", 1.0)]
+    with pytest.raises(Exception, match="has not 3 fields"):
+        readers.blast_hits(spark, f"{tmp_path}/b.tsv", strict=True).collect()
+    (tmp_path / "i.csv").write_text("id,v,w\n1,NA,2.5\n2,nan,\n")
+    assert rows_of(readers.csv_inferred(spark, f"{tmp_path}/i.csv")) == [(1, None, 2.5), (2, None, None)]
+    assert rows_of(readers.first_column(spark, f"{tmp_path}/i.csv")) == [("1",), ("2",)]
+    writers.npy(spark.createDataFrame([(1, [3.0, 4.0]), (0, [1.0, 2.0])], "row_index long, embedding array<double>"), f"{tmp_path}/out.npy")
+    assert np.load(tmp_path / "out.npy").tolist() == [[1, 2], [3, 4]]
+    with pytest.raises(ValueError):
+        writers.npy(spark.createDataFrame([(1, [3.0])] * 3, "row_index long, embedding array<double>"), f"{tmp_path}/no.npy", most_rows=2)
+    assert not writers.empty_notice(counts, f"{tmp_path}/notice") and writers.empty_notice(counts.limit(0), f"{tmp_path}/notice", "none")
+    long_ = abundance.long_of_wide(spark.createDataFrame([("s", 1, 0)], "Sample string, g1 int, g2 int"), abundance.sample_column(["x", "Sample"]))
+    assert sorted(rows_of(long_)) == [("s", "g1", 1), ("s", "g2", 0)]
+
+
+def test_web_errors_warn_and_waits_grow(monkeypatch):
+    import urllib.error
+
+    waits, tries = [], []
+    monkeypatch.setattr(web.time, "sleep", waits.append)
+
+    def refuse(url, timeout):
+        tries.append(url)
+        raise urllib.error.HTTPError(url, 429 if len(tries) < 9 else 500, "no", {}, None)
+
+    monkeypatch.setattr(web.urllib.request, "urlopen", refuse)
+    with pytest.raises(urllib.error.HTTPError):
+        web.get("u")
+    assert len(tries) == 5 and waits == [1.5, 3.0, 4.5, 6.0]
+    tries += ["x"] * 5
+    with pytest.warns(UserWarning):
+        assert web.or_nothing(web.get, "u") == ""
+    assert len(tries) == 11
 
 
 def test_streams(spark, tmp_path):
@@ -279,3 +432,20 @@ def test_streams(spark, tmp_path):
     u = events.upserted(stream.select("user_id", "value"), f"{tmp_path}/t", "user_id", f"{tmp_path}/c")
     u.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/t/v=0").count() == 2
+
+
+def test_keyed_upserts_keep_the_latest(spark, tmp_path):
+    schema = "k string, v int, ts int"
+    for n, rows in enumerate([[("a", 1, 10), ("a", 2, 12), ("b", 3, 5)], [("a", 9, 11), ("c", 4, 1)], [("b", 7, 6)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        events.upserted(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/t", "k", f"{tmp_path}/c", "ts").awaitTermination(60)
+    got = {r["k"]: r["v"] for r in events.newest(spark, f"{tmp_path}/t").collect()}
+    assert got == {"a": 2, "b": 7, "c": 4}  # the late event of a doesn't put the later one back
+    assert len(list((tmp_path / "t").glob("v=*"))) == 2
+
+
+def test_sessions_and_first_events(spark):
+    rows = [(1, 7, "2024-01-01 10:00:00"), (2, 7, "2024-01-01 10:20:00"), (3, 7, "2024-01-01 12:00:00"), (4, 8, "2024-01-01 10:00:00")]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, t string").withColumn("ts", F.to_timestamp("t"))
+    assert sorted((r["user_id"], r["n"]) for r in events.sessions(df).collect()) == [(7, 1), (7, 2), (8, 1)]
+    assert events.first_seen(df, "user_id").count() == 2
