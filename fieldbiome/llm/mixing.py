@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbiome.llm.common import cut, words_of
+from fieldbiome.llm.common import cut, free_name, words_of
 
 #: Bits of the hash that each level of histograms splits by: 3 x 12 bits leave under one document in 10^10 a bucket.
 LEVELS = (12, 12, 12)
@@ -95,6 +95,7 @@ def take(docs: DataFrame, **options: object) -> DataFrame:
 
     Rows of docs with one doc_id get what that id gets (the first of them by size, if they differ).
     """
-    chosen = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    taken = docs.join(chosen.withColumnRenamed("doc_id", "__id"), docs["doc_id"].eqNullSafe(F.col("__id")))
-    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    d, n = free_name(docs, "__id"), free_name(docs, "__copies")
+    chosen = mix(docs, **options).groupBy(F.col("doc_id").alias(d)).agg(F.max("copies").alias(n)).where(F.col(n) > 0)
+    taken = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[d]))
+    return taken.withColumn(n, F.explode(F.sequence(F.lit(1), chosen[n]))).select(*[docs[c] for c in docs.columns])

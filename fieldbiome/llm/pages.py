@@ -53,7 +53,7 @@ OTHER_LAST = frozenset(
 )
 OTHER_WHOLE = OTHER_LAST | frozenset("header notice notices alert legal disclaimer copyright login respond discussion overlay sponsored promotion subscription topbar pager toc gdpr advertising".split())
 #: Words that say nothing about what an element is, and words before a name that turn its sense.
-FILLER = frozenset("box block area section container wrapper wrap inner outer list item items left right top bottom primary secondary site page the bar links buttons form col column row panel".split())
+FILLER = frozenset("box block area section container wrapper wrap inner outer list item items left right top bottom primary secondary site page the bar links buttons form col column row panel posts articles stories".split())
 TURNS = frozenset("has no not with without is show hide hidden enable enabled disable disabled".split())
 #: A name of an article's own parts.
 OWN = frozenset("article content story post entry main text body".split())

@@ -265,7 +265,7 @@ class Field:
         self.index: dict[str, int] = {}
         rng = np.random.default_rng(seed)
         chains = [self._example(line, rng) for _ in range(6) for line in TRAINING.strip().split("\n")]
-        rows = [[self._ids(tokens, k) for k in range(len(tokens))] for tokens, _ in chains]
+        rows = [[self._ids(tokens, k, True) for k in range(len(tokens))] for tokens, _ in chains]
         n, m = len(LABELS), len(self.index)
         w, t = np.zeros((m, n)), np.zeros((n, n))
         gw, gt = np.zeros_like(w), np.zeros_like(t)  # squared gradients (Adagrad)
@@ -315,15 +315,17 @@ class Field:
         tags = [next((k for k, a, b in spans if m.start() < b and m.end() > a), 0) for m in tokens]
         return [m[0] for m in tokens], np.array(tags)
 
-    def _ids(self, tokens: list[str], k: int) -> list[int]:
-        """The features of a token of a training line; new ones get a number."""
+    def _ids(self, tokens: list[str], k: int, learn: bool = False) -> list[int]:
+        """The numbers of a token's features; in learning, new ones get one, else they are left out."""
         names = []
         for offset in AROUND:
             if 0 <= k + offset < len(tokens):
                 names += _seen_from(offset, token_features(tokens[k + offset]))
             elif abs(offset) == 1:
                 names.append(f"{offset:+d}none")
-        return [self.index.setdefault(f, len(self.index)) for f in names]
+        if learn:
+            return [self.index.setdefault(f, len(self.index)) for f in names]
+        return [self.index[f] for f in names if f in self.index]
 
     @staticmethod
     def _marginals(e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
