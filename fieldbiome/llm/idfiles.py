@@ -3,7 +3,8 @@
 Documents are put in ascending doc_id order by a range partitioning; each partition's ids (with an end id after each document) are
 cut into shards of whole documents. A shard's ids are compressed by Re-Pair: the most frequent pairs of neighbours are replaced
 by new nonterminals, round after round, until no pair is found LEAST_COUNT times. A shard is one row of a Parquet table: so files live wherever Spark
-writes, a commit is atomic, and a lost task is just written again. Its payload:
+writes, a commit is atomic, and a lost task is just written again. The row also says how many ids its part holds before it. Its
+payload:
 
     magic "RP01", then little-endian uint32: first nonterminal, rules, symbols, documents, id bound
     rules x (left, right) uint32 | rules expansion lengths uint32 | document lengths uint32 | symbols, uint16 or uint32
@@ -17,15 +18,20 @@ text. An empty table writes no shards and reads back no rows. Extra columns aren
 
 from __future__ import annotations
 
+import array
+import json
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +41,10 @@ from fieldbiome.llm.common import new_path
 SHARD_IDS = 1 << 20
 RULES_A_ROUND, LEAST_COUNT = 4096, 8
 STRIDE = 1024
-#: Words that each of a worker's two memories holds.
-REMEMBERED = 700_000
+#: Parts of a file set whose starts are broadcast (16 bytes each); those of more are joined without.
+BROADCAST_PARTS = 1 << 18
+#: Words that a worker's memory holds, and characters that are encoded at once.
+REMEMBERED, CHARS = 1_000_000, 12_000_000
 
 
 # ---- Re-Pair
@@ -47,90 +55,109 @@ def compress(ids: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
 
     A round takes the pairs of the most counts (at most RULES_A_ROUND, each found LEAST_COUNT times or more) and replaces
     them left to right; where pairs overlap, the first stands. Pairs are counted exactly over the whole shard, and rounds
-    go on until none is found LEAST_COUNT times.
+    go on until none is found LEAST_COUNT times. After a round that took every such pair, only pairs with one of its new
+    symbols can be found so often: all others were rarer before and lose places only. So just these are counted next.
     """
-    seq, rules = ids.astype(np.uint64), []
+    seq, rules = ids.astype(np.uint32), []
     first, half, low = bound, np.uint64(32), np.uint64((1 << 32) - 1)
-    while len(seq) >= 2 * LEAST_COUNT:
-        key = seq[:-1] << half | seq[1:]
-        at = np.flatnonzero(seq[:-1] == seq[1:])  # of a run of one symbol, every second pair counts
-        if len(at):
-            apart = np.ones(len(key), bool)
-            apart[at[~_every_second(at)]] = False
-            spots = np.flatnonzero(apart)
-        else:
-            spots = np.arange(len(key))
-        key = key[spots]
-        ordered = np.sort(key)
+    spots = None  # the places of the pairs to count; None: all
+    while len(seq) > 1 and (spots is None or len(spots) >= LEAST_COUNT):
+        left, right = (seq[:-1], seq[1:]) if spots is None else (seq[spots], seq[spots + 1])
+        twins = np.flatnonzero(left == right)  # of a run of one symbol, every second pair counts
+        if len(twins):
+            apart = np.ones(len(left), bool)
+            apart[twins[~_every_second(twins if spots is None else spots[twins])]] = False
+            spots = np.flatnonzero(apart) if spots is None else spots[apart]
+            left, right = left[apart], right[apart]
+        ordered = left.astype(np.uint64) << half | right
+        ordered.sort()
         edges = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])
         counts = np.diff(edges)
         often = np.flatnonzero(counts >= LEAST_COUNT)
         if not len(often):
             break
-        if len(often) > RULES_A_ROUND:
-            often = np.sort(often[np.argsort(-counts[often], kind="stable")[:RULES_A_ROUND]])
-        pairs = ordered[edges[often]]
-        # Only symbols that start and end a chosen pair need the search.
-        starts, ends = np.zeros(first, bool), np.zeros(first, bool)
-        starts[pairs >> half], ends[pairs & low] = True, True
-        maybe = np.flatnonzero(starts[key >> half] & ends[key & low])
-        rule = np.minimum(np.searchsorted(pairs, key[maybe]), len(pairs) - 1)
-        own = pairs[rule] == key[maybe]
-        places, rule = spots[maybe[own]], rule[own]
+        if all_taken := len(often) <= RULES_A_ROUND:
+            pairs = ordered[edges[often]]
+        else:
+            pairs = ordered[edges[np.sort(often[np.argsort(-counts[often], kind="stable")[:RULES_A_ROUND]])]]
+        # Pairs find their rule in a table of the symbols that start and that end a chosen pair, 0 for all others.
+        a, b = (pairs >> half).astype(np.int64), (pairs & low).astype(np.int64)
+        heads, a = np.unique(a, return_inverse=True)
+        tails, b = np.unique(b, return_inverse=True)
+        width = len(tails) + 1
+        head, tail = np.zeros(first, np.int32), np.zeros(first, np.int32)
+        head[heads], tail[tails] = np.arange(1, len(heads) + 1) * width, np.arange(1, len(tails) + 1)
+        rule_of = np.full((len(heads) + 1) * width, -1, np.int16)
+        rule_of[(a + 1) * width + b + 1] = np.arange(len(pairs))
+        rule = rule_of[head[left] + tail[right]]
+        own = np.flatnonzero(rule >= 0)
+        places, rule = own if spots is None else spots[own], rule[own]
         take = _every_second(places)
         places, rule = places[take], rule[take]
-        used, rule = np.unique(rule, return_inverse=True)  # a pair that gave way everywhere needs no rule
+        used = np.bincount(rule, minlength=len(pairs)) > 0  # a pair that gave way everywhere needs no rule
         pairs = pairs[used]
-        seq[places] = (first + rule).astype(np.uint64)
+        seq[places] = (first + np.cumsum(used) - 1).astype(np.uint32)[rule]
         gone = np.zeros(len(seq), bool)
         gone[places + 1] = True
         seq = seq[~gone]
         rules.append(np.stack([pairs >> half, pairs & low], 1).astype(np.uint32))
         first += len(pairs)
-    return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq.astype(np.uint32)
+        if all_taken:
+            new = places - np.arange(len(places))
+            beside = np.zeros(len(seq) + 1, bool)
+            beside[new], beside[new - 1] = True, True  # the pair before place 0 falls on the end, which is cut off
+            spots = np.flatnonzero(beside[: len(seq) - 1])
+        else:
+            spots = None
+    return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq
 
 
 def _every_second(places: np.ndarray) -> np.ndarray:
     """Which of ascending places stand if each rules out the next place: the first of a run of neighbours, the third and so on."""
-    starts = np.r_[True, np.diff(places) > 1][: len(places)]
-    run = np.maximum.accumulate(np.where(starts, np.arange(len(places)), 0))
-    return (np.arange(len(places)) - run) % 2 == 0
+    out = np.ones(len(places), bool)
+    after = np.flatnonzero(places[1:] == places[:-1] + 1) + 1  # those that follow a neighbour
+    if len(after):
+        # Of neighbours that follow each other, the 1st, 3rd, ... after a run's first place go.
+        new = np.r_[True, after[1:] != after[:-1] + 1]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(after), dtype=np.int32), 0))
+        out[after[(np.arange(len(after), dtype=np.int32) - first) % 2 == 0]] = False
+    return out
+
+
+def _generations(rules: np.ndarray, bound: int) -> Iterator[tuple[int, int]]:
+    """[first, end) of runs of rules that only name symbols made before the run: each can be worked out at once."""
+    newest = rules.max(1).astype(np.int64) - bound if len(rules) else np.zeros(0, np.int64)
+    first = 0
+    while first < len(rules):
+        later = np.flatnonzero(newest[first:] >= first)
+        end = first + int(later[0]) if len(later) else len(rules)
+        yield first, end
+        first = end
 
 
 def expansion_lengths(rules: np.ndarray, bound: int) -> np.ndarray:
-    out = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - bound] if a >= bound else 1) + (out[b - bound] if b >= bound else 1)
-    return out
+    out = np.ones(bound + len(rules), np.int64)
+    for a, b in _generations(rules, bound):
+        out[bound + a : bound + b] = out[rules[a:b, 0]] + out[rules[a:b, 1]]
+    return out[bound:]
 
 
-def _expansions(rules: np.ndarray, lengths: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """All rules' expansions, one after another, and where each starts."""
-    start = np.r_[0, np.cumsum(lengths)]
-    flat = np.zeros(start[-1], np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        at = start[k]
-        for s in (a, b):
-            if s >= bound:
-                n = lengths[s - bound]
-                flat[at : at + n] = flat[start[s - bound] : start[s - bound] + n]
-            else:
-                n = 1
-                flat[at] = s
-            at += n
-    return flat, start
+def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The pieces flat[start : start + length], one after another."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, bound: int) -> np.ndarray:
     """The ids that symbols stand for."""
-    flat, start = _expansions(rules, lengths, bound)
-    table = np.concatenate([np.arange(bound, dtype=np.uint32), flat])
     size = np.concatenate([np.ones(bound, np.int64), lengths])
-    place = np.concatenate([np.arange(bound), bound + start[:-1]])
-    n = size[symbols]
-    ends = np.cumsum(n)
-    at = np.repeat(place[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-    return table[at]
+    start = np.cumsum(size) - size
+    flat = np.zeros(int(size.sum()), np.uint32)
+    flat[:bound] = np.arange(bound)
+    for a, b in _generations(rules, bound):
+        pair = rules[a:b].ravel()  # left and right parts of the run's rules, in order
+        flat[start[bound + a] : start[bound + b - 1] + lengths[b - 1]] = _gathered(flat, start[pair], size[pair])
+    return _gathered(flat, start[symbols], size[symbols])
 
 
 def pack(ids: np.ndarray, doc_lengths: np.ndarray, bound: int) -> bytes:
@@ -180,67 +207,112 @@ class Shard:
 # ---- tokenizing
 
 
-#: A word of Latin letters, with a space before or signs after it: two pre-tokens of the byte-level pattern.
-_SIMPLE = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|*#$%&]{0,8})")
+#: A word of Latin letters, with a space before or signs after it, is one or two pre-tokens of the byte-level pattern.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SIGNS = ".,;:!?|*#$%&"
 
 
 class _Words:
-    """Encodes texts with the tokenizers library, remembering words: white space splits them from each other."""
+    """Encodes texts as the tokenizers library does, remembering words: lone white space splits them from each other."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.bpe = self.lib.model
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.signs: dict[str, list[int]] = {}
+        #: By word: its ids as bytes. A word after a line end holds that line end, any other one has a space before it.
+        self.known: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
         self.bound = self.lib.get_vocab_size()
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.line_end = np.array(self.lib.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
+        # What sends a text to the library: special tokens, white space side by side, and any other white space there is.
+        special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        beside = [a + b for a in " \n" for b in " \n"]
+        white = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+        self.odd = [*special, *beside, *white]
+        self.odd_ascii = [x for x in self.odd if x.isascii()]
+        self.piece = self._merger(path)
+
+    def _merger(self, path: str) -> Callable[[bytes], list[int]] | None:
+        """The merges of a byte-level vocabulary by rank, without the library's set-up for each call; None where they might differ.
+
+        They are the library's if ids follow the order of merges and the library itself gives each token for its own text: then
+        the last two parts of a token are always those that its merge names.
+        """
+        model = json.loads(Path(path).read_bytes())["model"]
+        vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
         # The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for characters from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(plain)]
-        self.alphabet = dict(zip(plain, plain, strict=True)) | {b: 256 + k for k, b in enumerate(others)}
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, as little-endian uint32.
-
-        A text whose white space is single spaces and single line ends between words splits before each space and around
-        each line end: the byte-level pattern never joins across these places. Other texts go to the library whole. The
-        words between spaces and line ends equal the words between any white space only if there is no other white space
-        (none is part of a word) and none of these stands beside another or at an end (no word is empty).
+        byte_of = dict(zip(plain, plain, strict=True)) | {256 + k: b for k, b in enumerate(others)}
+        if len(self.line_end) != 4 or any(vocab.get(a + b) != 256 + k for k, (a, b) in enumerate(merges)) or len(vocab) != 256 + len(merges):
+            return None
+        if any(ord(c) not in byte_of for t in vocab for c in t) or any([x.id for x in self.lib.model.tokenize(t)] != [i] for t, i in vocab.items()):
+            return None
+        ranks = {bytes(byte_of[ord(c)] for c in t): i for t, i in vocab.items()}
+        return tiktoken.Encoding("ranks", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def _plain(self, text: str) -> bool:
+        """Whether a text's white space is lone spaces and lone line ends between words, and it holds no special token.
+
+        It then splits before each space and around each line end: the byte-level pattern never joins across these places.
         """
-        if not text:
-            return b""
-        if text.split() != text.replace("\n", " ").split(" ") or "\0" in text or any(s in text for s in self.special):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        known = self.new
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            return b"".join([known.get(p) or self._learn(p) for p in parts])
-
-    def _learn(self, part: str) -> bytes:
-        """A word's ids, kept in the newer of two memories; words not asked for since the last change of memories are let go."""
-        got = self.old.get(part)
-        if got is None:
-            m = _SIMPLE.fullmatch(part)
-            if m:  # the library's merges, without its set-up for each call
-                word, signs = m.groups()
-                ids = [t.id for t in self.bpe.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
-                if signs:
-                    if signs not in self.signs:
-                        self.signs[signs] = [t.id for t in self.bpe.tokenize(signs)]
-                    ids += self.signs[signs]
+        return not text or not (text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, self.odd_ascii if text.isascii() else self.odd)))
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text], 0)[0][:-1]
+
+    def encode_many(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        """The ids of each text and the end id. Words of all texts are told apart at once, so that each is looked up once."""
+        plain = [self._plain(t) and len(self.line_end) == 4 for t in texts]
+        some = pa.array(["\n" + t.replace("\n", " \n") for t, ok in zip(texts, plain, strict=True) if ok], pa.large_string())
+        words = pc.split_pattern(some, " ")
+        coded = words.flatten().dictionary_encode()
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        known = self.known
+        found = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        of_word = list(map(known.get, found))
+        piece, packed, latin = self.piece, array.array, _LATIN.fullmatch
+        for k in [k for k, got in enumerate(of_word) if got is None]:
+            word = found[k]
+            letters = word.rstrip(_SIGNS)
+            if piece and letters.isalpha() and (letters.isascii() or latin(letters)):  # one or two pre-tokens; no call for each word
+                got = packed("I", piece(b" " + letters.encode())).tobytes()
+                if len(letters) < len(word):
+                    got += self._signs(word[len(letters) :])
+                known[word] = of_word[k] = got
             else:
-                ids = self.lib.encode(part, add_special_tokens=False).ids
-            got = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.new) >= REMEMBERED:
-            self.old = dict(self.new)
-            self.new.clear()
-        self.new[part] = got
+                of_word[k] = self._learn(word)
+        lengths = np.fromiter(map(len, of_word), np.int64, len(of_word)) // 4
+        table, starts = np.frombuffer(b"".join(of_word), "<u4"), np.cumsum(lengths) - lengths
+        at = coded.indices.to_numpy()
+        n = lengths[at]
+        ends = np.cumsum(n)
+        ids = table[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        # Each text begins with the line end put before it: one place on, these are the places of the end ids.
+        last = np.r_[0, ends][words.offsets.to_numpy()[1:]] - 1 if len(some) else np.zeros(0, np.int64)
+        ids = np.r_[ids[1:], 0].astype(np.uint32)
+        ids[last] = end_id
+        parts = iter(np.split(ids, last[:-1] + 1) if len(last) else [])
+        whole = lambda t: np.array([*self.lib.encode(t, add_special_tokens=False).ids, end_id], np.uint32)
+        return [next(parts) if ok else whole(t) for t, ok in zip(texts, plain, strict=True)]
+
+    def _signs(self, signs: str) -> bytes:
+        if signs not in self.signs:
+            self.signs[signs] = array.array("I", self.piece(signs.encode())).tobytes()
+        return self.signs[signs]
+
+    def _learn(self, word: str) -> bytes:
+        head, body = (self.line_end, word[1:]) if word[0] == "\n" else (b"", " " + word)
+        letters = body.rstrip(_SIGNS)
+        if not body:
+            got = head
+        elif head and self.piece and letters.isalpha() and (letters.isascii() or _LATIN.fullmatch(letters)):
+            got = head + array.array("I", self.piece(letters.encode())).tobytes() + (self._signs(body[len(letters) :]) if len(letters) < len(body) else b"")
+        else:
+            got = head + np.array(self.lib.encode(body, add_special_tokens=False).ids, "<u4").tobytes()
+        self.known[word] = got
         return got
 
 
@@ -251,22 +323,22 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> N
     """Writes the ids of docs as shards under path (a folder of any file system that Spark writes)."""
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    names = ["part", "shard", "doc_ids", "n_ids", "payload"]
+    names = ["part", "shard", "before", "doc_ids", "n_ids", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _words:
             _words[tokenizer_path] = _Words(tokenizer_path)
         t = _words[tokenizer_path]
-        end = np.array([end_id], "<u4").tobytes()
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         ids_of: list[int | None] = []
-        count = shard = part = 0
+        count = shard = part = before = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal count, shard
-            lengths = np.array([len(b) // 4 for b in held])
-            ids = np.frombuffer(b"".join(held), "<u4")
-            row = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([ids_of], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([pack(ids, lengths, max(t.bound, end_id + 1))], pa.binary())]
+            nonlocal count, shard, before
+            lengths = np.array([len(b) for b in held])
+            ids = np.concatenate(held)
+            row = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([ids_of], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([pack(ids, lengths, max(t.bound, end_id + 1))], pa.binary())]
+            before += len(ids)
             held.clear()
             ids_of.clear()
             count = 0
@@ -274,26 +346,35 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> N
             return pa.RecordBatch.from_arrays(row, names)
 
         for batch in batches:
-            for doc_id, p, text in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                part = p
-                held.append(t.encode(text or "") + end)
-                ids_of.append(doc_id)
-                count += len(held[-1]) // 4
-                if count >= SHARD_IDS:
-                    yield flush()
+            if batch.num_rows:
+                part = batch.column("part")[0].as_py()
+            texts = [x or "" for x in batch.column("text").to_numpy(zero_copy_only=False).tolist()]
+            doc_ids = batch.column("doc_id").to_pylist()
+            sizes = np.cumsum([len(x) for x in texts])
+            cuts = np.flatnonzero(np.diff(sizes // CHARS)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+                for doc_id, ids in zip(doc_ids[a:b], t.encode_many(texts[a:b], end_id), strict=True):
+                    held.append(ids)
+                    ids_of.append(doc_id)
+                    count += len(ids)
+                    if count >= SHARD_IDS:
+                        yield flush()
         if held:
             yield flush()
 
-    ordered.mapInArrow(run, "part int, shard int, doc_ids array<long>, n_ids long, payload binary").write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(run, "part int, shard int, before long, doc_ids array<long>, n_ids long, payload binary").write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the shards under path: doc_id, start, n_tokens, ids_crc32."""
     shards = spark.read.parquet(path)
-    # One row a shard here: what stands before a shard is a sum over the shards before it.
-    before = Window.partitionBy().orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("part", "shard", "n_ids").select(F.col("part").alias("p"), F.col("shard").alias("s"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
-    held = shards.join(starts, (F.col("part") == F.col("p")) & (F.col("shard") == F.col("s"))).select("first", "doc_ids", "payload")
+    # A shard knows what its part holds before it; what stands before a part is a sum with one row a part, never a row a shard.
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    if parts.count() <= BROADCAST_PARTS:
+        starts = F.broadcast(starts)
+    held = shards.join(starts, F.col("part") == F.col("p")).select((F.col("first") + F.col("before")).alias("first"), "doc_ids", "payload")
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
