@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables, with nulls, blanks, ties, repeats, and clashing column names."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -453,6 +454,14 @@ def test_languages(spark):
     assert [r["lang_pred"] for r in none] == ["und"]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_languages_of_the_test_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(df).withColumnRenamed("doc_id", "d").join(df.select("doc_id", "lang"), F.col("d") == F.col("doc_id"))
+    held = got.where("held_out and lang is not null and lang_pred <> 'und'").select("lang", "lang_pred").collect()
+    assert len(held) > 100 and np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97
+
+
 # ---- 8
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fieldbiome.llm import quality
@@ -85,3 +86,18 @@ def test_pipeline(spark, tmp_path):
     extra = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, extra, str(tmp_path)).columns == docs.columns
+
+
+def test_pipeline_of_missing_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(20)
+    a, b, c = ("\n".join(sentence(rng, 30) for _ in range(3)) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b), (None, c), (2, None), (3, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA).select("*", *[F.lit("x").alias(x) for x in ("__stats", "__lines", "__kept", "__copies", "__id")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        left = stage(spark, left, str(tmp_path))
+        assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted([(0, c), (1, a), (1, b)])
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {None, 1}
