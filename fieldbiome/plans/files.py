@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from fieldbiome.functions import coerce, text
 from fieldbiome.functions.scratch import new_path, write_bytes
-from fieldbiome.operators import abundance, linear, metrics, panel, selection, similarity
+from fieldbiome.operators import abundance, learn, linear, metrics, panel, selection, similarity
 from fieldbiome.plans import tables as t
 from fieldbiome.plans.registry import _BINROWS, _PANEL, _PER, query, r6
 from fieldbiome.plans.tables import BINS, table
 from fieldbiome.sources import readers, web, writers
+from fieldbiome.streaming import events as streaming
 
 
 def _lines(df: DataFrame, *columns: F.Column) -> DataFrame:
@@ -440,6 +441,52 @@ def panel_texts(spark, sf_dir):
     return both.select("study", text.panel_title(F.col("study"), F.lit("cohort")).alias("title"), note.alias("note"))
 
 
+# ---- rows and models that other queries only use on the way
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def last_event(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
+    return abundance.last_wins(e, "user_id", F.struct("ts", "event_id")).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT label, count(*) AS n, CAST(round_even(count(*) * 0.2, 0) AS BIGINT) AS n_test FROM embeddings GROUP BY 1")
+def stratified_sizes(spark, sf_dir):
+    split = selection.stratified_split(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id", 0.2)
+    return split.groupBy("label").agg(F.count("*").alias("n"), F.count_if("in_test").alias("n_test"))
+
+
+@query("SELECT e.vec_id AS row_index, 'q' || l.quality AS label FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id WHERE e.vec_id % 3 <> 0")
+def labelled_vectors(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_index"), "embedding")
+    named = F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.concat(F.lit("q"), F.col("quality").cast("string")))
+    return learn.labelled(rows, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_index"), named.alias("label"))).select("row_index", "label")
+
+
+@query("""WITH o AS (SELECT o_totalprice / 1000 AS y, o_custkey::DOUBLE AS x FROM orders), s AS (SELECT count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, avg(x) AS mx FROM o),
+e AS (SELECT *, (syy - b * b * sxx) / (n - 2) AS s2 FROM s)
+SELECT 'Intercept' AS term, round(a, 6) AS coef, round(sqrt(s2 * (1.0 / n + mx * mx / sxx)), 6) AS std_err, round(a / sqrt(s2 * (1.0 / n + mx * mx / sxx)), 4) AS t, n AS nobs, round(r2, 9) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 9) AS adj_r2 FROM e
+UNION ALL SELECT 'x', round(b, 6), round(sqrt(s2 / sxx), 6), round(b / sqrt(s2 / sxx), 4), n, round(r2, 9), round(1 - (1 - r2) * (n - 1) / (n - 2), 9) FROM e""")
+def ols_table(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    fit = linear.ols(*linear.design(o, {"x": F.col("o_custkey").cast("double")}, [], F.col("o_totalprice") / 1000))
+    return linear.coefficients(o, fit).select("term", r6("coef"), r6("std_err"), F.round("t", 4).alias("t"), "nobs", F.round("r2", 9).alias("r2"), F.round("adj_r2", 9).alias("adj_r2"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS s, p_type AS g, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+SELECT s AS sample_id, g AS arg_id, coalesce(n, 0) AS n FROM (SELECT DISTINCT s FROM c) CROSS JOIN (SELECT DISTINCT p_type AS g FROM part) LEFT JOIN c USING (s, g)""")
+def matrix_to_long(spark, sf_dir):
+    wide = abundance.wide_matrix(t.counts(spark, sf_dir, "p_type"), _TYPES)
+    return abundance.long_of_wide(wide, abundance.sample_column(wide.columns))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events),
+k AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, CAST(epoch(min(ts)) AS BIGINT) AS start, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY user_id, s""")
+def user_sessions(spark, sf_dir):
+    return streaming.sessions(table(spark, sf_dir, "events"), "12 hours").select("user_id", F.unix_timestamp("start").alias("start"), "n")
+
+
 # ---- hashed features, with crc32 worked out in SQL
 
 
