@@ -482,7 +482,7 @@ def matrix_to_long(spark, sf_dir):
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events),
 k AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
-SELECT user_id, CAST(epoch(min(ts)) AS BIGINT) AS start, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY user_id, s""")
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY user_id, s""")
 def user_sessions(spark, sf_dir):
     return streaming.sessions(table(spark, sf_dir, "events"), "12 hours").select("user_id", F.unix_timestamp("start").alias("start"), "n")
 
