@@ -79,11 +79,11 @@ def _machine(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e
     Both sides weigh alike, however many rows they have.
     """
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    w, b, mean_w, mean_b = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
+    w, b, mean_w, mean_b = np.zeros(x.shape[1], x.dtype), 0.0, np.zeros(x.shape[1]), 0.0
     for k in range(steps):
         short = (y * (x @ w + b) < 1) * weight * y
         rate = 1.0 / (1 + 0.05 * k)
-        w = (1 - penalty * rate) * w + rate * (short @ x)
+        w = (x.dtype.type(1 - penalty * rate) * w + x.dtype.type(rate) * (short.astype(x.dtype) @ x)).astype(x.dtype)  # no copy of x in another type
         b += rate * short.sum()
         if k >= steps // 2:
             mean_w += w
@@ -100,8 +100,8 @@ class Discriminator:
         self.langs = {f: sorted({v for v in langs if family_of(v) == f}) for f in self.families}
         of = np.array([family_of(v) for v in langs])
         lang = np.array(langs)
-        scale = 1.0 / (x.std(0) + 1e-4) / 8.0
-        z = x * scale
+        scale = (1.0 / (x.std(0) + 1e-4) / 8.0).astype(x.dtype)
+        z = np.multiply(x, scale, out=x)  # x is the caller's to give: the sample is held once
         rows, offsets = [], []
         self.pairs: dict[str, list[tuple[str, str, int]]] = {}
         for f in self.families:
@@ -182,10 +182,13 @@ def fit(docs: DataFrame, sample_rows: int = 4000) -> Discriminator:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("lang"), pa.array(v, pa.binary())], ["doc_id", "lang", "v"])
 
     got = rows.mapInArrow(run, "doc_id long, lang string, v binary").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "v").limit(sample_rows).collect()
-    x = np.frombuffer(b"".join(bytes(r["v"]) for r in got), "<f4").reshape(-1, DIM)
-    some = x.sum(1) > 0
-    langs = [r["lang"] for r, ok in zip(got, some, strict=True) if ok]
-    return Discriminator(x[some].astype(np.float32), langs)
+    langs = [r["lang"] for r in got]
+    x = np.zeros((len(got), DIM), np.float32)
+    for k, r in enumerate(got):
+        x[k] = np.frombuffer(r["v"], "<f4")
+    del got
+    some = np.flatnonzero(x.sum(1) > 0)
+    return Discriminator(x if len(some) == len(x) else x[some], [langs[k] for k in some])
 
 
 def identify(docs: DataFrame, sample_rows: int = 4000) -> DataFrame:
