@@ -193,9 +193,10 @@ def test_very_long_runs_take_no_time():
 HELD_OUT = """
 please write to {email|ana.b at river dot example dot org} by Friday
 {email|tom [at] soil [dot] example [dot] net} keeps the keys
-ask for it at {email|mud_lab (at) example (dot) com} or at the desk
+ask for it at {email|mud_lab(at)example(dot)com} or at the desk
 questions go to {email|kay@water.example.org} and nobody else
 her address, {email|lou (at) silt.example.com}, is new
+you find us at the canal, or write {email|peat AT moss DOT org}
 card {card|3782 822463 10005} was refused at the shop
 use {card|371449635398431} for the train
 {card|4111  1111  1111  1111} is on file
@@ -209,14 +210,17 @@ the host {ip|2001:db8:0:1::7} is down
 {ip|192.0.2.7} and {ip|192.0.2.8} replied, {ip|fe80::9:8:7:6} did not
 we met at noon at the dot on the map
 look at the end of the line at the river
+the dot at the top means nothing at all
 run 1234567890123456 ended at 12:30:15 after 415 steps
 version 10.2.33 replaced 10.2.32 on 2023-05-06
 lat 48.137154, long 11.576124, height 520 m
 ratios of 10:20:30 are usual in field work
 ids 9093441080585879 and 2362971821055601 are row numbers
+the sum of 030 and 1234567 is of no use
 tables 4-1-2 and 5-5-5-5 show pH 7.0 to 7.9
 mac address 0a:1b:2c:3d:4e:5f of the switch
 sand. At. Silt. At. Clay. At at at dot dot at.
+the canal at peat dot moss is a pun
 isbn 978-0-306-40615-7 and issn 2049-3630
 """
 
