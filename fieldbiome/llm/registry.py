@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbiome.llm import idfiles, langid, linededup, mixing, neardup, neighbours, pages, pieces, pii, quality
+from fieldbiome.llm import idfiles, intervals, langid, linededup, mixing, neardup, neighbours, pages, pieces, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op13_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.relations(*[table(spark, sf_dir, t) for t in ("sales", "sale_lines", "clicks")])
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_idfiles": op2_idfiles,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_neardup": op9_neardup,
     "op10_html": op10_html,
+    "op13_overlaps": op13_overlaps,
 }
 
 SQL: dict[str, str] = {
@@ -150,5 +155,39 @@ SELECT b.doc_id, b.size, r.source_size, CAST(r.target AS DOUBLE) AS target,
        CAST(b.size * CASE WHEN b.size > 0 THEN least(2, r.passes + CASE WHEN m.more THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
 FROM base b JOIN rest r ON b.source IS NOT DISTINCT FROM r.source
 LEFT JOIN mixed m ON b.source IS NOT DISTINCT FROM m.source AND b.h = m.h
+""",
+    "op13_overlaps": """
+WITH click AS (SELECT client_id, epoch_us(ts) AS u, kind FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+marked AS (
+  SELECT *, CASE WHEN u - lag(u) OVER (PARTITION BY client_id ORDER BY u) <= 600000000 THEN 0 ELSE 1 END AS new FROM click),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY client_id ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM marked),
+run AS (
+  SELECT client_id, min(u) AS f, max(u) AS l, max(CASE WHEN u = top AND kind = 'purchase' THEN 1 ELSE 0 END) AS open
+  FROM (SELECT *, max(u) OVER (PARTITION BY client_id, run) AS top FROM numbered) GROUP BY client_id, run),
+r AS (SELECT client_id, f, f // 3600000000 AS s, CASE WHEN open = 1 THEN NULL ELSE l // 3600000000 END AS e FROM run),
+line AS (SELECT sale_id, max(epoch_us(shipped_at)) AS top, max(CASE WHEN shipped_at IS NULL THEN 1 ELSE 0 END) AS open FROM sale_lines GROUP BY sale_id),
+l AS (
+  SELECT a.sale_id, client_id, epoch_us(sold_at) // 3600000000 AS s,
+         CASE WHEN open = 1 THEN NULL ELSE greatest(epoch_us(sold_at), coalesce(top, epoch_us(sold_at))) // 3600000000 END AS e
+  FROM sales a LEFT JOIN line b ON a.sale_id = b.sale_id WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+pair AS (
+  SELECT l.sale_id, r.f, l.s AS ls, r.s AS rs, coalesce(l.e, 1000000000000) AS le, coalesce(r.e, 1000000000000) AS re
+  FROM l JOIN r ON l.client_id = r.client_id AND l.s <= coalesce(r.e, 1000000000000) AND r.s <= coalesce(l.e, 1000000000000)),
+named AS (
+  SELECT sale_id, f, CASE WHEN le = 1000000000000 AND re = le THEN NULL ELSE least(le, re) - greatest(ls, rs) + 1 END AS slots,
+         CASE WHEN ls < rs THEN CASE WHEN le < re THEN 'overlaps' WHEN le = re THEN 'finished_by' ELSE 'contains' END
+              WHEN ls = rs THEN CASE WHEN le < re THEN 'starts' WHEN le = re THEN 'equals' ELSE 'started_by' END
+              ELSE CASE WHEN le < re THEN 'during' WHEN le = re THEN 'finishes' ELSE 'overlapped_by' END END AS relation
+  FROM pair),
+-- crc32 bit by bit: DuckDB has none of its own
+crc AS (SELECT f, CAST(f AS VARCHAR) AS t FROM (SELECT DISTINCT f FROM run)),
+tab AS (
+  SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END) AS c FROM range(256) q(i)),
+tabs AS (SELECT list(c ORDER BY i) AS c FROM tab),
+sums AS (
+  SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(t, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda a, x: xor(a >> 8, c[1 + (xor(a, x) & 255)])), CAST(4294967295 AS BIGINT)) AS crc FROM crc, tabs)
+SELECT sale_id, relation, count(*) AS n_pairs, CAST(sum(slots) AS BIGINT) AS overlap_slots, CAST(sum(crc) AS BIGINT) AS sessions_crc
+FROM named JOIN sums USING (f) GROUP BY sale_id, relation
 """,
 }
