@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbiome.llm import idfiles, intervals, langid, linededup, mixing, neardup, neighbours, pages, pieces, pii, quality
+from fieldbiome.llm import idfiles, intervals, langid, linededup, mixing, neardup, neighbours, pages, pieces, pii, quality, secretscan, turntrie
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,14 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_turntrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
 def op13_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.relations(*[table(spark, sf_dir, t) for t in ("sales", "sale_lines", "clicks")])
 
@@ -79,9 +87,19 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_neardup": op9_neardup,
     "op10_html": op10_html,
+    "op11_turntrie": op11_turntrie,
+    "op12_secrets": op12_secrets,
     "op13_overlaps": op13_overlaps,
 }
 
+#: crc32 of an ASCII text, as a CTE crcs(t, crc) of the texts of a CTE crc(t); DuckDB has none of its own.
+_CRC32 = """tab AS (
+  SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END) AS c FROM range(256) q(i)),
+tabs AS (SELECT list(c ORDER BY i) AS c FROM tab),
+crcs AS (
+  SELECT t, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(t, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda a, x: xor(a >> 8, c[1 + (xor(a, x) & 255)])), CAST(4294967295 AS BIGINT)) AS crc FROM crc, tabs)"""
+
 SQL: dict[str, str] = {
     "op4_linededup": r"""
 WITH parts AS (
@@ -155,6 +173,33 @@ SELECT b.doc_id, b.size, r.source_size, CAST(r.target AS DOUBLE) AS target,
        CAST(b.size * CASE WHEN b.size > 0 THEN least(2, r.passes + CASE WHEN m.more THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
 FROM base b JOIN rest r ON b.source IS NOT DISTINCT FROM r.source
 LEFT JOIN mixed m ON b.source IS NOT DISTINCT FROM m.source AND b.h = m.h
+""",
+    "op11_turntrie": """
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT CAST(c AS VARCHAR) AS t FROM ids),
+""" + _CRC32 + """,
+turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS p,
+         sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, ''))) AS label, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, crc % 6 AS h FROM ids JOIN crcs ON t = CAST(c AS VARCHAR)),
+again AS (
+  SELECT h.c, t.p, label, chars FROM h JOIN turns t ON t.c = h.c - h.c % 100 AND t.p <= h.h
+  UNION ALL SELECT h.c, t.p + 100, label, chars FROM h JOIN turns t ON t.c = h.c AND t.p > h.h),
+seqs AS (SELECT ids.c, list(label ORDER BY p) FILTER (label IS NOT NULL) AS l, list(chars ORDER BY p) FILTER (label IS NOT NULL) AS n FROM ids LEFT JOIN again USING (c) GROUP BY ids.c),
+prefixes AS (
+  SELECT c, d, md5(array_to_string(coalesce(l, [])[1:d], ',')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(l[1:d - 1], ',')) END AS up,
+         CASE WHEN d > 0 THEN n[d] ELSE 0 END AS chars, d = coalesce(len(l), 0) AS ends FROM (SELECT *, unnest(range(0, coalesce(len(l), 0) + 1)) AS d FROM seqs)),
+node AS (
+  SELECT d, k, any_value(up) AS up, min(c) AS low, count(*) AS n, any_value(chars) AS chars, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+worth AS (SELECT node.*, coalesce(kids.n, 0) AS kids, CASE WHEN node.d > 0 THEN (node.n - 1) * chars ELSE 0 END AS own FROM node LEFT JOIN kids USING (d, k)),
+sums AS (
+  SELECT a.d, a.k, count(*) FILTER (w.kids = 0) AS leaves, sum(w.own) AS saved
+  FROM worth w JOIN prefixes a ON a.c = w.low AND a.d <= w.d GROUP BY a.d, a.k)
+SELECT w.low AS conv_id, w.d AS depth, p.low AS parent_conv_id, w.n AS n_convs, w.kids AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM worth w JOIN sums USING (d, k) LEFT JOIN node p ON p.d = w.d - 1 AND p.k = w.up
 """,
     "op13_overlaps": """
 WITH click AS (SELECT client_id, epoch_us(ts) AS u, kind FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
@@ -179,15 +224,9 @@ named AS (
               WHEN ls = rs THEN CASE WHEN le < re THEN 'starts' WHEN le = re THEN 'equals' ELSE 'started_by' END
               ELSE CASE WHEN le < re THEN 'during' WHEN le = re THEN 'finishes' ELSE 'overlapped_by' END END AS relation
   FROM pair),
--- crc32 bit by bit: DuckDB has none of its own
-crc AS (SELECT f, CAST(f AS VARCHAR) AS t FROM (SELECT DISTINCT f FROM run)),
-tab AS (
-  SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END) AS c FROM range(256) q(i)),
-tabs AS (SELECT list(c ORDER BY i) AS c FROM tab),
-sums AS (
-  SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(t, ''), lambda x: CAST(ascii(x) AS BIGINT))),
-                lambda a, x: xor(a >> 8, c[1 + (xor(a, x) & 255)])), CAST(4294967295 AS BIGINT)) AS crc FROM crc, tabs)
+crc AS (SELECT DISTINCT CAST(f AS VARCHAR) AS t FROM run),
+""" + _CRC32 + """
 SELECT sale_id, relation, count(*) AS n_pairs, CAST(sum(slots) AS BIGINT) AS overlap_slots, CAST(sum(crc) AS BIGINT) AS sessions_crc
-FROM named JOIN sums USING (f) GROUP BY sale_id, relation
+FROM named JOIN crcs ON t = CAST(f AS VARCHAR) GROUP BY sale_id, relation
 """,
 }
