@@ -103,6 +103,8 @@ SELECT client_id, s, e, k, CAST(sum(n) AS BIGINT) AS n, CAST(sum(slots) AS BIGIN
   SELECT {_SUMS} FROM lhs l JOIN right_rows r ON r.x <= l.x AND r.y >= l.x
   UNION ALL SELECT {_SUMS} FROM rhs r JOIN left_rows l ON l.x < r.x AND l.y >= r.x)
 GROUP BY client_id, s, e, k"""
+#: One thread a task; what a group takes is bounded, so nothing spills; joins by inequalities are IEJoins at any size.
+CONFIG = {"threads": 1, "memory_limit": "700MB", "temp_directory": "", "merge_join_threshold": 0, "nested_loop_join_threshold": 0}
 _OUT = pa.schema([("client_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("k", pa.int32()), ("n", pa.int64()), ("slots", pa.int64()), ("crc", pa.int64())])
 
 
@@ -125,7 +127,7 @@ def joined(left: pa.Table, right: pa.Table, first_slot: int) -> pa.Table:
     a = {c: left.column(c).to_numpy() for c in ("client_id", "s", "e")}
     b = {c: right.column(c).to_numpy() for c in ("client_id", "s", "e", "n", "crc")}
     on_one_line(a, b)
-    with duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""}) as db:
+    with duckdb.connect(config=CONFIG) as db:
         for name, rows in (("left_rows", a), ("right_rows", b)):
             db.register(name, pa.table(rows))
         db.execute(f"CREATE VIEW lhs AS SELECT * FROM left_rows WHERE s >= {first_slot}")
