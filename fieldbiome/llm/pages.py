@@ -5,12 +5,15 @@ its links, and NLC = C - LC; lc and c are those of the body. Its density is C/T
 b = ln(C/NLC * LC + lc/c * C + e); zero denominators count as 1. A node's density sum adds its children's densities (its own
 text counts as a child). The subtree of the largest sum is the core; the threshold is the least density on the path to it
 from the body. An article element around the core (else a main) is taken whole. Without one, what stands beside the path is
-taken if its density holds the threshold, if it is a heading, or if it is a paragraph, list or table beside the core.
+taken if its density holds the threshold, if it is a heading, or if it is a paragraph, list or table beside the core. Lists of
+links stay within the article or core, and go beside it.
 
-What never counts: elements that are no article by tag or role, and hidden ones. Names of classes and ids only weigh: a name
+What never counts: elements that are no article by tag or role, and hidden ones. Names of classes and ids say less: a name
 that speaks of something else within a longer one (has-sidebar, share-enabled) halves a density and drops nothing. An element
-whose whole name says it is something else (sidebar, reader-comments), or a form, goes, unless it is the frame of the page: it
-has a top heading, a main or an article within, and FRAME times the free text of all that stands outside such elements.
+that is something else by name (sidebar, reader-comments), a form, or hidden from readers' aids goes only where free text (not in
+links) elsewhere outweighs it: the largest such element counts as any other if it has more free text than all that stands outside
+such elements (SIGNED times as much where that has a top heading, an article or a main, or where the element holds comments, which
+outgrow articles), and so do all elements of its names; then those within it are judged in turn. What counts, density decides.
 
 Time is linear in the page: open tags are found by their own stacks, whatever their nesting.
 
@@ -20,7 +23,9 @@ mis-nested tags close as browsers close them, about. Extra columns aren't carrie
 
 from __future__ import annotations
 
+import heapq
 import html
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -57,22 +62,26 @@ FILLER = frozenset("box block area section container wrapper wrap inner outer li
 TURNS = frozenset("has no not with without is show hide hidden enable enabled disable disabled".split())
 #: A name of an article's own parts.
 OWN = frozenset("article content story post entry main text body".split())
-FRAME = 20
+#: Words of names of what readers wrote, and by how many times such an element, or any beside a sign of an article, must outweigh the rest.
+REPLIES = frozenset("comment comments commentlist disqus replies respond discussion".split())
+SIGNED = 20
 
 _TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*+>?|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z))", re.S)
 _LOOSE = re.compile(r"<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>?")
 _ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: What an element is by its attributes: nothing odd, a name that only weighs, a name that says it is something else, never an article.
+#: What an element is by its attributes: nothing odd, a name that halves its density, a name that says it is something else, never an article.
 FINE, WEIGHED, OTHER, NEVER = range(4)
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "block", "open_inline", "kind", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "block", "open_inline", "kind", "chars", "tags", "link_chars", "link_tags", "density", "total", "names")
 
-    def __init__(self, tag: str, parent: "Node | None", kind: int = FINE):
+    def __init__(self, tag: str, parent: "Node | None", kind: int = FINE, names: frozenset[str] = frozenset()):
         self.tag, self.parent, self.kind = tag, parent, kind
+        #: The names that say it is something else.
+        self.names = names
         #: The nearest node that breaks lines, itself included, and how many inline nodes of each tag are open right under it.
         self.block: Node = self if parent is None or tag in BLOCK else parent.block
         self.open_inline: dict[str, int] = {}
@@ -81,40 +90,44 @@ class Node:
         self.density = self.total = 0.0
 
 
-def name_kind(value: str) -> int:
-    """What a class or id attribute says."""
-    kind = FINE
+def name_kind(value: str) -> tuple[int, set[str]]:
+    """What a class or id attribute says, and its names that say so where that is something else."""
+    kind, others = FINE, set()
     for name in value.split():
         words = [w.lower() for w in _WORDS.findall(name)]
         if not words:
             continue
         if name.lower() in OWN or len(words) > 1 and words[-1] in OWN and not OTHER_WHOLE & set(words):
-            return FINE
+            return FINE, set()
         if not OTHER_WHOLE & set(words):
             continue
         told = [w for w in words if w not in FILLER]
         if words[0] not in TURNS and (words[-1] in OTHER_LAST or told and all(w in OTHER_WHOLE for w in told)):
             kind = OTHER
+            others.add(name.lower())
         kind = max(kind, WEIGHED)
-    return kind
+    return kind, others
 
 
-def _kind(tag: str, attrs: str, inside_article: bool) -> int:
+def _kind(tag: str, attrs: str, inside_article: bool) -> tuple[int, frozenset[str]]:
     if tag in NO_TAG or tag == "header" and not inside_article:
-        return NEVER
-    kind = OTHER if tag == "form" else FINE
+        return NEVER, frozenset()
+    kind, names = (OTHER, {"form"}) if tag == "form" else (FINE, set())
     if not attrs or tag in ("html", "body"):
-        return kind
+        return kind, frozenset(names)
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
         value = html.unescape(m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "role" and value.strip().lower() in NO_ROLE or name == "style" and _UNSEEN.search(value):
-            return NEVER
+            return NEVER, frozenset()
         if name == "aria-hidden" and value == "true":
             kind = max(kind, OTHER)
+            names.add(name)
         if name in ("class", "id") and tag not in ("main", "h1"):
-            kind = max(kind, name_kind(value))
-    return kind
+            said, more = name_kind(value)
+            kind = max(kind, said)
+            names |= more
+    return kind, frozenset(names)
 
 
 class Parser:
@@ -127,8 +140,8 @@ class Parser:
         self.scopes: dict[str, list[Node]] = {}
         self.articles = 0
 
-    def _push(self, tag: str, kind: int) -> None:
-        node = Node(tag, self.node, kind)
+    def _push(self, tag: str, kind: int, names: frozenset[str]) -> None:
+        node = Node(tag, self.node, kind, names)
         self.node.kids.append(node)
         self.node = node
         if tag in BLOCK:
@@ -182,9 +195,9 @@ class Parser:
                 self._pop(last)
         empty = tag in VOID or tag not in BLOCK and attrs.rstrip().endswith("/")
         if empty:
-            self.node.kids.append(Node(tag, self.node, _kind(tag, "", True)))
+            self.node.kids.append(Node(tag, self.node, *_kind(tag, "", True)))
         else:
-            self._push(tag, _kind(tag, attrs, self.articles > 0))
+            self._push(tag, *_kind(tag, attrs, self.articles > 0))
 
     def feed(self, page: str) -> Node:
         at, n = 0, len(page)
@@ -255,37 +268,50 @@ def _count(order: list[Node]) -> None:
 
 
 def settle(root: Node) -> None:
-    """Marks the elements that are something else as never counting, but for frames of the page, which count as others do."""
-    order = _postorder(root)
-    _count(order)
-    signed: set[int] = set()  # nodes with a sign of an article within
-    for node in order:
-        if node.tag in ("h1", "main") or node.tag == "article" and node.kind < OTHER or any(id(k) in signed for k in node.kids):
-            signed.add(id(node))
+    """Marks the elements that are something else as never counting where text elsewhere outweighs them; the others count."""
+    _count(_postorder(root))
     free = lambda node: node.chars - node.link_chars
-
-    def outermost(node: Node) -> list[Node]:
-        out, stack = [], [k for k in node.kids if isinstance(k, Node)]
+    named: dict[frozenset[str], list[Node]] = {}
+    queue: list[tuple[int, int, Node]] = []
+    order = itertools.count()
+    outside, signs = free(root), 0
+
+    def enter(node: Node) -> None:
+        """Adds the outermost other elements under a node that counts, and takes them off what stands outside such elements."""
+        nonlocal outside, signs
+        stack = [node]
         while stack:
             k = stack.pop()
-            if k.kind == OTHER:
-                out.append(k)
+            if k is not node and k.kind == OTHER:
+                named.setdefault(k.names, []).append(k)
+                heapq.heappush(queue, (-free(k), next(order), k))
+                outside -= free(k)
             elif k.kind != NEVER:
+                signs += k.tag in ("h1", "main", "article") and k.chars > 0
                 stack.extend(x for x in k.kids if isinstance(x, Node))
-        return out
 
-    others = outermost(root)
-    outside = free(root) - sum(map(free, others))
-    while others:
-        largest = max(others, key=free)
-        if id(largest) not in signed or free(largest) <= FRAME * outside:
+    def release(node: Node) -> None:
+        nonlocal outside
+        node.kind = WEIGHED
+        outside += free(node)
+        enter(node)
+
+    enter(root)
+    while queue:
+        _, _, largest = queue[0]
+        if largest.kind != OTHER:  # counts by now
+            heapq.heappop(queue)
+            continue
+        times = SIGNED if signs or any(REPLIES & {w.lower() for w in _WORDS.findall(n)} for n in largest.names) else 1
+        if not free(largest) or free(largest) <= times * outside:
             break
-        largest.kind = WEIGHED
-        inner = outermost(largest)
-        others = [x for x in others if x is not largest] + inner
-        outside += free(largest) - sum(map(free, inner))
-    for x in others:
-        x.kind = NEVER
+        names = largest.names
+        while some := named.pop(names, None):
+            for x in some:
+                release(x)
+    for some in named.values():
+        for x in some:
+            x.kind = NEVER
 
 
 def measure(root: Node) -> None:
@@ -322,29 +348,43 @@ def select(root: Node) -> tuple[Node, list[Node], float]:
     return best, path, min(x.density for x in path)
 
 
-def _wanted(core: Node, path: list[Node], threshold: float) -> tuple[Node, set[int]]:
-    """(frame, dropped): the subtree to write, and nodes of it (by id) that are left out."""
+def _is_heading(node: Node) -> bool:
+    """Whether all text of an element is in headings."""
+    chars, stack = 0, [node]
+    while stack:
+        x = stack.pop()
+        if x.tag in HEADINGS:
+            chars += x.chars
+        elif x.kind != NEVER:
+            stack.extend(k for k in x.kids if isinstance(k, Node))
+    return 0 < node.chars == chars
+
+
+def _wanted(core: Node, path: list[Node], threshold: float) -> tuple[Node, Node | None, set[int]]:
+    """(frame, whole, dropped): the subtree to write, the part of it in which lists of links stay, and nodes (by id) that are left out."""
     for tag in ("article", "main"):
         if around := [x for x in path if x.tag == tag]:
-            return around[-1], set()
+            return around[-1], around[-1], set()
     k = 0
     while k + 1 < len(path) - 1 and path[k + 1].chars == path[k].chars:  # wrappers of the same text
         k += 1
     dropped: set[int] = set()
+    own = {x.names for x in path}  # parts of one make, as the core's wrapper is one
     for at in range(k, len(path) - 1):
         for x in path[at + 1].kids:
             if isinstance(x, Node) and x is not path[at] and x.tag in BLOCK:
-                if not (x.density >= threshold or x.tag in HEADINGS or at == k and x.tag in PROSE):
+                alike = x.names and x.names in own and (2 * x.density >= threshold or _is_heading(x))
+                if not (x.density >= threshold or x.tag in HEADINGS or at == k and x.tag in PROSE or alike):
                     dropped.add(id(x))
-    return path[-1], dropped
+    return path[-1], path[k] if k < len(path) - 1 else None, dropped
 
 
-def blocks(frame: Node, dropped: set[int], threshold: float) -> list[str]:
-    """The text blocks of a subtree in page order; blocks under the threshold of which nine tenths or more are links go."""
+def blocks(frame: Node, whole: Node | None, dropped: set[int], threshold: float) -> list[str]:
+    """The text blocks of a subtree in page order; outside whole, blocks under the threshold of which nine tenths or more are links go."""
     out: list[list[str]] = [[]]
-    stack: list[tuple[Node | str, bool]] = [(frame, False)]
+    stack: list[tuple[Node | str, bool, bool]] = [(frame, False, frame is whole)]
     while stack:
-        item, closing = stack.pop()
+        item, closing, kept = stack.pop()
         if isinstance(item, str):
             out[-1].append(item)
             continue
@@ -359,10 +399,11 @@ def blocks(frame: Node, dropped: set[int], threshold: float) -> list[str]:
         if item.tag in VOID:
             out[-1].append(" " if item.tag == "br" else "")
             continue
-        if item is not frame and item.tag in BLOCK and item.link_chars * 10 >= item.chars * 9 and item.density < threshold and item.link_tags > 1:
+        kept = kept or item is whole
+        if not kept and item is not frame and item.tag in BLOCK and item.link_chars * 10 >= item.chars * 9 and item.density < threshold and item.link_tags > 1:
             continue
-        stack.append((item, True))
-        stack.extend((k, False) for k in reversed(item.kids))
+        stack.append((item, True, kept))
+        stack.extend((k, False, kept) for k in reversed(item.kids))
     texts = (" ".join("".join(b).split()) for b in out)
     return [t for t in texts if t]
 
