@@ -28,7 +28,8 @@ def cosine(a: Column, b: Column, of_zero: float = 0.0) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(of_zero))
 
 
-def _unit(column: pa.ChunkedArray, n: int) -> np.ndarray:
+def unit_rows(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    """The n vectors of a column as rows of length 1; zeros stay."""
     flat = column.combine_chunks()
     flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
     x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
@@ -58,7 +59,7 @@ def _in_blocks(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, b
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return kernel(x.slice(0, 0), y.slice(0, 0), np.zeros((0, 1)), np.zeros((0, 1)))
-        return kernel(x, y, _unit(x.column("v"), x.num_rows), _unit(y.column("v"), y.num_rows))
+        return kernel(x, y, unit_rows(x.column("v"), x.num_rows), unit_rows(y.column("v"), y.num_rows))
 
     b = b.withColumnsRenamed({"i": "bi", "j": "bj"})
     return a.groupBy("i", "j").cogroup(b.groupBy("bi", "bj")).applyInArrow(run, schema)
