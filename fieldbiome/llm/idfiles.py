@@ -56,7 +56,8 @@ def compress(ids: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
     A round takes the pairs of the most counts (at most RULES_A_ROUND, each found LEAST_COUNT times or more) and replaces
     them left to right; where pairs overlap, the first stands. Pairs are counted exactly over the whole shard, and rounds
     go on until none is found LEAST_COUNT times. After a round that took every such pair, only pairs with one of its new
-    symbols can be found so often: all others were rarer before and lose places only. So just these are counted next.
+    symbols, or of two equal ones, can be found so often: all others were rarer before and lose places only. So just these are
+    counted next.
     """
     seq, rules = ids.astype(np.uint32), []
     first, half, low = bound, np.uint64(32), np.uint64((1 << 32) - 1)
@@ -106,7 +107,8 @@ def compress(ids: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
             new = places - np.arange(len(places))
             beside = np.zeros(len(seq) + 1, bool)
             beside[new], beside[new - 1] = True, True  # the pair before place 0 falls on the end, which is cut off
-            spots = np.flatnonzero(beside[: len(seq) - 1])
+            # Of a run of one symbol, pairs that were set aside count where the symbol before them is gone.
+            spots = np.flatnonzero(beside[: len(seq) - 1] | (seq[1:] == seq[:-1]))
         else:
             spots = None
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq

@@ -41,7 +41,8 @@ K, LEAST = 64, 36
 #: a pair must agree: 0.8 less five standard errors of 256 bins.
 BINS, AGREE = 256, 0.66
 #: Half of each hash of a set of so many shingles at most goes along too, and tells the similarity of two such sets (never too
-#: low), so that only similar pairs leave the comparison. Sets of up to NO_SKETCH have no sketch, which chance would fill.
+#: low), so that only similar pairs leave the comparison; the sketch tells it where either set is larger. Sets of up to NO_SKETCH
+#: have no sketch, which chance would fill.
 HALVES, NO_SKETCH = 1024, 64
 #: Half hashes that are compared at once.
 CELLS = 4_000_000
@@ -145,11 +146,12 @@ class Marks:
         """For each pair of row numbers, whether it may be similar."""
         nx, ny = self.n[x], self.n[y]
         out = 100 * np.minimum(nx, ny) >= self.percent * np.maximum(nx, ny)
-        known = np.flatnonzero(out & (nx > NO_SKETCH) & (ny > NO_SKETCH))
+        exact = (nx <= HALVES) & (ny <= HALVES)
+        known = np.flatnonzero(out & ~exact & (nx > NO_SKETCH) & (ny > NO_SKETCH))
         for at in range(0, len(known), 20_000):
             k = known[at : at + 20_000]
             out[k] = _agrees(self.sketch[x[k]], self.sketch[y[k]])
-        exact = np.flatnonzero(out & (nx <= HALVES) & (ny <= HALVES))
+        exact = np.flatnonzero(out & exact)
         exact = exact[np.argsort(np.maximum(nx, ny)[exact], kind="stable")]
         while len(exact):
             first = int(max(nx[exact[0]], ny[exact[0]]))

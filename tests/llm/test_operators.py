@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import public_tokenizers
@@ -145,6 +146,33 @@ def test_grammar_goes_on_until_no_pair_pays():
         assert len(symbols) < (200 if ids is copies else len(ids)) and (ids is not many or bound + len(rules) > 1 << 16)
 
 
+def test_grammar_counts_set_aside_twins_again():
+    """Contexts c a x and c a a a y: the pair (c, a) takes the first a, and what is left of the run counts."""
+    parts = []
+    for k in range(10):
+        c, x, y = 100 + 3 * k, 101 + 3 * k, 102 + 3 * k
+        parts += [[c, 7, x]] * 7 + [[c, 7, 7, 7, y]] * 3
+    ids = np.array([v for p in parts for v in [*p, *np.random.default_rng(len(p)).integers(200, 90_000, 1)]], np.uint32)
+    rules, symbols = idfiles.compress(ids, 100_000)
+    assert (idfiles.Shard(idfiles.pack(ids, np.array([len(ids)]), 100_000)).ids() == ids).all()
+    runs = [(int(v), len(list(g))) for v, g in groupby(symbols.tolist())]
+    assert all(n < idfiles.LEAST_COUNT for n in Counter({v: sum(m // 2 for u, m in runs if u == v) for v, _ in runs}).values())
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        ids = rng.choice([1, 1, 1, 2, 3], size=400).astype(np.uint32)
+        rules, symbols = idfiles.compress(ids, 10)
+        pairs, last = Counter(), None
+        for k in range(len(symbols) - 1):
+            pair = (int(symbols[k]), int(symbols[k + 1]))
+            if pair[0] == pair[1] and last == (pair, k - 1):
+                last = None
+                continue
+            pairs[pair] += 1
+            last = (pair, k)
+        assert max(pairs.values(), default=0) < idfiles.LEAST_COUNT
+        assert (idfiles.Shard(idfiles.pack(ids, np.array([len(ids)]), 10)).ids() == ids).all()
+
+
 # ---- 3
 
 
