@@ -88,13 +88,14 @@ def blast_hits(spark: SparkSession, path: str, columns: tuple[str, ...] = ("qseq
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, header, seq, file, ord) of FASTA records; duplicates stay, ord is the place within the file.
+    """(seq_id, header, seq, file, ord) of FASTA records; duplicates stay, ord orders the records of a file.
 
-    Files are read whole, as their order matters to last-wins and caps; see fasta_records for files too large for that.
+    Files are read by byte ranges, cut at record marks, so tasks share a large file; ord is the range's first byte and the
+    record's number within the task that reads it. A file begins with a record; blank text before it is dropped.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.concat(F.lit("\n"), F.regexp_replace("value", "\r", "")).alias("v"))
-    parts = whole.select("file", F.posexplode(F.slice(F.split("v", "\n>"), 2, 1 << 30)).alias("ord", "r"))
-    return _records(parts, ["file", "ord"])
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("ord"), F.regexp_replace("value", "\r", "").alias("r"))
+    return _records(raw.where(F.trim(F.regexp_replace("r", "\n", "")) != "").withColumn("r", F.regexp_replace("r", r"^\n*>", "")), ["file", "ord"])
 
 
 def fasta_records(spark: SparkSession, path: str) -> DataFrame:

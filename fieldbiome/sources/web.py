@@ -56,8 +56,8 @@ def or_nothing(fetch: Callable[[str], str], url: str) -> str:
 class JsonRows(DataSource):
     """format('json_rows'): rows of JSON arrays fetched from url with {key} filled in for each of keys (a JSON list).
 
-    Options: url, keys, size (keys a request, comma-joined; default 1), fields (comma-separated), fetch, errors ('raise', or the
-    default 'warn': a request that fails gives no rows). The column batch numbers the requests, so that later ones can win
+    Options: url, keys, size (keys a request, comma-joined; default 1), fields (comma-separated), fetch, errors ('raise', the
+    default, or 'warn', for searches: a request that fails gives no rows, and a warning on its executor). The column batch numbers the requests, so that later ones can win
     (readers.later_wins).
     """
 
@@ -87,7 +87,7 @@ class JsonReader(DataSourceReader):
 
     def fetched(self, partition: Batch) -> str:
         fetch, url = fetcher(self.options), self.options["url"].replace("{key}", urllib.parse.quote(partition.value))
-        return fetch(url) if self.options.get("errors", "warn") == "raise" else or_nothing(fetch, url)
+        return fetch(url) if self.options.get("errors", "raise") != "warn" else or_nothing(fetch, url)
 
     def read(self, partition: Batch) -> Iterator[tuple]:
         fields = [f.strip() for f in self.options["fields"].split(",")]

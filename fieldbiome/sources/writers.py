@@ -20,11 +20,14 @@ def formatted(df: DataFrame, places: dict[str, int]) -> DataFrame:
     return df.select(*[fixed(F.col(c), places[c]).alias(c) if c in places else F.col(c) for c in df.columns])
 
 
-def csv(df: DataFrame, path: str, places: dict[str, int] | None = None, order: list[str] | None = None, single: bool = True) -> None:
-    """Writes a header and the rows; single: as one file (for results that are small by nature)."""
+def csv(df: DataFrame, path: str, places: dict[str, int] | None = None, order: list[str] | None = None, single: bool = False) -> None:
+    """Writes the rows as part files, each with a header; with an order, parts are ranges of it, and follow each other by name.
+
+    single: one file, by one task, for results that are small by nature.
+    """
     out = formatted(df, places or {})
     out = out.orderBy(*order) if order else out
-    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("lineSep", "\r\n" if single else "\n").csv(path)
+    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").csv(path)
 
 
 def _args(counts: DataFrame, most_columns: int) -> list[str]:
@@ -35,7 +38,7 @@ def _args(counts: DataFrame, most_columns: int) -> list[str]:
 
 
 def matrix(counts: DataFrame, path: str, most_columns: int = 10_000) -> None:
-    """The wide form of (sample_id, arg_id, n): Sample and the sorted args, missing as 0, rows in the order of samples."""
+    """The wide form of (sample_id, arg_id, n): Sample and the sorted args, missing as 0, rows in the order of samples, in parts."""
     csv(wide_matrix(counts, _args(counts, most_columns)).withColumnRenamed("sample_id", "Sample"), path, order=["Sample"])
 
 
@@ -46,7 +49,7 @@ def normalised_wide(normalised: DataFrame, args: list[str], places: int = 10) ->
 
 
 def normalised_matrix(normalised: DataFrame, path: str, most_columns: int = 10_000) -> None:
-    """The wide normalised matrix as a file: sample_id and the sorted args, ten decimals, rows in the order of samples."""
+    """The wide normalised matrix: sample_id and the sorted args, ten decimals, rows in the order of samples, in parts."""
     csv(normalised_wide(normalised, _args(normalised, most_columns)), path, order=["sample_id"])
 
 
@@ -57,7 +60,7 @@ def fasta(df: DataFrame, path: str, seq_id: str = "seq_id", seq: str = "seq", wi
 def key_values(df: DataFrame, path: str) -> None:
     """A one-row table as (metric, value) rows."""
     text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in df.columns])
-    csv(text.unpivot([], text.columns, "metric", "value"), path)
+    csv(text.unpivot([], text.columns, "metric", "value"), path, single=True)
 
 
 def report(checks: DataFrame, path: str) -> None:
@@ -74,7 +77,7 @@ def upserted_metrics(old: DataFrame, rows: DataFrame, path: str, key: str = "met
     order = "__order"
     numbered = lambda df: df.withColumn(order, F.monotonically_increasing_id())  # noqa: E731  order of a small file's lines
     both = upsert(numbered(old), numbered(rows), key, order).coalesce(1).sortWithinPartitions(order).drop(order)
-    csv(both, path)
+    csv(both, path, single=True)
 
 
 def empty_notice(df: DataFrame, path: str, message: str = "no rows: nothing to show") -> bool:
