@@ -79,3 +79,8 @@ def require_numbers(df: DataFrame, columns: list[str], shown: int = 5) -> DataFr
 def not_negative(x: Column, name: str) -> Column:
     """x, or an error at run time where it is negative."""
     return F.when(x < 0, F.raise_error(F.lit(f"{name} is negative")).cast("double")).otherwise(x)
+
+
+def md5_draw(*values: Column) -> Column:
+    """A hash of 60 bits that any engine can state: the first 15 hexadecimal digits of the MD5 of the values' text, joined by |."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[v.cast("string") for v in values])), 1, 15), 16, 10).cast("long")

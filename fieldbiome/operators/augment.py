@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbiome.functions.settings import Bins
@@ -24,19 +26,20 @@ def deficits(rows: DataFrame, bins: Bins, value: str, min_count: int, enforce_up
     return picked.select("bin", "lower", "upper", "n", F.greatest(F.lit(min_count) - F.col("n"), F.lit(0)).alias("deficit"), F.when(F.col("n") > 0, F.col("bin")).otherwise(F.col("donor")).alias("donor"))
 
 
-def oversampled(rows: DataFrame, bins: Bins, value: str, key: str, min_count: int, enforce_upper: float, seed: int = 42) -> DataFrame:
+def oversampled(rows: DataFrame, bins: Bins, value: str, key: str, min_count: int, enforce_upper: float, seed: int = 42, draw: Callable[..., Column] = F.xxhash64) -> DataFrame:
     """rows, then draws with replacement until each enforced bin has min_count; synthetic marks the draws.
 
-    Draw i of a bin takes donor number hash(seed, bin, i) mod donors; in an empty bin its value is uniform within the bin.
+    Draw i of a bin takes donor number hash(seed, bin, i) mod donors, donors standing in the order of hash(seed, key); in an empty
+    bin its value is uniform within the bin, by hash(seed + 1, bin, i) mod 10^6. draw is the hash (see coerce.md5_draw).
     """
     need = deficits(rows, bins, value, min_count, enforce_upper).where("deficit > 0")
     draws = need.select("bin", "lower", "upper", "n", "donor", F.explode(F.sequence(F.lit(1), F.col("deficit").cast("int"))).alias("i"))
     by_bin = rows.withColumn("__bin", bins.key(F.col(value)))
-    numbered = placed(by_bin, [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], ["__bin"], "__k").withColumn("__k", F.col("__k") - 1)
+    numbered = placed(by_bin, [draw(F.lit(seed), F.col(key)), F.col(key)], ["__bin"], "__k").withColumn("__k", F.col("__k") - 1)
     sizes = by_bin.groupBy("__bin").agg(F.count("*").alias("__n"))
-    aimed = draws.join(sizes, F.col("donor") == F.col("__bin")).drop("__bin").withColumn("__pick", F.pmod(F.xxhash64(F.lit(seed), "bin", "i"), F.col("__n")))
+    aimed = draws.join(sizes, F.col("donor") == F.col("__bin")).drop("__bin").withColumn("__pick", F.pmod(draw(F.lit(seed), F.col("bin"), F.col("i")), F.col("__n")))
     drawn = aimed.join(numbered, (F.col("donor") == F.col("__bin")) & (F.col("__pick") == F.col("__k")))
-    u = F.pmod(F.xxhash64(F.lit(seed + 1), "bin", "i"), F.lit(1_000_000)) / 1_000_000
+    u = F.pmod(draw(F.lit(seed + 1), F.col("bin"), F.col("i")), F.lit(1_000_000)) / 1_000_000
     own = F.when(F.col("n") > 0, F.col(value)).otherwise(F.col("lower") + (F.col("upper") - F.col("lower")) * u)
     new = drawn.select(*[own.alias(c) if c == value else F.col(c) for c in rows.columns], F.lit(True).alias("synthetic"))
     return rows.withColumn("synthetic", F.lit(False)).unionByName(new)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldbiome.functions.scratch import cut
+from fieldbiome.functions.scratch import cut, release
 
 
 def _ready(df: DataFrame) -> DataFrame:
@@ -26,10 +26,11 @@ def connected(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataF
 
     Each round every node with edges points to its least neighbour. This closes only circles of two, whose lesser node
     becomes a root; pointer jumping leads all others to their roots, and edges between roots go on. Every tree has two nodes
-    or more, so n nodes take log2(n) rounds at most, of at most log3(n) jumps. keep ends the lineage of what it gets.
+    or more, so n nodes take log2(n) rounds at most, of at most log3(n) jumps. keep ends the lineage of what it gets (see scratch.cut); what a round has read is
+    removed once the next has been written.
     """
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = keep(edges.select(F.inline(ways)).distinct())  # edges are worked out once
+    both = held = keep(edges.select(F.inline(ways)).distinct())  # edges are worked out once
     label = keep(both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     both = both.where("a <> b")
     while both.limit(1).count():
@@ -37,17 +38,25 @@ def connected(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataF
         next_up = least.select(F.col("a").alias("n"), F.col("up").alias("u"))
         circle = (F.col("u") == F.col("a")) & (F.col("a") < F.col("up"))
         up = least.join(next_up, F.col("up") == F.col("n")).select("a", F.when(circle, F.col("a")).otherwise(F.col("up")).alias("up"))
+        walked = None
         while True:  # two steps further each time
             one, two = (up.select(F.col("a").alias(f"n{k}"), F.col("up").alias(f"u{k}")) for k in (1, 2))
             jumped = keep(up.join(one, F.col("up") == F.col("n1")).join(two, F.col("u1") == F.col("n2")).select("a", F.col("up").alias("was"), F.col("u2").alias("up")))
-            up = jumped.select("a", "up")
+            if walked is not None:
+                release(walked)
+            walked, up = jumped, jumped.select("a", "up")
             if not jumped.where("up <> was").limit(1).count():
                 break
         x, y = up.select(F.col("a").alias("xa"), F.col("up").alias("x")), up.select(F.col("a").alias("ya"), F.col("up").alias("y"))
-        both = keep(both.join(x, F.col("a") == F.col("xa")).join(y, F.col("b") == F.col("ya")).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        label = keep(label.join(x, F.col("root") == F.col("xa"), "left").select("node", F.coalesce("x", "root").alias("root")))
+        onward = keep(both.join(x, F.col("a") == F.col("xa")).join(y, F.col("b") == F.col("ya")).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        named = keep(label.join(x, F.col("root") == F.col("xa"), "left").select("node", F.coalesce("x", "root").alias("root")))
+        release(held, label, least, walked)
+        both = held = onward
+        label = named
     least = label.groupBy(F.col("root").alias("r")).agg(F.min("node").alias("least"))
-    return keep(label.join(least, F.col("root") == F.col("r")).select("node", F.col("least").alias("root")))
+    out = keep(label.join(least, F.col("root") == F.col("r")).select("node", F.col("least").alias("root")))
+    release(held, label)
+    return out
 
 
 def clusters(members: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,9 +102,9 @@ def split_summary(assigned: DataFrame, cluster: str) -> DataFrame:
     return a.unpivot([], a.columns, "metric", "value")
 
 
-def stratified_split(df: DataFrame, label: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
-    """df with in_test for round(fraction * n) rows of each class, taken by a seeded hash of the key."""
-    ranked = placed(df, [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], [label], "__place")
+def stratified_split(df: DataFrame, label: str, key: str, fraction: float, seed: int = 42, draw: Callable[..., Column] = F.xxhash64) -> DataFrame:
+    """df with in_test for round(fraction * n) rows of each class, taken by a seeded hash of the key (draw; see coerce.md5_draw)."""
+    ranked = placed(df, [draw(F.lit(seed), F.col(key)), F.col(key)], [label], "__place")
     n = df.groupBy(F.col(label).alias("__l")).agg(F.bround(F.count("*") * F.lit(fraction)).alias("__n"))
     return ranked.join(n, F.col(label).eqNullSafe(F.col("__l"))).withColumn("in_test", F.col("__place") <= F.col("__n")).drop("__l", "__n", "__place")
 

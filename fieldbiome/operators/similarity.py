@@ -145,9 +145,10 @@ def class_scores(parts: DataFrame, method: str = "class_topk", k: int = 9, penal
     return parts.select("query_id", "label", score[method].alias("score"))
 
 
-def centroid_scores(queries: DataFrame, db: DataFrame, penalty: float = 0.03) -> DataFrame:
-    """(query_id, label, score) by the cosine with each class's mean unit vector. Classes are few: their centroids are joined."""
-    unit = F.when(F.sqrt(dot(F.col("v"), F.col("v"))) > 0, F.transform("v", lambda x: x.cast("double") / F.sqrt(dot(F.col("v"), F.col("v"))))).otherwise(F.col("v").cast("array<double>"))
+def centroid_scores(queries: DataFrame, db: DataFrame, penalty: float = 0.03, raw: bool = False) -> DataFrame:
+    """(query_id, label, score) by the cosine with each class's mean unit vector, or with the mean of the vectors as they are (raw).
+    Classes are few: their centroids are joined."""
+    unit = F.col("v").cast("array<double>") if raw else F.when(F.sqrt(dot(F.col("v"), F.col("v"))) > 0, F.transform("v", lambda x: x.cast("double") / F.sqrt(dot(F.col("v"), F.col("v"))))).otherwise(F.col("v").cast("array<double>"))
     cells = db.select("label", F.posexplode(unit).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"), F.count("*").alias("size"))
     centroids = cells.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"), F.max("size").alias("size"))
     pairs = queries.crossJoin(centroids)  # queries x classes: the result's own size

@@ -459,6 +459,12 @@ def stratified_sizes(spark, sf_dir):
     return split.groupBy("label").agg(F.count("*").alias("n"), F.count_if("in_test").alias("n_test"))
 
 
+@query("""WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr(md5('7|' || vec_id), 1, 15) AS BIGINT), vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+SELECT vec_id, label, k <= round_even(n * 0.2, 0) AS in_test FROM r""")
+def stratified_rows(spark, sf_dir):
+    return selection.stratified_split(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id", 0.2, 7, coerce.md5_draw).select("vec_id", "label", "in_test")
+
+
 @query("SELECT e.vec_id AS row_index, 'q' || l.quality AS label FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id WHERE e.vec_id % 3 <> 0")
 def labelled_vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_index"), "embedding")
@@ -490,6 +496,15 @@ def user_sessions(spark, sf_dir):
     return streaming.sessions(table(spark, sf_dir, "events"), "12 hours").select("user_id", F.unix_timestamp("start").alias("start"), "n")
 
 
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+k AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, CAST(min(epoch_us(ts)) AS BIGINT) AS start_us, CAST(max(epoch_us(ts)) + 43200000000 AS BIGINT) AS end_us, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY user_id, s""")
+def user_session_bounds(spark, sf_dir):
+    """Starts and ends of sessions, to the microsecond; a session ends 12 hours after its last event."""
+    found = streaming.sessions(table(spark, sf_dir, "events").where("user_id is not null and ts is not null").withColumn("ts", F.col("ts").cast("timestamp")), "12 hours")
+    return found.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 # ---- hashed features, with crc32 worked out in SQL
 
 

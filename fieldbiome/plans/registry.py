@@ -245,6 +245,14 @@ def class_centroid(spark, sf_dir):
     return similarity.centroid_scores(q, d).withColumn("score", F.round("score", 9))
 
 
+@query("""WITH d AS (SELECT label, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id % 5 <> 0), u AS (SELECT label, unnest(b) AS x, unnest(range(len(b))) AS i FROM d),
+c AS (SELECT label, list(m ORDER BY i) AS c, any_value(size) AS size FROM (SELECT label, i, avg(x) AS m, count(*) AS size FROM u GROUP BY ALL) GROUP BY 1)
+SELECT vec_id AS query_id, c.label, round(list_cosine_similarity(embedding::DOUBLE[], c.c) - 0.03 * ln(1 + size), 9) AS score FROM embeddings e CROSS JOIN c WHERE vec_id % 5 = 0""")
+def class_centroid_raw(spark, sf_dir):
+    q, d = t.query_db(spark, sf_dir)
+    return similarity.centroid_scores(q, d, raw=True).withColumn("score", F.round("score", 9))
+
+
 _BINROWS = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, a, b, _ in BINS.rows)
 
 
@@ -456,6 +464,20 @@ def oversample_bins(spark, sf_dir):
     return rows.groupBy(BINS.key(F.col("pident")).alias("identity_bin")).agg(F.count("*").alias("n")).where("identity_bin is not null")
 
 
+@query(f"""WITH {_PER}, b(bin, lower, upper) AS (VALUES {_BINROWS}), m AS (SELECT *, (lower + upper) / 2 AS mid FROM b), h AS (SELECT query_id, pident, bin FROM p JOIN b ON pident >= lower AND pident < upper),
+n AS (SELECT m.*, count(query_id) AS n FROM m LEFT JOIN h USING (bin) GROUP BY ALL), e AS (SELECT * FROM n WHERE upper <= 45),
+need AS (SELECT x.bin, x.lower, x.upper, x.n, CASE WHEN x.n > 0 THEN x.bin ELSE (SELECT arg_min(y.bin, (abs(x.mid - y.mid), y.mid)) FROM e y WHERE y.n > 0) END AS donor FROM e x),
+w AS (SELECT *, unnest(range(1, CAST(40 - n AS BIGINT) + 1)) AS i FROM need WHERE n < 40),
+k AS (SELECT query_id, pident, bin, row_number() OVER (PARTITION BY bin ORDER BY CAST('0x' || substr(md5('42|' || query_id), 1, 15) AS BIGINT), query_id) - 1 AS k, count(*) OVER (PARTITION BY bin) AS size FROM h),
+drawn AS (SELECT query_id, CASE WHEN w.n > 0 THEN pident ELSE lower + (upper - lower) * ((CAST('0x' || substr(md5('43|' || w.bin || '|' || i), 1, 15) AS BIGINT) % 1000000) / 1000000) END AS pident
+  FROM w JOIN k ON k.bin = w.donor AND k.k = CAST('0x' || substr(md5('42|' || w.bin || '|' || i), 1, 15) AS BIGINT) % size)
+SELECT query_id, round(pident, 6) AS pident, true AS synthetic, count(*) AS copies FROM drawn GROUP BY ALL UNION ALL SELECT query_id, pident, false, 1 FROM p""")
+def oversample_rows(spark, sf_dir):
+    """The rows that are drawn, and how often each is."""
+    rows = augment.oversampled(t.per_query(spark, sf_dir), BINS, "pident", "query_id", 40, 45, draw=coerce.md5_draw)
+    return rows.groupBy("query_id", F.round("pident", 6).alias("pident"), "synthetic").agg(F.count("*").alias("copies"))
+
+
 @query()
 def rf_metrics(spark, sf_dir):
     return learn.forest_metrics(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
