@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldbiome.llm import linededup, mixing, neardup, pieces, quality
-from fieldbiome.llm.common import cut
+from fieldbiome.llm.common import cut, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, "stage")
+            if held is not None:
+                release(held)  # the stage before has been read
+            held = docs
     return docs
