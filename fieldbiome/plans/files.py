@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fieldbiome.functions import coerce, text
 from fieldbiome.functions.scratch import new_path, write_bytes
 from fieldbiome.operators import abundance, learn, linear, metrics, panel, selection, similarity
+from fieldbiome.operators.ranking import placed
 from fieldbiome.plans import tables as t
 from fieldbiome.plans.registry import _BINROWS, _PANEL, _PER, query, r6
 from fieldbiome.plans.tables import BINS, table
@@ -241,6 +242,16 @@ def web_sample_attributes(spark, sf_dir):
 # ---- writers
 
 
+@query("SELECT c_name AS name, row_number() OVER (ORDER BY c_name DESC) AS place FROM customer")
+def sorted_parts(spark, sf_dir):
+    """A file written in an order, in parts: the parts by name, and the lines in each, stand in it."""
+    path = new_path(spark, "sorted")
+    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.translate("c_name", "0123456789", "9876543210").alias("turned"))
+    writers.csv(c, path, order=["turned"])
+    lines = readers.csv_strings(spark, path).withColumns({"file": F.input_file_name(), "row": F.monotonically_increasing_id()})
+    return placed(lines.select("name", "file", "row"), [F.col("file"), F.col("row")]).select("name", "place")
+
+
 @query("SELECT 's' || s_suppkey AS id, printf('%.2f', round_even(s_acctbal, 2)) AS balance FROM supplier")
 def csv_fixed(spark, sf_dir):
     path = new_path(spark, "csv")

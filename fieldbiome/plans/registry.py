@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbiome.functions import coerce, text
+from fieldbiome.functions import coerce, settings, text
 from fieldbiome.operators import abundance, augment, cohort, graph, learn, linear, metrics, panel, selection, sequence, similarity
 from fieldbiome.plans import tables as t
 from fieldbiome.plans.tables import BINS, table
@@ -306,6 +306,22 @@ def kmer_counts(spark, sf_dir):
     return sequence.exploded_kmers(table(spark, sf_dir, "benchmark"), "item_id", "text", 3)
 
 
+@query(f"""WITH c AS (SELECT item_id, {_CLEAN} AS s FROM benchmark), l(k) AS (VALUES (3), (5)), t AS (SELECT item_id, k, substr(s, unnest(range(1, length(s) - k + 2)), k) AS token FROM c, l WHERE length(s) >= k)
+SELECT item_id, CAST(k AS INT) AS k, count(*) AS tokens, count(DISTINCT token) AS kinds FROM t GROUP BY ALL""")
+def kmer_lengths(spark, sf_dir):
+    """Lengths given as text, out of order and repeated."""
+    b = table(spark, sf_dir, "benchmark")
+    each = [sequence.exploded_kmers(b, "item_id", "text", k).groupBy("item_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("kinds")).withColumn("k", F.lit(k)) for k in settings.lengths_of("5, 3,5,")]
+    return each[0].unionByName(each[1])
+
+
+@query("SELECT CASE WHEN p_size < 10 THEN '1_to_10' WHEN p_size < 20 THEN '10_to_20' ELSE '20_to_45.5' END AS size_bin, count(*) AS n FROM part WHERE p_size >= 1 AND p_size < 45.5 GROUP BY 1")
+def bins_of_text(spark, sf_dir):
+    """Edges given as text."""
+    bins = settings.Bins(tuple(settings.edges_of("1, 10,20,45.5")))
+    return table(spark, sf_dir, "part").groupBy(bins.key(F.col("p_size").cast("double")).alias("size_bin")).agg(F.count("*").alias("n")).where("size_bin is not null")
+
+
 @query(f"""WITH c AS (SELECT item_id, {_CLEAN} AS s FROM benchmark), k AS (SELECT item_id, substr(s, unnest(range(1, length(s) - 1)), 3) AS token FROM c WHERE length(s) >= 3),
 h AS (SELECT item_id, CAST(('0x' || substr(md5(token), 1, 16))::UBIGINT % 128 AS INT) AS idx FROM k)
 SELECT item_id, idx, round(count(*) / any_value(tot), 9) AS v FROM h JOIN (SELECT item_id, count(*) AS tot FROM h GROUP BY 1) USING (item_id) GROUP BY ALL""")
