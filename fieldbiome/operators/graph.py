@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,12 +62,48 @@ def connected(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataF
     return out
 
 
+#: Edges that one task may join: 16 bytes each, and some more for ids of text.
+SMALL = 200_000
+
+
+def _at_once(edges: DataFrame) -> DataFrame:
+    """(node, root) of SMALL edges at most, in one task: labels fall to the least neighbour's until none does."""
+    kind = dict(edges.dtypes)["a"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else None
+        if table is None or not table.num_rows:
+            return
+        both = pa.concat_arrays([*table.column("a").chunks, *table.column("b").chunks])
+        names = pc.unique(both)
+        names = names.take(pc.sort_indices(names))
+        code = pc.index_in(both, names).to_numpy()
+        a, b = code[: table.num_rows], code[table.num_rows :]
+        label = np.arange(len(names))
+        while True:
+            low = label.copy()
+            np.minimum.at(low, a, label[b])
+            np.minimum.at(low, b, label[a])
+            np.minimum.at(low, label[a], label[b])
+            np.minimum.at(low, label[b], label[a])
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        yield pa.RecordBatch.from_arrays([names, names.take(pa.array(label))], ["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+
+
 def clusters(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cluster_id): the least id that edges (a, b) reach; members without edges are their own cluster.
 
-    Edges with an end that is no member count for nothing. Each round is written down, so that a lost executor costs one.
+    Edges with an end that is no member count for nothing. Up to SMALL edges are joined in one task; beyond, each round is written
+    down, so that a lost executor costs one.
     """
-    ids = _ready(members.select("id").distinct())
+    ids = members.select("id").distinct()
     inside = edges.where("a <> b").join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
-    found = connected(inside, _ready)
+    inside = _ready(inside.select("a", "b"))
+    found = _at_once(inside) if inside.count() <= SMALL else connected(inside, _ready)
     return ids.join(found, ids.id == found.node, "left").select("id", F.coalesce("root", "id").alias("cluster_id"))

@@ -105,11 +105,12 @@ def _in_blocks(home: DataFrame, visitors: DataFrame, sizes: dict[int, tuple[int,
 
 
 def similar_pairs(rows: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, most: int = PIVOTS) -> Met:
-    """(a, b, sim) with a < b of the rows whose cosine is threshold or more. A threshold of 0 or less rules nothing out."""
+    """(a, b, sim) with a < b of the rows whose cosine is threshold or more. A threshold of 0 or less rules nothing out; rows of one
+    block are compared at once."""
     held = rows.where("v is not null").select("id", F.col("v").cast("array<double>").alias("v"))
     n = held.count()
     whole = held.sparkSession.createDataFrame([(n * (n - 1) // 2,) * 2], "compared long, pairs long")
-    if threshold <= 0 or n < 2:
+    if threshold <= 0 or n <= max(block_rows, 1):
         return Met(pairs_over(held, threshold, block_rows), whole)
     centers, reach = pivots(held, n, most), float(np.arccos(min(threshold, 1.0))) + SLACK
 
@@ -156,15 +157,21 @@ def similar_pairs(rows: DataFrame, threshold: float, block_rows: int = BLOCK_ROW
     return Met(found, held.sparkSession.createDataFrame([(compared, n * (n - 1) // 2)], "compared long, pairs long"))
 
 
+def _all(queries: DataFrame, n: int) -> DataFrame:
+    return queries.agg((F.count("*") * n).alias("compared"), (F.count("*") * n).alias("pairs"))
+
+
 def best_parts(queries: DataFrame, db: DataFrame, k: int = 9, block_rows: int = BLOCK_ROWS, most: int = PIVOTS) -> Met:
     """What similarity.class_parts gives, by branch and bound: for each query and label, the size, best, best_id and k best.
 
     Each query first visits, of every class, the cells with the least bounds that hold k rows; its k-th best there is a threshold,
-    and in a second round it visits the other cells of the class whose bound reaches it.
+    and in a second round it visits the other cells of the class whose bound reaches it. A database of one block is compared at once.
     """
     q = queries.where("v is not null").select(F.col("query_id").alias("id"), F.col("v").cast("array<double>").alias("v"))
     d = db.where("v is not null").select(F.col("db_id").alias("id"), "label", F.col("v").cast("array<double>").alias("v"))
     spark, n = d.sparkSession, d.count()
+    if n <= max(block_rows, 1):
+        return Met(class_parts(queries, db, k, block_rows), _all(q, n))
     centers = pivots(d, n, most)
     label_type = dict(db.dtypes)["label"]
 
@@ -174,9 +181,9 @@ def best_parts(queries: DataFrame, db: DataFrame, k: int = 9, block_rows: int =
 
     dealt = cut(_each_batch(d, f"id {dict(d.dtypes)['id']}, label {label_type}, v array<double>, cell int, far double", celled), "cells")
     kinds = dealt.groupBy("label", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).orderBy("label", "cell").limit(KINDS + 1).collect()
+    if len(kinds) > KINDS:
+        return Met(class_parts(queries, db, k, block_rows), _all(q, n))
     asked = q.count()
-    if len(kinds) > KINDS or not kinds:
-        return Met(class_parts(queries, db, k, block_rows), spark.createDataFrame([(asked * n, asked * n)], "compared long, pairs long"))
     labels = list(dict.fromkeys(r["label"] for r in kinds))
     cell, count, far = (np.array([r[c] for r in kinds]) for c in ("cell", "n", "far"))
     of_label = np.array([labels.index(r["label"]) for r in kinds]) if len(labels) < 200 else np.searchsorted(labels, [r["label"] for r in kinds])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbiome.functions import coerce, settings, text
-from fieldbiome.operators import abundance, augment, cohort, graph, learn, linear, metrics, panel, selection, sequence, similarity
+from fieldbiome.operators import abundance, augment, cohort, graph, learn, linear, metric, metrics, panel, selection, sequence, similarity
 from fieldbiome.plans import tables as t
 from fieldbiome.plans.tables import BINS, table
 from fieldbiome.streaming import events as streaming
@@ -351,7 +351,7 @@ sp AS (SELECT id, cluster_id, CASE WHEN before < round_even((SELECT count(*) FRO
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where("embedding is not null")
     ids = e.select(F.col("vec_id").alias("id"))
-    over = similarity.pairs_over(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.4)
+    over = metric.similar_pairs(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.4).rows
     pairs = over.select(F.col("a").alias("query_id"), F.col("b").alias("subject_id"), (100 * F.col("sim")).alias("pident"))
     return graph.clusters(ids, graph.identity_edges(pairs, ids, 40.0))
 

@@ -46,13 +46,13 @@ def alignment_contained(spark, sf_dir):
 SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 9) AS sim FROM e x JOIN e y ON x.id < y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.4""")
 def metric_pairs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return metric.similar_pairs(e, 0.4, block_rows=512).rows.withColumn("sim", F.round("sim", 9))
+    return metric.similar_pairs(e, 0.4, block_rows=128).rows.withColumn("sim", F.round("sim", 9))
 
 
 @query(f"WITH {_SIMS}, {_NEAR}, {_TOPK} SELECT query_id, db_id, pident, pred_nearest, pred_topk FROM near JOIN top USING (query_id)")
 def metric_topk(spark, sf_dir):
     q, d = t.query_db(spark, sf_dir)
-    parts = metric.best_parts(q.select("query_id", "v"), d, 9, block_rows=512).rows
+    parts = metric.best_parts(q.select("query_id", "v"), d, 9, block_rows=128).rows
     near = similarity.nearest(parts).select(F.col("query_id").alias("q"), "db_id")
     both = similarity.both_predicted(parts).select("query_id", F.round(100 * F.col("sim"), 6).alias("pident"), "pred_nearest", "pred_topk")
     return both.join(near, F.col("query_id") == F.col("q")).drop("q")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbiome.operators import similarity
+from fieldbiome.operators import metric, similarity
 from fieldbiome.functions.settings import Bins
 
 #: Identity bins of the similarity benchmark (100 * top cosine lies between them).
@@ -57,7 +57,7 @@ def query_db(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, d = query_db(spark, sf_dir)
-    return similarity.class_parts(q.select("query_id", "v"), d)
+    return metric.best_parts(q.select("query_id", "v"), d).rows
 
 
 def per_query(spark: SparkSession, sf_dir: str) -> DataFrame:

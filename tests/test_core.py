@@ -206,6 +206,22 @@ def test_exact_quantiles_equal_numpy(spark):
     assert "d" not in got
 
 
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_clusters_of_random_graphs(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
+    rng = random.Random(8)
+    n = 300
+    order = rng.sample(range(n), n)
+    pairs = list(zip(order[:120], order[1:121])) + [(rng.choice(order[121:]), rng.choice(order[121:])) for _ in range(70)]  # a long chain, and a loose graph
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = dict(rows_of(graph.clusters(spark.range(n), spark.createDataFrame(pairs, "a long, b long"))))
+    assert got == dict(enumerate(root))
+    assert dict(rows_of(graph.clusters(spark.range(3), spark.createDataFrame([], "a long, b long")))) == {0: 0, 1: 1, 2: 2}
+
+
 def test_clusters_of_chains_and_cycles(spark):
     ids = [f"n{k:02d}" for k in range(20)]
     pairs = [(ids[k], ids[k + 1], 80.0) for k in range(9)] + [("n12", "n13", 90.0), ("n13", "n14", 70.0), ("n14", "n12", 70.0), ("n01", "zz", 99.0), ("n15", "n16", 69.9)]

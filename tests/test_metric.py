@@ -37,7 +37,7 @@ def test_clustered_rows_are_compared_less_than_all(spark):
     shares, counts = [], []
     for n in (300, 1200):
         rng = np.random.default_rng(8)
-        got = metric.similar_pairs(table(spark, clustered(rng, n, n // 15, dims=16, spread=0.02)), 0.95)
+        got = metric.similar_pairs(table(spark, clustered(rng, n, n // 15, dims=16, spread=0.02)), 0.95, block_rows=128)
         compared, pairs = got.compared.first()
         shares.append(compared / pairs)
         counts.append(compared)
