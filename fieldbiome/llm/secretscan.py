@@ -65,7 +65,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By encoding: each byte's place in the alphabet (-1: none), its class, the alphabet's size, and each class's share."""
-    place, group = np.full((len(NAMES), 128), -1), np.zeros((len(NAMES), 128), np.int64)
+    place, group = np.full((len(NAMES), 128), -1, np.int16), np.zeros((len(NAMES), 128), np.int16)
     size, share = np.zeros(len(NAMES), np.int64), np.zeros((len(NAMES), 5))
     for e, classes in enumerate(ENCODINGS.values()):
         letters = "".join(classes)
@@ -82,11 +82,11 @@ PLACE, GROUP, SIZE, SHARE = _tables()
 
 def encoding_of(tokens: np.ndarray, there: np.ndarray) -> np.ndarray:
     """The number of each token's encoding (-1: none, or digits alone); tokens: a matrix of bytes, there: which cells count."""
-    held = (PLACE[:, tokens] >= 0) | ~there
-    fits = held.all(2)
-    out = np.where(fits.any(0), fits.argmax(0), -1)
-    digits = (((tokens >= 48) & (tokens <= 57)) | ~there).all(1)
-    return np.where(digits, -1, out)
+    held = np.zeros((len(tokens), 128), bool)  # by token, which bytes it has
+    held[np.broadcast_to(np.arange(len(tokens))[:, None], tokens.shape)[there], tokens[there]] = True
+    fits = ~(held[:, None] & (PLACE < 0)[None]).any(2)
+    out = np.where(fits.any(1), fits.argmax(1), -1)
+    return np.where(held[:, [c for c in range(128) if not 48 <= c <= 57]].any(1), out, -1)
 
 
 def battery(tokens: np.ndarray, there: np.ndarray, encoding: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ def as_matrix(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     there = np.arange(n.max())[None] < n[:, None]
     out = np.zeros(there.shape, np.uint8)
     out[there] = np.frombuffer(b"".join(tokens), np.uint8)
-    return out.astype(np.int64), there
+    return out, there
 
 
 def judged(tokens: list[bytes]) -> list[tuple[int, int, float]]:
