@@ -1,12 +1,13 @@
 """Personal data: exact patterns, plus spans that a linear-chain conditional random field adds.
 
 The field labels tokens (runs without white space) as inside an email, ip, card or phone, or outside, by features of their
-word shapes. It is trained on the driver from a small labelled table (TRAINING: some 110 lines in markup, made for this), by
-gradient ascent on the exact log-likelihood. Each token of a text gets its emissions. A token for which outside outweighs
+word shapes, and by the outlines of what stands around it (at, dot, groups of digits; SEEN). It is trained on the driver, once a
+process, from a small labelled table (TRAINING: some 150 lines in markup, made for this), by gradient ascent on the exact
+log-likelihood, with one penalty for emissions and transitions. Each token of a text gets its emissions. A token for which outside outweighs
 every label by more than all transitions can give back is outside on any best path; this is checked by the emissions of each
 token. So a chain falls into independent windows of the other tokens, and Viterbi over numpy batches of windows is exact.
-What the field labels must then hold what its kind is made of (plausible): it adds what the exact patterns can't see, such as
-spelled-out addresses, cards of 13 to 15 digits or odd spacing, and addresses of the longer kind.
+What the field labels must then match an exact check of its kind (plausible), which decides what a span may be; the field decides
+where one is. So it adds what the exact patterns can't see, such as spelled-out addresses, cards of 13 to 15 digits or odd spacing, and addresses of the longer kind.
 
 The exact patterns take time linear in the text: each looks only at places where a match can begin.
 
