@@ -2,7 +2,7 @@
 
 The field labels tokens (runs without white space) as inside an email, ip, card or phone, or outside, by features of their
 word shapes, and by the outlines of what stands around it (at, dot, groups of digits; SEEN). It is trained on the driver, once a
-process, from a small labelled table (TRAINING: some 150 lines in markup, made for this), by gradient ascent on the exact
+process, from a small labelled table (TRAINING: some 140 lines in markup, made for this), by gradient ascent on the exact
 log-likelihood, with one penalty for emissions and transitions. Each token of a text gets its emissions. A token for which outside outweighs
 every label by more than all transitions can give back is outside on any best path; this is checked by the emissions of each
 token. So a chain falls into independent windows of the other tokens, and Viterbi over numpy batches of windows is exact.
