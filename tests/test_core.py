@@ -2,6 +2,7 @@
 
 import io
 import math
+import os
 import random
 import tarfile
 import zipfile
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldbiome.functions import coerce, text
+from fieldbiome.functions.scratch import shared_dir
 from fieldbiome.functions.settings import Bins, edges_of, lengths_of, rates_of
 from fieldbiome.operators import abundance, augment, cohort, graph, learn, linear, metrics, panel, ranking, selection, sequence, similarity
 from fieldbiome.sources import readers, web, writers
@@ -222,6 +224,15 @@ def test_clusters_of_random_graphs(spark, monkeypatch, small):
     assert dict(rows_of(graph.clusters(spark.range(3), spark.createDataFrame([], "a long, b long")))) == {0: 0, 1: 1, 2: 2}
 
 
+def test_components_leave_what_the_result_needs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SMALL", 0)
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = graph.clusters(spark.range(200), spark.createDataFrame([(k, k + 1) for k in range(199)], "a long, b long"))
+    assert found.where("cluster_id = 0").count() == 200
+    assert len(set(os.listdir(folder)) - before) <= 2  # the edges and the labels
+
+
 def test_clusters_of_chains_and_cycles(spark):
     ids = [f"n{k:02d}" for k in range(20)]
     pairs = [(ids[k], ids[k + 1], 80.0) for k in range(9)] + [("n12", "n13", 90.0), ("n13", "n14", 70.0), ("n14", "n12", 70.0), ("n01", "zz", 99.0), ("n15", "n16", 69.9)]
