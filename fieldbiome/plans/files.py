@@ -90,10 +90,11 @@ def hit_files(spark, sf_dir):
 
 @query("""SELECT 'o' || l_orderkey AS qseqid, arg_max('p' || l_partkey, (l_quantity, -l_linenumber)) AS sseqid, max(l_quantity) AS pident FROM lineitem GROUP BY 1""")
 def hit_table(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem")
-    path = _write_lines(_lines(l, F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.col("l_quantity"), F.col("l_linenumber")), "hits")
-    hits = readers.blast_hits(spark, path, ("qseqid", "sseqid", "pident", "n"), strict=True)
-    return selection.top_hits(hits, "qseqid", [F.desc("pident"), F.col("n").cast("int")]).select("qseqid", "sseqid", "pident")
+    # Of lines that quantity and line number don't tell apart the first of the table counts, so each carries its place.
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_linenumber", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    path = _write_lines(_lines(l, F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.col("l_quantity"), F.col("l_linenumber"), F.col("file"), F.col("row")), "hits")
+    hits = readers.blast_hits(spark, path, ("qseqid", "sseqid", "pident", "n", "file", "row"), strict=True)
+    return selection.top_hits(hits, "qseqid", [F.desc("pident"), F.col("n").cast("int"), F.col("file"), F.col("row").cast("long")]).select("qseqid", "sseqid", "pident")
 
 
 @query("""WITH q AS (SELECT c_name AS query_id, c_mktsegment AS label FROM customer WHERE c_custkey % 4 <> 0), d AS (SELECT 'p' || p_partkey AS db_id, p_type AS label FROM part WHERE p_size < 40)
