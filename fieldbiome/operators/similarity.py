@@ -1,7 +1,8 @@
 """Cosine similarity and the predictors that label queries by their nearest database rows.
 
 All pairs are compared, but only what a question needs leaves a pair of blocks: the best row, the k best of each label and their
-number, or the pairs over a threshold. Blocks have a set number of rows, so a task's memory doesn't grow with the tables.
+number, the pairs over a threshold, or links that join what they join. Blocks have BLOCK_BYTES of numbers at most, so a task's
+memory doesn't grow with the tables, and are large, so that a row travels to few of them; a pair of blocks is compared by tiles.
 """
 
 from __future__ import annotations
@@ -14,8 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block: a pair of blocks is a matrix of BLOCK_ROWS x BLOCK_ROWS similarities (32 MB).
+#: Rows of a tile: a pair of tiles is a matrix of BLOCK_ROWS x BLOCK_ROWS similarities (32 MB). Tables of fewer rows are one block.
 BLOCK_ROWS = 2048
+#: Bytes of a block's vectors as doubles, at most, and blocks of a side that are aimed at for the sake of parallel work.
+BLOCK_BYTES, BLOCKS = 16 << 20, 8
+#: Tasks that share the pairs of blocks.
+TASKS = 96
+#: Products of matrices differ from sums in order by less than this; what comes near a limit is summed in order.
+NEAR = 1e-9
+#: Pairs that are summed in order at a time.
+PAIRS = 50_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,12 +49,25 @@ def unit_rows(column: pa.ChunkedArray, n: int) -> np.ndarray:
 Kernel = Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray], pa.Table]
 
 
-def _in_blocks(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, block_rows: int, upper: bool = False) -> DataFrame:
+def rows_of_block(n: int, dims: int, block_rows: int) -> int:
+    """Rows of a block of n vectors of dims numbers: a share of them within BLOCK_BYTES, block_rows at least."""
+    return max(block_rows, min(-(-n // BLOCKS), BLOCK_BYTES // (8 * max(dims, 1))))
+
+
+def _rows_of_block(block_rows: int) -> Column:
+    """The same of the rows that are aggregated."""
+    dims = F.greatest(F.coalesce(F.max(F.size("v")), F.lit(1)), F.lit(1))
+    return F.greatest(F.lit(block_rows), F.least(F.ceil(F.count("*") / BLOCKS), F.floor(F.lit(BLOCK_BYTES) / (8 * dims))))
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, block_rows: int, upper: bool = False, grow: bool = True) -> DataFrame:
     """kernel's rows for each pair of a block of left (id, v, ...) and a block of right; upper: left is right, each pair of blocks once.
 
-    The numbers of blocks come from counts within the plan (one row each).
+    The numbers of blocks come from counts within the plan (one row each). grow: blocks are as large as _rows_of_block has it. Pairs of
+    blocks are dealt to a set number of tasks: they hold little, but take long.
     """
-    sized = lambda df, name: df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias(name))
+    size = _rows_of_block(block_rows) if grow else F.lit(block_rows)
+    sized = lambda df, name: df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias(name))
     blocks = F.broadcast(sized(left, "nl").join(sized(right, "nr")))  # one row
     place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     to_last = lambda n, first: F.explode(F.sequence(first, F.col(n) - 1))
@@ -56,18 +78,107 @@ def _in_blocks(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, b
         b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).drop("nl", "nr")
     else:
         b = b.withColumn("i", to_last("nl", F.lit(0))).drop("nl", "nr")
+
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return kernel(x.slice(0, 0), y.slice(0, 0), np.zeros((0, 1)), np.zeros((0, 1)))
         return kernel(x, y, unit_rows(x.column("v"), x.num_rows), unit_rows(y.column("v"), y.num_rows))
 
     b = b.withColumnsRenamed({"i": "bi", "j": "bj"})
+    a, b = a.repartition(TASKS, "i", "j"), b.repartition(TASKS, "bi", "bj")
     return a.groupBy("i", "j").cogroup(b.groupBy("bi", "bj")).applyInArrow(run, schema)
 
 
+def vectors(df: DataFrame) -> Column:
+    """v, of floats as it is (it is made double where it is compared), all else as doubles."""
+    return F.col("v") if dict(df.dtypes)["v"] == "array<float>" else F.col("v").cast("array<double>").alias("v")
+
+
+def tops(x: np.ndarray, y: np.ndarray, row_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best, best_id, top) of each unit row of x among those of y: the largest similarity, the smallest id that has it, and the k largest."""
+    n, few = len(x), min(k, len(y))
+    best, best_id, top = np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max), np.full((n, few), -np.inf)
+    order = np.argsort(row_id, kind="stable")
+    for i in range(0, n, BLOCK_ROWS):
+        rows = slice(i, i + BLOCK_ROWS)
+        for j in range(0, len(y), BLOCK_ROWS):
+            at = order[j : j + BLOCK_ROWS]
+            sims = np.einsum("ij,kj->ik", x[rows], y[at])
+            first = sims.argmax(1)  # the first of equal ones: the smallest id, as tiles go by ids
+            here = sims[np.arange(len(sims)), first]
+            better = (here > best[rows]) | (np.isnan(here) & ~np.isnan(best[rows]))
+            best[rows] = np.where(better, here, best[rows])
+            best_id[rows] = np.where(better, row_id[at][first], best_id[rows])
+            most = sims if sims.shape[1] <= few else np.partition(sims, sims.shape[1] - few, 1)[:, -few:]
+            both = np.concatenate([top[rows], most], 1)
+            top[rows] = -np.sort(-both, 1)[:, :few]
+    return best, best_id, top
+
+
+def lists(top: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(top) + 1) * top.shape[1], pa.int32()), pa.array(np.ascontiguousarray(top).ravel()))
+
+
+def over(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(at, to, sim) of the unit rows of x and y whose similarity is threshold or more, tile by tile. A product of matrices tells
+    which come near; only these are summed in order, as equal vectors must have equal similarities."""
+    for i in range(0, len(x), BLOCK_ROWS):
+        for j in range(0, len(y), BLOCK_ROWS):
+            a, b = x[i : i + BLOCK_ROWS], y[j : j + BLOCK_ROWS]
+            at, to = np.nonzero(a @ b.T >= threshold - NEAR)
+            sim = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", a[at[p : p + PAIRS]], b[to[p : p + PAIRS]]) for p in range(0, len(at), PAIRS)]])
+            keep = sim >= threshold
+            yield at[keep] + i, to[keep] + j, sim[keep]
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes that the links a, b reach, but roots: fewer links that join what those do, each node to the least."""
+    names, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = code[: len(a)], code[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, x, label[y])
+        np.minimum.at(low, y, label[x])
+        np.minimum.at(low, label[x], label[y])
+        np.minimum.at(low, label[y], label[x])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    own = label == np.arange(len(names))
+    return names[~own], names[label[~own]]
+
+
+#: Links that a pair of blocks holds before it brings them down to a forest.
+LINKS = 2_000_000
+
+
+def pair_rows(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, same: bool, joined: bool) -> pa.Table:
+    """(a, b, sim) with a < b of the rows over the threshold; same: left is right, each pair once. joined: (a, b) of links that join
+    the same rows, no more than there are rows."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for at, to, sim in over(x, y, threshold):
+        keep = left[at] < right[to] if same else left[at] != right[to]
+        low, high = np.minimum(left[at[keep]], right[to[keep]]), np.maximum(left[at[keep]], right[to[keep]])
+        held.append((low, high) if joined else (low, high, sim[keep]))
+        n += len(low)
+        if joined and n > LINKS:
+            held = [forest(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+            n = len(held[0][0])
+    names = ("a", "b") if joined else ("a", "b", "sim")
+    if not held:
+        return pa.table({c: np.zeros(0) if c == "sim" else np.zeros(0, np.int64) for c in names})
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    if joined and len(columns[0]):
+        columns = list(forest(*columns))
+    return pa.table(dict(zip(names, columns, strict=True)))
+
+
 def _sides(queries: DataFrame, db: DataFrame) -> tuple[DataFrame, DataFrame]:
-    q = queries.select(F.col("query_id").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    return q, db.select(F.col("db_id").alias("id"), "label", F.col("v").cast("array<double>").alias("v"))
+    return queries.select(F.col("query_id").alias("id"), vectors(queries)), db.select(F.col("db_id").alias("id"), "label", vectors(db))
 
 
 def pair_similarities(queries: DataFrame, db: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -84,7 +195,7 @@ def pair_similarities(queries: DataFrame, db: DataFrame, block_rows: int = BLOCK
         return pa.table({"query_id": a.column("id").take(pa.array(at)), "db_id": b.column("id").take(pa.array(to)), "label": b.column("label").take(pa.array(to)), "sim": sim})
 
     label = dict(db.dtypes)["label"]
-    return _in_blocks(q, d, kernel, f"query_id long, db_id long, label {label}, sim double", block_rows)
+    return _in_blocks(q, d, kernel, f"query_id long, db_id long, label {label}, sim double", block_rows, grow=False)
 
 
 def class_parts(queries: DataFrame, db: DataFrame, k: int = 9, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -98,18 +209,14 @@ def class_parts(queries: DataFrame, db: DataFrame, k: int = 9, block_rows: int =
     def kernel(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
         ids, labels = (a.column("id").to_numpy(), b.column("label").to_pandas()) if a.num_rows else (np.zeros(0, np.int64), pd.Series([], dtype=object))
         names, code = np.unique(labels.to_numpy(), return_inverse=True) if len(labels) else (np.zeros(0), np.zeros(0, np.int64))
-        sims = np.einsum("ij,kj->ik", x, y) if a.num_rows else np.zeros((0, 0))
         row_id = b.column("id").to_numpy()
         out: list[pa.Table] = []
         for c, name in enumerate(names):
             at = np.flatnonzero(code == c)
-            at = at[np.argsort(row_id[at], kind="stable")]
-            s = sims[:, at]
-            first = s.argmax(1)  # the first of equal ones: the smallest id
-            top = -np.sort(-s, 1)[:, :k]
+            best, best_id, top = tops(x, y[at], row_id[at], k)
             out.append(pa.table({
                 "query_id": ids, "label": pa.array([name] * len(ids), b.schema.field("label").type), "size": np.full(len(ids), len(at), np.int64),
-                "best": s[np.arange(len(ids)), first], "best_id": row_id[at][first], "top": pa.array(list(top), pa.list_(pa.float64())),
+                "best": best, "best_id": best_id, "top": lists(top),
             }))
         schema = pa.schema([("query_id", pa.int64()), ("label", b.schema.field("label").type if b.num_columns else pa.int32()), ("size", pa.int64()), ("best", pa.float64()), ("best_id", pa.int64()), ("top", pa.list_(pa.float64()))])
         return pa.concat_tables(out) if out else schema.empty_table()
@@ -120,21 +227,19 @@ def class_parts(queries: DataFrame, db: DataFrame, k: int = 9, block_rows: int =
     return merged.select("query_id", "label", "size", F.col("x.best").alias("best"), (-F.col("x.n")).alias("best_id"), "top")
 
 
-def pairs_over(rows: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, sim) with a < b of the rows (id, v) whose cosine is threshold or more; each pair is compared once."""
-    side = rows.select("id", F.col("v").cast("array<double>").alias("v"))
+def pairs_over(rows: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, joined: bool = False) -> DataFrame:
+    """(a, b, sim) with a < b of the rows (id, v) whose cosine is threshold or more; each pair is compared once.
+
+    joined: (a, b) of links that join the same rows instead, of each pair of blocks no more than it has rows.
+    """
+    side = rows.select("id", vectors(rows))
     other = side.select(F.col("id").alias("other"), F.col("v").alias("w")).toDF("id", "v")  # columns of their own: the table meets itself
 
     def kernel(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
-        left, right = a.column("id").to_numpy(), b.column("id").to_numpy()
-        sims = np.einsum("ij,kj->ik", x, y) if a.num_rows else np.zeros((0, 0))
-        at, to = np.nonzero(sims >= threshold)
-        own = a.num_rows and a.column("i")[0].as_py() == a.column("j")[0].as_py()
-        keep = left[at] < right[to] if own else left[at] != right[to]
-        at, to = at[keep], to[keep]
-        return pa.table({"a": np.minimum(left[at], right[to]), "b": np.maximum(left[at], right[to]), "sim": sims[at, to]})
-
-    return _in_blocks(side, other, kernel, "a long, b long, sim double", block_rows, upper=True)
+        own = bool(a.num_rows) and a.column("i")[0].as_py() == a.column("j")[0].as_py()
+        return pair_rows(a.column("id").to_numpy(), b.column("id").to_numpy(), x, y, threshold, own, joined)
+
+    return _in_blocks(side, other, kernel, "a long, b long" + ("" if joined else ", sim double"), block_rows, upper=True)
 
 
 def class_scores(parts: DataFrame, method: str = "class_topk", k: int = 9, penalty: float = 0.03) -> DataFrame:

@@ -63,3 +63,26 @@ def test_best_parts_equal_class_parts(spark, kind):
     compared, pairs = got.compared.first()
     assert compared <= pairs and (kind == "plain" or compared < 0.7 * pairs)
     assert metric.best_parts(queries, db.limit(0), 3).rows.count() == 0 and metric.best_parts(queries.limit(0), db, 3).rows.count() == 0
+
+
+def test_vectors_without_structure_travel_to_few_blocks(spark, monkeypatch):
+    """Cells rule nothing out there: visits to each of them would move a row many times."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    db = table(spark, x, label=rng.integers(3, size=len(x)).tolist()).withColumnRenamed("id", "db_id")
+    queries = table(spark, rng.normal(size=(300, 64)), first=5000).withColumnRenamed("id", "query_id")
+    met = []
+    monkeypatch.setattr(metric, "_in_blocks", lambda *a, **k: met.append(a))
+    got = {(r["query_id"], r["label"]): (r["best_id"], r["size"]) for r in metric.best_parts(queries, db, 9, block_rows=128).rows.collect()}
+    want = {(r["query_id"], r["label"]): (r["best_id"], r["size"]) for r in similarity.class_parts(queries, db, 9).collect()}
+    assert got == want and metric.similar_pairs(table(spark, x), 0.4, block_rows=128).rows.count() > 0 and not met
+
+
+def test_links_join_what_pairs_join(spark):
+    rng = np.random.default_rng(12)
+    for x in (clustered(rng, 400, 30), rng.normal(size=(400, 4)), np.ones((400, 4))):
+        df = table(spark, x)
+        pairs = [(r["a"], r["b"]) for r in metric.similar_pairs(df, 0.95, block_rows=64).rows.collect()]
+        links = [(r["a"], r["b"]) for r in metric.similar_pairs(df, 0.95, block_rows=64, joined=True).rows.collect()]
+        roots = [dict(zip(*(c.tolist() for c in similarity.forest(*np.array(some).T)), strict=True)) for some in (pairs, links)]
+        assert roots[0] == roots[1] and len(links) <= len(pairs) and len(links) < 400 * 30
