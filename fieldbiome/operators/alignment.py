@@ -1,7 +1,7 @@
 """Alignment search: hits of protein queries in a database by seeds, two hits on a diagonal, and gapped local alignment in bands.
 
 Words of the database, with their neighbourhood (all words that score `least` or more against them), meet the queries' words in a
-join that is salted against frequent words. Seeds of a query and a subject on one diagonal count where another seed stands within
+join that is salted against frequent words; queries' words that a filter of the database's tells to be in none are left out before. Seeds of a query and a subject on one diagonal count where another seed stands within
 `reach` before them; only such bands of diagonals are aligned, so no pair without two seeds is touched. Windows of low entropy give
 no words. Bands are aligned by anti-diagonals over batches of candidates, with affine gaps, and traced back. Bit scores and e-values
 follow from the parameters of Karlin and Altschul, solved for the scores' frequencies in the database, and from effective lengths.
@@ -203,14 +203,31 @@ def neighbours(found: np.ndarray, how: Search) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([owner, own]), np.concatenate([word, found[own]])
 
 
-def _each_word(df: DataFrame, how: Search, near: bool) -> DataFrame:
-    """(word, id, at) of the sequences (id, seq); near: of the words' neighbours too."""
+#: Fixed value: slots of the filter of words (a prime; 2 MB of bits).
+SLOTS = 16_777_213
+
+
+def _slots(found: DataFrame) -> np.ndarray:
+    """Which slots (word mod SLOTS) the words have; words of other slots are surely not among them. 262,144 rows come back at most."""
+    slot = F.pmod("word", F.lit(SLOTS))
+    got = found.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(SLOTS // 64 + 1, np.int64)
+    out[got.column("w").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def _each_word(df: DataFrame, how: Search, near: bool, slots: np.ndarray | None = None) -> DataFrame:
+    """(word, id, at) of the sequences (id, seq); near: of the words' neighbours too. slots: only of words that have one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(whole.num_rows):
                 row = whole.slice(k, 1)
                 at, found = words(codes(row.column("seq")[0].as_py()), how)
+                if slots is not None:
+                    slot = found % SLOTS
+                    has = slots[slot >> 3] >> (slot & 7) & 1 > 0
+                    at, found = at[has], found[has]
                 for first in range(0, len(at), 20_000):
                     place, w = at[first : first + 20_000], found[first : first + 20_000]
                     if near:
@@ -228,12 +245,17 @@ def _each_word(df: DataFrame, how: Search, near: bool) -> DataFrame:
 
 
 def seeds(queries: DataFrame, db: DataFrame, how: Search) -> DataFrame:
-    """(q, s, diagonal, at) of equal words; queries and db are (id, seq). Frequent words are shared by how.salts tasks."""
-    mine = _each_word(queries, how, near=False).select("word", F.col("id").alias("q"), "at")
+    """(q, s, diagonal, at) of equal words; queries and db are (id, seq). Frequent words are shared by how.salts tasks.
+
+    The words of a database are far more than its size lets the optimizer expect: they are never broadcast.
+    """
+    made = cut(_each_word(db.repartition(how.salts), how, near=True), "words")
+    mine = _each_word(queries, how, near=False, slots=_slots(made)).select("word", F.col("id").alias("q"), "at")
     mine = mine.withColumn("salt", F.pmod(F.xxhash64("q", "at"), F.lit(how.salts)).cast("int"))
-    theirs = _each_word(db, how, near=True).select(F.col("word").alias("w"), F.col("id").alias("s"), F.col("at").alias("place"))
+    theirs = made.select(F.col("word").alias("w"), F.col("id").alias("s"), F.col("at").alias("place"))
     theirs = theirs.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(how.salts - 1))))
-    return mine.join(theirs, (F.col("word") == F.col("w")) & (F.col("salt") == F.col("z"))).select("q", "s", (F.col("at") - F.col("place")).alias("diagonal"), "at")
+    met = mine.hint("merge").join(theirs.hint("merge"), (F.col("word") == F.col("w")) & (F.col("salt") == F.col("z")))
+    return met.select("q", "s", (F.col("at") - F.col("place")).alias("diagonal"), "at")
 
 
 def candidates(found: DataFrame, how: Search) -> DataFrame:

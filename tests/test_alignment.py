@@ -148,3 +148,20 @@ def test_pairs_without_two_seeds_are_not_touched(spark):
     rows = [("q", "s", 0, 10), ("q", "s", 0, 13), ("q", "t", 5, 10), ("q", "t", 5, 15), ("q", "u", 7, 0), ("q", "u", 7, 60), ("q", "v", -3, 0), ("q", "v", -2, 20)]
     found = spark.createDataFrame(rows, "q string, s string, diagonal int, at int")
     assert [tuple(r) for r in al.candidates(found, HOW).collect()] == [("q", "t", 0)]
+
+
+def test_words_of_the_database_are_not_broadcast_and_the_filter_loses_none(spark):
+    rng = random.Random(21)
+    db = [(k, protein(rng, 60)) for k in range(6)]
+    queries = [(100 + k, protein(rng, 20) + mutant(rng, s, 0.2) + protein(rng, 20)) for k, s in db]
+    d, q = (spark.createDataFrame(rows, "id long, seq string") for rows in (db, queries))
+    found = al.seeds(q, d, HOW)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for s, text in db:
+        at, w = al.words(al.codes(text), HOW)
+        owner, near = al.neighbours(w, HOW)
+        for i, other in queries:
+            there, v = al.words(al.codes(other), HOW)
+            want += [(i, s, int(there[x] - at[owner[y]]), int(there[x])) for x in range(len(v)) for y in np.flatnonzero(near == v[x])]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and want
