@@ -12,6 +12,10 @@ A chain that closes on itself has no ends, and is opened before its least k-mer.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +45,73 @@ def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
     """(node, n): canonical k-mers of the reads and how often each is found, on either strand."""
     if k % 2 == 0 or not 3 <= k <= 31:
         raise ValueError("k is odd, from 3 to 31")
-    pieces = reads.select(F.explode(F.split(F.upper("seq"), "[^ACGT]+")).alias("s")).where(F.length("s") >= k)
-    mers = pieces.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - k + 1), lambda i: F.substring("s", i, F.lit(k)))).alias("m"))
-    code = mers.groupBy("m").agg(F.count("*").alias("n")).select(_code(F.col("m"), k).alias("c"), "n")
-    return code.select(F.least("c", _reverse(F.col("c"), k)).alias("node"), "n").groupBy("node").agg(F.sum("n").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            codes, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.argsort(codes)
+            codes = codes[order]
+            at = np.flatnonzero(np.diff(codes, prepend=-1))
+            return codes[at], np.add.reduceat(n[order], at) if len(at) else n
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for letters in _joined(batch.column("seq")):
+                codes = _canonical(letters, k)
+                held.append((codes, np.ones(len(codes), np.int64)))
+                size += len(codes)
+                if size >= MERS:
+                    held = [counted(held)]
+                    size = len(held[0][0])
+                    if size > MERS // 2:  # few repeat: what is held goes on
+                        yield from _mers(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from _mers(*counted(held))
+
+    some = reads.where("seq is not null").select("seq").mapInArrow(run, "node long, n long")
+    return some.groupBy("node").agg(F.sum("n").alias("n"))
+
+
+#: Letters of a piece of a batch, k-mers that a task counts at a time, and rows that it gives at a time.
+LETTERS, MERS, ROWS = 4_000_000, 8_000_000, 100_000
+_LETTER = np.full(256, 4, np.uint8)
+for _n, _c in enumerate("ACGT"):
+    _LETTER[[ord(_c), ord(_c.lower())]] = _n
+
+
+def _joined(seqs: pa.Array) -> Iterator[np.ndarray]:
+    """The letters of sequences, one after another with a break (4) after each, in pieces; long sequences are pieces of their own."""
+    held: list[np.ndarray] = []
+    size = 0
+    for seq in seqs:
+        held += [_LETTER[np.frombuffer(seq.as_buffer(), np.uint8)], np.full(1, 4, np.uint8)]
+        size += len(held[-2]) + 1
+        if size >= LETTERS:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _canonical(letters: np.ndarray, k: int) -> np.ndarray:
+    """The lesser codes of the k letters from each place on and of their reverse complement, where all are known."""
+    n = len(letters) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    bad = np.cumsum(np.concatenate([[0], letters > 3]))
+    own, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for j in range(k):
+        x = letters[j : j + n].astype(np.int64)
+        own = own << 2 | x & 3
+        back |= (3 - x & 3) << 2 * j
+    return np.minimum(own, back)[bad[k:] == bad[:-k]]
+
+
+def _mers(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for first in range(0, len(codes), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(codes[first : first + ROWS]), pa.array(n[first : first + ROWS])], ["node", "n"])
 
 
 def links(nodes: DataFrame, k: int) -> DataFrame:

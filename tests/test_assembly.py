@@ -93,3 +93,13 @@ def test_rings_and_nothing(spark):
     assert assembly.assembled(table(spark, []), 21).count() == 0
     with pytest.raises(ValueError):
         assembly.kmer_counts(table(spark, ["ACGT"]), 4)
+
+
+def test_kmers_are_counted_as_numbers_where_they_are_made(spark):
+    turn = str.maketrans("ACGT", "TGCA")
+    seqs = ["ACGTTGCAACG" * 3, "acgNNacgtt", "", "AC", None, "ACGTé" + "TTTTT"]
+    got = assembly.kmer_counts(spark.createDataFrame(list(enumerate(seqs)), "id long, seq string"), 5)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row for each k-mer
+    mers = [m for s in seqs if s for m in (s.upper()[i : i + 5] for i in range(len(s) - 4)) if set(m) <= set("ACGT")]
+    want = Counter(min(m, m.translate(turn)[::-1]) for m in mers)
+    assert {r["m"]: r["n"] for r in got.select(assembly.letters_of(got.node, 5).alias("m"), "n").collect()} == want
