@@ -40,20 +40,63 @@ def _codons(letters: np.ndarray, width: int = 3) -> np.ndarray:
 
 def frames(letters: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(strand, first, last), 0-based on the forward strand, of the frames of `least` bases or more, stop included."""
-    out, n = [], len(letters)
+    which, *found = _frames(letters, np.zeros(1, np.int64), least)
+    return list(zip(*[c.tolist() for c in found], strict=True))
+
+
+def _frames(letters: np.ndarray, starts_at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, strand, first, last) of the frames of many sequences at once: letters are all of theirs, one after another, and
+    starts_at says where each begins. Places count from its beginning."""
+    ends_at = np.append(starts_at[1:], len(letters))
+    out: list[tuple[np.ndarray, ...]] = []
     for strand in (1, -1):
+        # On the other strand sequences stand in reverse order, too.
         own = letters if strand == 1 else np.where(letters > 3, 4, 3 - letters)[::-1]
+        begin, end = (starts_at, ends_at) if strand == 1 else ((len(letters) - ends_at)[::-1], (len(letters) - starts_at)[::-1])
         codon = _codons(own)
-        for frame in range(3):
-            mine = codon[frame::3]
-            stops = np.flatnonzero(np.isin(mine, [_number(s) for s in STOPS]))
-            starts = np.flatnonzero(mine == _number(START))
-            at = np.searchsorted(starts, np.concatenate([[0], stops[:-1] + 1])) if len(stops) else np.zeros(0, np.int64)
-            for stop, k in zip(stops.tolist(), at.tolist(), strict=True):
-                if k < len(starts) and starts[k] < stop and 3 * (stop - starts[k] + 1) >= least:
-                    a, b = frame + 3 * int(starts[k]), frame + 3 * stop + 2
-                    out.append((strand, a, b) if strand == 1 else (strand, n - 1 - b, n - 1 - a))
-    return out
+        stop_at, start_at = np.flatnonzero(_IS_STOP[codon]), np.flatnonzero(codon == _number(START))
+        of = lambda at: np.searchsorted(begin, at, "right") - 1  # noqa: E731  the last of those that begin there: empty ones hold none
+        kept = []
+        for at in (stop_at, start_at):
+            seq = of(at)
+            inside = at + 3 <= end[seq]
+            at, seq = at[inside], seq[inside]
+            # A number for the sequence and frame that a codon stands in, then its place.
+            group = seq * 3 + (at - begin[seq]) % 3
+            order = np.lexsort((at, group))
+            kept.append((at[order], seq[order], group[order]))
+        (stop, seq, group), (start, _, start_group) = kept
+        width = len(letters) + 1
+        before = np.where(np.diff(group, prepend=-1) == 0, np.append(-1, stop[:-1]), -1)[: len(stop)] if len(stop) else stop
+        k = np.searchsorted(start_group * width + start, group * width + before + 1)
+        first = np.append(start, 0)[k]
+        ok = (k < len(start)) & (np.append(start_group, -1)[k] == group) & (first < stop) & (stop + 3 - first >= least)
+        a, b, seq = first[ok] - begin[seq[ok]], stop[ok] + 2 - begin[seq[ok]], seq[ok]
+        if strand == -1:
+            n = (end - begin)[seq]
+            a, b, seq = n - 1 - b, n - 1 - a, len(starts_at) - 1 - seq
+        out.append((seq, np.full(len(seq), strand, np.int64), a, b))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+#: By the number of a codon; the last stands for one with an unknown letter.
+_IS_STOP = np.zeros(65, bool)
+_IS_STOP[[_number(s) for s in STOPS]] = True
+
+#: Letters that are searched for frames at a time; a longer sequence stands alone.
+LETTERS = 2_000_000
+
+
+def _pieces(seqs: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first sequence, letters of all, where each begins) of pieces of a batch."""
+    held: list[np.ndarray] = []
+    first = size = 0
+    for k, seq in enumerate(seqs.to_pylist()):
+        held.append(_LETTER[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)])
+        size += len(held[-1])
+        if size >= LETTERS or k == len(seqs) - 1:
+            yield first, np.concatenate(held), np.cumsum([0, *[len(x) for x in held[:-1]]])
+            held, first, size = [], k + 1, 0
 
 
 def open_frames(seqs: DataFrame, least: int = 90) -> DataFrame:
@@ -62,28 +105,31 @@ def open_frames(seqs: DataFrame, least: int = 90) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, seq in enumerate(batch.column("seq").to_pylist()):
-                found = frames(_LETTER[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)], least)
-                ids = batch.column("id").take(pa.array([k] * len(found), pa.int64()))
-                cols = zip(*found, strict=True) if found else ([], [], [])
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int64()) for c in _shifted(*cols)]], ["id", "strand", "first", "last"])
+            for number, letters, starts_at in _pieces(batch.column("seq")):
+                which, strand, first, last = _frames(letters, starts_at, least)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(which + number)), *[pa.array(c, pa.int64()) for c in (strand, first + 1, last + 1)]], ["id", "strand", "first", "last"])
 
     return seqs.where("seq is not null").select("id", "seq").mapInArrow(run, f"id {kind}, strand long, first long, last long")
 
 
-def _shifted(strand: tuple, first: tuple, last: tuple) -> tuple[list, list, list]:
-    return list(strand), [x + 1 for x in first], [x + 1 for x in last]
-
-
 def hexamer_scores(genes: DataFrame, background: DataFrame, prior: float = 1.0) -> np.ndarray:
     """4,096 log-odds of hexamers in frame: in genes (seq from start to stop) against every place of background; counted in Spark."""
 
     def counts(df: DataFrame, step: int) -> np.ndarray:
-        places = F.when(F.length("seq") >= 6, F.sequence(F.lit(1), F.length("seq") - 5, F.lit(step))).otherwise(F.array().cast("array<int>"))
-        mers = df.select(F.explode(F.transform(places, lambda i: F.substring(F.upper("seq"), i, F.lit(6)))).alias("m"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(4096, np.int64)
+            for batch in batches:
+                for _, letters, starts_at in _pieces(batch.column("seq")):
+                    six = _codons(letters, 6)
+                    at = np.arange(len(six))
+                    of = np.searchsorted(starts_at, at, "right") - 1
+                    inside = at + 6 <= np.append(starts_at[1:], len(letters))[of]
+                    n += np.bincount(six[inside & (six >= 0) & ((at - starts_at[of]) % step == 0)], minlength=4096)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n), pa.int32()), pa.array(n[n > 0])], ["m", "n"])
+
         out = np.full(4096, prior)
-        for r in mers.where(F.col("m").rlike("^[ACGT]{6}$")).groupBy("m").agg(F.count("*").alias("n")).collect():  # 4,096 rows at most
-            out[_number(r["m"])] += r["n"]
+        for r in df.where("seq is not null").select("seq").mapInArrow(run, "m int, n long").groupBy("m").agg(F.sum("n").alias("n")).collect():  # 4,096 rows at most
+            out[r["m"]] += r["n"]
         return out / out.sum()
 
     return np.log(counts(genes, 3) / counts(background, 1))
@@ -125,13 +171,19 @@ def called(seqs: DataFrame, scores: np.ndarray, least: int = 90, overlap: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, seq in enumerate(batch.column("seq").to_pylist()):
-                letters = _LETTER[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
-                found = [(a, b, frame_score(letters, s, a, b, scores), s) for s, a, b in frames(letters, least)]
-                rows = [found[i] for i in chosen([f[:3] for f in found], overlap)]
-                ids = batch.column("id").take(pa.array([k] * len(rows), pa.int64()))
-                cols = [[r[3] for r in rows], [r[0] + 1 for r in rows], [r[1] + 1 for r in rows]]
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int64()) for c in cols], pa.array([r[2] for r in rows], pa.float64())], ["id", "strand", "first", "last", "score"])
+            for number, letters, starts_at in _pieces(batch.column("seq")):
+                which, strand, first, last = _frames(letters, starts_at, least)
+                order = np.argsort(which, kind="stable")
+                edges = np.searchsorted(which[order], np.arange(len(starts_at) + 1))
+                rows = []
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    own = letters[starts_at[k] : starts_at[k + 1] if k + 1 < len(starts_at) else len(letters)]
+                    mine = order[edges[k] : edges[k + 1]]
+                    found = [(a, b, frame_score(own, s, a, b, scores), s) for s, a, b in zip(*[c[mine].tolist() for c in (strand, first, last)], strict=True)]
+                    rows += [(k + number, *found[i]) for i in chosen([f[:3] for f in found], overlap)]
+                ids = batch.column("id").take(pa.array([r[0] for r in rows], pa.int64()))
+                cols = [[r[4] for r in rows], [r[1] + 1 for r in rows], [r[2] + 1 for r in rows]]
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int64()) for c in cols], pa.array([r[3] for r in rows], pa.float64())], ["id", "strand", "first", "last", "score"])
 
     return seqs.where("seq is not null").select("id", "seq").mapInArrow(run, f"id {kind}, strand long, first long, last long, score double")
 
