@@ -82,9 +82,12 @@ def hit_files(spark, sf_dir):
     value = F.when(F.col("l_linenumber") % 5 == 0, F.lit("q")).otherwise(F.concat(F.lit("q"), F.col("l_orderkey").cast("string"), F.lit("\tg"), (F.col("l_partkey") % 50).cast("string"), F.lit("\t99.5")))
     path = new_path(spark, "hits")
     lines = l.select(F.col("l_returnflag").alias("s"), value.alias("value"))
-    # Each sample has a file of its own in two folders, the first with other hits; the last by path counts.
-    lines.where("value <> 'q'").select("s", F.lit("q\tnone\t1.0").alias("value")).repartition("s").write.partitionBy("s").text(f"{path}/first")
-    lines.repartition("s").write.partitionBy("s").text(f"{path}/last")
+    # Each sample has a file of its own in two folders, the first with other hits; the last by path counts. Files are written sample by
+    # sample, as one task that takes whole samples would sort them by sample first.
+    first = lines.where("value <> 'q'").select("s", F.lit("q\tnone\t1.0").alias("value"))
+    for (s,) in l.select("l_returnflag").distinct().collect():  # one row a file
+        for folder, df in (("first", first), ("last", lines)):
+            df.where(F.col("s").eqNullSafe(F.lit(s))).select("value").repartition(1).write.text(f"{path}/{folder}/s={s if s is not None else '__HIVE_DEFAULT_PARTITION__'}")
     return abundance.hit_counts(readers.sample_hits(spark, f"{path}/*/*/*.txt"))
 
 
