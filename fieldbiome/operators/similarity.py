@@ -3,6 +3,7 @@
 All pairs are compared, but only what a question needs leaves a pair of blocks: the best row, the k best of each label and their
 number, the pairs over a threshold, or links that join what they join. Blocks have BLOCK_BYTES of numbers at most, so a task's
 memory doesn't grow with the tables, and are large, so that a row travels to few of them; a pair of blocks is compared by tiles.
+Products of floats tell which pairs of a tile may count; only these are summed as doubles, in order. Of equal vectors one is compared.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 
 #: Rows of a tile: a pair of tiles is a matrix of BLOCK_ROWS x BLOCK_ROWS similarities (32 MB). Tables of fewer rows are one block.
 BLOCK_ROWS = 2048
-#: Bytes of a block's vectors as doubles, at most, and blocks of a side that are aimed at for the sake of parallel work.
-BLOCK_BYTES, BLOCKS = 16 << 20, 8
+#: Bytes of a block's vectors as doubles, at most, and blocks of a side that are aimed at for the sake of parallel work: up to 786,432
+#: vectors of 64 numbers a row travels to 8 blocks, so what is moved grows as the tables do.
+BLOCK_BYTES, BLOCKS = 48 << 20, 8
+#: The same where all pairs over a threshold leave a pair of blocks.
+PAIR_BYTES = 16 << 20
 #: Tasks that share the pairs of blocks.
 TASKS = 96
-#: Products of matrices differ from sums in order by less than this; what comes near a limit is summed in order.
-NEAR = 1e-9
 #: Pairs that are summed in order at a time.
 PAIRS = 50_000
 
@@ -54,19 +56,19 @@ def rows_of_block(n: int, dims: int, block_rows: int) -> int:
     return max(block_rows, min(-(-n // BLOCKS), BLOCK_BYTES // (8 * max(dims, 1))))
 
 
-def _rows_of_block(block_rows: int) -> Column:
+def _rows_of_block(block_rows: int, block_bytes: int) -> Column:
     """The same of the rows that are aggregated."""
     dims = F.greatest(F.coalesce(F.max(F.size("v")), F.lit(1)), F.lit(1))
-    return F.greatest(F.lit(block_rows), F.least(F.ceil(F.count("*") / BLOCKS), F.floor(F.lit(BLOCK_BYTES) / (8 * dims))))
+    return F.greatest(F.lit(block_rows), F.least(F.ceil(F.count("*") / BLOCKS), F.floor(F.lit(block_bytes) / (8 * dims))))
 
 
-def _in_blocks(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, block_rows: int, upper: bool = False, grow: bool = True) -> DataFrame:
+def _in_blocks(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, block_rows: int, upper: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """kernel's rows for each pair of a block of left (id, v, ...) and a block of right; upper: left is right, each pair of blocks once.
 
-    The numbers of blocks come from counts within the plan (one row each). grow: blocks are as large as _rows_of_block has it. Pairs of
-    blocks are dealt to a set number of tasks: they hold little, but take long.
+    The numbers of blocks come from counts within the plan (one row each); 0 block_bytes: blocks have block_rows. Pairs of blocks are
+    dealt to a set number of tasks: they hold little, but take long.
     """
-    size = _rows_of_block(block_rows) if grow else F.lit(block_rows)
+    size = _rows_of_block(block_rows, block_bytes)
     sized = lambda df, name: df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias(name))
     blocks = F.broadcast(sized(left, "nl").join(sized(right, "nr")))  # one row
     place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
@@ -94,15 +96,91 @@ def vectors(df: DataFrame) -> Column:
     return F.col("v") if dict(df.dtypes)["v"] == "array<float>" else F.col("v").cast("array<double>").alias("v")
 
 
+def near(dims: int) -> float:
+    """What the product of two unit vectors as floats differs from their sum as doubles by, at most."""
+    return 1.01 * (dims + 4) * 2.0**-24
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The similarities of a tile's rows, of floats, within near()."""
+    return x @ y.T
+
+
+def _reaching(sims: np.ndarray, least: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) where sims are least or more, row by row; least is rounded down."""
+    return np.divmod(np.flatnonzero(sims >= np.nextafter(np.asarray(least, np.float32), np.float32(-np.inf))), max(sims.shape[1], 1))
+
+
+def _sums(x: np.ndarray, y: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Similarities of the rows at of x and to of y, summed in order: equal vectors have equal ones."""
+    return np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", x[at[p : p + PAIRS]], y[to[p : p + PAIRS]]) for p in range(0, len(at), PAIRS)]])
+
+
+def copies(x: np.ndarray) -> np.ndarray:
+    """The first row that equals each row, by its bytes."""
+    if not x.size:
+        return np.arange(len(x))
+    _, first, which = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return first[which.ravel()]
+
+
+def _first_copies(x: np.ndarray, k: int) -> np.ndarray:
+    """Rows, in order, of which k at most are equal: the first ones."""
+    first = copies(x)
+    order = np.argsort(first, kind="stable")
+    starts = np.flatnonzero(np.diff(first[order], prepend=-1))
+    place = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+    return np.sort(order[place < k])
+
+
 def tops(x: np.ndarray, y: np.ndarray, row_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(best, best_id, top) of each unit row of x among those of y: the largest similarity, the smallest id that has it, and the k largest."""
-    n, few = len(x), min(k, len(y))
-    best, best_id, top = np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max), np.full((n, few), -np.inf)
     order = np.argsort(row_id, kind="stable")
+    y, row_id, few = y[order], row_id[order], min(k, len(y))
+    if not few or not (np.isfinite(x).all() and np.isfinite(y).all()):
+        return _tops_of_all(x, y, row_id, few)
+    one = copies(x)
+    asked, back = np.unique(one, return_inverse=True)
+    x, kept = x[asked], _first_copies(y, few)
+    y, row_id = y[kept], row_id[kept]
+    best, best_id, top = np.full(len(x), -np.inf), np.full(len(x), np.iinfo(np.int64).max), np.full((len(x), few), -np.inf)
+    x4, y4, off = x.astype(np.float32), y.astype(np.float32), near(x.shape[1])
+    for i in range(0, len(x), BLOCK_ROWS):
+        rows = slice(i, i + BLOCK_ROWS)
+        for j in range(0, len(y), BLOCK_ROWS):
+            sims = products(x4[rows], y4[j : j + BLOCK_ROWS])
+            n, m = sims.shape
+            least = top[rows, -1] - off
+            if not j and m > few:  # so many groups of columns have a row of this or more each
+                groups = max(few, m // 16)
+                most = sims[:, : m // groups * groups].reshape(n, -1, groups).max(1)
+                least = np.maximum(least, np.partition(most, groups - few, 1)[:, groups - few] - 2 * off)
+            at, to = _reaching(sims, least[:, None])
+            if not len(at):
+                continue
+            counts = np.bincount(at, minlength=n)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+            here = np.full((n, counts.max()), -np.inf)
+            here[at, place] = _sums(x[rows], y[j : j + BLOCK_ROWS], at, to)
+            column = np.zeros(here.shape, np.int64)
+            column[at, place] = to
+            first = here.argmax(1)  # the first of equal ones: the smallest id, as rows go by ids
+            of_first = here[np.arange(n), first]
+            better = of_first > best[rows]
+            best[rows] = np.where(better, of_first, best[rows])
+            best_id[rows] = np.where(better, row_id[j + column[np.arange(n), first]], best_id[rows])
+            top[rows] = -np.sort(-np.concatenate([top[rows], here], 1), 1)[:, :few]
+    return best[back], best_id[back], top[back]
+
+
+def _tops_of_all(x: np.ndarray, y: np.ndarray, row_id: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with every pair summed in order, for vectors that hold no numbers; rows of y go by ids."""
+    n = len(x)
+    best, best_id, top = np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max), np.full((n, few), -np.inf)
     for i in range(0, n, BLOCK_ROWS):
         rows = slice(i, i + BLOCK_ROWS)
         for j in range(0, len(y), BLOCK_ROWS):
-            at = order[j : j + BLOCK_ROWS]
+            at = slice(j, j + BLOCK_ROWS)
             sims = np.einsum("ij,kj->ik", x[rows], y[at])
             first = sims.argmax(1)  # the first of equal ones: the smallest id, as tiles go by ids
             here = sims[np.arange(len(sims)), first]
@@ -121,13 +199,12 @@ def lists(top: np.ndarray) -> pa.ListArray:
 
 
 def over(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(at, to, sim) of the unit rows of x and y whose similarity is threshold or more, tile by tile. A product of matrices tells
-    which come near; only these are summed in order, as equal vectors must have equal similarities."""
+    """(at, to, sim) of the unit rows of x and y whose similarity is threshold or more, tile by tile."""
+    x4, y4, least = x.astype(np.float32), y.astype(np.float32), threshold - near(x.shape[1])
     for i in range(0, len(x), BLOCK_ROWS):
         for j in range(0, len(y), BLOCK_ROWS):
-            a, b = x[i : i + BLOCK_ROWS], y[j : j + BLOCK_ROWS]
-            at, to = np.nonzero(a @ b.T >= threshold - NEAR)
-            sim = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", a[at[p : p + PAIRS]], b[to[p : p + PAIRS]]) for p in range(0, len(at), PAIRS)]])
+            at, to = _reaching(products(x4[i : i + BLOCK_ROWS], y4[j : j + BLOCK_ROWS]), least)
+            sim = _sums(x[i : i + BLOCK_ROWS], y[j : j + BLOCK_ROWS], at, to)
             keep = sim >= threshold
             yield at[keep] + i, to[keep] + j, sim[keep]
 
@@ -195,7 +272,7 @@ def pair_similarities(queries: DataFrame, db: DataFrame, block_rows: int = BLOCK
         return pa.table({"query_id": a.column("id").take(pa.array(at)), "db_id": b.column("id").take(pa.array(to)), "label": b.column("label").take(pa.array(to)), "sim": sim})
 
     label = dict(db.dtypes)["label"]
-    return _in_blocks(q, d, kernel, f"query_id long, db_id long, label {label}, sim double", block_rows, grow=False)
+    return _in_blocks(q, d, kernel, f"query_id long, db_id long, label {label}, sim double", block_rows, block_bytes=0)
 
 
 def class_parts(queries: DataFrame, db: DataFrame, k: int = 9, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -239,7 +316,7 @@ def pairs_over(rows: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS,
         own = bool(a.num_rows) and a.column("i")[0].as_py() == a.column("j")[0].as_py()
         return pair_rows(a.column("id").to_numpy(), b.column("id").to_numpy(), x, y, threshold, own, joined)
 
-    return _in_blocks(side, other, kernel, "a long, b long" + ("" if joined else ", sim double"), block_rows, upper=True)
+    return _in_blocks(side, other, kernel, "a long, b long" + ("" if joined else ", sim double"), block_rows, upper=True, block_bytes=BLOCK_BYTES if joined else PAIR_BYTES)
 
 
 def class_scores(parts: DataFrame, method: str = "class_topk", k: int = 9, penalty: float = 0.03) -> DataFrame:

@@ -86,3 +86,31 @@ def test_links_join_what_pairs_join(spark):
         links = [(r["a"], r["b"]) for r in metric.similar_pairs(df, 0.95, block_rows=64, joined=True).rows.collect()]
         roots = [dict(zip(*(c.tolist() for c in similarity.forest(*np.array(some).T)), strict=True)) for some in (pairs, links)]
         assert roots[0] == roots[1] and len(links) <= len(pairs) and len(links) < 400 * 30
+
+
+def test_nearest_rows_are_summed_for_few_pairs(monkeypatch):
+    """Products of floats rule out most pairs, and copies are compared once; what is left equals the sums of all pairs."""
+    rng = np.random.default_rng(13)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x, y = unit(rng.normal(size=(300, 64))), unit(rng.normal(size=(5000, 64)))
+    y[2000:4000], y[4000:] = y[rng.integers(40, size=2000)], 0
+    x[:50] = y[:50]
+    ids, kernel = rng.permutation(len(y)), similarity._sums
+    summed = []
+    monkeypatch.setattr(similarity, "_sums", lambda a, b, at, to: (summed.append(len(at)), kernel(a, b, at, to))[1])
+    sims = np.einsum("ij,kj->ik", x, y)
+    for k in (1, 9):
+        best, best_id, top = similarity.tops(x, y, ids, k)
+        assert (best == sims.max(1)).all() and (top == -np.sort(-sims, 1)[:, :k]).all()
+        assert best_id.tolist() == [ids[s == s.max()].min() for s in sims]
+    assert 0 < sum(summed) < 0.05 * x.shape[0] * y.shape[0]
+
+
+def test_blocks_stay_as_many_as_tables_grow():
+    assert [-(-n // similarity.rows_of_block(n, 64, 2048)) for n in (100_000, 600_000, 780_000)] == [8, 8, 8]
+
+
+def test_cells_move_no_row_too_often():
+    """Cells that rule out much are left where each row would visit more than a set number of them."""
+    assert metric._blocks_do(100_000, 400_000, 64, 128, False, metric.MOVES * 500_001, 0.0)
+    assert metric._blocks_do(500_000, 500_000, 64, 128, True, metric.MOVES * 500_001, 0.0)
