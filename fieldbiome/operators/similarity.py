@@ -228,30 +228,72 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[~own], names[label[~own]]
 
 
-#: Links that a pair of blocks holds before it brings them down to a forest.
-LINKS = 2_000_000
+class _Joined:
+    """Nodes by number, and the least that each is joined with."""
+
+    def __init__(self, n: int) -> None:
+        self.label, self.most = np.arange(n), 0
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = self.label[a], self.label[b]
+        apart = a != b
+        if apart.any():
+            to = np.arange(len(self.label))
+            node, root = forest(a[apart], b[apart])
+            to[node] = root
+            self.label = to[self.label]
+            self.most = int(np.bincount(self.label).argmax())
+
+
+def links(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> pa.Table:
+    """(a, b) of links that join what the pairs over the threshold join, fewer than there are rows.
+
+    What is joined already isn't compared: of two tiles, rows outside the largest component meet all, those inside only the rest.
+    """
+    names, code = np.unique(np.concatenate([left, right]), return_inverse=True)
+    joined = _Joined(len(names))
+    sides = []
+    for side, v in ((code[: len(left)], x), (code[len(left) :], y)):
+        order = np.argsort(side, kind="stable")
+        side, v = side[order], v[order]
+        first, at = copies(v), np.arange(len(v))
+        spare = (first != at) & (_sums(v, v, at, at) >= threshold)  # it links what its first copy does, and that one
+        joined.join(side[spare], side[first[spare]])
+        sides.append((side[~spare], v[~spare], v[~spare].astype(np.float32)))
+    (a, x, x4), (b, y, y4) = sides
+    least = threshold - near(x.shape[1])
+    for i in range(0, len(a), BLOCK_ROWS):
+        for j in range(i if same else 0, len(b), BLOCK_ROWS):
+            in_a, in_b = (np.flatnonzero(joined.label[c] == joined.most) for c in (a[i : i + BLOCK_ROWS], b[j : j + BLOCK_ROWS]))
+            out_a, out_b = (np.setdiff1d(np.arange(n), c, assume_unique=True) for n, c in ((len(a[i : i + BLOCK_ROWS]), in_a), (len(b[j : j + BLOCK_ROWS]), in_b)))
+            for p, q in ((out_a, np.arange(len(in_b) + len(out_b))), (in_a, out_b)):
+                if not len(p) or not len(q):
+                    continue
+                at, to = _reaching(products(x4[i + p], y4[j + q]), least)
+                at, to = i + p[at], j + q[to]
+                for k in range(0, len(at), PAIRS):
+                    u, w = at[k : k + PAIRS], to[k : k + PAIRS]
+                    apart = joined.label[a[u]] != joined.label[b[w]]
+                    u, w = u[apart], w[apart]
+                    over_ = _sums(x, y, u, w) >= threshold
+                    joined.join(a[u[over_]], b[w[over_]])
+    low = np.flatnonzero(joined.label != np.arange(len(names)))
+    return pa.table({"a": names[joined.label[low]], "b": names[low]})
 
 
 def pair_rows(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, same: bool, joined: bool) -> pa.Table:
     """(a, b, sim) with a < b of the rows over the threshold; same: left is right, each pair once. joined: (a, b) of links that join
-    the same rows, no more than there are rows."""
+    the same rows, fewer than there are rows."""
+    if joined:
+        return links(left, right, x, y, threshold, same) if len(left) and len(right) else pa.table({c: np.zeros(0, np.int64) for c in "ab"})
     held: list[tuple[np.ndarray, ...]] = []
-    n = 0
     for at, to, sim in over(x, y, threshold):
         keep = left[at] < right[to] if same else left[at] != right[to]
-        low, high = np.minimum(left[at[keep]], right[to[keep]]), np.maximum(left[at[keep]], right[to[keep]])
-        held.append((low, high) if joined else (low, high, sim[keep]))
-        n += len(low)
-        if joined and n > LINKS:
-            held = [forest(*(np.concatenate(c) for c in zip(*held, strict=True)))]
-            n = len(held[0][0])
-    names = ("a", "b") if joined else ("a", "b", "sim")
+        held.append((np.minimum(left[at[keep]], right[to[keep]]), np.maximum(left[at[keep]], right[to[keep]]), sim[keep]))
+    names = ("a", "b", "sim")
     if not held:
         return pa.table({c: np.zeros(0) if c == "sim" else np.zeros(0, np.int64) for c in names})
-    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-    if joined and len(columns[0]):
-        columns = list(forest(*columns))
-    return pa.table(dict(zip(names, columns, strict=True)))
+    return pa.table(dict(zip(names, (np.concatenate(c) for c in zip(*held, strict=True)), strict=True)))
 
 
 def _sides(queries: DataFrame, db: DataFrame) -> tuple[DataFrame, DataFrame]:

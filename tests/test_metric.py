@@ -114,3 +114,22 @@ def test_cells_move_no_row_too_often():
     """Cells that rule out much are left where each row would visit more than a set number of them."""
     assert metric._blocks_do(100_000, 400_000, 64, 128, False, metric.MOVES * 500_001, 0.0)
     assert metric._blocks_do(500_000, 500_000, 64, 128, True, metric.MOVES * 500_001, 0.0)
+
+
+def test_joined_rows_are_not_compared_again(monkeypatch):
+    """Beyond what joins a component, its pairs are left out; copies link to the first one."""
+    rng = np.random.default_rng(14)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    product, n = similarity.products, []
+    monkeypatch.setattr(similarity, "products", lambda a, b: (n.append(len(a) * len(b)), product(a, b))[1])
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 100)
+    for x, threshold, share in ((unit(rng.normal(size=(1500, 6))), 0.7, 0.3), (unit(rng.normal(size=(1500, 64)))[rng.integers(90, size=1500)], 0.9, 0.02), (unit(rng.normal(size=(1500, 64))), 0.999, 1.1)):
+        a, b = np.arange(700), np.arange(700, 1500)
+        del n[:]
+        got = similarity.links(a, b, x[:700], x[700:], threshold, False)
+        assert sum(n) <= share * 700 * 800
+        own = [similarity.links(s, s, x[s], x[s], threshold, True) for s in (a, b)]
+        low, high = np.nonzero(np.triu(np.einsum("ij,kj->ik", x, x) >= threshold, 1))
+        linked = [np.concatenate([t[c].to_numpy() for t in (got, *own)]) for c in "ab"]
+        roots = [dict(zip(*(c.tolist() for c in similarity.forest(*some)), strict=True)) for some in ((low, high), linked)]
+        assert roots[0] == roots[1] and got.num_rows < 1500
