@@ -391,13 +391,13 @@ def nearest(parts: DataFrame) -> DataFrame:
 
 
 def both_predicted(parts: DataFrame, k: int = 9, penalty: float = 0.03) -> DataFrame:
-    """(query_id, sim, pred_nearest, pred_topk): what nearest and class_topk predict, from one pass over class_parts."""
+    """(query_id, db_id, sim, pred_nearest, pred_topk): what nearest and class_topk predict, from one pass over class_parts."""
     scored_ = parts.withColumn("score", class_score_of_top(k, penalty))
     best = scored_.groupBy("query_id").agg(
         F.max(F.struct("best", (-F.col("best_id")).alias("n"), "label")).alias("x"),
         F.min_by("label", F.struct(-F.col("score"), "label")).alias("pred_topk"),
     )
-    return best.select("query_id", F.col("x.best").alias("sim"), F.col("x.label").alias("pred_nearest"), "pred_topk")
+    return best.select("query_id", (-F.col("x.n")).alias("db_id"), F.col("x.best").alias("sim"), F.col("x.label").alias("pred_nearest"), "pred_topk")
 
 
 def class_score_of_top(k: int, penalty: float) -> Column:

@@ -53,6 +53,4 @@ def metric_pairs(spark, sf_dir):
 def metric_topk(spark, sf_dir):
     q, d = t.query_db(spark, sf_dir)
     parts = metric.best_parts(q.select("query_id", "v"), d, 9, block_rows=128).rows
-    near = similarity.nearest(parts).select(F.col("query_id").alias("q"), "db_id")
-    both = similarity.both_predicted(parts).select("query_id", F.round(100 * F.col("sim"), 6).alias("pident"), "pred_nearest", "pred_topk")
-    return both.join(near, F.col("query_id") == F.col("q")).drop("q")
+    return similarity.both_predicted(parts).select("query_id", F.round(100 * F.col("sim"), 6).alias("pident"), "pred_nearest", "pred_topk", "db_id")

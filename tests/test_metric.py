@@ -133,3 +133,11 @@ def test_joined_rows_are_not_compared_again(monkeypatch):
         linked = [np.concatenate([t[c].to_numpy() for t in (got, *own)]) for c in "ab"]
         roots = [dict(zip(*(c.tolist() for c in similarity.forest(*some)), strict=True)) for some in ((low, high), linked)]
         assert roots[0] == roots[1] and got.num_rows < 1500
+
+
+def test_metric_topk_compares_once(spark):
+    from fieldbiome.plans import searches
+
+    found = searches.metric_topk(spark, "/root/testdata/sf0.001")
+    assert found.columns == ["query_id", "pident", "pred_nearest", "pred_topk", "db_id"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
