@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldbiome.functions.scratch import cut
 from fieldbiome.functions.settings import Bins
 from fieldbiome.operators.ranking import placed
 
@@ -31,7 +32,9 @@ def oversampled(rows: DataFrame, bins: Bins, value: str, key: str, min_count: in
 
     Draw i of a bin takes donor number hash(seed, bin, i) mod donors, donors standing in the order of hash(seed, key); in an empty
     bin its value is uniform within the bin, by hash(seed + 1, bin, i) mod 10^6. draw is the hash (see coerce.md5_draw).
+    Rows are written down first: counts, places and the result read them, and what makes them may be long.
     """
+    rows = cut(rows, "rows")
     need = deficits(rows, bins, value, min_count, enforce_upper).where("deficit > 0")
     draws = need.select("bin", "lower", "upper", "n", "donor", F.explode(F.sequence(F.lit(1), F.col("deficit").cast("int"))).alias("i"))
     by_bin = rows.withColumn("__bin", bins.key(F.col(value)))

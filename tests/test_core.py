@@ -476,3 +476,16 @@ def test_sessions_and_first_events(spark):
     df = spark.createDataFrame(rows, "event_id long, user_id long, t string").withColumn("ts", F.to_timestamp("t"))
     assert sorted((r["user_id"], r["n"]) for r in events.sessions(df).collect()) == [(7, 1), (7, 2), (8, 1)]
     assert events.first_seen(df, "user_id").count() == 2
+
+
+def test_oversampling_works_rows_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(40).selectExpr("id as k", "cast(id as double) as v").mapInArrow(counted, "k long, v double")
+    got = augment.oversampled(rows, Bins((0.0, 10.0, 20.0, 40.0)), "v", "k", 12, 20).groupBy("synthetic").count().collect()
+    assert {r["synthetic"]: r["count"] for r in got} == {False: 40, True: 4} and seen.value == 40
