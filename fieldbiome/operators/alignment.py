@@ -6,6 +6,9 @@ join that is salted against frequent words; queries' words that a filter of the
 no words. Bands are aligned by anti-diagonals over batches of candidates, with affine gaps, and traced back. Bit scores and e-values
 follow from the parameters of Karlin and Altschul, solved for the scores' frequencies in the database, and from effective lengths.
 
+Masks and the two-hit rule miss subjects that stand in a query whole but have too few words left. A search for whole subjects takes
+two long words instead, the first and the last letters of a subject, which overlap: both on one diagonal tell that all of it is there.
+
 Null and empty sequences have no hits; letters that are no residue count as unknown, which score UNKNOWN and give no words. Of one
 query and subject the best alignment stands, of ties the one that starts first.
 """
@@ -216,6 +219,11 @@ def _slots(found: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _in_slots(found: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    slot = found % SLOTS
+    return slots[slot >> 3] >> (slot & 7) & 1 > 0
+
+
 def _each_word(df: DataFrame, how: Search, near: bool, slots: np.ndarray | None = None) -> DataFrame:
     """(word, id, at) of the sequences (id, seq); near: of the words' neighbours too. slots: only of words that have one of them."""
 
@@ -225,8 +233,7 @@ def _each_word(df: DataFrame, how: Search, near: bool, slots: np.ndarray | None
                 row = whole.slice(k, 1)
                 at, found = words(codes(row.column("seq")[0].as_py()), how)
                 if slots is not None:
-                    slot = found % SLOTS
-                    has = slots[slot >> 3] >> (slot & 7) & 1 > 0
+                    has = _in_slots(found, slots)
                     at, found = at[has], found[has]
                 for first in range(0, len(at), 20_000):
                     place, w = at[first : first + 20_000], found[first : first + 20_000]
@@ -250,12 +257,16 @@ def seeds(queries: DataFrame, db: DataFrame, how: Search) -> DataFrame:
     The words of a database are far more than its size lets the optimizer expect: they are never broadcast.
     """
     made = cut(_each_word(db.repartition(how.salts), how, near=True), "words")
-    mine = _each_word(queries, how, near=False, slots=_slots(made)).select("word", F.col("id").alias("q"), "at")
-    mine = mine.withColumn("salt", F.pmod(F.xxhash64("q", "at"), F.lit(how.salts)).cast("int"))
-    theirs = made.select(F.col("word").alias("w"), F.col("id").alias("s"), F.col("at").alias("place"))
+    return _met(_each_word(queries, how, near=False, slots=_slots(made)), made, how).select("q", "s", "diagonal", "at")
+
+
+def _met(mine: DataFrame, made: DataFrame, how: Search) -> DataFrame:
+    """(q, s, diagonal, at) and the other columns of made: words (word, id, at) of queries that equal words of a database."""
+    mine = mine.select("word", F.col("id").alias("q"), "at", F.pmod(F.xxhash64("id", "at"), F.lit(how.salts)).cast("int").alias("salt"))
+    theirs = made.withColumnsRenamed({"word": "w", "id": "s", "at": "place"})
     theirs = theirs.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(how.salts - 1))))
     met = mine.hint("merge").join(theirs.hint("merge"), (F.col("word") == F.col("w")) & (F.col("salt") == F.col("z")))
-    return met.select("q", "s", (F.col("at") - F.col("place")).alias("diagonal"), "at")
+    return met.withColumn("diagonal", F.col("at") - F.col("place")).drop("word", "w", "salt", "z", "place")
 
 
 def candidates(found: DataFrame, how: Search) -> DataFrame:
@@ -265,6 +276,63 @@ def candidates(found: DataFrame, how: Search) -> DataFrame:
     return twice.select("q", "s", (F.floor(F.col("diagonal") / how.band) * how.band).cast("int").alias("low")).distinct()
 
 
+# ---- whole subjects
+
+
+def doubled(seq: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, words) for n = 1, 2, 4, ... letters: the word from each place on, as a 64-bit hash of its two halves' words."""
+    turn = lambda x, by: x << np.uint64(by) | x >> np.uint64(64 - by)
+    n, out = 1, (seq.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    while len(out):
+        yield n, out.view(np.int64)
+        out = (out[:-n] ^ turn(out[n:] * np.uint64(0xC2B2AE3D27D4EB4F), 31)) * np.uint64(0x165667B19E3779F9)
+        out = out ^ out >> np.uint64(32)
+        n *= 2
+
+
+def _end_words(db: DataFrame) -> DataFrame:
+    """(word, id, at, size, ends): the first and the last 2^j letters of each sequence, the most that fit in; one if that is all of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[object, ...]] = []
+            for key, seq in zip(batch.column("id").to_pylist(), batch.column("seq").to_pylist(), strict=True):
+                *_, (n, found) = doubled(codes(seq))
+                places = sorted({0, len(found) - 1})
+                rows += [(int(found[at]), key, at, n, len(places)) for at in places]
+            kinds = {"word": pa.int64(), "id": batch.schema.field("id").type, "at": pa.int32(), "size": pa.int64(), "ends": pa.int32()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+
+    return db.where("seq is not null and seq <> ''").mapInArrow(run, f"word long, id {dict(db.dtypes)['id']}, at int, size long, ends int")
+
+
+def _long_words(queries: DataFrame, sizes: int, slots: np.ndarray) -> DataFrame:
+    """(word, id, at): the words of sequences (id, seq) that have one of the slots, of all lengths whose bit is set in sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(whole.num_rows):
+                row = whole.slice(k, 1)
+                for n, found in doubled(codes(row.column("seq")[0].as_py())):
+                    if n > sizes:
+                        break
+                    at = np.flatnonzero(_in_slots(found, slots)) if n & sizes else np.zeros(0, np.int64)
+                    for first in range(0, len(at), 20_000):
+                        place = at[first : first + 20_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(found[place], pa.int64()), row.column("id").take(pa.array(np.zeros(len(place), np.int64))), pa.array(place, pa.int32())], ["word", "id", "at"])
+
+    return queries.where("seq is not null and seq <> ''").mapInArrow(run, f"word long, id {dict(queries.dtypes)['id']}, at int")
+
+
+def whole_candidates(queries: DataFrame, db: DataFrame, how: Search) -> DataFrame:
+    """(q, s, low): for each query that holds a subject whole, the band of the first place at which it does."""
+    made = cut(_end_words(db), "ends")
+    sizes = made.agg(F.coalesce(F.bit_or("size"), F.lit(0))).first()[0]
+    met = _met(_long_words(queries, sizes, _slots(made)), made.drop("size"), how)
+    there = met.groupBy("q", "s", "diagonal").agg(F.count("*").alias("n"), F.first("ends").alias("ends")).where("n = ends")
+    return there.groupBy("q", "s").agg((F.floor(F.min("diagonal") / how.band) * how.band).cast("int").alias("low"))
+
+
 # ---- gapped alignment
 
 
@@ -405,15 +473,15 @@ def composition(db: DataFrame) -> np.ndarray:
     return counts / max(counts.sum(), 1)
 
 
-def search(queries: DataFrame, db: DataFrame, how: Search = Search(), evalue: float = 10.0, known: Statistics | None = None) -> DataFrame:
+def search(queries: DataFrame, db: DataFrame, how: Search = Search(), evalue: float = 10.0, known: Statistics | None = None, whole: bool = False) -> DataFrame:
     """(qseqid, sseqid, pident, length, mismatch, gapopen, qstart, qend, sstart, send, evalue, bitscore, score) of queries and db
     (id, seq): the best alignment of each query and subject with an e-value of `evalue` or less. known: other parameters than those
-    that follow from the database's composition."""
+    that follow from the database's composition. whole: of queries that hold a subject whole, with neither masks nor the two-hit rule."""
     total, count = db.where("seq is not null and seq <> ''").agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)), F.count("*")).first()
     if known is None:
         share = composition(db)
         known = karlin_altschul(score_frequencies(share, share)) if share.sum() else Statistics(1.0, 1.0, 1.0)
-    bands = cut(candidates(seeds(queries, db, how), how), "bands")
+    bands = cut(whole_candidates(queries, db, how) if whole else candidates(seeds(queries, db, how), how), "bands")
     q = queries.where("seq is not null").select(F.col("id").alias("qid"), F.col("seq").alias("q_seq"))
     s = db.where("seq is not null").select(F.col("id").alias("sid"), F.col("seq").alias("subject"))
     from_ = F.greatest(F.col("low") - how.band, F.lit(0))

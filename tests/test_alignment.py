@@ -3,9 +3,13 @@
 import math
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+import __spark_entry__ as entry
 from fieldbiome.operators import alignment as al
 
 HOW = al.Search()
@@ -165,3 +169,29 @@ def test_words_of_the_database_are_not_broadcast_and_the_filter_loses_none(spark
             there, v = al.words(al.codes(other), HOW)
             want += [(i, s, int(there[x] - at[owner[y]]), int(there[x])) for x in range(len(v)) for y in np.flatnonzero(near == v[x])]
     assert sorted(map(tuple, found.collect())) == sorted(want) and want
+
+
+def test_whole_subjects_are_found_short_and_masked_ones_too(spark, tmp_path):
+    rng = random.Random(31)
+    poor = "".join(rng.choice("EHT") for _ in range(70))  # windows of low entropy: no words
+    items = ["ISEEDINGTHERERRERYENNDN" + poor, poor[:40], "AQ" * 20, "M", "MK", "ARND", "A" * 9, protein(rng, 64), protein(rng, 33), protein(rng, 128), "b. o, j", "", None, "Rn d-C"]
+    items += [items[7][:40] + protein(rng, 10), items[7]]  # the same start, and a copy
+    long = items[8]
+    docs = [protein(rng, 30) + "".join(c for c in x or "" if c.isalpha()) + protein(rng, 30) for x in items]
+    docs += [poor * 3, "A" * 300, long[:32] + "W" + long[1:], long[:-1] + protein(rng, 9) + long[1:], "mk", "", None, ". " + items[9].lower() * 2]
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        pq.write_table(pa.table({key: range(len(rows)), "text": rows}), tmp_path / f"{name}.parquet")
+    sql = entry.oracle_sql()["alignment_contained"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet'").replace("FROM benchmark", f"FROM '{tmp_path}/benchmark.parquet'")
+    want = duckdb.execute(sql).fetchall()
+    got = [tuple(r) for r in entry.queries()["alignment_contained"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and {s for _, s, _ in want} == set(range(len(items))) - {10, 11, 12}
+    assert (docs.index(poor * 3), 1) in {r[:2] for r in got} and 33 == dict((r[1], r[2]) for r in got)[8]
+
+
+def test_words_of_doubled_lengths_are_equal_where_letters_are():
+    rng = random.Random(32)
+    text = "".join(rng.choice("AR") for _ in range(300))
+    for n, found in al.doubled(al.codes(text)):
+        pieces = [text[k : k + n] for k in range(len(text) - n + 1)]
+        assert len(found) == len(pieces) and len(set(zip(pieces, found.tolist()))) == len(set(pieces)) == len(set(found.tolist()))
+    assert n == 256 and not list(al.doubled(al.codes("")))
