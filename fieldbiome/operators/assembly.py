@@ -42,76 +42,147 @@ def letters_of(code: Column, k: int) -> Column:
 
 
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
-    """(node, n): canonical k-mers of the reads and how often each is found, on either strand."""
+    """(node, n): canonical k-mers of the reads and how often each is found, on either strand.
+
+    Tasks count MERS k-mers at a time, deal them out by ranges of a scattered order, and send each range packed (some bytes a k-mer
+    instead of a row); what a range gets is added up at once. Both hold a bounded number of k-mers of k to 15, whatever the input;
+    beyond, a range holds its distinct k-mers.
+    """
     if k % 2 == 0 or not 3 <= k <= 31:
         raise ValueError("k is odd, from 3 to 31")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            codes, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.argsort(codes)
-            codes = codes[order]
-            at = np.flatnonzero(np.diff(codes, prepend=-1))
-            return codes[at], np.add.reduceat(n[order], at) if len(at) else n
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for letters in _joined(batch.column("seq")):
-                codes = _canonical(letters, k)
-                held.append((codes, np.ones(len(codes), np.int64)))
-                size += len(codes)
+            for letters in _joined(batch.column("seq"), k):
+                held.append(_scattered(_canonical(letters, k), k))
+                size += len(held[-1])
                 if size >= MERS:
-                    held = [counted(held)]
-                    size = len(held[0][0])
-                    if size > MERS // 2:  # few repeat: what is held goes on
-                        yield from _mers(*held[0])
-                        held, size = [], 0
-        if held:
-            yield from _mers(*counted(held))
+                    yield _packed(held, k)
+                    size = 0
+        if size:
+            yield _packed(held, k)
+
+    def added(rows: pa.Table) -> pa.Table:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0  # of what came since k-mers were added up
+        for mers, part, packed in zip(*(rows.column(c) for c in ("mers", "part", "packed")), strict=True):
+            held.append(_unpacked(mers.as_py(), part.as_py(), packed.as_buffer(), k))
+            size += len(held[-1][0])
+            if size >= MERS // 4:
+                held, size = [_summed(held)], 0
+        codes, n = _summed(held)
+        return pa.table({"node": _gathered(codes, k), "n": n})
 
-    some = reads.where("seq is not null").select("seq").mapInArrow(run, "node long, n long")
-    return some.groupBy("node").agg(F.sum("n").alias("n"))
+    some = reads.where("seq is not null").select("seq").mapInArrow(run, "part int, mers int, packed binary")
+    return some.groupBy("part").applyInArrow(added, "node long, n long")
 
 
-#: Letters of a piece of a batch, k-mers that a task counts at a time, and rows that it gives at a time.
-LETTERS, MERS, ROWS = 4_000_000, 8_000_000, 100_000
+#: Letters of a piece of a batch, k-mers that a task counts at a time, and bits of the number of ranges.
+LETTERS, MERS, PARTS = 1_000_000, 8_000_000, 12
 _LETTER = np.full(256, 4, np.uint8)
 for _n, _c in enumerate("ACGT"):
     _LETTER[[ord(_c), ord(_c.lower())]] = _n
+#: Fixed value: an odd factor; products by it, modulo the number of k-mers, are an order of them in which any set lies about evenly.
+_ODD = 0x9E3779B97F4A7C15
+_CODEC = "zstd"
 
 
-def _joined(seqs: pa.Array) -> Iterator[np.ndarray]:
-    """The letters of sequences, one after another with a break (4) after each, in pieces; long sequences are pieces of their own."""
+def _joined(seqs: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The letters of sequences, one after another with a break (4) after each, in pieces; long sequences are cut, k - 1 letters twice."""
     held: list[np.ndarray] = []
     size = 0
     for seq in seqs:
-        held += [_LETTER[np.frombuffer(seq.as_buffer(), np.uint8)], np.full(1, 4, np.uint8)]
-        size += len(held[-2]) + 1
-        if size >= LETTERS:
-            yield np.concatenate(held)
-            held, size = [], 0
+        raw = np.frombuffer(seq.as_buffer(), np.uint8)
+        for first in range(0, len(raw), LETTERS):
+            held += [_LETTER[raw[first : first + LETTERS + k - 1]], np.full(1, 4, np.uint8)]
+            size += len(held[-2]) + 1
+            if size >= LETTERS:
+                yield np.concatenate(held)
+                held, size = [], 0
     if held:
         yield np.concatenate(held)
 
 
 def _canonical(letters: np.ndarray, k: int) -> np.ndarray:
-    """The lesser codes of the k letters from each place on and of their reverse complement, where all are known."""
-    n = len(letters) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    bad = np.cumsum(np.concatenate([[0], letters > 3]))
-    own, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for j in range(k):
-        x = letters[j : j + n].astype(np.int64)
-        own = own << 2 | x & 3
-        back |= (3 - x & 3) << 2 * j
-    return np.minimum(own, back)[bad[k:] == bad[:-k]]
-
-
-def _mers(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for first in range(0, len(codes), ROWS):
-        yield pa.RecordBatch.from_arrays([pa.array(codes[first : first + ROWS]), pa.array(n[first : first + ROWS])], ["node", "n"])
+    """The lesser codes of the k letters from each place on and of their reverse complement, where all are known; 32 bits for k to 15."""
+    if len(letters) < k:
+        return np.zeros(0, _kind(k))
+    bad = np.cumsum(np.concatenate([[0], letters > 3]), dtype=np.int64)
+    own = (letters & 3).astype(_kind(k))
+    back = 3 - own
+    done, n = 0, 1  # words of n = 1, 2, 4, ... letters, put together to words of `done` letters
+    while True:
+        if k & n:
+            if done:
+                whole, turned = whole[:-n] << 2 * n | own[done:], back[done:] << 2 * done | turned[:-n]
+            else:
+                whole, turned = own, back
+            done += n
+        if done == k:
+            return np.minimum(whole, turned)[bad[k:] == bad[:-k]]
+        own, back, n = own[:-n] << 2 * n | own[n:], back[n:] << 2 * n | back[:-n], 2 * n
+
+
+def _kind(k: int) -> type:
+    return np.uint32 if k < 16 else np.uint64
+
+
+def _scattered(codes: np.ndarray, k: int) -> np.ndarray:
+    return codes * codes.dtype.type(_ODD % 4**k) & codes.dtype.type(4**k - 1)
+
+
+def _gathered(places: np.ndarray, k: int) -> np.ndarray:
+    """The codes of places in the scattered order."""
+    return (places * places.dtype.type(pow(_ODD, -1, 4**k)) & places.dtype.type(4**k - 1)).astype(np.int64)
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    places, n = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.argsort(places, kind="stable")  # of sorted runs
+    places = places[order]
+    at = np.concatenate([[0], np.flatnonzero(places[1:] != places[:-1]) + 1])
+    return places[at], np.add.reduceat(n[order], at)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """All first bytes of numbers, all second ones, and so on: most are alike."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def _numbers(planes: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _packed(held: list[np.ndarray], k: int) -> pa.RecordBatch:
+    """(part, mers, packed) of the k-mers at places in the scattered order; held is emptied. A range's k-mers are distances and counts."""
+    places = np.concatenate(held)
+    held.clear()
+    places.sort()
+    at = np.concatenate([[0], np.flatnonzero(places[1:] != places[:-1]) + 1])
+    counts = np.diff(at, append=len(places)).astype(np.uint32)
+    places = places[at]
+    parts, first = np.unique(places >> places.dtype.type(_shift(k)), return_index=True)
+    ahead = np.diff(places, prepend=places[:1])
+    ahead[first] = places[first] - (parts << places.dtype.type(_shift(k)))
+    ends = [*first.tolist(), len(places)]
+    codec = pa.Codec(_CODEC, compression_level=1)
+    packed = [codec.compress(_planes(ahead[a:b]) + _planes(counts[a:b]), asbytes=True) for a, b in zip(ends, ends[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(np.diff(ends), pa.int32()), pa.array(packed, pa.binary())], ["part", "mers", "packed"])
+
+
+def _unpacked(mers: int, part: int, packed: pa.Buffer, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, counts) of one range."""
+    kind = _kind(k)
+    wide = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.Codec(_CODEC).decompress(packed, mers * (wide + 4)), np.uint8)
+    ahead, counts = _numbers(raw[: mers * wide], kind), _numbers(raw[mers * wide :], np.uint32)
+    return np.cumsum(ahead, dtype=kind) + kind(part << _shift(k)), counts.astype(np.int64)
+
+
+def _shift(k: int) -> int:
+    return max(2 * k - PARTS, 0)
 
 
 def links(nodes: DataFrame, k: int) -> DataFrame:

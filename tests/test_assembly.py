@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldbiome.operators import assembly
@@ -103,3 +105,32 @@ def test_kmers_are_counted_as_numbers_where_they_are_made(spark):
     mers = [m for s in seqs if s for m in (s.upper()[i : i + 5] for i in range(len(s) - 4)) if set(m) <= set("ACGT")]
     want = Counter(min(m, m.translate(turn)[::-1]) for m in mers)
     assert {r["m"]: r["n"] for r in got.select(assembly.letters_of(got.node, 5).alias("m"), "n").collect()} == want
+
+
+@pytest.mark.parametrize("k", [3, 5, 15, 17, 31])
+def test_long_sequences_are_cut_and_what_ranges_get_adds_up(k, monkeypatch):
+    monkeypatch.setattr(assembly, "LETTERS", 50)
+    rng = random.Random(k)
+    seqs = ["", "AC", dna(rng, 49), dna(rng, 50), dna(rng, 51), dna(rng, 400), "ACGT" * 40, "A" * 120, "N".join(dna(rng, 60) for _ in range(4)), dna(rng, 30).lower()]
+    seqs.append(rc(seqs[5]))
+    want = Counter(min(m, rc(m)) for s in seqs for m in (s.upper()[i : i + k] for i in range(len(s) - k + 1)) if "N" not in m)
+    held = []
+    for some in (seqs[:6], seqs[6:]):
+        pieces = list(assembly._joined(pa.array(some), k))
+        assert max(map(len, pieces)) < 2 * 50 + k + 2
+        batch = assembly._packed([assembly._scattered(assembly._canonical(x, k), k) for x in pieces], k)
+        held += [(part, assembly._unpacked(mers, part, pa.py_buffer(packed), k)) for part, mers, packed in zip(*(c.to_pylist() for c in batch.columns))]
+    got = {}
+    for part in {p for p, _ in held}:
+        places, n = assembly._summed([x for p, x in held if p == part])
+        got |= dict(zip(assembly._gathered(places, k).tolist(), n.tolist(), strict=True))
+    number = lambda m: int(m.translate(str.maketrans("ACGT", "0123")), 4)
+    assert got == {number(m): n for m, n in want.items()}
+
+
+def test_kmers_travel_packed_by_ranges(spark):
+    rng = np.random.default_rng(5)
+    plan = assembly.kmer_counts(table(spark, ["ACGTTGCAACG"]), 15)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(part" in plan and "hashpartitioning(node" not in plan  # no row for each k-mer
+    batch = assembly._packed([rng.integers(0, 4**15, 2_000_000, np.uint32)], 15)
+    assert batch.num_rows == 4096 and batch.nbytes < 2 * 2_000_000  # bytes; a row of two numbers takes 16 and more
